@@ -39,9 +39,9 @@ def text_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def one_per_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text) with one row an id: rows without an id go, of rows that share one the smallest text stays."""
+    """(doc_id, text) with one row an id: rows without an id go, of rows that share one the shortest text stays, of equally long ones the smallest."""
     rows = text_of(docs, id_col, text_col).where(F.col("doc_id").isNotNull())
-    return rows.groupBy("doc_id").agg(F.min("text").alias("text"))
+    return rows.groupBy("doc_id").agg(F.min(F.struct(F.length("text").alias("n"), "text")).alias("least")).select("doc_id", "least.text")
 
 
 def remainder(id_col: Column, modulus: int) -> Column:
