@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from speechlake.llm import lm, packing, simhash, subword, token_counts, topk, toxicity, url_filter
+from speechlake.llm import lm, packing, simhash, subword, suffix_dedup, token_counts, topk, toxicity, url_filter
 from speechlake.llm.common import table
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest_of(table(spark, sf_dir, "documents"))
+
+
 def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.document_fingerprints(table(spark, sf_dir, "documents"))
 
@@ -42,7 +46,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_document_fingerprints, op3_lm_scoring, op5_sentencepiece, op6_url_filters, op7_toxicity, op8_packing, op9_token_counts, op10_topk)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_array_dedup, op2_document_fingerprints, op3_lm_scoring, op5_sentencepiece, op6_url_filters, op7_toxicity, op8_packing, op9_token_counts, op10_topk)}
 
 _BLOCKED = ", ".join(f"'{x[:-1]}'" for x in url_filter.BLOCKLIST)
 
