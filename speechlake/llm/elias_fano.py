@@ -87,9 +87,10 @@ class EliasFano:
         i = np.where(h > 0, self._select(np.maximum(h - 1, 0), True) - h + 1, 0)
         end = self._select(h, True) - h
         live = np.flatnonzero(i < end)
-        while len(live):  # the few values with the same high part
-            live = live[self._low(i[live]) < rest[live]]
-            i[live] += 1
+        while len(live):  # halve the values with the same high part
+            middle = (i[live] + end[live]) >> 1
+            less = self._low(middle) < rest[live]
+            i[live[less]], end[live[~less]] = middle[less] + 1, middle[~less]
             live = live[i[live] < end[live]]
         out[ok] = np.minimum(i, self.n)
         return out
