@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from speechlake.llm import lm, packing, simhash, subword, suffix_dedup, token_counts, topk, toxicity, url_filter
+from speechlake.llm import jaccard_join, lm, packing, simhash, subword, suffix_dedup, token_counts, topk, toxicity, url_filter
 from speechlake.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subword.encode(table(spark, sf_dir, "documents"), digest=True)
 
@@ -46,7 +50,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_array_dedup, op2_document_fingerprints, op3_lm_scoring, op5_sentencepiece, op6_url_filters, op7_toxicity, op8_packing, op9_token_counts, op10_topk)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_array_dedup, op2_document_fingerprints, op3_lm_scoring, op4_ngram_jaccard_join, op5_sentencepiece, op6_url_filters, op7_toxicity, op8_packing, op9_token_counts, op10_topk)}
 
 _BLOCKED = ", ".join(f"'{x[:-1]}'" for x in url_filter.BLOCKLIST)
 

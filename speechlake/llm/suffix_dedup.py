@@ -253,6 +253,16 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     return joined.mapInPandas(run, "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")
 
 
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """doc_id, text: what remain of the texts. A character that is removed in part goes as a whole; a text may become empty."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "text": [bytes(x).decode("utf-8", "ignore") for x in pdf["kept"]]})
+
+    return remove_repeats(docs).select("doc_id", "kept").mapInPandas(run, "doc_id long, text string")
+
+
 def digest_of(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     out = remove_repeats(docs)

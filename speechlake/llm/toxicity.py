@@ -146,6 +146,21 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: i
     return rows.mapInPandas(run, f"doc_id {dict(rows.dtypes)['doc_id']}, held_out boolean, score double, predicted int, n_sentences int, worst_start int, worst_end int, worst_score double")
 
 
+def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows, as they are, whose score is below the threshold."""
+    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        weights, bias = WordWeights(model.value[0]), model.value[1]
+        for pdf in batches:
+            scores = [0.0 if t is None else bag_scores(t, weights, bias)[0] for t in pdf["_text"]]
+            yield pdf.loc[np.array(scores) < threshold, ["_row"]]
+
+    # only the text and the row go to Python; the row comes back as the struct that it is
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), F.col("text").alias("_text"))
+    return rows.mapInPandas(run, rows.select("_row").schema).select("_row.*")
+
+
 def offending_sentences(docs: DataFrame, model: tuple[dict[str, float], float], threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, start, end, sentence, score of every sentence at or above the threshold."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
