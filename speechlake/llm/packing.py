@@ -26,6 +26,8 @@ LENGTH = 2048
 END = 1
 #: Sources are told apart up to so many; of more, each goes to one of so many queues by its hash.
 MAX_QUEUES = 4096
+#: Where tasks' parts of the queues begin is broadcast up to so many rows, and joined beyond.
+BROADCAST_ROWS = 200_000
 
 
 class Mixture:
@@ -124,8 +126,8 @@ def tokenised(docs: DataFrame, rank_path: str | None = None, json_path: str | No
     return rows.mapInPandas(run, "doc_id long, queue string, part int, place long, n long, ids binary")
 
 
-def pack(docs: DataFrame, length: int = LENGTH, rank_path: str | None = None, json_path: str | None = None) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids of every piece of every row.
+def pack(docs: DataFrame, length: int = LENGTH, rank_path: str | None = None, json_path: str | None = None, with_ids: bool = True) -> DataFrame:
+    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, with_ids, ids of every piece of every row.
 
     A null text is empty: its document is the end token alone. A null source is a queue of its own, shared with the
     empty name. A null id is kept; repeated rows are packed each. All sequences but the last few hold exactly
@@ -134,29 +136,36 @@ def pack(docs: DataFrame, length: int = LENGTH, rank_path: str | None = None, js
     spark = docs.sparkSession
     tokens = stored(tokenised(docs, rank_path, json_path), "packing-tokens")
     sums = tokens.groupBy("queue", "part").agg(F.sum("n").alias("n"))
-    totals = sums.groupBy("queue").agg(F.sum("n").alias("n"))
+    totals = sums.groupBy("queue").agg(F.sum("n").alias("n"), F.count("*").alias("parts"))
     listed = totals.orderBy("queue").limit(MAX_QUEUES + 1).collect()
     if len(listed) > MAX_QUEUES:  # too many names to send: queues by hash, in the same way
         hashed = docs.withColumn("source", F.pmod(F.xxhash64(F.coalesce("source", F.lit(""))), F.lit(MAX_QUEUES)).cast("string"))
-        return pack(hashed, length, rank_path, json_path)
+        return pack(hashed, length, rank_path, json_path, with_ids)
     number = {r.queue: i for i, r in enumerate(listed)}
     sent = spark.sparkContext.broadcast((number, np.array([r.n for r in listed], np.int64)))
     base = sums.withColumn("base", F.sum("n").over(Window.partitionBy("queue").orderBy("part")) - F.col("n")).drop("n")
+    if sum(r.parts for r in listed) <= BROADCAST_ROWS:
+        base = F.broadcast(base)
     placed = tokens.join(base, ["queue", "part"]).select("doc_id", "queue", (F.col("base") + F.col("place")).alias("at"), "n", "ids")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         numbers, n = sent.value
         mixture, cache = Mixture(n, length), {}
         for pdf in batches:
-            out = []
-            for doc, queue, at, size, ids in zip(pdf["doc_id"].astype(object), pdf["queue"], pdf["at"], pdf["n"], pdf["ids"]):
+            found, crcs, raws = [], [], []
+            for queue, at, size, ids in zip(pdf["queue"], pdf["at"], pdf["n"], pdf["ids"]):
                 starts, seqs, offs = mixture.pieces(numbers[queue], at, at + size, cache)
                 starts = starts - at
-                wide = np.frombuffer(ids, "<u2").astype("<u4").tobytes()
-                for a, b, s, o in zip(starts.tolist(), [*starts[1:].tolist(), size], seqs.tolist(), offs.tolist()):
-                    raw = wide[4 * a : 4 * b]
-                    out.append((doc, a, b - a, zlib.crc32(raw), size, s, o, raw))
-            frame = pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
-            yield frame.assign(doc_id=frame["doc_id"].astype("Int64"))
-
-    return placed.mapInPandas(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
+                ends = np.append(starts[1:], size)
+                found.append((starts, ends - starts, seqs, offs))
+                wide = memoryview(np.frombuffer(ids, "<u2").astype("<u4").view(np.uint8))
+                cut = [wide[a:b] for a, b in zip((4 * starts).tolist(), (4 * ends).tolist())]
+                crcs += map(zlib.crc32, cut)
+                if with_ids:
+                    raws += map(bytes, cut)
+            columns = [np.concatenate(x) for x in zip(*found)] if found else [np.zeros(0, np.int64)] * 4
+            each = np.repeat(np.arange(len(pdf)), [len(x[0]) for x in found])
+            out = {"doc_id": pdf["doc_id"].astype("Int64").array[each], "start": columns[0], "length": columns[1], "ids_crc32": np.array(crcs, np.int64), "doc_tokens": pdf["n"].to_numpy()[each], "sequence_id": columns[2], "offset": columns[3]}
+            yield pd.DataFrame(out | ({"ids": raws} if with_ids else {}))
+
+    return placed.mapInPandas(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids)
