@@ -66,7 +66,7 @@ def bootstrap(stats: DataFrame, by: str, order: str, b: int = 2000, seed: int =
     sizes = numbered.groupBy(by).agg(F.count("*").alias("n"))
     draws = sizes.select(by, "n", F.explode(F.sequence(F.lit(0), F.lit(b - 1))).alias("k")).select(by, "n", "k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("j"))
     drawn = T.seeded_uniform(draws, seed, F.col("k") * F.col("n") + F.col("j") + 1, "u")
-    picked = drawn.select(by, "n", "k", F.floor(F.col("u") * F.col("n")).cast("int").alias("i"))
+    picked = drawn.select(by, "n", "k", F.coalesce(F.floor(F.col("u") * F.col("n")).cast("int"), F.lit(0)).alias("i"))  # never null, so no null check of the whole draw is pushed down
     sums = picked.join(numbered, [by, "i"]).groupBy(by, "n", "k").agg(F.sum("edits").alias("e"), F.sum("ref_len").alias("t"))
     ratio = F.when(F.col("t") > 0, F.col("e") / F.col("t")).otherwise(0.0)
     sorted_ = sums.groupBy(by, "n").agg(F.sort_array(F.collect_list(ratio)).alias("s"))
