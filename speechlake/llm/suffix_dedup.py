@@ -200,15 +200,21 @@ def repeated_starts(rows: DataFrame) -> DataFrame:
     differing = first.join(mixed, "anchor").select("anchor", parts.alias("parts"), F.pmod(F.xxhash64("first_id", "first_run"), parts).cast("int").alias("part"), F.col("first_id").alias("doc_id"), F.col("first_run").alias("run"))
     wanted = differing.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "parts", "part", start.alias("start"), count.alias("n"))).alias("wanted"))
 
+    names = ["anchor", "parts", "part", "start", "n"]
+
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for i, text, wants in zip(pdf["doc_id"], pdf["text"], pdf["wanted"]):
-                text = bytes(text)
-                out = pd.DataFrame.from_records([tuple(w.values()) if isinstance(w, dict) else tuple(w) for w in wants], columns=["anchor", "parts", "part", "start", "n"])
-                out["doc_id"], out["bytes"] = i, [text[s : s + n + MIN - 1] for s, n in zip(out["start"], out["n"])]
-                yield out
-
-    pieces = rows.join(wanted, "doc_id").mapInPandas(cut, "anchor long, parts int, part int, start long, n long, doc_id long, bytes binary")
+            for lo in range(0, len(pdf), 512):
+                some = pdf.iloc[lo : lo + 512]
+                out = {c: np.concatenate(some[c].to_numpy()) for c in names}
+                pieces = []
+                for text, starts, counts in zip(some["text"], some["start"], some["n"]):
+                    text = bytes(text)
+                    pieces += [text[s : s + n + MIN - 1] for s, n in zip(starts.tolist(), counts.tolist())]
+                yield pd.DataFrame(out | {"doc_id": np.repeat(some["doc_id"].to_numpy(), [len(x) for x in some["start"]]), "bytes": pieces})
+
+    lists = rows.join(wanted, "doc_id").select("doc_id", "text", *[F.col(f"wanted.{c}").alias(c) for c in names])
+    pieces = lists.mapInPandas(cut, "anchor long, parts int, part int, start long, n long, doc_id long, bytes binary")
     found = stored(sorted_repeats(pieces), "suffix-sorted")
     split = found.where("kind = 1")
     least = split.groupBy("anchor", "d1", "d2").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("c")).where("c > 1")
@@ -241,15 +247,15 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for i, text, hits in zip(pdf["doc_id"], pdf["text"], pdf["hits"]):
+            for i, text, starts, counts in zip(pdf["doc_id"], pdf["text"], pdf["start"], pdf["n"]):
                 text = bytes(text)
-                found = covered([h["start"] for h in hits], [h["n"] for h in hits]) if hits is not None else []
+                found = covered(starts.tolist(), counts.tolist()) if starts is not None else []
                 ends = [0, *(x for s in found for x in s), len(text)]
                 kept = b"".join(text[a:b] for a, b in zip(ends[::2], ends[1::2]))
                 out.append((i, len(text), len(text) - len(kept), [{"start": a, "end": b} for a, b in found], kept))
             yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "spans", "kept"])
 
-    joined = rows.join(spans, "doc_id", "left")
+    joined = rows.join(spans, "doc_id", "left").select("doc_id", "text", "hits.start", "hits.n")
     return joined.mapInPandas(run, "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")
 
 
