@@ -202,5 +202,6 @@ def entities(c: Column) -> Column:
 
 def merge_json(a: Column, b: Column) -> Column:
     """Object merge; b's keys win."""
-    kind = "map<string,string>"
-    return F.map_concat(F.coalesce(F.from_json(a, kind), F.create_map().cast(kind)), F.map_filter(F.coalesce(F.from_json(b, kind), F.create_map().cast(kind)), lambda k, v: v.isNotNull()))
+    parsed = lambda c: F.coalesce(F.from_json(c, "map<string,string>"), F.create_map().cast("map<string,string>"))
+    new = F.map_filter(parsed(b), lambda k, v: v.isNotNull())
+    return F.map_concat(F.map_filter(parsed(a), lambda k, v: ~F.map_contains_key(new, k)), new)

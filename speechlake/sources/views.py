@@ -48,7 +48,7 @@ def turn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ev(spark: SparkSession, sf_dir: str) -> DataFrame:
     """seq, run_id, kind, created_at, value, data."""
-    return table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.col("user_id").alias("run_id"), F.col("event_type").alias("kind"), F.col("ts").alias("created_at"), "value", F.col("props").alias("data"))
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.col("user_id").alias("run_id"), F.col("event_type").alias("kind"), F.col("ts").cast("timestamp").alias("created_at"), "value", F.col("props").alias("data"))
 
 
 def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
