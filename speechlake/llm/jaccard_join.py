@@ -8,9 +8,10 @@ that also sign their one-deletion neighbourhoods, which prove a segment equal up
 Only a set for which that does not suffice signs its empty subsets too. Sets that share a signature are compared in
 full, exactly.
 
-Sets with equal members are one class from the start. Signatures that several sets share are met at the smallest set
-first; only sets that are then still in different components are compared with each other. So a group of near copies
-costs its size, not its square, and no link between components is lost.
+Sets with equal members are one class from the start. Signatures that several sets share are met at their smallest id
+first; then only sets that are still in different components are compared with each other, so that no link between
+components is lost. Groups are compared in blocks inside tasks, by bitmaps that bound the intersection from above; a
+pair becomes a row only if its bound reaches the threshold, and is then verified. So no group is written out as pairs.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ from speechlake.llm.lm import pack_ints, unpack_ints
 WORDS, PERCENT = 4, 85
 #: Bytes of text whose signatures are gathered before they are sent.
 BATCH_BYTES = 8 << 20
+#: Sets of a group that are compared in one block.
+BLOCK = 1_024
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -214,17 +217,79 @@ def shared_signatures(parts: DataFrame) -> DataFrame:
     return parts.groupBy("bucket").applyInPandas(meet, "sig long, batch long, place int")
 
 
+def bitmap(members: np.ndarray) -> np.ndarray:
+    """Bits of the members' hashes, at least eight for each member; longer maps fold onto shorter ones."""
+    bits = max(64, 1 << int(8 * len(members) - 1).bit_length())
+    out = np.zeros(bits, np.uint8)
+    out[(mix(members ^ _B) % np.uint64(bits)).astype(np.int64)] = 1
+    return np.packbits(out)
+
+
 def sets_of(rows: DataFrame, words: int) -> DataFrame:
-    """doc_id, members (8 bytes each) of a table (doc_id, text as bytes)."""
+    """doc_id, members (8 bytes each), bits of a table (doc_id, text as bytes)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         for pdf in batches:
             for lo in range(0, len(pdf), 256):
                 some = pdf.iloc[lo : lo + 256]
-                yield pd.DataFrame({"doc_id": some["doc_id"].array, "members": [shingles(bytes(t), hashes, words).tobytes() for t in some["text"]]})
+                sets = [shingles(bytes(t), hashes, words) for t in some["text"]]
+                yield pd.DataFrame({"doc_id": some["doc_id"].array, "members": [x.tobytes() for x in sets], "bits": [bitmap(x).tobytes() for x in sets]})
+
+    return rows.mapInPandas(run, "doc_id long, members binary, bits binary")
+
+
+def near_pairs(ids: np.ndarray, n: np.ndarray, label: np.ndarray, side: np.ndarray, maps: list[bytes], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places in different components whose bound reaches the threshold; places of the sides 1 and 2 meet only across."""
+    width = min(len(m) for m in maps)
+    table = np.zeros((len(maps), width), np.uint8)
+    for i, m in enumerate(maps):
+        np.bitwise_or.reduce(np.frombuffer(m, np.uint8).reshape(-1, width), axis=0, out=table[i])
+    table = table.view(np.uint64) if width % 8 == 0 else table
+    spare = n - np.bitwise_count(table).sum(1, dtype=np.int64)  # members that share their bit with another
+    left, right = [], []
+    for i in range(len(ids) - 1):
+        ok = (label[i + 1 :] != label[i]) & ((side[i + 1 :] != side[i]) | (side[i] == 0)) & (100 * np.minimum(n[i + 1 :], n[i]) >= percent * np.maximum(n[i + 1 :], n[i]))
+        j = np.flatnonzero(ok) + i + 1
+        if len(j):
+            most = np.bitwise_count(table[j] & table[i]).sum(1, dtype=np.int64) + np.minimum(spare[j], spare[i])
+            j = j[(100 + percent) * most >= percent * (n[j] + n[i])]
+            left.append(np.full(len(j), i))
+            right.append(j)
+    return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64),) * 2
+
+
+def compared(rows: DataFrame, percent: int) -> DataFrame:
+    """Distinct (a, b) of a table (sig, p, q, side, doc_id, n, label, bits) whose rows of one (sig, p, q) are compared in one task."""
 
-    return rows.mapInPandas(run, "doc_id long, members binary")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for pdf in batches:
+            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+            key = pdf[["sig", "p", "q"]].to_numpy()
+            cut = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
+            if not len(cut):
+                rest = pdf
+                continue
+            yield pairs_of(pdf.iloc[: cut[-1]], cut[:-1])
+            rest = pdf.iloc[cut[-1] :]
+        if rest is not None and len(rest):
+            key = rest[["sig", "p", "q"]].to_numpy()
+            yield pairs_of(rest, np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1)
+
+    def pairs_of(pdf: pd.DataFrame, cut: np.ndarray) -> pd.DataFrame:
+        ids, n, label, side = (pdf[c].to_numpy() for c in ("doc_id", "n", "label", "side"))
+        maps, found = pdf["bits"].tolist(), []
+        for a, z in zip([0, *cut], [*cut, len(pdf)]):
+            if z - a > 1:
+                x, y = near_pairs(ids[a:z], n[a:z], label[a:z], side[a:z], maps[a:z], percent)
+                found.append(np.stack([ids[a:z][x], ids[a:z][y]]))
+        both = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+        both = np.unique(np.sort(both, axis=0), axis=1)
+        return pd.DataFrame({"a": both[0], "b": both[1]})
+
+    dealt = rows.select("sig", "p", "q", "side", "doc_id", "n", "label", "bits").repartition("sig", "p", "q").sortWithinPartitions("sig", "p", "q")
+    return dealt.mapInPandas(run, "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -262,22 +327,27 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     firsts = meta.where("n > 0").groupBy("batch", "place").agg(F.min("class_id").alias("doc_id"), F.min("n").alias("n"))
     shared = shared_signatures(out.where("kind = 1").select("bucket", "batch", "sigs", "places"))
     shared = stored(shared.join(firsts, ["batch", "place"]).select("sig", "doc_id", "n").distinct(), "jaccard-shared")
-    near = (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (F.col("a") != F.col("b"))
-    heads = stored(shared.groupBy("sig").agg(F.min(F.struct("doc_id", "n")).alias("h"), F.count("*").alias("c")).where("c > 1").select("sig", F.col("h.doc_id").alias("a"), F.col("h.n").alias("m")), "jaccard-heads")
-    tried = shared.select("sig", F.col("doc_id").alias("b"), "n").join(heads, "sig").where(near).select("a", "b").distinct()
-    tried = stored(tried, "jaccard-pairs")
-    wanted = shared.join(heads.select("sig"), "sig", "left_semi").select("doc_id").distinct()
-    sets = stored(sets_of(rows.join(wanted, "doc_id", "left_semi"), words), "jaccard-sets")
-    links = stored(verified(tried, sets, percent), "jaccard-links")
+    heads = shared.groupBy("sig").agg(F.min("doc_id").alias("head"), F.count("*").alias("c")).where("c > 1")
+    heads = stored(heads.select("sig", "head", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")), "jaccard-heads")
+    shared = stored(shared.join(heads, "sig"), "jaccard-groups")
+    sets = stored(sets_of(rows.join(shared.select("doc_id").distinct(), "doc_id", "left_semi"), words), "jaccard-sets")
+    maps = sets.select("doc_id", "bits")
+    block = F.pmod(F.hash("doc_id"), F.col("blocks"))
+    zero = F.lit(0)
+    # first every set with the head of its group: the head goes to every block, and has a label of its own
+    is_head = F.col("doc_id") == F.col("head")
+    to = F.when(is_head, F.sequence(zero, F.col("blocks") - 1)).otherwise(F.array(block))
+    first = shared.select("sig", F.explode(to).alias("p"), zero.alias("q"), zero.alias("side"), "doc_id", "n", is_head.cast("long").alias("label"))
+    links = stored(verified(compared(first.join(maps, "doc_id"), percent), sets, percent), "jaccard-links")
     labels = components(links)
-    # what shares a signature and is not yet connected is compared too
-    of = shared.join(labels, shared["doc_id"] == labels["node"], "left").select("sig", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
-    open_ = of.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("sig")
-    of = stored(of.join(stored(open_, "jaccard-open"), "sig"), "jaccard-left")
-    left, right = of.select("sig", F.col("doc_id").alias("a"), F.col("n").alias("m"), F.col("component").alias("ca")), of.select("sig", F.col("doc_id").alias("b"), "n", F.col("component").alias("cb"))
-    more = left.join(right, "sig").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))).where(near).select("a", "b").distinct()
-    more = stored(more.join(tried, ["a", "b"], "left_anti"), "jaccard-more")
-    links = stored(links.union(verified(more, sets, percent)), "jaccard-links")
+    # then what shares a signature and is not yet connected: a block meets itself and every other block
+    of = shared.join(labels, shared["doc_id"] == labels["node"], "left").select("sig", "blocks", "doc_id", "n", F.coalesce("component", "doc_id").alias("label"))
+    of = stored(of, "jaccard-labelled")
+    open_ = stored(of.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("sig"), "jaccard-open")
+    other = F.explode(F.sequence(zero, F.col("blocks") - 1))
+    rest = of.join(open_, "sig").withColumn("own", block).withColumn("other", other)
+    rest = rest.select("sig", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"), "doc_id", "n", "label")
+    links = stored(links.union(verified(compared(rest.join(maps, "doc_id"), percent), sets, percent)), "jaccard-links")
     labels = components(links)
     found = meta.join(labels, meta["class_id"] == labels["node"], "left")
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "class_id").alias("component_id"), "class_id")
