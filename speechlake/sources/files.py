@@ -20,6 +20,8 @@ def read_delimited(spark: SparkSession, path: str, schema: str, sep: str = "\t",
 def read_eval_rows(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """The seven columns of an evaluation set, and a one-row table with the number of dropped rows: too few fields, or an id that is no number."""
     raw = read_delimited(spark, path, ", ".join(f"{c} string" for c in [*EVAL_COLUMNS, "_more"]))
+    blank = F.col("filename").isNull() & (F.coalesce(F.regexp_replace("id", "\\s", ""), F.lit("")) == "")
+    raw = raw.where(~blank)
     good = F.trim("id").rlike("^\\d+$") & F.col("gender").isNotNull()
     rows = raw.where(good).select(F.trim("id").cast("long").alias("id"), *EVAL_COLUMNS[1:5], F.col("num_samples").try_cast("long").alias("num_samples"), "gender")
     return rows, raw.select(F.count_if(~F.coalesce(good, F.lit(False))).alias("dropped"))
