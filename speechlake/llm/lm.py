@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from speechlake.llm.common import remainder, shuffle_partitions, stored
 from speechlake.llm.elias_fano import Trie
 
-MU = 60.0
+MU = 300.0
 #: Bytes of text in a batch.
 BATCH_BYTES = 8 << 20
 
