@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from speechlake.llm import jaccard_join, lm, packing, simhash, subword, suffix_dedup, token_counts, topk, toxicity, url_filter
-from speechlake.llm.common import table
+from speechlake.llm.common import one_per_id, stored, table
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +50,15 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_array_dedup, op2_document_fingerprints, op3_lm_scoring, op4_ngram_jaccard_join, op5_sentencepiece, op6_url_filters, op7_toxicity, op8_packing, op9_token_counts, op10_topk)}
+def simhash_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Block tables: all fingerprints within three bits of those of documents whose id is divisible by 20."""
+    docs = one_per_id(table(spark, sf_dir, "documents"))
+    prints = stored(simhash.fingerprints(docs, ["doc_id"]), "simhash-all")
+    found = simhash.within_radius(prints.where("doc_id % 20 = 0"), prints, 3)
+    return found.select(simhash.as_text(found["query_fingerprint"]).alias("query_fingerprint"), simhash.as_text(found["fingerprint"]).alias("fingerprint"), "distance")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_array_dedup, op2_document_fingerprints, op3_lm_scoring, op4_ngram_jaccard_join, op5_sentencepiece, op6_url_filters, op7_toxicity, op8_packing, op9_token_counts, op10_topk, simhash_neighbours)}
 
 _BLOCKED = ", ".join(f"'{x[:-1]}'" for x in url_filter.BLOCKLIST)
 
