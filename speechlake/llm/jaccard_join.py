@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from speechlake.llm.common import one_per_id, shuffle_partitions, stored
+from speechlake.llm.common import one_per_id, release, shuffle_partitions, stored
 from speechlake.llm.components import components
 from speechlake.llm.lm import pack_ints, unpack_ints
 
@@ -218,15 +218,15 @@ def shared_signatures(parts: DataFrame) -> DataFrame:
 
 
 def bitmap(members: np.ndarray) -> np.ndarray:
-    """Bits of the members' hashes, at least eight for each member; longer maps fold onto shorter ones."""
-    bits = max(64, 1 << int(8 * len(members) - 1).bit_length())
+    """Bits of the members' hashes, at least four for each member; longer maps fold onto shorter ones."""
+    bits = max(64, 1 << int(4 * len(members) - 1).bit_length())
     out = np.zeros(bits, np.uint8)
     out[(mix(members ^ _B) % np.uint64(bits)).astype(np.int64)] = 1
     return np.packbits(out)
 
 
 def sets_of(rows: DataFrame, words: int) -> DataFrame:
-    """doc_id, members (8 bytes each), bits of a table (doc_id, text as bytes)."""
+    """doc_id, n, members (8 bytes each), bits of a table (doc_id, text as bytes)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
@@ -234,9 +234,9 @@ def sets_of(rows: DataFrame, words: int) -> DataFrame:
             for lo in range(0, len(pdf), 256):
                 some = pdf.iloc[lo : lo + 256]
                 sets = [shingles(bytes(t), hashes, words) for t in some["text"]]
-                yield pd.DataFrame({"doc_id": some["doc_id"].array, "members": [x.tobytes() for x in sets], "bits": [bitmap(x).tobytes() for x in sets]})
+                yield pd.DataFrame({"doc_id": some["doc_id"].array, "n": [len(x) for x in sets], "members": [x.tobytes() for x in sets], "bits": [bitmap(x).tobytes() for x in sets]})
 
-    return rows.mapInPandas(run, "doc_id long, members binary, bits binary")
+    return rows.mapInPandas(run, "doc_id long, n long, members binary, bits binary")
 
 
 def near_pairs(ids: np.ndarray, n: np.ndarray, label: np.ndarray, side: np.ndarray, maps: list[bytes], percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -259,6 +259,21 @@ def near_pairs(ids: np.ndarray, n: np.ndarray, label: np.ndarray, side: np.ndarr
     return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64),) * 2
 
 
+def bounded(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose bitmaps' bound on the intersection reaches the threshold."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            keep = []
+            for n, m, x, y in zip(pdf["n"], pdf["m"], pdf["bits"], pdf["others"]):
+                left, _ = near_pairs(np.array([0, 1]), np.array([n, m]), np.array([0, 1]), np.zeros(2, np.int64), [x, y], percent)
+                keep.append(len(left) > 0)
+            yield pdf.loc[np.array(keep, bool), ["a", "b"]]
+
+    left, right = maps.withColumnRenamed("doc_id", "a"), maps.select(F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("bits").alias("others"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "n", "m", "bits", "others").mapInPandas(run, "a long, b long")
+
+
 def compared(rows: DataFrame, percent: int) -> DataFrame:
     """Distinct (a, b) of a table (sig, p, q, side, doc_id, n, label, bits) whose rows of one (sig, p, q) are compared in one task."""
 
@@ -306,7 +321,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pdf.loc[np.array(keep, bool), ["a", "b"]]
 
-    left, right = sets.withColumnRenamed("doc_id", "a"), sets.select(F.col("doc_id").alias("b"), F.col("members").alias("others"))
+    left, right = sets.select(F.col("doc_id").alias("a"), "members"), sets.select(F.col("doc_id").alias("b"), F.col("members").alias("others"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "members", "others").mapInPandas(run, "a long, b long")
 
 
@@ -317,9 +332,11 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     null text is empty. Rows without an id go; of rows that share an id the shortest text stays (the smallest of
     equally long ones). Other columns are ignored. Members are told apart by 64-bit hashes, sets by 128-bit ones.
     """
-    buckets = shuffle_partitions(docs.sparkSession)
+    spark = docs.sparkSession
+    buckets = shuffle_partitions(spark)
     rows = one_per_id(docs).select("doc_id", F.col("text").cast("binary").alias("text"))
     out = stored(signed(rows, buckets, words, percent), "jaccard-signed")
+    release(spark)
     meta = out.where("kind = 0").select("doc_id", "n", "d1", "d2", "batch", "place")
     classes = meta.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("class_id"))
     meta = meta.join(classes, ["d1", "d2"], "left").select("doc_id", "n", "batch", "place", F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"))
@@ -327,27 +344,30 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     firsts = meta.where("n > 0").groupBy("batch", "place").agg(F.min("class_id").alias("doc_id"), F.min("n").alias("n"))
     shared = shared_signatures(out.where("kind = 1").select("bucket", "batch", "sigs", "places"))
     shared = stored(shared.join(firsts, ["batch", "place"]).select("sig", "doc_id", "n").distinct(), "jaccard-shared")
-    heads = shared.groupBy("sig").agg(F.min("doc_id").alias("head"), F.count("*").alias("c")).where("c > 1")
-    heads = stored(heads.select("sig", "head", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")), "jaccard-heads")
-    shared = stored(shared.join(heads, "sig"), "jaccard-groups")
-    sets = stored(sets_of(rows.join(shared.select("doc_id").distinct(), "doc_id", "left_semi"), words), "jaccard-sets")
-    maps = sets.select("doc_id", "bits")
-    block = F.pmod(F.hash("doc_id"), F.col("blocks"))
-    zero = F.lit(0)
-    # first every set with the head of its group: the head goes to every block, and has a label of its own
-    is_head = F.col("doc_id") == F.col("head")
-    to = F.when(is_head, F.sequence(zero, F.col("blocks") - 1)).otherwise(F.array(block))
-    first = shared.select("sig", F.explode(to).alias("p"), zero.alias("q"), zero.alias("side"), "doc_id", "n", is_head.cast("long").alias("label"))
-    links = stored(verified(compared(first.join(maps, "doc_id"), percent), sets, percent), "jaccard-links")
+    release(spark)
+    heads = shared.groupBy("sig").agg(F.min(F.struct("doc_id", "n")).alias("h"), F.count("*").alias("c")).where("c > 1")
+    heads = stored(heads.select("sig", F.col("h.doc_id").alias("a"), F.col("h.n").alias("m"), F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")), "jaccard-heads")
+    sets = stored(sets_of(rows.join(shared.join(heads, "sig", "left_semi").select("doc_id").distinct(), "doc_id", "left_semi"), words), "jaccard-sets")
+    release(spark)
+    maps = sets.select("doc_id", "n", "bits")
+    # first every set with the head of its groups, each pair once
+    tried = shared.select("sig", F.col("doc_id").alias("b"), "n").join(heads, "sig").where((F.col("a") != F.col("b")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))).select("a", "b").distinct()
+    links = stored(verified(bounded(tried, maps, percent), sets, percent), "jaccard-links")
+    release(spark)
     labels = components(links)
     # then what shares a signature and is not yet connected: a block meets itself and every other block
-    of = shared.join(labels, shared["doc_id"] == labels["node"], "left").select("sig", "blocks", "doc_id", "n", F.coalesce("component", "doc_id").alias("label"))
+    of = shared.join(heads.select("sig", "blocks"), "sig").join(labels, shared["doc_id"] == labels["node"], "left").select("sig", "blocks", "doc_id", F.coalesce("component", "doc_id").alias("label"))
     of = stored(of, "jaccard-labelled")
-    open_ = stored(of.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("sig"), "jaccard-open")
-    other = F.explode(F.sequence(zero, F.col("blocks") - 1))
-    rest = of.join(open_, "sig").withColumn("own", block).withColumn("other", other)
-    rest = rest.select("sig", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"), "doc_id", "n", "label")
-    links = stored(links.union(verified(compared(rest.join(maps, "doc_id"), percent), sets, percent)), "jaccard-links")
+    # groups with the same sets are compared once
+    groups = of.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("c"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("d")).where("low != high")
+    open_ = stored(groups.groupBy("c", "d", "low", "high").agg(F.min("sig").alias("sig")).select("sig"), "jaccard-open")
+    zero, block = F.lit(0), F.pmod(F.hash("doc_id"), F.col("blocks"))
+    rest = of.join(open_, "sig").withColumn("own", block).withColumn("other", F.explode(F.sequence(zero, F.col("blocks") - 1)))
+    rest = rest.select("sig", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"), "doc_id", "label")
+    more = stored(compared(rest.join(maps, "doc_id"), percent), "jaccard-more")
+    release(spark)
+    links = stored(links.union(verified(more, sets, percent)), "jaccard-links")
+    release(spark)
     labels = components(links)
     found = meta.join(labels, meta["class_id"] == labels["node"], "left")
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "class_id").alias("component_id"), "class_id")
