@@ -2,7 +2,8 @@
 
 A document is a bag of sentences. A sentence has the probability sigmoid(bias + sum of the weights of its distinct
 words), a word's weight being that of itself and of its first letters (inflected forms share them), and the document
-the noisy-or of its sentences: 1 - prod(1 - p). Only document labels are used in training; the
+the noisy-or of its sentences: 1 - prod(1 - p). A score takes from each sentence what it has above the bias alone, so
+that thousands of sentences without any sign don't add up. Only document labels are used in training; the
 sentence scores that they imply tell which sentences offend.
 """
 
@@ -10,6 +11,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -22,7 +24,7 @@ from speechlake.llm.common import remainder
 
 #: The fit reads at most so many labelled documents of each class, those with the smallest hash of their id,
 #: and of those only documents up to so many characters. Scoring has no bounds.
-MAX_TOXIC, MAX_CLEAN, MAX_FIT_CHARS = 2_000, 4_000, 20_000
+MAX_TOXIC, MAX_CLEAN, MAX_FIT_CHARS = 2_000, 5_000, 20_000
 #: Words in fewer fitted documents than this have no weight.
 MIN_DOCS = 8
 THRESHOLD = 0.7
@@ -53,19 +55,27 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 100, rate: float = 0
     if not len(labels) or labels.min() == labels.max():
         p = float(labels.mean()) if len(labels) else 0.0
         return {}, float(np.log((0.02 + 0.96 * p) / (0.98 - 0.96 * p))) - 3.0
-    bags = [[words(t[a:b]) for a, b in sentences(t)] for t in texts]
-    parts = {w: features(w) for bag in bags for w in set().union(*bag)}
-    seen = Counter(f for bag in bags for f in {f for w in set().union(*bag) for f in parts[w]})
-    vocab = {w: i for i, w in enumerate(sorted(w for w, n in seen.items() if n >= MIN_DOCS))}
-    feature, sent, doc, n_sent = [], [], [], 0
-    for d, bag in enumerate(bags):
-        for s in bag:
-            own = [vocab[f] for w in s for f in parts[w] if f in vocab]
-            feature += own
-            sent += [n_sent] * len(own)
+    own: dict[str, list[str]] = {}
+    seen: Counter[str] = Counter()
+    for t in texts:  # the texts are read twice, so that only numbers are held for all of them
+        bag = words(t)
+        for x in bag:
+            if x not in own:
+                own[x] = features(x)
+        seen.update({f for x in bag for f in own[x]})
+    vocab = {x: i for i, x in enumerate(sorted(x for x, n in seen.items() if n >= MIN_DOCS))}
+    numbers = {x: [vocab[f] for f in fs if f in vocab] for x, fs in own.items()}
+    del own, seen
+    feature, sent, doc = array("i"), array("i"), array("i")
+    for d, t in enumerate(texts):
+        for a, b in sentences(t):
+            for x in sorted(words(t[a:b])):
+                feature.extend(numbers[x])
+                sent.extend([len(doc)] * len(numbers[x]))
             doc.append(d)
-            n_sent += 1
-    feature, sent, doc = np.array(feature, np.int64), np.array(sent, np.int64), np.array(doc, np.int64)
+    n_sent = len(doc)
+    del numbers
+    feature, sent, doc = (np.frombuffer(x, np.int32) if len(x) else np.zeros(0, np.int32) for x in (feature, sent, doc))
     w, b = np.zeros(len(vocab)), -6.0
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for step in range(1, epochs + 1):
@@ -99,14 +109,15 @@ class WordWeights(dict):
 
 def bag_scores(text: str, weights: WordWeights, bias: float) -> tuple[float, list[tuple[float, int, int]]]:
     """The document's score and (score, start, end) of its sentences; a text without sentences scores as an empty bag, 0."""
-    out, clean = [], 0.0
+    out, clean, ground = [], 0.0, 1 / (1 + math.exp(-bias))
     for a, b in sentences(text):
         z = bias
         for x in sorted(words(text[a:b])):  # in a fixed order, so that equal texts have equal sums
             z += weights[x]
         z = min(30.0, max(-30.0, z))
-        out.append((1 / (1 + math.exp(-z)), a, b))
-        clean -= math.log1p(math.exp(z))
+        p = max(0.0, 1 / (1 + math.exp(-z)) - ground)
+        out.append((p, a, b))
+        clean += math.log1p(-p)
     return -math.expm1(clean), out
 
 

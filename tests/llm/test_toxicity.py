@@ -44,7 +44,8 @@ def test_learns_from_document_labels_and_locates(spark):
 def test_score_is_the_noisy_or():
     weights = X.WordWeights({"bad": 4.0, "good": -1.0})
     score, parts = X.bag_scores("bad bad. good\nfine", weights, -2.0)
-    p = [1 / (1 + np.exp(-z)) for z in (2.0, -3.0, -2.0)]
+    sig = lambda z: 1 / (1 + np.exp(-z))
+    p = [sig(2.0) - sig(-2.0), 0.0, 0.0]  # what a sentence has above the bias alone
     assert np.allclose([x for x, _, _ in parts], p) and abs(score - (1 - np.prod([1 - x for x in p]))) < 1e-12
 
 
