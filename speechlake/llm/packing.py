@@ -37,7 +37,7 @@ class Mixture:
         self.n, self.length = np.asarray(totals, np.int64), length
         self.total = int(self.n.sum())
         self.windows = self.total // length
-        self.share = self.n.astype(np.longdouble) / max(1, self.total)
+        self.share = self.n.astype(np.float64) / max(1, self.total)
         full = self.served(np.array([self.windows]))[0]
         self.rest_from = full
         self.rest_at = np.concatenate([[0], np.cumsum(self.n - full)])
@@ -49,15 +49,15 @@ class Mixture:
 
     def _due(self, t: np.ndarray) -> np.ndarray:
         """Tokens of each queue that are due by time t."""
-        return np.minimum(np.floor(t[:, None] * self.share + np.longdouble(0.5)).astype(np.int64), self.n)
+        return np.minimum(np.floor(t[:, None] * self.share + np.float64(0.5)).astype(np.int64), self.n)
 
     def served(self, k: np.ndarray) -> np.ndarray:
         """Tokens of each queue in the windows before window k: a row for each k."""
         k = np.asarray(k, np.int64)
         want = k * self.length
-        lo = np.maximum(want - len(self.n) - 2, -1).astype(np.longdouble)
-        hi = np.minimum(want + len(self.n) + 2, self.total).astype(np.longdouble)
-        for _ in range(76):
+        lo = np.maximum(want - len(self.n) - 2, -1).astype(np.float64)
+        hi = np.minimum(want + len(self.n) + 2, self.total).astype(np.float64)
+        for _ in range(40):
             mid = (lo + hi) / 2
             enough = self._due(mid).sum(1) >= want
             lo, hi = np.where(enough, lo, mid), np.where(enough, mid, hi)
@@ -75,15 +75,12 @@ class Mixture:
             share = float(self.share[queue]) * self.length
             first = max(0, int(start / share) - 2 - len(self.n) // self.length)
             last = min(self.windows, int(min(end, split) / share) + 3 + len(self.n) // self.length)
-            cuts = self._rows(first, last + 1, cache)
-            own = cuts[:, queue]
-            a = max(0, int(np.searchsorted(own, start, "right")) - 1)
-            b = int(np.searchsorted(own, min(end, split), "left"))
-            k = np.arange(a, b)
-            k = k[own[k] < own[k + 1]]
-            width = cuts[k + 1, :queue] - cuts[k, :queue]
+            own, ahead = self._rows(queue, first, last + 1, cache)
+            a = max(0, int(own.searchsorted(start, "right")) - 1)
+            b = int(own.searchsorted(min(end, split), "left"))
+            k = a + np.flatnonzero(own[a:b] < own[a + 1 : b + 1])
             begin = np.maximum(own[k], start)
-            starts.append(begin), seqs.append(first + k), offs.append(width.sum(1) + begin - own[k])
+            starts.append(begin), seqs.append(first + k), offs.append(ahead[k] + begin - own[k])
         if end > split:
             a, b = (int(self.rest_at[queue]) + x - split for x in (max(start, split), end))
             i = np.arange(int(np.searchsorted(self.rest_cuts, a, "right")) - 1, int(np.searchsorted(self.rest_cuts, b, "left")))
@@ -91,16 +88,26 @@ class Mixture:
             starts.append(begin - int(self.rest_at[queue]) + split), seqs.append(self.windows + i), offs.append(begin - self.rest_cuts[i])
         return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (starts, seqs, offs))
 
-    def _rows(self, first: int, last: int, cache: dict, block: int = 256) -> np.ndarray:
-        """served() of the windows from first to before last, computed in blocks that are kept for a while."""
-        out = []
+    def _rows(self, queue: int, first: int, last: int, cache: dict, block: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+        """Of the windows from first to before last: the queue's tokens before them, and the tokens of earlier queues in them.
+
+        They are computed for blocks of windows, with all queues, and kept for a while.
+        """
+        own, ahead = [], []
         for b in range(first // block, (last - 1) // block + 1):
             if b not in cache:
-                if len(cache) > 64:
+                if len(cache) > 16:
                     cache.clear()
-                cache[b] = self.served(np.arange(b * block, min((b + 1) * block, self.windows + 1)))
-            out.append(cache[b])
-        return np.concatenate(out)[first % block :][: last - first]
+                cuts = self.served(np.arange(b * block, min((b + 1) * block, self.windows) + 1))
+                width = np.diff(cuts, axis=0)
+                cache[b] = np.ascontiguousarray(cuts.T), np.ascontiguousarray((np.cumsum(width, 1) - width).T)
+            whole = b < (last - 1) // block  # the last row of a block is the first of the next
+            own.append(cache[b][0][queue, :block] if whole else cache[b][0][queue])
+            ahead.append(cache[b][1][queue])
+        at = first % block
+        if len(own) == 1:
+            return own[0][at : at + last - first], ahead[0][at : at + last - first]
+        return np.concatenate(own)[at : at + last - first], np.concatenate(ahead)[at : at + last - first]
 
 
 def tokenised(docs: DataFrame, rank_path: str | None = None, json_path: str | None = None) -> DataFrame:
@@ -152,20 +159,28 @@ def pack(docs: DataFrame, length: int = LENGTH, rank_path: str | None = None, js
         numbers, n = sent.value
         mixture, cache = Mixture(n, length), {}
         for pdf in batches:
+            if not len(pdf):
+                continue
+            number = np.array([numbers[q] for q in pdf["queue"]])
+            at, size = pdf["at"].to_numpy(), pdf["n"].to_numpy()
+            order = np.lexsort((at, number))
+            # documents that follow each other in a queue are cut together
+            follows = (number[order][1:] == number[order][:-1]) & (at[order][1:] == (at + size)[order][:-1])
             found, crcs, raws = [], [], []
-            for queue, at, size, ids in zip(pdf["queue"], pdf["at"], pdf["n"], pdf["ids"]):
-                starts, seqs, offs = mixture.pieces(numbers[queue], at, at + size, cache)
-                starts = starts - at
-                ends = np.append(starts[1:], size)
-                found.append((starts, ends - starts, seqs, offs))
-                wide = memoryview(np.frombuffer(ids, "<u2").astype("<u4").view(np.uint8))
-                cut = [wide[a:b] for a, b in zip((4 * starts).tolist(), (4 * ends).tolist())]
+            for rows in np.split(order, np.flatnonzero(~follows) + 1):
+                a, b = int(at[rows[0]]), int(at[rows[-1]] + size[rows[-1]])
+                cuts, seqs, offs = mixture.pieces(int(number[rows[0]]), a, b, cache)
+                starts = np.union1d(cuts, at[rows])
+                piece, doc = np.searchsorted(cuts, starts, "right") - 1, np.searchsorted(at[rows], starts, "right") - 1
+                count = np.diff(np.append(starts, b))
+                found.append((rows[doc], starts - at[rows][doc], count, seqs[piece], offs[piece] + starts - cuts[piece]))
+                wide = memoryview(np.concatenate([np.frombuffer(pdf["ids"].iat[i], "<u2") for i in rows]).astype("<u4").view(np.uint8))
+                cut = [wide[x:y] for x, y in zip((4 * (starts - a)).tolist(), (4 * (starts - a + count)).tolist())]
                 crcs += map(zlib.crc32, cut)
                 if with_ids:
                     raws += map(bytes, cut)
-            columns = [np.concatenate(x) for x in zip(*found)] if found else [np.zeros(0, np.int64)] * 4
-            each = np.repeat(np.arange(len(pdf)), [len(x[0]) for x in found])
-            out = {"doc_id": pdf["doc_id"].astype("Int64").array[each], "start": columns[0], "length": columns[1], "ids_crc32": np.array(crcs, np.int64), "doc_tokens": pdf["n"].to_numpy()[each], "sequence_id": columns[2], "offset": columns[3]}
+            row, start, count, seq, off = (np.concatenate(x) for x in zip(*found))
+            out = {"doc_id": pdf["doc_id"].astype("Int64").array[row], "start": start, "length": count, "ids_crc32": np.array(crcs, np.int64), "doc_tokens": size[row], "sequence_id": seq, "offset": off}
             yield pd.DataFrame(out | ({"ids": raws} if with_ids else {}))
 
     return placed.mapInPandas(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids)
