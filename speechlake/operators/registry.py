@@ -112,3 +112,38 @@ def sample_estimate(rows: DataFrame, by: str, seconds: str, scoreable: Column, n
 
 def stability(rows: DataFrame, by: str, text: Column, in_script: Column) -> DataFrame:
     return rows.groupBy(by).agg(F.count("*").alias("runs"), F.count_if(in_script).alias("in_script"), F.countDistinct(text).alias("distinct_texts"))
+
+
+def reviews(rows: DataFrame, signed: DataFrame, code: str = "code", run: str = "run_id") -> tuple[DataFrame, DataFrame]:
+    """rows with reviewed: a passing sign-off counts only for the run that it names; and the stale sign-offs, of known codes but other runs."""
+    passed = signed.where("verdict = 'pass'").select(code, run).distinct()
+    known = rows.select(code, run).distinct()
+    out = rows.join(passed.withColumn("reviewed", F.lit(True)), [code, run], "left").withColumn("reviewed", F.coalesce("reviewed", F.lit(False)))
+    return out, passed.join(known.select(code).distinct(), code, "left_semi").join(known, [code, run], "left_anti")
+
+
+#: Timing qualities, least first (fixed values).
+TIMING = ["none", "partial", "full"]
+
+
+def timing_quality(segments: DataFrame, by: Sequence[str], has_words: Column) -> DataFrame:
+    """by, quality: full if all segments have words, none if no one has, else partial."""
+    return segments.groupBy(*by).agg(F.when(F.bool_and(has_words), "full").when(F.bool_or(has_words), "partial").otherwise("none").alias("quality"))
+
+
+def least_quality(rows: DataFrame, by: Sequence[str], quality: str = "quality") -> DataFrame:
+    order = F.array_position(F.array(*map(F.lit, TIMING)), F.col(quality))
+    return rows.groupBy(*by).agg(F.min_by(quality, order).alias(quality))
+
+
+def operation_state(body: Column, expected_uri: Column) -> Column:
+    """State of a long-running operation from its JSON: running, succeeded, or failed with what is wrong."""
+    b = F.from_json(body, "done boolean, error struct<code:int,message:string>, response struct<results:map<string,struct<error:struct<message:string>>>>")
+    file = F.try_element_at(b["response"]["results"], expected_uri)
+    return (F.when(b.isNull(), "unreadable").when(~F.coalesce(b["done"], F.lit(False)), "running").when(b["error"].isNotNull(), "failed: operation").when(file.isNull(), "failed: no result")
+            .when(file["error"]["message"].isNotNull(), "failed: file").otherwise("succeeded"))
+
+
+def dead_steps(steps: DataFrame, at: str, order: Sequence[str]) -> DataFrame:
+    """Dead steps, the newest first, those without a time last."""
+    return steps.where("state = 'dead'").orderBy(F.desc_nulls_last(at), *order)

@@ -119,8 +119,36 @@ def chosen_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.language_rows(m, choice, _languages(spark)).select("code", "provider", "tier", F.size("others").cast("long").alias("others"))
 
 
-QUERIES = {f.__name__: f for f in (eval_file_round_trip, runlog_replay, language_support, exclusive_languages, provider_choice, tier_cascade, capability_roll_up, baseline_drift, clips_by_name, sentence_pairs, sample_estimate, output_stability, chosen_rows)}
+def review_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as measurements of their language's run, labels as sign-offs."""
+    rows = V.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("code"), (F.col("doc_id") % 3).alias("run_id"))
+    signed = V.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("code"), (F.col("doc_id") % 2).alias("run_id"), F.when(F.col("quality") == 1, "pass").otherwise("fail").alias("verdict"))
+    now, stale = R.reviews(rows, signed)
+    return now.where("reviewed").select("code", F.lit("current").alias("kind")).unionByName(stale.select("code", F.lit("stale").alias("kind")))
+
+
+def timing_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = R.timing_quality(V.seg(spark, sf_dir).withColumn("chunk", F.col("idx") % 2), ["run_id", "chunk"], F.col("idx") % 4 != 1)
+    return R.least_quality(chunks, ["run_id"])
+
+
+def operation_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("seq") % 5
+    body = (F.when(k == 0, '{"done":false}').when(k == 1, '{"done":true,"error":{"code":3,"message":"x"}}').when(k == 2, '{"done":true,"response":{"results":{"u":{}}}}')
+            .when(k == 3, '{"done":true,"response":{"results":{"u":{"error":{"message":"bad"}}}}}').otherwise('{"done":true,"response":{"results":{"other":{}}}}'))
+    return V.ev(spark, sf_dir).select("run_id", R.operation_state(body, F.lit("u")).alias("state")).groupBy("run_id", "state").agg(F.count("*").alias("n"))
+
+
+def dead_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.dead_steps(V.step(spark, sf_dir), "progress", ["run_id", "shard", "weight"]).groupBy("run_id").agg(F.count("*").alias("dead"), F.max("progress").alias("progress"))
+
+
+QUERIES = {f.__name__: f for f in (review_join, timing_quality, operation_states, dead_steps, eval_file_round_trip, runlog_replay, language_support, exclusive_languages, provider_choice, tier_cascade, capability_roll_up, baseline_drift, clips_by_name, sentence_pairs, sample_estimate, output_stability, chosen_rows)}
 ORACLE_SQL = {
+    "review_join": "SELECT doc_id AS code, CASE WHEN doc_id % 3 = doc_id % 2 THEN 'current' ELSE 'stale' END AS kind FROM labels WHERE quality = 1 AND doc_id IN (SELECT doc_id FROM documents)",
+    "timing_quality": V.oracle("SELECT run_id, CASE min(r) WHEN 0 THEN 'none' WHEN 1 THEN 'partial' ELSE 'full' END AS quality FROM (SELECT run_id, idx % 2 AS chunk, CASE WHEN bool_and(idx % 4 <> 1) THEN 2 WHEN bool_or(idx % 4 <> 1) THEN 1 ELSE 0 END AS r FROM seg GROUP BY run_id, idx % 2) GROUP BY run_id", "seg"),
+    "operation_states": V.oracle("SELECT run_id, CASE seq % 5 WHEN 0 THEN 'running' WHEN 1 THEN 'failed: operation' WHEN 2 THEN 'succeeded' WHEN 3 THEN 'failed: file' ELSE 'failed: no result' END AS state, count(*) AS n FROM ev GROUP BY ALL", "ev"),
+    "dead_steps": V.oracle("SELECT run_id, count(*) AS dead, max(progress) AS progress FROM step WHERE state = 'dead' GROUP BY run_id", "step"),
     "eval_file_round_trip": "SELECT count(*) FILTER (WHERE doc_id % 17 <> 3) AS rows, sum(doc_id) FILTER (WHERE doc_id % 17 <> 3)::BIGINT AS ids, sum(length(text)) FILTER (WHERE doc_id % 17 <> 3)::BIGINT AS chars, sum(n_chars) FILTER (WHERE doc_id % 17 <> 3)::BIGINT AS samples, count(*) FILTER (WHERE doc_id % 17 = 3) AS dropped FROM documents",
     "runlog_replay": "SELECT lang, count(*) AS n, sum(n_chars % 10)::BIGINT AS edits, sum(n_chars)::BIGINT AS total, round(sum(n_chars % 10)::DOUBLE / nullif(sum(n_chars), 0), 9) AS cer, (SELECT sum(doc_id % 4 / 4.0::DOUBLE) FROM documents WHERE doc_id % 13 <> 5) AS usd, false AS complete FROM documents WHERE doc_id % 13 <> 5 GROUP BY lang",
     "language_support": f"SELECT d.code, CASE WHEN c.accepted THEN c.provider_code END AS provider_code, CASE WHEN d.code = 'zz' THEN 'unknown language' WHEN c.code IS NULL THEN 'never probed' WHEN NOT c.accepted THEN 'rejected' END AS failure, count(*) AS n FROM (SELECT CASE doc_id % 9 WHEN 0 THEN 'zz' WHEN 1 THEN 'my' ELSE lang END AS code FROM documents) d LEFT JOIN (SELECT * FROM {_CAPS_SQL} WHERE provider = 'alpha') c ON d.code = c.code GROUP BY ALL",
