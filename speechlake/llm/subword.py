@@ -2,10 +2,11 @@
 
 Segmentation follows merges: neighbouring symbols whose join is a piece are candidates, the candidate with the best
 score (the leftmost of ties) leaves the agenda first, and a keyed hash of the candidate may skip it for good. The key
-holds the seed, the document's variant, the chunk and the place in it, so a run can be repeated on any cluster. No
-piece has a space mark after another character, so merges never cross the start of a run of spaces, and equal chunks
-of one variant are segmented once a batch. Characters outside the vocabulary become byte pieces, so decoding loses
-nothing.
+holds the seed, the document, the chunk's place in the document and the symbol's place in the chunk, so every
+occurrence of a chunk is sampled on its own, and a run can be repeated on any cluster. No piece has a space mark after
+another character, so merges never cross the start of a run of spaces. What is kept between documents is no sample:
+the candidates that a short chunk meets, and its symbols, after any sequence of skips; which of them an occurrence
+skips is drawn for it alone. Characters outside the vocabulary become byte pieces, so decoding loses nothing.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -30,8 +31,12 @@ LITERAL = "\udc81"
 _CHUNK = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 #: Chunks above this many characters are segmented by a heap, one at a time.
 LONG = 200
+#: Chunks up to this many characters are drawn from kept candidates, while a skip is no likelier than SELDOM.
+SHORT, SELDOM = 24, 0.2
 #: Characters of text that are segmented together.
 BATCH_CHARS = 4_000_000
+#: Characters of longer chunks that are segmented together.
+ROUND_CHARS = 1_000_000
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -84,8 +89,37 @@ def chunk_key(chunk: str, seed: int, variant: int) -> int:
     return xxhash.xxh64_intdigest(chunk.encode("utf-8", "surrogatepass"), seed=(seed * 1_000_003 + variant) % (1 << 64))
 
 
+def document_key(seed: int, variant: int) -> int:
+    return chunk_key("", seed, variant)
+
+
+def _mixed_one(key: int, place: int, piece: int) -> int:
+    """mixed() of single numbers."""
+    most = (1 << 64) - 1
+    x = (key + int(_M1) * place + int(_M2) * piece) & most
+    x = ((x ^ (x >> 30)) * int(_M2)) & most
+    x = ((x ^ (x >> 27)) * int(_M3)) & most
+    return x ^ (x >> 31)
+
+
 def by_heap(v: Vocabulary, chunk: str, key: int, limit: int) -> list[int]:
     """One chunk's symbols (below zero: a character without a piece), with a heap as the agenda."""
+    return _by_agenda(v, chunk, lambda a, j: limit > 0 and _mixed_one(key, a, j) < limit)
+
+
+def traced(v: Vocabulary, chunk: str, skips: tuple[int, ...]) -> tuple[list[int], list[tuple[int, int]]]:
+    """A chunk's symbols if the candidates of these numbers, in the order of the agenda, are skipped; and the (place, piece) of those that come after the last of them."""
+    met: list[tuple[int, int]] = []
+
+    def skip(a: int, j: int) -> bool:
+        met.append((a, j))
+        return len(met) - 1 in skips
+
+    ids = _by_agenda(v, chunk, skip)
+    return ids, met[skips[-1] + 1 if skips else 0 :]
+
+
+def _by_agenda(v: Vocabulary, chunk: str, skip: Callable[[int, int], bool]) -> list[int]:
     ids = [int(v.single[ord(c)]) if v.single[ord(c)] >= 0 else -1 - ord(c) for c in chunk]
     left, right, version = [i - 1 for i in range(len(ids))], [i + 1 for i in range(len(ids))], [0] * len(ids)
     heap: list[tuple] = []
@@ -102,7 +136,7 @@ def by_heap(v: Vocabulary, chunk: str, key: int, limit: int) -> list[int]:
         b = right[a]
         if version[a] != va or b >= len(ids) or version[b] != vb:
             continue
-        if limit and int(mixed(np.array([key], np.uint64), np.array([a]), np.array([j]))[0]) < limit:
+        if skip(a, j):
             continue
         ids[a], right[a], version[a], version[b] = j, right[b], va + 1, -1
         if right[b] < len(ids):
@@ -177,18 +211,45 @@ def with_bytes(v: Vocabulary, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.nd
     return out, np.bincount(owner, reps, len(sizes)).astype(np.int64)
 
 
+class _Column:
+    """A growing array."""
+
+    def __init__(self, kind: type):
+        self.held, self.n = np.zeros(1024, kind), 0
+
+    def extend(self, values: np.ndarray) -> None:
+        if self.n + len(values) > len(self.held):
+            self.held = np.concatenate([self.held[: self.n], np.zeros(max(self.n, len(values)), self.held.dtype)])
+        self.held[self.n : self.n + len(values)] = values
+        self.n += len(values)
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one after the other."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+
+
 class Encoder:
-    """Encodes texts, and keeps the chunks that it has segmented until there are too many."""
+    """Encodes texts, and keeps what it knows of chunks until there is too much.
+
+    A node is a chunk with a sequence of skips: its symbols, and the candidates that it meets after the last skip. An
+    occurrence starts at its chunk's node without skips and draws for each candidate; at the first that it skips it
+    goes on to that candidate's node.
+    """
 
     def __init__(self, v: Vocabulary, seed: int, dropout: float, most: int = 1_000_000):
         self.v, self.seed, self.most = v, seed, most
         self.limit = min(int(dropout * 2.0**64), (1 << 64) - 1)
+        self.short = SHORT if dropout <= SELDOM else 0
         self.forget()
 
     def forget(self) -> None:
-        self.seen: dict[int, _Index] = {}
-        self.total = [0]
-        self.ids, self.starts, self.n = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.seen: dict[str, int] = {}
+        self.chunk: list[str] = []
+        self.skips: list[tuple[int, ...]] = []
+        self.ids, self.starts, self.n = _Column(np.int32), _Column(np.int64), _Column(np.int32)
+        self.place, self.piece, self.child = _Column(np.int32), _Column(np.int32), _Column(np.int32)
+        self.first, self.met = _Column(np.int64), _Column(np.int32)
 
     def segment(self, chunks: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         short = [i for i, c in enumerate(chunks) if len(c) <= LONG]
@@ -199,48 +260,81 @@ class Encoder:
             ids, n = np.concatenate(whole), np.array([len(x) for x in whole], np.int64)
         return with_bytes(self.v, ids, n)
 
+    def add(self, chunks: list[str], skips: list[tuple[int, ...]], roots: bool = False) -> None:
+        """New nodes. With dropout, long chunks have neither symbols nor candidates here."""
+        none: tuple[list, list] = ([], [])
+        if self.limit:
+            made = [traced(self.v, c, k) if len(c) <= self.short else none for c, k in zip(chunks, skips)]
+            ids, n = with_bytes(self.v, np.array([i for x, _ in made for i in x], np.int64), np.array([len(x) for x, _ in made], np.int64))
+        else:
+            made = [none] * len(chunks)
+            ids, n = self.segment(chunks, np.zeros(len(chunks), np.uint64))
+        met = np.array([len(x) for _, x in made], np.int64)
+        self.starts.extend(self.ids.n + np.cumsum(n) - n)
+        self.first.extend(self.place.n + np.cumsum(met) - met)
+        self.ids.extend(ids)
+        self.n.extend(n)
+        self.met.extend(met)
+        both = np.array([x for _, m in made for x in m], np.int64).reshape(-1, 2)
+        self.place.extend(both[:, 0])
+        self.piece.extend(both[:, 1])
+        self.child.extend(np.full(len(both), -1))
+        if roots:
+            self.seen.update(zip(chunks, range(len(self.chunk), len(self.chunk) + len(chunks))))
+        self.chunk += chunks
+        self.skips += skips
+
+    def draw(self, node: np.ndarray, keys: np.ndarray) -> None:
+        """Move every occurrence to the node of the candidates that it skips."""
+        at = np.arange(len(node))
+        while len(at):
+            size = self.met.held[node[at]]
+            flat = _ranges(self.first.held[node[at]], size)
+            own = np.repeat(at, size)
+            hit = np.flatnonzero(mixed(keys[own], self.place.held[flat], self.piece.held[flat]) < np.uint64(self.limit))
+            hit = hit[np.concatenate([[True], own[hit][1:] != own[hit][:-1]])] if len(hit) else hit
+            at, flat = own[hit], flat[hit]
+            new, where = np.unique(flat, return_index=True)
+            missing = self.child.held[new] < 0
+            new, parents = new[missing], node[at[where[missing]]]
+            if len(new):
+                number = len(self.chunk) + np.arange(len(new))
+                after = [(k[-1] + 1 if k else 0) for k in (self.skips[p] for p in parents)]
+                self.child.held[new] = number
+                self.add([self.chunk[p] for p in parents], [(*self.skips[p], a + int(x)) for p, a, x in zip(parents, after, new - self.first.held[parents])])
+            node[at] = self.child.held[flat]
+
     def __call__(self, texts: list[str], variants: list[int]) -> list[np.ndarray]:
-        if len(self.n) > self.most:
+        if len(self.chunk) > self.most:
             self.forget()
-        use = []
-        for text, variant in zip(texts, variants):
-            index = self.seen.setdefault(variant, _Index(self.total))
-            chunks = _CHUNK.findall(SPACE + text.replace(SPACE, LITERAL).replace(" ", SPACE)) if text else []
-            use.append(np.fromiter(map(index.__getitem__, chunks), np.int64, len(chunks)))
-        new, keys = [], []
-        for variant, index in self.seen.items():
-            new += index.new
-            keys += [chunk_key(c, self.seed, variant) for c in index.new] if self.limit else [0] * len(index.new)
-        if new:  # in the order in which they were numbered
-            number = np.concatenate([index.numbers() for index in self.seen.values()])
-            order = np.argsort(number)
-            ids, n = self.segment([new[i] for i in order], np.array(keys, np.uint64)[order])
-            self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(n) - n])
-            self.ids, self.n = np.concatenate([self.ids, ids.astype(np.int32)]), np.concatenate([self.n, n])
-        out = []
-        for own in use:
-            size = self.n[own]
-            gather = np.repeat(self.starts[own] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            out.append(self.ids[gather])
-        return out
-
-
-class _Index(dict):
-    """Numbers chunks as they come; the numbers go on over all variants."""
-
-    def __init__(self, total: list[int]):
-        self.total, self.new = total, []
-
-    def __missing__(self, chunk: str) -> int:
-        self[chunk] = n = self.total[0]
-        self.total[0] += 1
-        self.new.append(chunk)
-        return n
-
-    def numbers(self) -> np.ndarray:
-        out = np.array([self[c] for c in self.new], np.int64)
-        self.new = []
-        return out
+        listed = [_CHUNK.findall(SPACE + t.replace(SPACE, LITERAL).replace(" ", SPACE)) if t else [] for t in texts]
+        counts = np.array([len(x) for x in listed], np.int64)
+        chunks = [c for own in listed for c in own]
+        self.add(new := [c for c in dict.fromkeys(chunks) if c not in self.seen], [()] * len(new), roots=True)
+        node = np.fromiter(map(self.seen.__getitem__, chunks), np.int64, len(chunks))
+        ids, starts, n = self.ids.held, self.starts.held, self.n.held
+        if self.limit:
+            owner = np.array([document_key(self.seed, x) for x in variants], np.uint64)
+            nth = np.arange(len(node)) - np.repeat(np.cumsum(counts) - counts, counts)
+            keys = mixed(np.repeat(owner, counts), nth, np.zeros(len(node), np.int64))
+            long = np.fromiter(map(len, chunks), np.int64, len(chunks)) > self.short
+            at = np.flatnonzero(~long)
+            moved = node[at]
+            self.draw(moved, keys[at])
+            node[at] = moved
+            ids, starts, n = self.ids.held, self.starts.held[node], self.n.held[node].astype(np.int64)
+            if long.any():
+                at = np.flatnonzero(long)
+                size = np.fromiter((len(chunks[i]) for i in at), np.int64, len(at))
+                done = [self.segment([chunks[i] for i in some], keys[some]) for some in np.split(at, np.flatnonzero(np.diff(np.cumsum(size) // ROUND_CHARS)) + 1)]
+                n[at] = np.concatenate([x for _, x in done])
+                starts[at] = self.ids.n + np.cumsum(n[at]) - n[at]
+                ids = np.concatenate([ids[: self.ids.n], *[x.astype(np.int32) for x, _ in done]])
+        else:
+            starts, n = starts[node], n[node].astype(np.int64)
+        whole = ids[_ranges(starts, n)]
+        ends = np.concatenate([[0], np.cumsum(n)])[np.cumsum(counts)]
+        return np.split(whole, ends[:-1])
 
 
 @cache
@@ -260,15 +354,17 @@ def decode_ids(v: Vocabulary, ids: np.ndarray) -> str:
     return text[1:] if text.startswith(" ") else text
 
 
-def variant_of(id_col: Column, seed: int, variants: int) -> Column:
-    return F.coalesce(F.pmod(F.xxhash64(id_col, F.lit(seed)), F.lit(variants)), F.lit(0)).cast("int")
+def variant_of(id_col: Column, text: Column, seed: int, variants: int | None) -> Column:
+    """A document's part of the key, from its id (without one, from its text): all 64 bits, or one of so many variants."""
+    own = F.when(id_col.isNull(), F.xxhash64(text, F.lit(seed))).otherwise(F.xxhash64(id_col, F.lit(seed)))
+    return own if variants is None else F.pmod(own, F.lit(variants)).cast("long")
 
 
-def encode(docs: DataFrame, dropout: float = 0.1, seed: int = 1, variants: int = 2, model_path: str | None = None, digest: bool = False) -> DataFrame:
+def encode(docs: DataFrame, dropout: float = 0.1, seed: int = 1, variants: int | None = None, model_path: str | None = None, digest: bool = False) -> DataFrame:
     """doc_id, variant, ids (or, with digest, n_chars, n_pieces, ids_crc32 and lossless) of every row.
 
-    Documents of one variant share the keys of the hash. A null or empty text has no pieces. A null id has variant 0.
-    Repeated rows give equal results; other columns are ignored.
+    Every document has its own variant, unless there are to be only so many. A null or empty text has no pieces. A
+    row without an id has its text's variant. Repeated rows give equal results; other columns are ignored.
     """
     path = model_path or default_path("piece_bpe_32k.model")
 
@@ -294,8 +390,8 @@ def encode(docs: DataFrame, dropout: float = 0.1, seed: int = 1, variants: int =
                     out["ids"] = [x.tolist() for x in ids]
                 yield out.astype({"doc_id": "Int64"})
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), variant_of(F.col("doc_id").cast("long"), seed, variants).alias("variant"))
-    return rows.mapInPandas(run, "doc_id long, variant int, " + ("n_chars long, n_pieces long, ids_crc32 long, lossless boolean" if digest else "ids array<int>"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), variant_of(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")), seed, variants).alias("variant"))
+    return rows.mapInPandas(run, "doc_id long, variant long, " + ("n_chars long, n_pieces long, ids_crc32 long, lossless boolean" if digest else "ids array<int>"))
 
 
 def decode(encoded: DataFrame, model_path: str | None = None) -> DataFrame:

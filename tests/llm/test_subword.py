@@ -59,3 +59,31 @@ def test_varied_and_repeatable(spark):
     assert S.encode(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     share = {d: len(one(text, d)) for d in (0.0, 0.2, 1.0)}
     assert share[0.0] < share[0.2] < share[1.0] == len(text) + 1
+
+
+def test_every_document_and_occurrence_is_sampled_on_its_own(spark):
+    text = "transformation " * 60
+    df = spark.createDataFrame([(i, text) for i in range(60)], "doc_id long, text string")
+    rows = S.encode(df, 0.3).collect()
+    assert len({tuple(r.ids) for r in rows}) == len({r.variant for r in rows}) == 60
+    words, word = set(), []
+    for i in rows[0].ids:
+        if V.pieces[i].startswith(S.SPACE) and word:
+            words.add(tuple(word))
+            word = []
+        word.append(i)
+    assert len(words) > 5
+
+
+def test_kept_candidates_equal_the_heap():
+    rng = random.Random(8)
+    texts = [" ".join("".join(rng.choice("thenadiosré日") for _ in range(rng.randint(1, 40))) for _ in range(60)) for _ in range(30)] * 2
+    for dropout in (0.1, 0.2, 0.5):
+        got = S.encode_texts(V, texts, list(range(len(texts))), 3, dropout)
+        for variant, (text, ids) in enumerate(zip(texts, got)):
+            key, want = np.array([S.document_key(3, variant)], np.uint64), []
+            for nth, c in enumerate(S._CHUNK.findall(S.SPACE + text.replace(" ", S.SPACE))):
+                own = int(S.mixed(key, np.array([nth]), np.array([0]))[0])
+                x = np.array(S.by_heap(V, c, own, int(dropout * 2**64)), np.int64)
+                want += S.with_bytes(V, x, np.array([len(x)]))[0].tolist()
+            assert ids.tolist() == want
