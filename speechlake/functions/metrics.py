@@ -18,6 +18,13 @@ def char_edits(hyp: Column, ref: Column) -> Column:
     return F.levenshtein(hyp, ref).cast("long")
 
 
+def long_edits(hyp: Column, ref: Column) -> Column:
+    """Edits between code points of texts of any length: in a band about the difference of lengths, and in full where that is too narrow."""
+    band = F.abs(F.length(hyp) - F.length(ref)) * 2 + 16
+    near = F.filter(F.array(F.call_function("levenshtein", hyp, ref, band)), lambda n: n >= 0)  # below 0: beyond the band
+    return F.coalesce(F.get(near, F.lit(0)), F.levenshtein(hyp, ref)).cast("long")
+
+
 def rate(edits: Column, total: Column) -> Column:
     return edits / F.nullif(total, F.lit(0).cast("long"))
 

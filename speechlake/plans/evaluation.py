@@ -108,7 +108,9 @@ SELECT lang, n, round(v[51], 9) AS lo, round(v[1950], 9) AS hi FROM l"""
 
 
 def bootstrap_poisson(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.poisson_bootstrap(_stats(spark, sf_dir), "lang", "id")
+    """Over whole texts; it has no SQL."""
+    rows = _ascii(E.scored(V.pairs(spark, sf_dir, whole=True))).withColumn("edits", M.long_edits(F.col("h"), F.col("r")))
+    return E.poisson_bootstrap(rows, "lang", "id")
 
 
 def seeded_draws(spark: SparkSession, sf_dir: str) -> DataFrame:

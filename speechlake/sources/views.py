@@ -13,9 +13,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, lang, arm, ref, hyp."""
-    ref = F.substring("text", 1, PAIR_CHARS)
+def pairs(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """id, lang, arm, ref, hyp. The SQL of the view has the first PAIR_CHARS characters; whole: all of each text."""
+    ref = F.col("text") if whole else F.substring("text", 1, PAIR_CHARS)
     hyp = F.replace(F.replace(ref, F.lit("th"), F.lit("t")), F.lit(". "), F.lit(" "))
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang", F.col("source").alias("arm"), ref.alias("ref"), hyp.alias("hyp"))
 
