@@ -6,7 +6,7 @@ import gc
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -15,10 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a folder of our own only where none is set."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The shared folder that the cluster names; a local session may do without, others may not."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     own = getattr(spark, "_speechlake_shared", None)
     if own is None:
         own = f"file://{tempfile.mkdtemp(prefix='speechlake-')}"
@@ -31,7 +33,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._speechlake_path = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing to come reads."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._speechlake_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:
@@ -48,10 +60,41 @@ def text_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
-def one_per_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text) with one row an id: rows without an id go, of rows that share one the shortest text stays, of equally long ones the smallest."""
-    rows = text_of(docs, id_col, text_col).where(F.col("doc_id").isNotNull())
-    return rows.groupBy("doc_id").agg(F.min(F.struct(F.length("text").alias("n"), "text")).alias("least")).select("doc_id", "least.text")
+def mark_of(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """128 bits that tell apart rows that differ in id or text; rows with equal ones are one document."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("none")), F.lit(":"), F.coalesce(F.col(text_col), F.lit("")))))
+
+
+def places(marks: DataFrame) -> DataFrame:
+    """mark, doc_id, key of a table (mark, doc_id): distinct marks, numbered from 0 by rising id (null last), then mark.
+
+    Ranges of the order are numbered on their own, from where the ranges before them end. The table is stored.
+    """
+    spark = marks.sparkSession
+    order = [F.col("doc_id").isNull(), "doc_id", "mark"]
+    dealt = marks.select("mark", "doc_id").distinct().repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
+    local = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    dealt = stored(dealt.select("mark", "doc_id", F.spark_partition_id().alias("part"), local.alias("at")), "places-dealt")
+    ends = dealt.groupBy("part").agg((F.max("at") + 1).alias("n"))  # a row for each range
+    bases = ends.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
+    out = stored(dealt.join(bases, "part").select("mark", "doc_id", (F.col("base") + F.col("at")).alias("key")), "places")
+    discard(dealt)
+    return out
+
+
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """key, doc_id, mark, text, stored: one row for each distinct pair of id and text, numbered as in places.
+
+    A null text is the empty one; other columns, whatever their names, are left out. Rows that share an id but not the
+    text are documents of their own, and so is a row without an id, after all others.
+    """
+    rows = text_of(docs, id_col, text_col).withColumn("mark", mark_of())
+    one = rows.groupBy("mark").agg(F.first("text").alias("text"))
+    at = places(rows.select("mark", "doc_id"))
+    out = stored(one.join(at, "mark").select("key", "doc_id", "mark", "text"), "documents-keyed")
+    discard(at)
+    release(docs.sparkSession)
+    return out
 
 
 def remainder(id_col: Column, modulus: int) -> Column:

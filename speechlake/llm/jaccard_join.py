@@ -26,13 +26,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from speechlake.llm.common import one_per_id, release, shuffle_partitions, stored
+from speechlake.llm.common import discard, mark_of, places, release, shuffle_partitions, stored, text_of
 from speechlake.llm.components import components
 from speechlake.llm.lm import pack_ints, unpack_ints
 
 WORDS, PERCENT = 4, 85
 #: Bytes of text whose signatures are gathered before they are sent.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 #: Sets of a group that are compared in one block.
 BLOCK = 1_024
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -47,7 +47,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h
@@ -147,7 +147,7 @@ def signatures(sets: list[np.ndarray], bands: Bands) -> tuple[np.ndarray, np.nda
     return sig[new], own[new]
 
 
-SIGNED = "kind int, batch long, place int, doc_id long, n long, d1 long, d2 long, bucket int, sigs binary, places binary"
+SIGNED = "kind int, batch long, place int, mark binary, n long, d1 long, d2 long, bucket int, sigs binary, places binary"
 
 
 def signed(rows: DataFrame, buckets: int, words: int, percent: int) -> DataFrame:
@@ -164,23 +164,23 @@ def signed(rows: DataFrame, buckets: int, words: int, percent: int) -> DataFrame
         known: dict[tuple, int] = {}
 
         def flush() -> pd.DataFrame:
-            meta = pd.DataFrame(docs, columns=["doc_id", "n", "d1", "d2", "place"]).assign(kind=0, batch=batch, bucket=-1, sigs=None, places=None)
+            meta = pd.DataFrame(docs, columns=["mark", "n", "d1", "d2", "place"]).assign(kind=0, batch=batch, bucket=-1, sigs=None, places=None)
             sig, own = signatures(sets, bands)
             # buckets are equal ranges of the signatures' values, so a bucket's part is one slice
             edges = np.array([-(-(b << 64) // buckets) for b in range(1, buckets)], np.uint64)
             cut = np.concatenate([[0], np.searchsorted(sig, edges, "left"), [len(sig)]])
             parts = [(b, pack_sorted(sig[a:z]), pack_ints(own[a:z])) for b, (a, z) in enumerate(zip(cut, cut[1:])) if a < z]
-            out = pd.DataFrame(parts, columns=["bucket", "sigs", "places"]).assign(kind=1, batch=batch, place=-1, doc_id=0, n=0, d1=0, d2=0)
+            out = pd.DataFrame(parts, columns=["bucket", "sigs", "places"]).assign(kind=1, batch=batch, place=-1, mark=b"", n=0, d1=0, d2=0)
             return pd.concat([meta, out])[[c.split()[0] for c in SIGNED.split(", ")]]
 
         for pdf in batches:
-            for i, text in zip(pdf["doc_id"], pdf["text"]):
+            for mark, text in zip(pdf["mark"], pdf["text"]):
                 s = shingles(bytes(text), hashes, words)
                 d = divmod(xxhash.xxh3_128_intdigest(s.tobytes()), 1 << 64)
                 place = known.setdefault(d, len(sets))
                 if place == len(sets):
                     sets.append(s)
-                docs.append((i, len(s), *np.array(d, np.uint64).view(np.int64), place))
+                docs.append((mark, len(s), *np.array(d, np.uint64).view(np.int64), place))
                 size += len(text)
                 if size >= BATCH_BYTES:
                     yield flush()
@@ -226,7 +226,7 @@ def bitmap(members: np.ndarray) -> np.ndarray:
 
 
 def sets_of(rows: DataFrame, words: int) -> DataFrame:
-    """doc_id, n, members (8 bytes each), bits of a table (doc_id, text as bytes)."""
+    """key, n, members (8 bytes each), bits of a table (key, text as bytes)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
@@ -234,9 +234,9 @@ def sets_of(rows: DataFrame, words: int) -> DataFrame:
             for lo in range(0, len(pdf), 256):
                 some = pdf.iloc[lo : lo + 256]
                 sets = [shingles(bytes(t), hashes, words) for t in some["text"]]
-                yield pd.DataFrame({"doc_id": some["doc_id"].array, "n": [len(x) for x in sets], "members": [x.tobytes() for x in sets], "bits": [bitmap(x).tobytes() for x in sets]})
+                yield pd.DataFrame({"key": some["key"].array, "n": [len(x) for x in sets], "members": [x.tobytes() for x in sets], "bits": [bitmap(x).tobytes() for x in sets]})
 
-    return rows.mapInPandas(run, "doc_id long, n long, members binary, bits binary")
+    return rows.mapInPandas(run, "key long, n long, members binary, bits binary")
 
 
 def near_pairs(ids: np.ndarray, n: np.ndarray, label: np.ndarray, side: np.ndarray, maps: list[bytes], percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -259,23 +259,34 @@ def near_pairs(ids: np.ndarray, n: np.ndarray, label: np.ndarray, side: np.ndarr
     return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64),) * 2
 
 
+def most_shared(n: np.ndarray, m: np.ndarray, left: list[bytes], right: list[bytes]) -> np.ndarray:
+    """Upper bounds of the intersections of pairs of sets, from their sizes and bitmaps."""
+    out = np.zeros(len(n), np.int64)
+    wide = np.array([(len(x), len(y)) for x, y in zip(left, right)]).reshape(-1, 2)
+    for x, y in np.unique(wide, axis=0).tolist():
+        at = np.flatnonzero((wide == (x, y)).all(1))
+        width = min(x, y)
+        maps = [np.bitwise_or.reduce(np.frombuffer(b"".join(bytes(side[i]) for i in at), np.uint8).reshape(len(at), -1, width), axis=1) for side in (left, right)]
+        spare = [size[at] - np.bitwise_count(bits).sum(1, dtype=np.int64) for size, bits in zip((n, m), maps)]
+        out[at] = np.bitwise_count(maps[0] & maps[1]).sum(1, dtype=np.int64) + np.minimum(*spare)
+    return out
+
+
 def bounded(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose bitmaps' bound on the intersection reaches the threshold."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            keep = []
-            for n, m, x, y in zip(pdf["n"], pdf["m"], pdf["bits"], pdf["others"]):
-                left, _ = near_pairs(np.array([0, 1]), np.array([n, m]), np.array([0, 1]), np.zeros(2, np.int64), [x, y], percent)
-                keep.append(len(left) > 0)
-            yield pdf.loc[np.array(keep, bool), ["a", "b"]]
+            n, m = pdf["n"].to_numpy(), pdf["m"].to_numpy()
+            most = most_shared(n, m, pdf["bits"].tolist(), pdf["others"].tolist())
+            yield pdf.loc[(100 + percent) * most >= percent * (n + m), ["a", "b"]]
 
-    left, right = maps.withColumnRenamed("doc_id", "a"), maps.select(F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("bits").alias("others"))
+    left, right = maps.withColumnRenamed("key", "a"), maps.select(F.col("key").alias("b"), F.col("n").alias("m"), F.col("bits").alias("others"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "n", "m", "bits", "others").mapInPandas(run, "a long, b long")
 
 
 def compared(rows: DataFrame, percent: int) -> DataFrame:
-    """Distinct (a, b) of a table (sig, p, q, side, doc_id, n, label, bits) whose rows of one (sig, p, q) are compared in one task."""
+    """Distinct (a, b) of a table (sig, p, q, side, key, n, label, bits) whose rows of one (sig, p, q) are compared in one task."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
@@ -293,7 +304,7 @@ def compared(rows: DataFrame, percent: int) -> DataFrame:
             yield pairs_of(rest, np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1)
 
     def pairs_of(pdf: pd.DataFrame, cut: np.ndarray) -> pd.DataFrame:
-        ids, n, label, side = (pdf[c].to_numpy() for c in ("doc_id", "n", "label", "side"))
+        ids, n, label, side = (pdf[c].to_numpy() for c in ("key", "n", "label", "side"))
         maps, found = pdf["bits"].tolist(), []
         for a, z in zip([0, *cut], [*cut, len(pdf)]):
             if z - a > 1:
@@ -303,7 +314,7 @@ def compared(rows: DataFrame, percent: int) -> DataFrame:
         both = np.unique(np.sort(both, axis=0), axis=1)
         return pd.DataFrame({"a": both[0], "b": both[1]})
 
-    dealt = rows.select("sig", "p", "q", "side", "doc_id", "n", "label", "bits").repartition("sig", "p", "q").sortWithinPartitions("sig", "p", "q")
+    dealt = rows.select("sig", "p", "q", "side", "key", "n", "label", "bits").repartition("sig", "p", "q").sortWithinPartitions("sig", "p", "q")
     return dealt.mapInPandas(run, "a long, b long").distinct()
 
 
@@ -321,53 +332,91 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pdf.loc[np.array(keep, bool), ["a", "b"]]
 
-    left, right = sets.select(F.col("doc_id").alias("a"), "members"), sets.select(F.col("doc_id").alias("b"), F.col("members").alias("others"))
+    left, right = sets.select(F.col("key").alias("a"), "members"), sets.select(F.col("key").alias("b"), F.col("members").alias("others"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "members", "others").mapInPandas(run, "a long, b long")
 
 
+def open_blocks(labelled: DataFrame) -> DataFrame:
+    """sig, p, q, side, key, label: who is to be compared with whom, of a table (sig, key, label) of groups.
+
+    In a group the members that have its most frequent label are met only by the others, not by each other. Both kinds
+    fall into blocks; block p of the others meets itself, those after it, and every block of the most frequent label. So
+    rows grow with the others times the group, not with its square. Groups of the same labelled members go once.
+    """
+    counts = labelled.groupBy("sig", "label").agg(F.count("*").alias("c"), F.sum(F.xxhash64("key", "label").cast("decimal(38,0)")).alias("d"))
+    groups = counts.groupBy("sig").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("c"), F.sum("d").alias("d"), F.count("*").alias("labels")).where("labels > 1")
+    once = groups.groupBy("c", "d", "top", "labels").agg(F.min("sig").alias("sig"))
+    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+    once = stored(once.select("sig", F.col("top.label").alias("most"), blocks(F.col("c") - F.col("top.c")).alias("others"), blocks(F.col("top.c")).alias("mosts")), "jaccard-open")
+    rows = labelled.join(once, "sig").withColumn("is_most", F.col("label") == F.col("most"))
+    own = F.when(F.col("is_most"), F.col("others") + F.pmod(F.hash("key"), F.col("mosts"))).otherwise(F.pmod(F.hash("key"), F.col("others")))
+    last = F.when(F.col("is_most"), F.col("others")).otherwise(F.col("others") + F.col("mosts")) - 1
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    return rows.select("sig", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), side.alias("side"), "key", "label")
+
+
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, class_id for every id.
+    """doc_id, n_shingles, component_id, class_id for every document.
 
-    class_id is the smallest id with the same set. A text without words has an empty set and is linked with nothing. A
-    null text is empty. Rows without an id go; of rows that share an id the shortest text stays (the smallest of
-    equally long ones). Other columns are ignored. Members are told apart by 64-bit hashes, sets by 128-bit ones.
+    component_id is the smallest id among all that links reach, class_id the smallest id with the same set. A text
+    without words has an empty set and is linked with nothing. A null text is empty. Rows equal in id and text are one
+    document; rows that share an id but not the text are documents of their own, and so are rows without an id, whose
+    component_id is null where they are linked with no document that has one. Other columns are ignored. Members are
+    told apart by 64-bit hashes, sets by 128-bit ones.
     """
+    return marked_components(docs, words, percent).drop("mark", "is_first")
+
+
+def marked_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """As jaccard_components, with the document's mark (see common.mark_of) and whether it is the first of its component."""
     spark = docs.sparkSession
     buckets = shuffle_partitions(spark)
-    rows = one_per_id(docs).select("doc_id", F.col("text").cast("binary").alias("text"))
-    out = stored(signed(rows, buckets, words, percent), "jaccard-signed")
+    rows = text_of(docs).select("doc_id", F.col("text").cast("binary").alias("text"), mark_of().alias("mark"))
+    out = stored(signed(rows.drop("doc_id"), buckets, words, percent), "jaccard-signed")
+    at = places(rows.select("mark", "doc_id"))
+    meta = stored(out.where("kind = 0").select("mark", "n", "d1", "d2", "batch", "place").join(at, "mark"), "jaccard-meta")
+    classes = stored(meta.where("n > 0").groupBy("d1", "d2").agg(F.min("key").alias("class")), "jaccard-equal")
+    of_class = meta.join(classes, ["d1", "d2"], "left").select("mark", "doc_id", "key", "n", "batch", "place", F.when(F.col("n") > 0, F.col("class")).otherwise(F.col("key")).alias("class"))
+    of_class = stored(of_class, "jaccard-classes")
     release(spark)
-    meta = out.where("kind = 0").select("doc_id", "n", "d1", "d2", "batch", "place")
-    classes = meta.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("class_id"))
-    meta = meta.join(classes, ["d1", "d2"], "left").select("doc_id", "n", "batch", "place", F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"))
-    meta = stored(meta, "jaccard-classes")
-    firsts = meta.where("n > 0").groupBy("batch", "place").agg(F.min("class_id").alias("doc_id"), F.min("n").alias("n"))
+    firsts = of_class.where("n > 0").groupBy("batch", "place").agg(F.min("class").alias("key"), F.min("n").alias("n"))
     shared = shared_signatures(out.where("kind = 1").select("bucket", "batch", "sigs", "places"))
-    shared = stored(shared.join(firsts, ["batch", "place"]).select("sig", "doc_id", "n").distinct(), "jaccard-shared")
+    shared = stored(shared.join(firsts, ["batch", "place"]).select("sig", "key", "n").distinct(), "jaccard-shared")
+    discard(out, at, meta, classes)
+    release(spark)
+    heads = shared.groupBy("sig").agg(F.min(F.struct("key", "n")).alias("h"), F.count("*").alias("c")).where("c > 1")
+    heads = stored(heads.select("sig", F.col("h.key").alias("a"), F.col("h.n").alias("m")), "jaccard-heads")
     release(spark)
-    heads = shared.groupBy("sig").agg(F.min(F.struct("doc_id", "n")).alias("h"), F.count("*").alias("c")).where("c > 1")
-    heads = stored(heads.select("sig", F.col("h.doc_id").alias("a"), F.col("h.n").alias("m"), F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")), "jaccard-heads")
-    sets = stored(sets_of(rows.join(shared.join(heads, "sig", "left_semi").select("doc_id").distinct(), "doc_id", "left_semi"), words), "jaccard-sets")
+    met = shared.join(heads.select("sig"), "sig", "left_semi").select("key").distinct()
+    wanted = of_class.where("key = class").join(met, "key", "left_semi").select("mark", "key").distinct()
+    sets = stored(sets_of(rows.select("mark", "text").join(wanted, "mark").select("key", "text"), words).dropDuplicates(["key"]), "jaccard-sets")
     release(spark)
-    maps = sets.select("doc_id", "n", "bits")
+    maps = sets.select("key", "n", "bits")
     # first every set with the head of its groups, each pair once
-    tried = shared.select("sig", F.col("doc_id").alias("b"), "n").join(heads, "sig").where((F.col("a") != F.col("b")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))).select("a", "b").distinct()
-    links = stored(verified(bounded(tried, maps, percent), sets, percent), "jaccard-links")
+    tried = shared.select("sig", F.col("key").alias("b"), "n").join(heads, "sig").where((F.col("a") != F.col("b")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))).select("a", "b").distinct()
+    close = stored(bounded(tried, maps, percent), "jaccard-close")
+    release(spark)
+    links = stored(verified(close, sets, percent), "jaccard-links")
     release(spark)
     labels = components(links)
-    # then what shares a signature and is not yet connected: a block meets itself and every other block
-    of = shared.join(heads.select("sig", "blocks"), "sig").join(labels, shared["doc_id"] == labels["node"], "left").select("sig", "blocks", "doc_id", F.coalesce("component", "doc_id").alias("label"))
+    # then what shares a signature and is not yet connected
+    of = shared.join(heads.select("sig"), "sig", "left_semi").join(labels, shared["key"] == labels["node"], "left").select("sig", "key", F.coalesce("component", "key").alias("label"))
     of = stored(of, "jaccard-labelled")
-    # groups with the same sets are compared once
-    groups = of.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("c"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("d")).where("low != high")
-    open_ = stored(groups.groupBy("c", "d", "low", "high").agg(F.min("sig").alias("sig")).select("sig"), "jaccard-open")
-    zero, block = F.lit(0), F.pmod(F.hash("doc_id"), F.col("blocks"))
-    rest = of.join(open_, "sig").withColumn("own", block).withColumn("other", F.explode(F.sequence(zero, F.col("blocks") - 1)))
-    rest = rest.select("sig", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"), "doc_id", "label")
-    more = stored(compared(rest.join(maps, "doc_id"), percent), "jaccard-more")
+    discard(shared, heads)
     release(spark)
-    links = stored(links.union(verified(more, sets, percent)), "jaccard-links")
+    more = stored(compared(open_blocks(of).join(maps, "key"), percent), "jaccard-more")
+    discard(of)
     release(spark)
-    labels = components(links)
-    found = meta.join(labels, meta["class_id"] == labels["node"], "left")
-    return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "class_id").alias("component_id"), "class_id")
+    every = stored(links.union(verified(more, sets, percent)), "jaccard-links")
+    discard(links, more, close, sets)
+    release(spark)
+    labels = components(every)
+    one = of_class.select("mark", "doc_id", "key", "n", "class").distinct()
+    found = stored(one.join(labels, one["class"] == labels["node"], "left").select("mark", "doc_id", "key", "n", "class", F.coalesce("component", "class").alias("component")), "jaccard-found")
+    discard(of_class, every)
+    # keys rise with ids, so the first of a component or class has its smallest id
+    named = found.where("key = component").select("component", F.col("doc_id").alias("component_id"))
+    classed = found.where("key = class").select("class", F.col("doc_id").alias("class_id"))
+    out = found.join(named, "component").join(classed, "class")
+    return out.select("mark", "doc_id", F.col("n").alias("n_shingles"), "component_id", "class_id", (F.col("key") == F.col("component")).alias("is_first"))

@@ -1,5 +1,6 @@
 import random
 import re
+from collections import Counter
 
 import pytest
 
@@ -8,28 +9,26 @@ from speechlake.llm.components import components
 
 
 def brute(rows, percent=85):
-    texts = {}
-    for i, t in rows:
-        if i is not None and (i not in texts or (len(t or ""), t or "") < (len(texts[i]), texts[i])):
-            texts[i] = t or ""
-    sets = {}
-    for i, t in texts.items():
+    texts = sorted({(i is None, i or 0, t or "") for i, t in rows})
+    sets = []
+    for _, _, t in texts:
         w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
-        sets[i] = {tuple(w[k : k + 4]) for k in range(len(w) - 3)} if len(w) >= 4 else {tuple(w)} if w else set()
-    ids, top = sorted(sets), {i: i for i in sets}
+        sets.append({tuple(w[k : k + 4]) for k in range(len(w) - 3)} if len(w) >= 4 else {tuple(w)} if w else set())
+    top = list(range(len(sets)))
 
     def find(i):
         while top[i] != i:
             i = top[i]
         return i
 
-    for x, i in enumerate(ids):
-        for j in ids[x + 1 :]:
+    for i in range(len(sets)):
+        for j in range(i + 1, len(sets)):
             both = len(sets[i] & sets[j])
             if both and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
                 a, b = sorted((find(i), find(j)))
                 top[b] = a
-    return {i: (len(sets[i]), find(i)) for i in ids}
+    name = lambda i: None if texts[i][0] else texts[i][1]
+    return Counter((name(i), len(sets[i]), name(find(i))) for i in range(len(sets)))
 
 
 def made(rng, n=260):
@@ -49,7 +48,7 @@ def made(rng, n=260):
         else:
             w = [word() for _ in range(rng.choice([1, 2, 3, 4, 5, 8, 9, 12, 20, 30, 60, 150, 500]))]
         rows.append((7 * i % 1009, " ".join(w)))
-    rows += [(2000, None), (2001, ""), (2002, " \n\t"), (2003, ""), (2004, rows[0][1].upper()), (2005, "one two"), (2006, "ONE\ttwo"), (2007, "one two three"), (2000, "not empty"), (None, rows[1][1])]
+    rows += [(2000, None), (2001, ""), (2002, " \n\t"), (2003, ""), (2004, rows[0][1].upper()), (2005, "one two"), (2006, "ONE\ttwo"), (2007, "one two three"), (2000, "not empty"), (None, rows[1][1]), (None, rows[1][1]), (None, "alone in this world it stands"), (7, rows[1][1]), (2009, "long text " * 60_000 + "x"), (2010, "long text " * 60_000 + "y")]
     rows += [(3000 + k, "same words " * 40 + f"tail{k}") for k in range(25)] + [(4000 + k, " ".join(f"g{x}" for x in range(90)) + f" end{k} end{k % 3}") for k in range(40)]
     return rows
 
@@ -60,9 +59,9 @@ def test_matches_brute_force(spark, monkeypatch, seed):
     monkeypatch.setattr(J, "BLOCK", 1024 if seed == 1 else 5)
     rows = made(random.Random(seed))
     df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, component_id int")
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.jaccard_components(df).collect()}
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in J.jaccard_components(df).collect())
     want = brute(rows)
-    assert {k: (got.get(k), v) for k, v in want.items() if got.get(k) != v} == {} and len(got) == len(want)
+    assert got - want == Counter() and want - got == Counter()
 
 
 def test_signatures_meet_for_every_close_pair():
