@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from speechlake.llm import jaccard_join, lm, packing, simhash, subword, suffix_dedup, token_counts, topk, toxicity, url_filter
-from speechlake.llm.common import one_per_id, stored, table
+from speechlake.llm.common import table
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,11 +52,8 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def simhash_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Block tables: all fingerprints within three bits of those of documents whose id is divisible by 20."""
-    docs = one_per_id(table(spark, sf_dir, "documents"))
-    prints = stored(simhash.fingerprints(docs, ["doc_id"]), "simhash-all")
-    found = simhash.within_radius(prints.where("doc_id % 20 = 0"), prints, 3)
-    return found.select(simhash.as_text(found["query_fingerprint"]).alias("query_fingerprint"), simhash.as_text(found["fingerprint"]).alias("fingerprint"), "distance")
+    """Block tables: classes of equal fingerprints within three bits of documents whose id is divisible by 20."""
+    return simhash.neighbours(table(spark, sf_dir, "documents"), F.col("doc_id") % 20 == 0)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_array_dedup, op2_document_fingerprints, op3_lm_scoring, op4_ngram_jaccard_join, op5_sentencepiece, op6_url_filters, op7_toxicity, op8_packing, op9_token_counts, op10_topk, simhash_neighbours)}
@@ -64,7 +62,7 @@ _BLOCKED = ", ".join(f"'{x[:-1]}'" for x in url_filter.BLOCKLIST)
 
 ORACLE_SQL: dict[str, str] = {
     "op1_suffix_array_dedup": """
-WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents WHERE doc_id IS NOT NULL),
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
 p AS (SELECT doc_id, i, md5_number(substr(h, 2 * i + 1, 200)) AS s FROM (SELECT doc_id, h, unnest(range(length(h) // 2 - 99)) AS i FROM d WHERE length(h) >= 200)),
 f AS (SELECT s, min(doc_id::HUGEINT * 4294967296 + i) AS f FROM p GROUP BY s HAVING count(*) > 1),
 r AS (SELECT p.doc_id, p.i FROM p JOIN f ON p.s = f.s WHERE p.doc_id::HUGEINT * 4294967296 + p.i <> f.f),
@@ -74,7 +72,7 @@ s AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER
 o AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE starts) AS n_spans, coalesce(string_agg(x, '' ORDER BY j) FILTER (WHERE NOT gone), '') AS kept FROM s GROUP BY doc_id)
 SELECT d.doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN o ON d.doc_id = o.doc_id""",
     "op4_ngram_jaccard_join": r"""
-WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x09-\x0D\x20]+'), lambda x: x <> '') AS w FROM documents WHERE doc_id IS NOT NULL),
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x09-\x0D\x20]+'), lambda x: x <> '') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, unnest(CASE WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS g FROM w WHERE len(w) > 0)),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 e AS MATERIALIZED (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL) JOIN n na ON a = na.doc_id JOIN n nb ON b = nb.doc_id WHERE 100 * i >= 85 * (na.n + nb.n - i)),

@@ -14,10 +14,10 @@ from __future__ import annotations
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from speechlake.llm.common import one_per_id, shuffle_partitions, stored
+from speechlake.llm.common import discard, keyed, stored
 
 WORDS = 5
 SPACES = "[\\x20\\x09-\\x0D]+"
@@ -56,40 +56,30 @@ def likeness(a: Column, b: Column) -> Column:
     return F.lit(1.0) - F.bit_count(a.bitwiseXOR(b)) / F.lit(float(BITS))
 
 
-def next_of(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, next_id: the next larger id, after the last the first. Ranges of ids are linked by their first ids."""
-    ids = docs.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.length(F.coalesce("text", F.lit("")))).cast("long").alias("n_chars"))
-    dealt = ids.repartitionByRange(shuffle_partitions(docs.sparkSession), "doc_id").withColumn("part", F.spark_partition_id())
-    dealt = stored(dealt, "simhash-ids")
-    firsts = dealt.groupBy("part").agg(F.min("doc_id").alias("first_id"))  # a row for each range
-    line = Window.orderBy("part")
-    after = firsts.select("part", F.coalesce(F.lead("first_id").over(line), F.min("first_id").over(line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("over"))
-    inside = dealt.withColumn("lead", F.lead("doc_id").over(Window.partitionBy("part").orderBy("doc_id")))
-    return inside.join(after, "part").select("doc_id", "n_chars", F.coalesce("lead", "over").alias("next_id"))
-
-
 def document_fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every id.
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every document.
 
     The edited text ends with the first characters of the next document in place of its own last quarter. Null texts
-    are empty; rows without an id go; of rows that share an id the shortest text stays (the smallest of equally long
-    ones). Other columns are ignored.
+    are empty. Rows equal in id and text are one document; rows that share an id but not the text are documents of their
+    own, as are rows without an id, which come last. Other columns are ignored.
     """
-    rows = one_per_id(docs)
-    links = stored(next_of(docs.select("doc_id", "text")), "simhash-next")
-    quarter = F.floor(F.col("n_chars") / 4).cast("int")
-    given = rows.join(links.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("to_id"), quarter.alias("take")), "doc_id")
-    given = given.select(F.col("to_id").alias("doc_id"), F.expr("substring(text, 1, take)").alias("given"))
+    rows = keyed(docs)
+    total = rows.count()
+    before, after = F.pmod(F.col("key") - 1, F.lit(max(1, total))), F.pmod(F.col("key") + 1, F.lit(max(1, total)))
     n = F.length("text")
-    kept = n - F.floor(n / 4).cast("int")
-    both = rows.join(given, "doc_id").select("doc_id", "text", n.cast("long").alias("n_chars"), F.concat(F.substring("text", F.lit(1), kept), "given").alias("edited"))
-    two = both.select("doc_id", F.explode(F.array(F.struct(F.lit(0).alias("which"), "text"), F.struct(F.lit(1).alias("which"), F.col("edited").alias("text")))).alias("x"))
-    prints = fingerprints(two.select("doc_id", "x.which", "x.text"), ["doc_id", "which"])
-    prints = prints.groupBy("doc_id").agg(*[F.max(F.when(F.col("which") == i, F.col("fingerprint"))).alias(name) for i, name in enumerate(("own", "edited"))])
-    digests = both.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
-    found = stored(digests.join(prints, "doc_id"), "simhash-prints")
-    following = links.select("doc_id", "next_id").join(found.select(F.col("doc_id").alias("next_id"), F.col("own").alias("next")), "next_id").select("doc_id", "next")
-    return found.join(following, "doc_id").select(
+    take = F.floor(n / 4).cast("int")
+    # a document's beginning goes to the one before it, as long as that one's quarter
+    wanted = rows.select(after.alias("key"), F.col("key").alias("to"), take.alias("take"))
+    given = rows.join(wanted, "key").select(F.col("to").alias("key"), F.expr("substring(text, 1, take)").alias("given"))
+    both = rows.join(given, "key").select("key", "doc_id", "text", n.cast("long").alias("n_chars"), F.concat(F.substring("text", F.lit(1), n - take), "given").alias("edited"))
+    two = both.select("key", F.explode(F.array(F.struct(F.lit(0).alias("which"), "text"), F.struct(F.lit(1).alias("which"), F.col("edited").alias("text")))).alias("x"))
+    prints = fingerprints(two.select("key", "x.which", "x.text"), ["key", "which"])
+    prints = prints.groupBy("key").agg(*[F.max(F.when(F.col("which") == i, F.col("fingerprint"))).alias(name) for i, name in enumerate(("own", "edited"))])
+    digests = both.select("key", "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
+    found = stored(digests.join(prints, "key"), "simhash-prints")
+    discard(rows)
+    following = found.select(before.alias("key"), F.col("own").alias("next"))
+    return found.join(following, "key").select(
         "doc_id", "n_chars", "edited_sha256",
         as_text(F.col("own")).alias("fingerprint"), as_text(F.col("edited")).alias("edited_fingerprint"),
         likeness(F.col("own"), F.col("edited")).alias("near_edited"), likeness(F.col("own"), F.col("next")).alias("near_next"),
@@ -97,7 +87,7 @@ def document_fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def within_radius(queries: DataFrame, prints: DataFrame, radius: int = 3, blocks: int | None = None) -> DataFrame:
-    """(query_fingerprint, fingerprint, distance) of all different stored fingerprints within the radius of a query.
+    """(query_fingerprint, fingerprint, distance) of all stored fingerprints within the radius of a query, its own included.
 
     Both inputs have a long column fingerprint; equal ones count once, null ones not at all. More blocks than
     radius + 1 make more tables with longer keys: choose them so that a key is seldom shared by chance.
@@ -105,13 +95,30 @@ def within_radius(queries: DataFrame, prints: DataFrame, radius: int = 3, blocks
     blocks = blocks or radius + 3
     edges = [BITS * i // blocks for i in range(blocks + 1)]
 
-    def keyed(df: DataFrame, name: str) -> DataFrame:
+    def keys(df: DataFrame, name: str) -> DataFrame:
         cut = [F.shiftrightunsigned("fingerprint", edges[i]).bitwiseAND(F.lit(_signed((1 << (edges[i + 1] - edges[i])) - 1))) for i in range(blocks)]
         tables = [F.struct(F.lit(t).alias("t"), F.xxhash64(*[cut[i] for i in chosen]).alias("key")) for t, chosen in enumerate(combinations(range(blocks), blocks - radius))]
         distinct = df.select("fingerprint").where("fingerprint is not null").distinct()
         return distinct.select(F.col("fingerprint").alias(name), F.inline(F.array(*tables)))
 
-    pairs = keyed(queries, "query_fingerprint").join(keyed(prints, "fingerprint"), ["t", "key"])
+    pairs = keys(queries, "query_fingerprint").join(keys(prints, "fingerprint"), ["t", "key"])
     distance = F.bit_count(F.col("query_fingerprint").bitwiseXOR(F.col("fingerprint")))
-    close = pairs.select("query_fingerprint", "fingerprint", distance.alias("distance")).where((F.col("distance") <= radius) & (F.col("distance") > 0))
-    return close.distinct()
+    return pairs.select("query_fingerprint", "fingerprint", distance.alias("distance")).where(F.col("distance") <= radius).distinct()
+
+
+def neighbours(docs: DataFrame, is_query: Column, radius: int = 3) -> DataFrame:
+    """doc_id, fingerprint, class_id, class_size, distance: the classes of equal fingerprints within the radius of each query document.
+
+    class_id is the smallest id with the fingerprint, so a document's own class is the row with distance 0; members of a
+    class are the documents with its fingerprint. is_query is a condition on doc_id; documents without an id are
+    neither queries nor representatives. Repeated rows, nulls and other columns count as in document_fingerprints.
+    """
+    rows = keyed(docs)
+    prints = stored(rows.select("key", "doc_id").join(fingerprints(rows.select("key", "text"), ["key"]), "key"), "simhash-all")
+    discard(rows)
+    classes = stored(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")), "simhash-classes")
+    queries = prints.where(is_query)
+    found = within_radius(queries, classes, radius)
+    near = found.join(classes, "fingerprint").select("query_fingerprint", "class_id", "class_size", "distance")
+    asked = queries.select("doc_id", F.col("fingerprint").alias("query_fingerprint")).distinct()
+    return asked.join(near, "query_fingerprint").select("doc_id", as_text(F.col("query_fingerprint")).alias("fingerprint"), "class_id", "class_size", "distance")

@@ -5,7 +5,7 @@ a document falls into runs of starts that share this hash (their anchor), about
 strings lie in runs with equal anchors. Runs whose anchor's gram occurs once hold no repeat. Of the others, runs with the
 same bytes are one window each: all but its first occurrence are repeats throughout. The windows that share an anchor
 and differ are cut out of the texts, and the suffixes at their starts are deep-shallow sorted to MIN bytes; of equal
-ones all but the first are repeats. An anchor with very many windows is sorted in parts, and the parts' firsts are
+ones all but the first are repeats. An anchor with very many starts is sorted in parts, and the parts' firsts are
 matched by a 128-bit digest. Windows are matched by 128 bits of hash as well (anchor and window).
 """
 
@@ -20,12 +20,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from speechlake.llm.common import one_per_id, stored
+from speechlake.llm.common import keyed, stored
 from speechlake.llm.suffix_sort import deep_shallow_sort, words_at
 
 MIN, GRAM = 100, 16
-#: Windows of one anchor that are sorted together, and suffixes that are sorted at once.
-PART, BLOCK = 2_048, 150_000
+#: Starts of one anchor that are sorted together, suffixes that are sorted at once, and the most starts of a run; longer
+#: runs, which only texts with a short period have, are cut.
+PART, BLOCK, LONGEST = 90_000, 150_000, 1_024
 #: Bytes of text that are hashed at once.
 CHUNK = 1 << 20
 _A, _B, _R = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), 0xD6E8FEB86659FD93
@@ -92,6 +93,10 @@ class Anchors:
             count = np.diff(np.append(first, len(low)))
             keep = ok[first]
             first, count, again = first[keep], count[keep], again[keep]
+            pieces = -(-count // LONGEST)
+            inside = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            first, again = np.repeat(first, pieces) + inside * LONGEST, np.repeat(again, pieces)
+            count = np.minimum(np.repeat(count, pieces) - inside * LONGEST, LONGEST)
             sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(eight * self.up[: len(eight)], dtype=np.uint64)])
             window = (sums[first + count + self.least - 8] - sums[first]) * self.down[first]
         owner = np.searchsorted(begin, first, "right") - 1
@@ -195,8 +200,8 @@ def repeated_starts(rows: DataFrame) -> DataFrame:
     whole = shared.join(first.where("c > 1"), ["anchor", "window"]).where("doc_id != first_id or run != first_run")
     start, count = F.shiftright("run", 32), F.shiftright("run", 1).bitwiseAND(F.lit((1 << 31) - 1))
     whole = whole.select("doc_id", start.alias("start"), count.alias("n"))
-    mixed = stored(first.groupBy("anchor").agg(F.count("*").alias("windows"), F.max(F.col("first_run").bitwiseAND(F.lit(1))).alias("again")).where("windows > 1 or again > 0"), "suffix-mixed")
-    parts = F.ceil(F.col("windows") / PART).cast("int")
+    mixed = stored(first.groupBy("anchor").agg(F.count("*").alias("windows"), F.sum(F.shiftright("first_run", 1).bitwiseAND(F.lit((1 << 31) - 1))).alias("starts"), F.max(F.col("first_run").bitwiseAND(F.lit(1))).alias("again")).where("windows > 1 or again > 0"), "suffix-mixed")
+    parts = F.ceil(F.col("starts") / PART).cast("int")
     differing = first.join(mixed, "anchor").select("anchor", parts.alias("parts"), F.pmod(F.xxhash64("first_id", "first_run"), parts).cast("int").alias("part"), F.col("first_id").alias("doc_id"), F.col("first_run").alias("run"))
     wanted = differing.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "parts", "part", start.alias("start"), count.alias("n"))).alias("wanted"))
 
@@ -235,38 +240,40 @@ def covered(starts: list[int], counts: list[int]) -> list[tuple[int, int]]:
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, spans (start and end of maximal removed runs), kept (the remaining bytes) for every id.
+    """doc_id, key, n_bytes, n_removed, spans (start and end of maximal removed runs), kept (the remaining bytes) for every document.
 
-    A null text is empty. Rows without an id go; of rows that share an id the shortest text stays (the smallest of
-    equally long ones). Texts below MIN bytes stay whole. Earlier means a smaller id, or an earlier start in the same
-    text. Other columns are ignored.
+    A null text is empty. Rows equal in id and text are one document; rows that share an id but not the text are
+    documents of their own, as are rows without an id, which come last. Texts below MIN bytes stay whole. Earlier means a
+    smaller key (see common.keyed), or an earlier start in the same text. Other columns are ignored.
     """
-    rows = one_per_id(docs).select("doc_id", F.col("text").cast("binary").alias("text"))
-    spans = repeated_starts(rows).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("hits"))
+    rows = keyed(docs)
+    texts = rows.select(F.col("key").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    spans = repeated_starts(texts).groupBy(F.col("doc_id").alias("key")).agg(F.collect_list(F.struct("start", "n")).alias("hits"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for i, text, starts, counts in zip(pdf["doc_id"], pdf["text"], pdf["start"], pdf["n"]):
+            for text, starts, counts in zip(pdf["text"], pdf["start"], pdf["n"]):
                 text = bytes(text)
                 found = covered(starts.tolist(), counts.tolist()) if starts is not None else []
                 ends = [0, *(x for s in found for x in s), len(text)]
                 kept = b"".join(text[a:b] for a, b in zip(ends[::2], ends[1::2]))
-                out.append((i, len(text), len(text) - len(kept), [{"start": a, "end": b} for a, b in found], kept))
-            yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "spans", "kept"])
+                out.append((len(text), len(text) - len(kept), [{"start": a, "end": b} for a, b in found], kept))
+            yield pd.concat([pdf[["key", "mark", "id"]], pd.DataFrame(out, columns=["n_bytes", "n_removed", "spans", "kept"], index=pdf.index)], axis=1)
 
-    joined = rows.join(spans, "doc_id", "left").select("doc_id", "text", "hits.start", "hits.n")
-    return joined.mapInPandas(run, "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")
+    joined = rows.join(spans, "key", "left").select("key", "mark", F.col("doc_id").cast("string").alias("id"), F.col("text").cast("binary").alias("text"), "hits.start", "hits.n")
+    found = joined.mapInPandas(run, "key long, mark binary, id string, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")
+    return found.withColumn("id", F.col("id").cast("long")).withColumnRenamed("id", "doc_id")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, text: what remain of the texts. A character that is removed in part goes as a whole; a text may become empty."""
+    """mark, text: what remains of the texts, by the marks of their documents (see common.mark_of). A character that is removed in part goes as a whole; a text may become empty."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "text": [bytes(x).decode("utf-8", "ignore") for x in pdf["kept"]]})
+            yield pd.DataFrame({"mark": pdf["mark"], "text": [bytes(x).decode("utf-8", "ignore") for x in pdf["kept"]]})
 
-    return remove_repeats(docs).select("doc_id", "kept").mapInPandas(run, "doc_id long, text string")
+    return remove_repeats(docs).select("mark", "kept").mapInPandas(run, "mark binary, text string")
 
 
 def digest_of(docs: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -21,13 +22,10 @@ def test_deep_shallow_sort_orders_suffixes():
 
 
 def brute(rows):
-    seen, texts = set(), {}
-    for i, t in rows:
-        if i is not None and (i not in texts or (len(t or ""), t or "") < (len(texts[i]), texts[i])):
-            texts[i] = t or ""
-    out = {}
-    for i in sorted(texts):
-        raw = texts[i].encode()
+    seen, out = set(), Counter()
+    mark_of = lambda i, t: hashlib.md5(f"{'none' if i is None else i}:{t}".encode()).digest()
+    for none, i, _, t in sorted({(i is None, i or 0, mark_of(i, t or ""), t or "") for i, t in rows}):
+        raw = t.encode()
         mark = bytearray(len(raw))
         for a in range(len(raw) - 99):
             s = raw[a : a + 100]
@@ -36,7 +34,7 @@ def brute(rows):
             seen.add(s)
         kept = bytes(b for b, m in zip(raw, mark) if not m)
         spans = sum(m and not p for m, p in zip(mark, b"\0" + mark))
-        out[i] = (len(raw), len(raw) - len(kept), spans, hashlib.sha256(kept).hexdigest())
+        out[None if none else i, len(raw), len(raw) - len(kept), spans, hashlib.sha256(kept).hexdigest()] += 1
     return out
 
 
@@ -60,15 +58,25 @@ def made(rng):
     return rows
 
 
-@pytest.mark.parametrize("part", [D.PART, 3])
+@pytest.mark.parametrize("part", [D.PART, 130])
 def test_matches_brute_force(spark, monkeypatch, part):
     monkeypatch.setattr(D, "PART", part)
     monkeypatch.setattr(D, "BLOCK", 500)
     rows = made(random.Random(7))
     df = spark.createDataFrame([(i, t, 5) for i, t in rows], "doc_id long, text string, n_bytes int")
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in D.digest_of(df).collect()}
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in D.digest_of(df).collect())
     want = brute(rows)
-    assert {k: (got.get(k), v) for k, v in want.items() if got.get(k) != v} == {} and len(got) == len(want)
+    assert got - want == Counter() and want - got == Counter()
+
+
+def test_long_texts_in_small_chunks(spark, monkeypatch):
+    monkeypatch.setattr(D, "CHUNK", 3000)
+    monkeypatch.setattr(D, "LONGEST", 50)
+    rng = random.Random(8)
+    text = "".join(rng.choice("abcdef ") for _ in range(9000))
+    rows = [(1, text), (2, text[4000:8000] + "z" + text[:4000]), (3, "a" * 5000), (4, "ab" * 3000 + text[100:300]), (5, "a" * 700)]
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in D.digest_of(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == brute(rows)
 
 
 def test_empty(spark):
