@@ -17,14 +17,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from speechlake.llm.common import remainder
+from speechlake.llm.common import remainder, stored
 
-#: The fit reads at most so many labelled documents of each class, those with the smallest hash of their id,
-#: and of those only documents up to so many characters. Scoring has no bounds.
-MAX_TOXIC, MAX_CLEAN, MAX_FIT_CHARS = 2_000, 5_000, 20_000
+#: The fit reads at most so many labelled documents of each class, those with the smallest hash of their id, as long as
+#: the texts of the class have at most so many characters in all. Scoring has no bounds.
+MAX_TOXIC, MAX_CLEAN, MAX_FIT_CHARS = 2_000, 5_000, 20_000_000
+#: Bias of a sentence, and the probability of a document without any sign.
+BIAS, LEAK = -6.0, 0.01
 #: Words in fewer fitted documents than this have no weight.
 MIN_DOCS = 8
 THRESHOLD = 0.7
@@ -49,12 +51,11 @@ def features(word: str) -> list[str]:
     return [word] + [word[:n] + "-" for n in STEMS if len(word) > n]
 
 
-def fit(texts: list[str], labels: np.ndarray, epochs: int = 100, rate: float = 0.1, l1: float = 3e-5) -> tuple[dict[str, float], float]:
-    """Word weights and bias by full-batch Adam on the noisy-or likelihood. The result depends on the input only."""
+def fit(texts: list[str], labels: np.ndarray, epochs: int = 100, rate: float = 0.1, l1: float = 3e-5) -> dict[str, float]:
+    """Word weights by full-batch Adam on the leaky noisy-or likelihood. The result depends on the input only; without both classes there are no weights."""
     labels = np.asarray(labels, np.float64)
     if not len(labels) or labels.min() == labels.max():
-        p = float(labels.mean()) if len(labels) else 0.0
-        return {}, float(np.log((0.02 + 0.96 * p) / (0.98 - 0.96 * p))) - 3.0
+        return {}
     own: dict[str, list[str]] = {}
     seen: Counter[str] = Counter()
     for t in texts:  # the texts are read twice, so that only numbers are held for all of them
@@ -76,22 +77,24 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 100, rate: float = 0
     n_sent = len(doc)
     del numbers
     feature, sent, doc = (np.frombuffer(x, np.int32) if len(x) else np.zeros(0, np.int32) for x in (feature, sent, doc))
-    w, b = np.zeros(len(vocab)), -6.0
-    m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
+    w = np.zeros(len(vocab))
+    m, v = np.zeros_like(w), np.zeros_like(w)
+    ground = 1 / (1 + np.exp(-BIAS))
     for step in range(1, epochs + 1):
-        z = np.clip(b + np.bincount(sent, w[feature], n_sent), -30, 30)
-        p = 1 / (1 + np.exp(-z))
-        log_clean = np.bincount(doc, -np.logaddexp(0, z), len(labels))  # log of prod(1 - p)
-        toxic = np.clip(-np.expm1(log_clean), 1e-9, 1)
-        # d loss / d z of a sentence: p for a clean document, -p * (1 - P) / P for a toxic one
-        slope = np.where(labels > 0, -np.exp(log_clean) / toxic, 1.0)[doc] * p / len(labels)
-        g, gb = np.bincount(feature, slope[sent], len(w)), slope.sum()
-        m, v, mb, vb = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
+        z = np.clip(BIAS + np.bincount(sent, w[feature], n_sent), -30, 30)
+        sig = 1 / (1 + np.exp(-z))
+        p = np.maximum(sig - ground, 0)
+        clean = (1 - LEAK) * np.exp(np.bincount(doc, np.log1p(-p), len(labels)))
+        # d loss / d z of a sentence: slope of p over 1 - p, for a toxic document times -clean / (1 - clean); what
+        # lies below the bias counts for toxic documents only, so that it can rise again
+        pull = np.where(labels > 0, -clean / (1 - clean), 1.0)[doc]
+        slope = np.where((z >= BIAS) | (pull < 0), pull * sig * (1 - sig) / (1 - p), 0) / len(labels)
+        g = np.bincount(feature, slope[sent], len(w))
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         c1, c2 = 1 - 0.9**step, 1 - 0.999**step
         w -= rate * (m / c1) / (np.sqrt(v / c2) + 1e-6)
         w = np.sign(w) * np.maximum(np.abs(w) - rate * l1 / (np.sqrt(v / c2) + 1e-5), 0)
-        b -= rate * (mb / c1) / (np.sqrt(vb / c2) + 1e-6)
-    return {x: float(w[i]) for x, i in vocab.items() if w[i]}, float(b)
+    return {x: float(w[i]) for x, i in vocab.items() if w[i]}
 
 
 class WordWeights(dict):
@@ -107,11 +110,11 @@ class WordWeights(dict):
         return z
 
 
-def bag_scores(text: str, weights: WordWeights, bias: float) -> tuple[float, list[tuple[float, int, int]]]:
-    """The document's score and (score, start, end) of its sentences; a text without sentences scores as an empty bag, 0."""
-    out, clean, ground = [], 0.0, 1 / (1 + math.exp(-bias))
+def bag_scores(text: str, weights: WordWeights) -> tuple[float, list[tuple[float, int, int]]]:
+    """The document's score and (score, start, end) of its sentences; a text without sentences scores as an empty bag, LEAK."""
+    out, clean, ground = [], math.log1p(-LEAK), 1 / (1 + math.exp(-BIAS))
     for a, b in sentences(text):
-        z = bias
+        z = BIAS
         for x in sorted(words(text[a:b])):  # in a fixed order, so that equal texts have equal sums
             z += weights[x]
         z = min(30.0, max(-30.0, z))
@@ -121,33 +124,39 @@ def bag_scores(text: str, weights: WordWeights, bias: float) -> tuple[float, lis
     return -math.expm1(clean), out
 
 
-def train(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> tuple[dict[str, float], float]:
+def train(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, max_chars: int = MAX_FIT_CHARS) -> dict[str, float]:
     """Fit on a bounded sample of the labelled documents outside the held-out fold.
 
-    Labels that are null or belong to no document are left out. The sample is a fixed function of the ids.
+    Labels that are null or belong to no document are left out. The sample is a fixed function of the ids and lengths:
+    rows by rising hash of their id, as long as the class stays within max_chars; longer rows are passed over whole.
     """
     left = docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("body"))
     right = labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("y")).where("id is not null and y is not null")
     right = right.where(remainder(F.col("id"), modulus) != held)
     pick = [right.where(cond).orderBy(F.xxhash64("id"), "id").limit(n) for cond, n in (("y = 1", max_toxic), ("y = 0", max_clean))]
-    rows = left.where(F.length("body") <= MAX_FIT_CHARS).join(F.broadcast(pick[0].union(pick[1])), "id").orderBy("id", "y", "body").select("body", "y").collect()
+    sample = stored(left.join(F.broadcast(pick[0].union(pick[1])), "id").where(F.length("body") <= max_chars), "toxicity-sample")
+    # the sample has a bounded number of rows unless ids repeat, and only their lengths are summed
+    order = Window.partitionBy("y").orderBy(F.xxhash64("id"), "id", "n", "d")
+    sized = sample.select("id", "y", F.length("body").cast("long").alias("n"), F.md5("body").alias("d")).distinct()
+    fits = sized.withColumn("all", F.sum("n").over(order)).where(F.col("all") <= max_chars).select("id", "y", "d")
+    rows = sample.withColumn("d", F.md5("body")).join(fits, ["id", "y", "d"]).select("id", "y", "body").distinct().orderBy("id", "y", "body").collect()
     return fit([r.body for r in rows], np.array([r.y for r in rows]))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted, n_sentences, worst_start, worst_end, worst_score for every row.
 
-    A null text counts as empty and, like any text without a sentence, scores 0. A null id is not held out.
+    A null text counts as empty and, like any text without a sentence, scores LEAK. A null id is not held out.
     Repeated rows are scored each. worst_*: the most offending sentence (characters; the first of ties), null without one.
     """
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, modulus, held))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        weights, bias = WordWeights(model.value[0]), model.value[1]
+        weights = WordWeights(model.value)
         for pdf in batches:
             rows = []
             for text in pdf["text"]:
-                score, parts = bag_scores(text, weights, bias)
+                score, parts = bag_scores(text, weights)
                 p, a, b = max(parts, key=lambda x: x[0], default=(None, None, None))
                 rows.append((score, int(score >= threshold), len(parts), a, b, p))
             out = pd.DataFrame(rows, columns=["score", "predicted", "n_sentences", "worst_start", "worst_end", "worst_score"], index=pdf.index)
@@ -158,28 +167,30 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: i
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows, as they are, whose score is below the threshold."""
+    """The rows, as they are, whose score is below the threshold.
+
+    Rows without an id and rows that repeat are judged each; a null or empty text is kept. Only texts go to Python, and
+    scores come back: the other columns, of whatever names and types, stay where they are.
+    """
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        weights, bias = WordWeights(model.value[0]), model.value[1]
-        for pdf in batches:
-            scores = [0.0 if t is None else bag_scores(t, weights, bias)[0] for t in pdf["_text"]]
-            yield pdf.loc[np.array(scores) < threshold, ["_row"]]
+    @F.pandas_udf("double")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        weights = WordWeights(model.value)
+        for texts in batches:
+            yield pd.Series([bag_scores(t or "", weights)[0] for t in texts], dtype=float)
 
-    # only the text and the row go to Python; the row comes back as the struct that it is
-    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), F.col("text").alias("_text"))
-    return rows.mapInPandas(run, rows.select("_row").schema).select("_row.*")
+    return docs.where(score("text") < threshold)
 
 
-def offending_sentences(docs: DataFrame, model: tuple[dict[str, float], float], threshold: float = THRESHOLD) -> DataFrame:
+def offending_sentences(docs: DataFrame, model: dict[str, float], threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, start, end, sentence, score of every sentence at or above the threshold."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        weights, bias = WordWeights(sent.value[0]), sent.value[1]
+        weights = WordWeights(sent.value)
         for pdf in batches:
-            rows = [(i, a, b, t[a:b], p) for i, t in zip(pdf["doc_id"], pdf["text"]) for p, a, b in bag_scores(t, weights, bias)[1] if p >= threshold]
+            rows = [(i, a, b, t[a:b], p) for i, t in zip(pdf["doc_id"], pdf["text"]) for p, a, b in bag_scores(t, weights)[1] if p >= threshold]
             yield pd.DataFrame(rows, columns=["doc_id", "start", "end", "sentence", "score"])
 
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))

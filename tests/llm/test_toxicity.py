@@ -35,18 +35,53 @@ def test_learns_from_document_labels_and_locates(spark):
             assert r.predicted == labels[i][1]
         if r.predicted:
             assert "idiot" in text[r.worst_start : r.worst_end]
-    assert by[9000].score == by[9001].score == by[9002].score == by[None].score == 0.0 and by[9003].predicted == 1
+    assert by[9000].score == by[9001].score == by[9002].score == by[None].score == X.LEAK and by[9003].predicted == 1
     model = X.train(df, lab)
     spots = X.offending_sentences(df.where("doc_id < 600"), model).collect()
     assert spots and all("idiot" in r.sentence for r in spots)
 
 
-def test_score_is_the_noisy_or():
-    weights = X.WordWeights({"bad": 4.0, "good": -1.0})
-    score, parts = X.bag_scores("bad bad. good\nfine", weights, -2.0)
+def test_score_is_the_leaky_noisy_or():
+    weights = X.WordWeights({"bad": 7.0, "good": -1.0})
+    score, parts = X.bag_scores("bad bad. good\nfine", weights)
     sig = lambda z: 1 / (1 + np.exp(-z))
-    p = [sig(2.0) - sig(-2.0), 0.0, 0.0]  # what a sentence has above the bias alone
-    assert np.allclose([x for x, _, _ in parts], p) and abs(score - (1 - np.prod([1 - x for x in p]))) < 1e-12
+    p = [sig(X.BIAS + 7.0) - sig(X.BIAS), 0.0, 0.0]  # what a sentence has above the bias alone
+    assert np.allclose([x for x, _, _ in parts], p) and abs(score - (1 - (1 - X.LEAK) * np.prod([1 - x for x in p]))) < 1e-12
+
+
+def test_fit_follows_the_likelihood_of_the_score():
+    docs, labels = made(120, random.Random(2))
+    texts, y = [t for _, t, _ in docs], np.array([t for _, t in labels])
+
+    def loss(w):
+        s = np.array([X.bag_scores(t, X.WordWeights(w))[0] for t in texts])
+        return -np.mean(np.where(y == 1, np.log(s), np.log1p(-s)))
+
+    fitted = X.fit(texts, y, l1=0.0)
+    assert loss(fitted) < 0.05 < loss({})
+    for f in list(fitted)[:4]:  # brute force: no single weight can be moved to a clearly better likelihood
+        for d in (-1.0, 1.0):
+            assert loss(fitted | {f: fitted[f] + d}) > loss(fitted) - 0.01
+
+
+def test_long_labelled_rows_are_passed_over_whole(spark):
+    docs = [(i, "fine words here. " + ("idiot. " if i % 2 else "")) for i in range(60)] + [(100, "idiot " * 5000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    lab = spark.createDataFrame([(i, int(i % 2 or i == 100)) for i, _ in docs], "doc_id long, toxic int")
+    assert X.train(df, lab, max_chars=20_000) == X.train(df.where("doc_id < 100"), lab, max_chars=20_000)
+
+
+def test_keep_clean_keeps_rows_as_they_are(spark):
+    docs, labels = made(300, random.Random(4))
+    rows = [(i, t, "x", [1, i]) for i, t, _ in docs] + [(None, None, None, None), (3, docs[3][1], "x", [1, 3]), (9000, "", "y", [])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, score string, body array<long>")
+    lab = spark.createDataFrame(labels, "doc_id long, toxic int")
+    kept = X.keep_clean(df, lab)
+    assert kept.schema == df.schema
+    weights = X.WordWeights(X.train(df, lab))
+    want = [r for r in rows if X.bag_scores(r[1] or "", weights)[0] < X.THRESHOLD]
+    assert sorted(map(str, (tuple(r) for r in kept.collect()))) == sorted(map(str, want))
+    assert X.keep_clean(df.limit(0), lab).collect() == []
 
 
 def test_no_labels_or_one_class(spark):
@@ -54,4 +89,4 @@ def test_no_labels_or_one_class(spark):
     empty = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert all(r.predicted == 0 for r in X.score_toxicity(docs, empty).collect())
     assert X.score_toxicity(docs.limit(0), empty).collect() == []
-    assert X.fit(["a"] * 9, np.zeros(9))[0] == {}
+    assert X.fit(["a"] * 9, np.zeros(9)) == {}
