@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from speechlake.llm import jaccard_join, packing, suffix_dedup, toxicity
-from speechlake.llm.common import stored, table
+from speechlake.llm.common import mark_of, stored, table
 
 #: Near-duplicate stage: words of a shingle, and similarity in hundredths.
 WORDS, PERCENT = 5, 80
@@ -18,17 +18,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of linked documents the one with the smallest id; rows without an id go."""
-    found = jaccard_join.jaccard_components(docs, WORDS, PERCENT)
-    heads = stored(found.where("doc_id = component_id").select("doc_id"), "pipeline-heads")
-    kept = docs.join(heads, "doc_id", "left_semi")
-    return kept.select(*docs.columns)
+    """Of every group of linked documents the one with the smallest id. Rows that have no link stay, with or without an id; of rows equal in id and text one stays."""
+    found = jaccard_join.marked_components(docs, WORDS, PERCENT)
+    heads = stored(found.where("is_first").select(F.col("mark").alias("_mark")), "pipeline-heads")
+    kept = docs.withColumn("_mark", mark_of()).join(heads, "_mark", "left_semi")
+    return kept.dropDuplicates(["_mark"]).select(*docs.columns)
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document without the strings that start earlier in the corpus; n_chars is counted anew."""
-    texts = suffix_dedup.without_repeats(docs).withColumnRenamed("text", "_text")
-    kept = docs.drop("text").join(texts, "doc_id")
+    """Every row without the strings that start earlier in the corpus; n_chars is counted anew."""
+    texts = suffix_dedup.without_repeats(docs).select(F.col("mark").alias("_mark"), F.col("text").alias("_text"))
+    kept = docs.withColumn("_mark", mark_of()).drop("text").join(texts, "_mark")
     new = {"text": F.col("_text"), "n_chars": F.length("_text").cast("long")}
     return kept.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
 
