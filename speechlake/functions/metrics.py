@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from speechlake.functions import text as T
 from speechlake.functions.text import SPACE
 
 #: One private character for each distinct word of a pair.
@@ -14,12 +17,7 @@ EDGE_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def char_edits(hyp: Column, ref: Column) -> Column:
-    """Edits between code points."""
-    return F.levenshtein(hyp, ref).cast("long")
-
-
-def long_edits(hyp: Column, ref: Column) -> Column:
-    """Edits between code points of texts of any length: in a band about the difference of lengths, and in full where that is too narrow."""
+    """Edits between code points: in a band about the difference of lengths, and in full where that is too narrow."""
     band = F.abs(F.length(hyp) - F.length(ref)) * 2 + 16
     near = F.filter(F.array(F.call_function("levenshtein", hyp, ref, band)), lambda n: n >= 0)  # below 0: beyond the band
     return F.coalesce(F.get(near, F.lit(0)), F.levenshtein(hyp, ref)).cast("long")
@@ -31,7 +29,7 @@ def rate(edits: Column, total: Column) -> Column:
 
 def cer(hyp: Column, ref: Column) -> Column:
     """Null for an empty reference, unless both are empty."""
-    return F.when(F.length(ref) > 0, F.levenshtein(hyp, ref) / F.length(ref)).when(F.length(hyp) == 0, F.lit(0.0))
+    return F.when(F.length(ref) > 0, char_edits(hyp, ref) / F.length(ref)).when(F.length(hyp) == 0, F.lit(0.0))
 
 
 def words(c: Column) -> Column:
@@ -39,10 +37,17 @@ def words(c: Column) -> Column:
 
 
 def word_edits(hyp: Column, ref: Column) -> Column:
-    """Edits between words: every distinct word of the pair becomes one character, and characters are compared."""
-    alphabet = F.array_distinct(F.concat(ref, hyp))
-    as_text = lambda ws: F.array_join(F.transform(ws, lambda w: _private(F.array_position(alphabet, w))), "")
-    return F.levenshtein(as_text(hyp), as_text(ref)).cast("long")
+    """Edits between units: every distinct unit of the pair becomes one character, and characters are compared."""
+    as_text = lambda ws, alphabet: F.array_join(F.transform(ws, lambda w: _private(F.array_position(alphabet, w))), "")
+    # the alphabet is bound to a name, so that it is made once a pair and not once a word
+    return F.transform(F.array(F.array_distinct(F.concat(ref, hyp))), lambda al: char_edits(as_text(hyp, al), as_text(ref, al)))[0]
+
+
+def grapheme_cer(hyp: Column, ref: Column) -> Column:
+    """As cer, between grapheme clusters."""
+    h, r = T.graphemes(hyp), T.graphemes(ref)
+    plain = (F.size(h) == F.length(hyp)) & (F.size(r) == F.length(ref))  # every cluster is one code point
+    return F.when(F.size(r) > 0, F.when(plain, char_edits(hyp, ref)).otherwise(word_edits(h, r)) / F.size(r)).when(F.size(h) == 0, F.lit(0.0))
 
 
 def _private(n: Column) -> Column:
@@ -79,6 +84,43 @@ def edge_words(c: Column) -> Column:
     return F.flatten(F.transform(words(c), cut))
 
 
+def ngram_stats(order: int, words: bool = False):
+    """A UDF (hyp, ref) -> (hyp, ref, match) for n = 1 .. order: n-grams of each side of a pair, and those that both have.
+
+    hyp and ref are packed texts, or with ``words`` arrays of words. Spark could only count grams as rows; here a batch of
+    pairs is counted at once, units and grams as dense numbers.
+    """
+
+    def few(hyp: list, ref: list) -> list[np.ndarray]:
+        n, sides = len(hyp), [x if x is not None else "" for x in [*hyp, *ref]]
+        size = np.array([len(x) for x in sides], np.int64)
+        if words:
+            unit = pd.factorize(np.array([w for x in sides for w in x], dtype=object))[0].astype(np.int64)
+        else:
+            unit = np.frombuffer("".join(sides).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        pair, right = np.repeat(np.tile(np.arange(n), 2), size), np.repeat(np.repeat([False, True], n), size)
+        left_in = np.repeat(np.cumsum(size), size) - np.arange(len(unit))  # units from here to the side's end
+        out, gram, wide = np.zeros((n, order, 3), np.int64), np.zeros(len(unit), np.int64), unit.max(initial=0) + 1
+        for k in range(order):
+            whole = np.flatnonzero(left_in > k)
+            if not len(whole):
+                break
+            gram[whole] = np.unique(gram[whole] * wide + unit[whole + k], return_inverse=True)[1]
+            most = gram[whole].max() + 1
+            key, side = pair[whole] * most + gram[whole], right[whole]
+            (a, ca), (b, cb) = (np.unique(key[side == x], return_counts=True) for x in (False, True))
+            both, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+            out[:, k, 0], out[:, k, 1] = (np.bincount(pair[whole][side == x], minlength=n) for x in (False, True))
+            out[:, k, 2] = np.bincount(both // most, np.minimum(ca[i], cb[j]), n)
+        return list(out.reshape(n, -1))
+
+    @F.pandas_udf("array<long>")
+    def count(hyp: pd.Series, ref: pd.Series) -> pd.Series:
+        return pd.Series([x for lo in range(0, len(hyp), 1000) for x in few(hyp[lo : lo + 1000].tolist(), ref[lo : lo + 1000].tolist())], dtype=object)
+
+    return count
+
+
 def chrf(stats: list[tuple[Column, Column, Column]], beta: float = 2.0) -> Column:
     """F-score of summed (hyp, ref, match) by order: orders that lack either side drop out; none left is 0."""
     full = [(h > 0) & (r > 0) for h, r, _ in stats]

@@ -25,8 +25,8 @@ def _nfc(s: pd.Series) -> pd.Series:
 
 
 def nfc(c: Column) -> Column:
-    """Canonical composition; Spark has no expression for it."""
-    return _nfc(c)
+    """Canonical composition; Spark has no expression for it. Texts of characters that can only be composed already stay in the JVM."""
+    return F.coalesce(_nfc(F.when(~c.rlike("^[\\x{0}-\\x{2FF}]*$"), c)), c)
 
 
 def strip_zero_width(c: Column, zwnj: bool = False, zwj: bool = False, bidi: bool = False) -> Column:
@@ -96,30 +96,33 @@ def chain(c: Column, ids: Sequence[str]) -> Column:
     return reduce(lambda x, i: NORMALISERS[i](x), ids, c)
 
 
-def clock(ms: Column, with_ms: bool = False, always_hours: bool = False) -> Column:
-    """[-][h:]mm:ss[.mmm]."""
-    a = F.abs(ms).cast("long")
-    h, m, s = F.floor(a / 3_600_000), F.floor(a / 60_000) % 60, F.floor(a / 1000) % 60
-    long = F.format_string("%d:%02d:%02d", h, m, s)
-    text = long if always_hours else F.when(h > 0, long).otherwise(F.format_string("%d:%02d", m, s))
+def _clock_parts(ms: Column) -> list[Column]:
+    a = F.abs(F.round(ms)).cast("long")
+    return [F.floor(a / 3_600_000), F.floor(a / 60_000) % 60, F.floor(a / 1000) % 60, a % 1000]
+
+
+def clock(ms: Column, with_ms: bool = True, always_hours: bool = False) -> Column:
+    """[-][hh:]mm:ss[.mmm]; every part has two digits at least."""
+    h, m, s, rest = _clock_parts(ms)
+    long = F.format_string("%02d:%02d:%02d", h, m, s)
+    text = long if always_hours else F.when(h > 0, long).otherwise(F.format_string("%02d:%02d", m, s))
     if with_ms:
-        text = F.concat(text, F.format_string(".%03d", a % 1000))
-    return F.concat(F.when(ms < 0, "-").otherwise(""), text)
+        text = F.concat(text, F.format_string(".%03d", rest))
+    return F.concat(F.when(F.round(ms) < 0, "-").otherwise(""), text)
 
 
 def subtitle_time(ms: Column, separator: str = ",") -> Column:
-    """hh:mm:ss,mmm."""
-    a = ms.cast("long")
-    return F.format_string(f"%02d:%02d:%02d{separator}%03d", F.floor(a / 3_600_000), F.floor(a / 60_000) % 60, F.floor(a / 1000) % 60, a % 1000)
+    """hh:mm:ss,mmm; a time before the start is the start."""
+    return F.format_string(f"%02d:%02d:%02d{separator}%03d", *_clock_parts(F.greatest(ms, F.lit(0))))
 
 
 def parse_clock(c: Column) -> Column:
-    """[h:]mm:ss[.fraction] in milliseconds; the fraction is filled up on the right; null for anything else."""
-    pattern = "^(?:(\\d+):)?(\\d{1,2}):(\\d{2})(?:[.,](\\d{1,3}))?$"
+    """[-][h:]m:s[.fraction] in milliseconds; the fraction is filled up on the right; null for anything else."""
+    pattern = "^(-)?(?:(\\d+):)?(\\d{1,2}):(\\d{1,2})(?:[.,](\\d{1,3}))?$"
     part = lambda i: F.regexp_extract(F.trim(c), pattern, i)
-    number = lambda x: F.when(x == "", F.lit(0)).otherwise(x.cast("long"))
-    ms = ((number(part(1)) * 60 + number(part(2))) * 60 + number(part(3))) * 1000 + number(F.rpad(part(4), 3, "0"))
-    return F.when(F.trim(c).rlike(pattern), ms)
+    number = lambda x: F.when(x == "", F.lit(0)).otherwise(x.try_cast("long"))
+    ms = ((number(part(2)) * 60 + number(part(3))) * 60 + number(part(4))) * 1000 + number(F.rpad(part(5), 3, "0"))
+    return F.when(F.trim(c).rlike(pattern), F.when(part(1) == "-", -ms).otherwise(ms))
 
 
 def human_duration(seconds: Column) -> Column:
@@ -128,7 +131,7 @@ def human_duration(seconds: Column) -> Column:
 
 
 def slug(c: Column, fallback: str = "item") -> Column:
-    s = F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+    s = F.regexp_replace(F.regexp_replace(F.lower(nfc(c)), "[^a-z0-9]+", "-"), "^-+|-+$", "")
     return F.when(s == "", fallback).otherwise(s)
 
 
@@ -148,9 +151,11 @@ def common_prefix_length(a: Column, b: Column) -> Column:
 
 
 def strip_prompt_echo(text: Column, prompt: Column, least: int = 12) -> Column:
-    """A text that begins with at least so many characters of its prompt loses them, and separators after them."""
-    n = common_prefix_length(text, prompt)
-    return F.when(n >= least, F.regexp_replace(F.substr(text, n + 1), "^[\\s,.;:!?-]+", "")).otherwise(text)
+    """A text that begins, after blanks, with at least so many characters of its prompt loses them, and separators after them."""
+    body = F.regexp_replace(text, f"^{SPACE}", "")
+    n = common_prefix_length(body, prompt)
+    rest = F.regexp_replace(F.substr(body, n + 1), f"^(?:{SPACE}|[,.;:—–-])+", "")
+    return F.when(n >= least, rest).otherwise(text)
 
 
 def times_u32(x: Column, y: Column) -> Column:
@@ -195,9 +200,63 @@ def confidence_of(mean_log_probability: Column) -> Column:
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.exp(mean_log_probability)))
 
 
-def entities(c: Column) -> Column:
-    """Runs of capitals and digit strings, in order."""
-    return F.regexp_extract_all(c, F.lit("\\b[A-Z][A-Z0-9]+\\b|\\d+(?:[.,]\\d+)*"), F.lit(0))
+#: Entity tokens. Runs of capitals; digits, with separators only before further digits; Latin words in other scripts.
+CAPITALS, NUMBERS = "\\p{Lu}{2,}", "\\d+(?:[.,:/\\x{66B}\\x{66C}]\\d+)*"
+LATIN_TOKENS = "(?<![\\p{IsLatin}\\p{M}])\\p{IsLatin}[\\p{IsLatin}\\p{M}'’-]*"
+
+
+def entities(c: Column, latin: bool = True) -> Column:
+    """Entity tokens in order. In a language that is not written in Latin letters, words that are count as well."""
+    return F.regexp_extract_all(c, F.lit("|".join([CAPITALS, NUMBERS] if latin else [CAPITALS, NUMBERS, LATIN_TOKENS])), F.lit(0))
+
+
+def graphemes(c: Column) -> Column:
+    """Extended grapheme clusters, in order."""
+    return F.regexp_extract_all(c, F.lit("\\X"), F.lit(0))
+
+
+def token_form(c: Column) -> Column:
+    """A word as alignments compare it: NFC, without punctuation and symbols, in lower case, trimmed."""
+    return F.trim(F.lower(strip_punctuation(nfc(c))))
+
+
+def tokens(words: Column, segmentation: str = "spaces") -> Column:
+    """array of (token, owner) of an array of token forms: whole words, or their graphemes where words are not set apart by spaces.
+
+    owner is the place of the word; words of which nothing is left have no token.
+    """
+    placed = F.transform(words, lambda w, i: F.transform(F.array(w) if segmentation == "spaces" else graphemes(w), lambda t: F.struct(t.alias("token"), i.alias("owner"))))
+    return F.filter(F.flatten(placed), lambda x: F.trim(x["token"]) != "")
+
+
+def dice(matched: Column, a: Column, b: Column) -> Column:
+    """Share of the units of two sequences that are matched; 1 for two empty ones."""
+    return F.when(a + b == 0, F.lit(1.0)).otherwise(2 * matched / (a + b))
+
+
+def joined_words(words: Column, joiner: str = " ") -> Column:
+    """The words of a segment as its text: by blanks, or by nothing in scripts without them."""
+    return F.array_join(words, joiner)
+
+
+def reply_segments(reply: Column) -> Column:
+    """map<int,string> of a model's reply {"segments": [{"idx", "text"}]} or the list alone; the first answer of an idx stands.
+
+    A code fence is taken off, and what stands before and after the outermost object or list. A reply that can't be
+    read, or has no usable segment, is null and never the input.
+    """
+    fenced = F.regexp_extract(reply, "```(?:json)?\\s*([\\s\\S]*?)```", 1)
+    body = F.trim(F.when(reply.rlike("```(?:json)?\\s*[\\s\\S]*?```"), fenced).otherwise(reply))
+    body = F.regexp_replace(body, "^[^\\[{]+", "")
+    listed = body.startswith("[")
+    body = F.when(listed, F.regexp_extract(body, "^[\\s\\S]*\\]", 0)).otherwise(F.regexp_extract(body, "^[\\s\\S]*\\}", 0))
+    rows = F.when(listed, F.try_variant_get(F.try_parse_json(body), "$", "array<variant>")).otherwise(F.try_variant_get(F.try_parse_json(body), "$.segments", "array<variant>"))
+    kind = lambda v, path: F.schema_of_variant(F.try_variant_get(v, path, "variant"))
+    whole = lambda v: kind(v, "$.idx").isin("BIGINT") | (F.try_variant_get(v, "$.idx", "double") % 1 == 0) & kind(v, "$.idx").rlike("DECIMAL|DOUBLE")
+    good = F.filter(rows, lambda v: F.coalesce(whole(v) & (kind(v, "$.text") == "STRING"), F.lit(False)))
+    pairs = F.transform(good, lambda v: F.struct(F.try_variant_get(v, "$.idx", "double").cast("int").alias("idx"), F.try_variant_get(v, "$.text", "string").alias("text")))
+    first = F.filter(pairs, lambda x, i: ~F.exists(F.slice(pairs, F.lit(1), i), lambda y: y["idx"] == x["idx"]))
+    return F.when(F.size(first) > 0, F.map_from_entries(first))
 
 
 def merge_json(a: Column, b: Column) -> Column:

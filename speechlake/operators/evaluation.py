@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from speechlake.functions import metrics as M
 from speechlake.functions import text as T
+from speechlake.sources.scratch import numbered
 
 #: Thresholds of the tiers and of the editing gate.
 VERIFIED_CER, VERIFIED_RATIO, VERIFIED_N = 0.2, 1.15, 30
@@ -33,41 +36,58 @@ def word_stats(pairs: DataFrame, hyp: str = "h", ref: str = "r") -> DataFrame:
     return pairs.withColumns({"hw": h, "rw": r}).withColumns({"word_edits": M.word_edits(F.col("hw"), F.col("rw")), "ref_words": F.size("rw").cast("long")}).drop("hw", "rw")
 
 
-def ngram_overlap(pairs: DataFrame, keys: Sequence[str], hyp: str, ref: str, order: int, word: bool = False) -> DataFrame:
-    """keys, n, hyp, ref, match: clipped n-gram counts of each pair."""
-    units = M.edge_words if word else M.packed
-    side = lambda c, h: pairs.select(*keys, F.lit(h).alias("h"), F.lit(1 - h).alias("r"), units(F.col(c)).alias("u"))
-    size, piece = (F.size("u"), lambda i, n: F.array_join(F.slice("u", i, n), " ")) if word else (F.length("u"), lambda i, n: F.substr("u", i, n))
-    rows = side(hyp, 1).unionByName(side(ref, 0)).withColumn("size", size).withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(order)))).where("n <= size")
-    rows = rows.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("size") - F.col("n") + 1)))
-    counts = rows.groupBy(*keys, "n", piece(F.col("i"), F.col("n")).alias("g")).agg(F.sum("h").alias("h"), F.sum("r").alias("r"))
-    return counts.groupBy(*keys, "n").agg(F.sum("h").alias("hyp"), F.sum("r").alias("ref"), F.sum(F.least("h", "r")).alias("match"))
+def corpus_chrf(pairs: DataFrame, by: Sequence[str], hyp: str = "hyp", ref: str = "ref", char_order: int = 6, word_order: int = 0, beta: float = 2.0) -> DataFrame:
+    """by, chrf: statistics are summed over all pairs, and scored once. Only sums are shuffled."""
+    c = M.ngram_stats(char_order)(M.packed(F.col(hyp)), M.packed(F.col(ref)))
+    counted = pairs.select(*by, c.alias("c"), *([M.ngram_stats(word_order, True)(M.edge_words(F.col(hyp)), M.edge_words(F.col(ref))).alias("w")] if word_order else []))
+    kinds = [("c", n) for n in range(char_order)] + [("w", n) for n in range(word_order)]
+    sums = counted.groupBy(*by).agg(*[F.sum(F.get(k, F.lit(3 * n + i))).alias(f"{k}{n}_{i}") for k, n in kinds for i in range(3)])
+    return sums.select(*by, M.chrf([tuple(F.col(f"{k}{n}_{i}") for i in range(3)) for k, n in kinds], beta).alias("chrf"))
 
 
-def corpus_chrf(pairs: DataFrame, by: Sequence[str], key: str = "id", hyp: str = "hyp", ref: str = "ref", char_order: int = 6, word_order: int = 0, beta: float = 2.0) -> DataFrame:
-    """by, chrf: statistics are summed over all pairs, and scored once."""
-    stats = ngram_overlap(pairs, [*by, key], hyp, ref, char_order).withColumn("kind", F.lit("c"))
-    kinds = [("c", n) for n in range(1, char_order + 1)]
-    if word_order:
-        stats = stats.unionByName(ngram_overlap(pairs, [*by, key], hyp, ref, word_order, True).withColumn("kind", F.lit("w")))
-        kinds += [("w", n) for n in range(1, word_order + 1)]
-    pick = lambda k, n, c: F.coalesce(F.sum(F.when((F.col("kind") == k) & (F.col("n") == n), F.col(c))), F.lit(0))
-    sums = stats.groupBy(*by).agg(*[pick(k, n, c).alias(f"{c}_{k}{n}") for k, n in kinds for c in ("hyp", "ref", "match")])
-    return sums.select(*by, M.chrf([tuple(F.col(f"{c}_{k}{n}") for c in ("hyp", "ref", "match")) for k, n in kinds], beta).alias("chrf"))
+def _uniform(seed: int, draws: np.ndarray) -> np.ndarray:
+    """Draws of text.seeded_uniform, by number."""
+    m = np.uint32
+    state = m(seed & 0xFFFFFFFF) + draws.astype(np.uint32) * m(0x6D2B79F5)
+    a = state ^ (state >> m(15))
+    t = a * (state | m(1))
+    t = t ^ (t + (t ^ (t >> m(7))) * (t | m(61)))
+    return (t ^ (t >> m(14))) / 4294967296.0
+
+
+#: Clips whose numbers are held at once, and resamples that a task draws.
+BOOT_BLOCK, BOOT_RESAMPLES, BOOT_DRAWS = 1 << 20, 50, 1 << 20
 
 
 def bootstrap(stats: DataFrame, by: str, order: str, b: int = 2000, seed: int = 1, alpha: float = 0.05) -> DataFrame:
     """by, n, lo, hi: percentile interval of the ratio of sums, resampling clips with the seeded generator.
 
-    Clips are numbered in the order of ``order``; draw k * n + i + 1 picks clip i of resample k. Draws are a function
-    of their number, so resamples are spread over the cluster and joined to the clips they picked.
+    Clips are numbered in the order of ``order``, which tells them apart; draw k * n + i + 1 picks clip i of resample k.
+    Draws are a function of their number, so a task makes those of some resamples for itself and adds up the clips of
+    its block; only sums of resamples are shuffled. Work is b draws a clip, so for very many clips poisson_bootstrap is
+    the one to use.
     """
-    numbered = stats.withColumn("i", F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1).select(by, "i", "edits", "ref_len")
-    sizes = numbered.groupBy(by).agg(F.count("*").alias("n"))
-    draws = sizes.select(by, "n", F.explode(F.sequence(F.lit(0), F.lit(b - 1))).alias("k")).select(by, "n", "k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("j"))
-    drawn = T.seeded_uniform(draws, seed, F.col("k") * F.col("n") + F.col("j") + 1, "u")
-    picked = drawn.select(by, "n", "k", F.coalesce(F.floor(F.col("u") * F.col("n")).cast("int"), F.lit(0)).alias("i"))  # never null, so no null check of the whole draw is pushed down
-    sums = picked.join(numbered, [by, "i"]).groupBy(by, "n", "k").agg(F.sum("edits").alias("e"), F.sum("ref_len").alias("t"))
+    clips = numbered(stats.select(by, order, "edits", "ref_len"), [by], [order])
+    sizes = clips.groupBy(by).agg(F.count("*").alias("n"))
+    blocks = clips.groupBy(by, F.floor(F.col("i") / BOOT_BLOCK).alias("block")).agg(F.array_sort(F.collect_list(F.struct("i", "edits", "ref_len"))).alias("x"))
+    work = blocks.join(sizes, by).select(by, "n", "block", F.col("x.edits").alias("e"), F.col("x.ref_len").alias("t"), F.explode(F.sequence(F.lit(0), F.lit(b - 1), F.lit(BOOT_RESAMPLES))).alias("k0"))
+    work = work.repartition(by, "block", "k0")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for key, n, block, e, t, k0 in zip(pdf[by], pdf["n"], pdf["block"], pdf["e"], pdf["t"], pdf["k0"]):
+                low, out = block * BOOT_BLOCK, []
+                for k in range(k0, min(k0 + BOOT_RESAMPLES, b)):
+                    se = st = 0
+                    for j in range(0, n, BOOT_DRAWS):
+                        at = np.floor(_uniform(seed, k * n + np.arange(j, min(j + BOOT_DRAWS, n), dtype=np.int64) + 1) * n).astype(np.int64) - low
+                        at = at[(at >= 0) & (at < len(e))] if n > BOOT_BLOCK else at
+                        se, st = se + int(e[at].sum()), st + int(t[at].sum())
+                    out.append((key, n, k, se, st))
+                yield pd.DataFrame(out, columns=[by, "n", "k", "e", "t"])
+
+    parts = work.mapInPandas(run, f"{by} {dict(stats.dtypes)[by]}, n long, k int, e long, t long")
+    sums = parts.groupBy(by, "n", "k").agg(F.sum("e").alias("e"), F.sum("t").alias("t"))
     ratio = F.when(F.col("t") > 0, F.col("e") / F.col("t")).otherwise(0.0)
     sorted_ = sums.groupBy(by, "n").agg(F.sort_array(F.collect_list(ratio)).alias("s"))
     lo, hi = int(alpha / 2 * b), min(b - 1, -int(-(1 - alpha / 2) * b // 1) - 1)
@@ -89,7 +109,8 @@ def poisson_bootstrap(stats: DataFrame, by: str, key: str, b: int = 200, seed: i
 def baseline_ratio(rates: DataFrame, code: str, baseline: str, value: str = "cer", run: Sequence[str] = ()) -> DataFrame:
     """ratio to the baseline row of the same run; null if that is null or 0."""
     base = rates.where(F.col(code) == baseline).select(*run, F.col(value).alias("base"))
-    joined = rates.join(F.broadcast(base), list(run), "left") if run else rates.crossJoin(F.broadcast(base.agg(F.max("base").alias("base"))))
+    # without runs there is one row to send; a row for each run is joined as their number asks
+    joined = rates.join(base, list(run), "left") if run else rates.crossJoin(F.broadcast(base.agg(F.max("base").alias("base"))))
     return joined.withColumn("ratio", F.col(value) / F.nullif(F.col("base"), F.lit(0.0))).drop("base")
 
 
@@ -159,44 +180,64 @@ def sample_description(rows: DataFrame, by: Sequence[str], key: str, group: str,
     return out.join(ids, list(by)).withColumn("uniform", F.size("groups") == 1)
 
 
-def cleanup_stats(pairs: DataFrame) -> DataFrame:
-    """Of each editing result: edits with punctuation, content edits, lengths, entity drift."""
-    keep = {"keep_punctuation": True, "case_fold": False, "compose": False}
-    rows = pairs.withColumns({"hp": T.scoring_form(F.col("hyp"), **keep), "rp": T.scoring_form(F.col("ref"), **keep), "hc": T.scoring_form(F.col("hyp"), compose=False), "rc": T.scoring_form(F.col("ref"), compose=False)})
-    rows = rows.withColumns({"edits_p": M.char_edits(F.col("hp"), F.col("rp")), "len_p": F.length("rp").cast("long"), "edits_c": M.char_edits(F.col("hc"), F.col("rc")), "len_c": F.length("rc").cast("long"), "delta_len": (F.length("hp") - F.length("rp")).cast("long")})
-    return rows.withColumns({"ents_in": T.entities(F.col("ref")), "ents_out": T.entities(F.col("hyp"))})
+def cleanup_stats(pairs: DataFrame, latin: bool = True) -> DataFrame:
+    """Of each editing result (given, hyp, ref): edits with punctuation against the reference, content edits and drift against what was given.
+
+    Content is compared without case, punctuation and any white space: an editing pass may set those, and nothing else.
+    """
+    keep = {"keep_punctuation": True, "case_fold": False}
+    bare = lambda c: T.collapse_space(T.scoring_form(F.col(c)), remove=True)
+    rows = pairs.withColumns({"hp": T.scoring_form(F.col("hyp"), **keep), "rp": T.scoring_form(F.col("ref"), **keep), "hc": bare("hyp"), "gc": bare("given")})
+    rows = rows.withColumns({"edits_p": M.char_edits(F.col("hp"), F.col("rp")), "len_p": F.length("rp").cast("long"), "edits_c": M.char_edits(F.col("hc"), F.col("gc")), "len_c": F.length("gc").cast("long"),
+                             "delta_len": (F.length("hyp") - F.length("given")).cast("long"), "len_in": F.length("given").cast("long")})
+    return entity_drift(rows.withColumns({"ents_in": T.entities(F.col("given"), latin), "ents_out": T.entities(F.col("hyp"), latin)}))
 
 
-def entity_drift(rows: DataFrame, keys: Sequence[str], before: str = "ents_in", after: str = "ents_out") -> DataFrame:
-    """keys, drift, total, lost: multiset difference of entity tokens, and the tokens that are gone."""
-    tokens = lambda c, i, o: rows.select(*keys, F.explode(c).alias("token"), F.lit(i).alias("i"), F.lit(o).alias("o"))
-    counts = tokens(before, 1, 0).unionByName(tokens(after, 0, 1)).groupBy(*keys, "token").agg(F.sum("i").alias("i"), F.sum("o").alias("o"))
-    lost = F.sort_array(F.collect_set(F.when(F.col("o") < F.col("i"), F.col("token"))))
-    return counts.groupBy(*keys).agg(F.sum(F.abs(F.col("i") - F.col("o"))).alias("drift"), F.sum("i").alias("total"), lost.alias("lost"))
+def entity_drift(rows: DataFrame, before: str = "ents_in", after: str = "ents_out") -> DataFrame:
+    """rows with drift, total, lost: multiset difference of two token lists, the first one's tokens, and those of them that are gone or fewer."""
+    i, o = F.col(before), F.col(after)
+    count = lambda tokens, t: F.size(F.filter(tokens, lambda x: x == t))
+    drift = F.aggregate(F.array_distinct(F.concat(i, o)), F.lit(0), lambda n, t: n + F.abs(count(i, t) - count(o, t)))
+    return rows.withColumns({"drift": drift.cast("long"), "total": F.size(i).cast("long"), "lost": F.sort_array(F.filter(F.array_distinct(i), lambda t: count(o, t) < count(i, t)))})
 
 
 def cleanup_aggregate(stats: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Ratios of sums, null on 0."""
+    """Ratios of sums, null on 0. A segment without entities counts as one, so that their ratio is never of 0."""
     return stats.groupBy(*by).agg(
-        F.count("*").alias("n"), M.rate(F.sum("edits_p"), F.sum("len_p")).alias("cer_punct"), M.rate(F.sum("edits_c"), F.sum("len_c")).alias("content_delta"),
-        M.rate(F.sum("delta_len"), F.sum("len_p")).alias("length_delta"), F.count_if(F.col("edits_c") > 0).alias("rewritten"), M.rate(F.sum("drift"), F.sum("total")).alias("entity_drift"))
+        F.count("*").alias("n"), M.rate(F.sum("edits_p"), F.sum("len_p")).alias("cer_punct"), M.rate(F.sum("edits_c"), F.sum("len_c")).alias("content_delta"), M.rate(F.sum("delta_len"), F.sum("len_in")).alias("length_delta"),
+        F.count_if(F.col("edits_c") > 0).alias("rewritten"), M.rate(F.sum("drift"), F.sum(F.greatest(F.lit(1).cast("long"), "total"))).alias("entity_drift"))
 
 
-def cleanup_gate(arms: DataFrame, control: str, expected: DataFrame | None = None) -> DataFrame:
-    """Failures of arms against the do-nothing control of their language, worst first.
+def cleanup_gate(arms: DataFrame, control: str, wanted: Sequence[str], languages: DataFrame | None = None) -> DataFrame:
+    """lang, arm, failure, value, against, delta: failures against the do-nothing control of the language, worst first.
 
-    A missing control, an arm without a rate, and an expected arm that has no row are failures too.
+    A language (of ``languages``, or that has arms) that lacks a measured arm of those wanted is one failure, and so is one
+    without a measured control; neither is looked into further. Else every arm is judged by its rate against the
+    control's, and by its content and entity changes against fixed limits.
     """
-    base = arms.where(F.col("arm") == control).select("lang", F.col("cer_punct").alias("control"))
-    rows = arms.where(F.col("arm") != control).join(base, "lang", "left")
-    case = lambda cond, kind, delta: rows.where(cond).select("lang", "arm", F.lit(kind).alias("failure"), delta.cast("double").alias("delta"))
-    none = F.lit(None)
-    out = case(F.col("control").isNull(), "no-control", none).unionByName(case(F.col("cer_punct").isNull(), "unmeasured", none))
-    out = out.unionByName(case(F.col("cer_punct") > F.col("control"), "cer", F.col("cer_punct") - F.col("control")))
-    out = out.unionByName(case(F.col("content_delta") > MAX_CONTENT_DELTA, "content", F.col("content_delta"))).unionByName(case(F.col("entity_drift") > MAX_ENTITY_DRIFT, "entities", F.col("entity_drift")))
-    if expected is not None:
-        out = out.unionByName(expected.join(arms, ["lang", "arm"], "left_anti").select("lang", "arm", F.lit("missing").alias("failure"), none.cast("double").alias("delta")))
-    return out.orderBy(F.desc(F.coalesce("delta", F.lit(0.0))), "lang", "arm", "failure")
+    asked = [a for a in wanted if a != control]
+    per = arms.groupBy("lang").agg(F.count_if((F.col("arm") != control) & (F.col("n") > 0)).alias("scored"), F.max(F.when(F.col("arm") == control, F.col("cer_punct"))).alias("control"), F.min(F.when(F.col("arm") != control, F.col("arm"))).alias("first"))
+    if languages is not None:
+        per = languages.select("lang").distinct().join(per, "lang", "left")
+    none = F.lit(None).cast("double")
+    short = F.coalesce(F.col("scored"), F.lit(0)) < len(asked)
+    lone = per.withColumn("failure", F.when(short, "not_measured").when(F.col("first").isNotNull() & F.col("control").isNull(), "control_missing")).where("failure is not null")
+    lone = lone.select("lang", F.when(F.col("failure") == "not_measured", ",".join(asked)).otherwise(F.col("first")).alias("arm"), "failure", none.alias("value"), none.alias("against"))
+    judged = arms.where(F.col("arm") != control).join(per.where(~short & F.col("control").isNotNull()).select("lang", "control"), "lang")
+    case = lambda name, limit: judged.where(F.col(name) > limit).select("lang", "arm", F.lit(name).alias("failure"), F.col(name).alias("value"), limit.cast("double").alias("against"))
+    out = lone.unionByName(case("cer_punct", F.col("control"))).unionByName(case("content_delta", F.lit(MAX_CONTENT_DELTA))).unionByName(case("entity_drift", F.lit(MAX_ENTITY_DRIFT)))
+    return out.withColumn("delta", F.col("value") - F.col("against")).orderBy(F.desc(F.coalesce("delta", F.lit(0.0))), "lang", "arm", "failure")
+
+
+def report_rows(rows: DataFrame, code: str = "lang") -> DataFrame:
+    """rows with place: by tier from the best to the worst, then by ratio, unknown ones last, then by code."""
+    level = F.array_position(F.array(*map(F.lit, TIER_ORDER)), F.col("tier"))
+    return rows.orderBy(F.when(level > 0, level).otherwise(len(TIER_ORDER) + 1), F.col("ratio").asc_nulls_last(), code)
+
+
+def blocked_queue(rows: DataFrame, code: str = "lang") -> DataFrame:
+    """code, blocker, only: one row for each thing that keeps a language from being verified; only: nothing else does."""
+    return rows.select(code, F.explode("blocked").alias("blocker"), (F.size("blocked") == 1).alias("only"))
 
 
 def tier_changes(previous: DataFrame, following: DataFrame, key: str = "lang") -> DataFrame:

@@ -9,23 +9,33 @@ from speechlake.functions import metrics as M
 from speechlake.functions import text as T
 from speechlake.operators import evaluation as E
 from speechlake.sources import views as V
+from speechlake.sources.scratch import stored
 
 BASELINE = "en"
 
 
-def _ascii(df: DataFrame) -> DataFrame:
-    """Other characters as ?, since the oracle's edit distance counts bytes."""
-    fold = lambda c: F.regexp_replace(c, "[^\\x00-\\x7F]", "?")
-    out = df.withColumns({"h": fold("h"), "r": fold("r")})
-    return out.withColumns({"edits": M.char_edits(F.col("h"), F.col("r")), "ref_len": F.length("r").cast("long")})
+def _clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.scored(V.pairs(spark, sf_dir).withColumn("hyp", F.col("given")))
 
 
 def _stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ascii(E.scored(V.pairs(spark, sf_dir)))
+    """A row for each document: the sums of all its clips."""
+    return _clips(spark, sf_dir).groupBy("id", "lang", "arm").agg(F.sum("edits").alias("edits"), F.sum("ref_len").alias("ref_len"))
 
 
-_NORM = "regexp_replace(trim(regexp_replace(regexp_replace(lower(nfc_normalize({0})), '[\\p{{P}}\\p{{S}}]', '', 'g'), '\\s+', ' ', 'g')), '[^\\x00-\\x7F]', '?', 'g')"
-_STATS = f"SELECT *, levenshtein(h, r)::BIGINT AS edits, length(r)::BIGINT AS ref_len FROM (SELECT id, lang, arm, ref, hyp, {_NORM.format('hyp')} AS h, {_NORM.format('ref')} AS r FROM pairs)"
+# the oracle's edit distance counts bytes, so the other characters of a pair are told apart by control characters there
+_BYTES = "array_to_string(list_transform(list_concat(range(1, 9), range(14, 32)), lambda c: chr(c::INT)), '')"
+_OTHERS = "array_to_string(list_distinct(regexp_extract_all({0} || {1}, '[^\\x00-\\x7F]')), '')"
+
+
+def _lev(a: str, b: str) -> str:
+    o = _OTHERS.format(a, b)
+    return f"levenshtein(translate({a}, {o}, substr({_BYTES}, 1, length({o}))), translate({b}, {o}, substr({_BYTES}, 1, length({o}))))"
+
+
+_NORM = "trim(regexp_replace(regexp_replace(lower(nfc_normalize({0})), '[\\p{{P}}\\p{{S}}]', '', 'g'), '\\s+', ' ', 'g'))"
+_CLIPS = f"SELECT *, {_lev('h', 'r')}::BIGINT AS edits, length(r)::BIGINT AS ref_len FROM (SELECT id, clip, lang, arm, {_NORM.format('given')} AS h, {_NORM.format('ref')} AS r FROM pairs)"
+_STATS = "SELECT id, lang, arm, sum(edits)::BIGINT AS edits, sum(ref_len)::BIGINT AS ref_len FROM clips GROUP BY id, lang, arm"
 
 
 def corpus_cer(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,60 +43,92 @@ def corpus_cer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rates = E.baseline_ratio(E.corpus_rate(_stats(spark, sf_dir), ["lang"]), "lang", BASELINE)
+    stats = stored(_stats(spark, sf_dir), "tier-stats")
+    rates = E.baseline_ratio(E.corpus_rate(stats, ["lang"]), "lang", BASELINE)
     texts = V.pairs(spark, sf_dir)
-    integrity = E.script_integrity(texts, ["lang"], "hyp", [(0x41, 0x5A), (0x61, 0x7A), (0xC0, 0x24F)]).groupBy("lang").agg((F.sum("in_script") / F.nullif(F.sum("counted"), F.lit(0).cast("long"))).alias("integrity"))
-    return rates.join(integrity, "lang")
+    integrity = E.script_integrity(texts, ["lang"], "given", [(0x41, 0x5A), (0x61, 0x7A), (0xC0, 0x24F)]).groupBy("lang").agg((F.sum("in_script") / F.nullif(F.sum("counted"), F.lit(0).cast("long"))).alias("integrity"))
+    interval = E.bootstrap(stats, "lang", "id").select("lang", F.col("hi").alias("ci_hi"))
+    return rates.join(integrity, "lang").join(interval, "lang")
 
 
-def flagship_language_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every language but es has a sign-off."""
     rows = _rates(spark, sf_dir)
-    t = E.tier(F.col("cer"), F.lit(None).cast("double"), F.col("ratio"), F.col("integrity"), F.col("n"), F.lit(False))
-    return rows.select("lang", "n", "edits", "total", F.round("cer", 9).alias("cer"), F.round("ratio", 9).alias("ratio"), F.round("integrity", 9).alias("integrity"), t["tier"].alias("tier"), t["reason"].alias("reason"), F.array_join(t["blocked"], ",").alias("blocked"))
+    t = E.tier(F.col("cer"), F.col("ci_hi"), F.col("ratio"), F.col("integrity"), F.col("n"), F.col("lang") != "es")
+    return rows.withColumn("t", t).select("lang", "n", "edits", "total", "cer", "ci_hi", "ratio", "integrity", "t.tier", "t.reason", "t.blocked")
+
+
+def flagship_language_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _tiers(spark, sf_dir)
+    return rows.select("lang", "n", "edits", "total", *[F.round(c, 9).alias(c) for c in ("cer", "ci_hi", "ratio", "integrity")], "tier", "reason", F.array_join("blocked", ",").alias("blocked"))
 
 
-_INTEGRITY = r"""SELECT lang, sum(length(regexp_replace(hyp, '[^A-Za-zÀ-ɏ]|[×÷]', '', 'g')))::DOUBLE / nullif(sum(length(regexp_replace(hyp, '[^\p{L}\p{M}]', '', 'g'))), 0) AS integrity FROM pairs GROUP BY lang"""
+def report_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tier table in report order, with its place."""
+    rows = E.report_rows(_tiers(spark, sf_dir).withColumn("ratio", F.when(F.col("lang") != "fr", F.col("ratio"))))
+    one = rows.agg(F.collect_list("lang").alias("l"))  # a row for each language
+    return one.select(F.posexplode("l").alias("place", "lang"))
+
+
+def blocked_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.blocked_queue(_tiers(spark, sf_dir))
+
+
+_INTEGRITY = r"""SELECT lang, sum(length(regexp_replace(given, '[^A-Za-zÀ-ɏ]|[×÷]', '', 'g')))::DOUBLE / nullif(sum(length(regexp_replace(given, '[^\p{L}\p{M}]', '', 'g'))), 0) AS integrity FROM pairs GROUP BY lang"""
 _RATES = "SELECT s.lang, count(*) AS n, sum(edits)::BIGINT AS edits, sum(ref_len)::BIGINT AS total, sum(edits)::DOUBLE / nullif(sum(ref_len), 0) AS cer FROM stats s GROUP BY s.lang"
-_TIERS = """SELECT r.lang, n, edits, total, cer, cer / nullif((SELECT cer FROM rates WHERE lang = 'en'), 0) AS ratio, integrity FROM rates r JOIN integrity i USING (lang)"""
-_BLOCKED = "array_to_string(list_filter([CASE WHEN ratio IS NULL OR ratio > 1.15 THEN 'ratio>1.15' END, CASE WHEN cer > 0.2 THEN 'cer>0.2' END, CASE WHEN n < 30 THEN 'n<30' END, 'ciHi>0.20', 'humanReview'], lambda x: x IS NOT NULL), ',')"
-_FLAGSHIP = f"""SELECT lang, n, edits, total, round(cer, 9) AS cer, round(ratio, 9) AS ratio, round(integrity, 9) AS integrity,
-  CASE WHEN cer IS NULL THEN 'experimental' WHEN integrity < 0.8 THEN 'unsupported' WHEN cer > 0.6 THEN 'unsupported' WHEN ratio <= 2.0 AND cer <= 0.35 THEN 'beta' ELSE 'experimental' END AS tier,
-  CASE WHEN cer IS NULL THEN 'not-run' WHEN integrity < 0.8 THEN 'script-integrity' ELSE 'measured' END AS reason,
-  CASE WHEN cer IS NULL THEN 'not-run' WHEN integrity < 0.8 THEN 'scriptIntegrity<0.8' WHEN cer > 0.6 THEN 'cer>0.6' ELSE {_BLOCKED} END AS blocked
-FROM t"""
+_TIERS = """SELECT r.lang, r.n, edits, total, cer, hi AS ci_hi, cer / nullif((SELECT cer FROM rates WHERE lang = 'en'), 0) AS ratio, integrity FROM rates r JOIN integrity i USING (lang) JOIN boot b USING (lang)"""
+_BLOCKED = """list_filter([CASE WHEN ratio IS NULL OR ratio > 1.15 THEN 'ratio>1.15' END, CASE WHEN cer > 0.2 THEN 'cer>0.2' END, CASE WHEN n < 30 THEN 'n<30' END, CASE WHEN ci_hi IS NULL THEN 'ciHi>0.20' WHEN ci_hi > 0.2 THEN 'ciHi>0.2' END,
+ CASE WHEN cer > 0 AND ratio > 0 AND ci_hi / (cer / ratio) > 1.15 THEN 'ciHiRatio>1.15' END, CASE WHEN lang = 'es' THEN 'humanReview' END], lambda x: x IS NOT NULL)"""
+_LEVELS = f"""SELECT *, CASE WHEN cer IS NULL OR integrity < 0.8 OR cer > 0.6 THEN [why] ELSE b END AS blocked, CASE WHEN cer IS NULL THEN 'experimental' WHEN integrity < 0.8 OR cer > 0.6 THEN 'unsupported' WHEN len(b) = 0 THEN 'verified' WHEN ratio <= 2.0 AND cer <= 0.35 THEN 'beta' ELSE 'experimental' END AS tier,
+  CASE WHEN cer IS NULL THEN 'not-run' WHEN integrity < 0.8 THEN 'script-integrity' ELSE 'measured' END AS reason
+ FROM (SELECT *, {_BLOCKED} AS b, CASE WHEN cer IS NULL THEN 'not-run' WHEN integrity < 0.8 THEN 'scriptIntegrity<0.8' ELSE 'cer>0.6' END AS why FROM t)"""
+_FLAGSHIP = "SELECT lang, n, edits, total, round(cer, 9) AS cer, round(ci_hi, 9) AS ci_hi, round(ratio, 9) AS ratio, round(integrity, 9) AS integrity, tier, reason, array_to_string(blocked, ',') AS blocked FROM levels"
+_ORDER = "SELECT (row_number() OVER (ORDER BY list_position(['verified', 'beta', 'experimental', 'unsupported'], tier), CASE WHEN lang <> 'fr' THEN ratio END NULLS LAST, lang) - 1)::INT AS place, lang FROM levels"
 
 
 def corpus_wer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = E.word_stats(_stats(spark, sf_dir)).groupBy("lang").agg(F.sum("word_edits").alias("word_edits"), F.sum("ref_words").alias("ref_words"))
+    rows = E.word_stats(_clips(spark, sf_dir)).groupBy("lang").agg(F.sum("word_edits").alias("word_edits"), F.sum("ref_words").alias("ref_words"))
     return rows.withColumn("wer", F.round(M.rate(F.col("word_edits"), F.col("ref_words")), 9))
 
 
-# distinct words of a pair get a letter from 33 on; what has no letter left (over 200 words) does not occur in 240 characters
+# distinct words of a pair get a character from 1 on; a clip of 240 characters has at most 120 words
 _WER = r"""
 SELECT lang, sum(word_edits)::BIGINT AS word_edits, sum(ref_words)::BIGINT AS ref_words, round(sum(word_edits)::DOUBLE / nullif(sum(ref_words), 0), 9) AS wer FROM (
   SELECT lang, len(rw) AS ref_words,
-         levenshtein(array_to_string(list_transform(hw, lambda w: chr((list_position(al, w) + 32)::INT)), ''), array_to_string(list_transform(rw, lambda w: chr((list_position(al, w) + 32)::INT)), '')) AS word_edits
+         levenshtein(array_to_string(list_transform(hw, lambda w: chr(list_position(al, w)::INT)), ''), array_to_string(list_transform(rw, lambda w: chr(list_position(al, w)::INT)), '')) AS word_edits
   FROM (SELECT lang, hw, rw, list_distinct(list_concat(rw, hw)) AS al FROM (
-    SELECT lang, list_filter(string_split(h, ' '), lambda w: w <> '') AS hw, list_filter(string_split(r, ' '), lambda w: w <> '') AS rw FROM stats)))
+    SELECT lang, list_filter(string_split(h, ' '), lambda w: w <> '') AS hw, list_filter(string_split(r, ' '), lambda w: w <> '') AS rw FROM clips)))
 GROUP BY lang"""
 
 
 def corpus_chrf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.corpus_chrf(V.pairs(spark, sf_dir), ["lang"]).withColumn("chrf", F.round("chrf", 6))
+    return E.corpus_chrf(V.pairs(spark, sf_dir), ["lang"], hyp="given").withColumn("chrf", F.round("chrf", 6))
 
 
 _CHRF = r"""
-, u AS (SELECT id, lang, regexp_replace(hyp, '\s+', '', 'g') AS h, regexp_replace(ref, '\s+', '', 'g') AS r FROM pairs),
-g AS (SELECT id, lang, n, substr(t, i, n) AS g, sum(a) AS a, sum(b) AS b FROM (
-  SELECT id, lang, n, t, a, b, unnest(range(1, length(t) - n + 2)) AS i FROM (
-    SELECT id, lang, h AS t, 1 AS a, 0 AS b FROM u UNION ALL SELECT id, lang, r, 0, 1 FROM u), (SELECT unnest(range(1, 7)) AS n)) GROUP BY ALL),
-o AS (SELECT lang, n, sum(a)::DOUBLE AS a, sum(b)::DOUBLE AS b, sum(least(a, b))::DOUBLE AS m FROM g GROUP BY lang, n),
-f AS (SELECT lang, avg(m / a) AS p, avg(m / b) AS r FROM o WHERE a > 0 AND b > 0 GROUP BY lang)
+, u AS (SELECT id, clip, lang, regexp_replace(given, '\s+', '', 'g') AS h, regexp_replace(ref, '\s+', '', 'g') AS r FROM pairs),
+g AS (SELECT lang, id, clip, n, substr(t, i, n) AS g, sum(a) AS a, sum(b) AS b FROM (
+  SELECT id, clip, lang, n, t, a, b, unnest(range(1, length(t) - n + 2)) AS i FROM (
+    SELECT id, clip, lang, h AS t, 1 AS a, 0 AS b FROM u UNION ALL SELECT id, clip, lang, r, 0, 1 FROM u), (SELECT unnest(range(1, 7)) AS n)) GROUP BY ALL),
+o AS (SELECT lang, n, sum(a)::DOUBLE AS a, sum(b)::DOUBLE AS b, sum(least(a, b))::DOUBLE AS m FROM g GROUP BY lang, n)"""
+_SCORE = """
+, f AS (SELECT lang, avg(m / a) AS p, avg(m / b) AS r FROM o WHERE a > 0 AND b > 0 GROUP BY lang)
 SELECT lang, round(CASE WHEN p + r > 0 THEN 100 * 5 * p * r / (4 * p + r) ELSE 0 END, 6) AS chrf FROM f"""
 
 
 def corpus_chrf_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.corpus_chrf(V.pairs(spark, sf_dir), ["lang"], word_order=2).withColumn("chrf", F.round("chrf", 6))
+    return E.corpus_chrf(V.pairs(spark, sf_dir), ["lang"], hyp="given", word_order=2).withColumn("chrf", F.round("chrf", 6))
+
+
+_MARKS = "'!\"#$%&''()*+,-./:;<=>?@[\\]^_`{{|}}~'"
+_EDGES = f"""flatten(list_transform(list_filter(regexp_split_to_array({{0}}, '\\s+'), lambda w: w <> ''), lambda w: CASE WHEN length(w) = 1 THEN [w]
+  WHEN contains({_MARKS}, w[-1:]) THEN [w[:-2], w[-1:]] WHEN contains({_MARKS}, w[1:1]) THEN [w[1:1], w[2:]] ELSE [w] END))"""
+_CHRF_WORDS = _CHRF + f"""
+, uw AS (SELECT id, clip, lang, {_EDGES.format('given')} AS h, {_EDGES.format('ref')} AS r FROM pairs),
+gw AS (SELECT lang, id, clip, n, array_to_string(t[i:i + n - 1], ' ') AS g, sum(a) AS a, sum(b) AS b FROM (
+  SELECT id, clip, lang, n, t, a, b, unnest(range(1, len(t) - n + 2)) AS i FROM (
+    SELECT id, clip, lang, h AS t, 1 AS a, 0 AS b FROM uw UNION ALL SELECT id, clip, lang, r, 0, 1 FROM uw), (SELECT unnest(range(1, 3)) AS n)) GROUP BY ALL),
+oc AS (SELECT * FROM o UNION ALL SELECT lang, n + 6, sum(a)::DOUBLE, sum(b)::DOUBLE, sum(least(a, b))::DOUBLE FROM gw GROUP BY lang, n)""" + _SCORE.replace("FROM o ", "FROM oc ")
 
 
 def bootstrap_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,7 +137,7 @@ def bootstrap_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _MUL = "((({0}) & 65535) * ({1}) + ((((({0}) >> 16) * ({1})) & 65535) << 16)) & 4294967295"
 _BOOT = f"""
-, c AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY id) - 1 AS i, edits, ref_len FROM stats),
+WITH c AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY id) - 1 AS i, edits, ref_len FROM stats),
 n AS (SELECT lang, count(*) AS n FROM c GROUP BY lang),
 d AS (SELECT lang, n, k, unnest(range(n)) AS j FROM n, (SELECT unnest(range(2000)) AS k)),
 a AS (SELECT lang, n, k, (1 + ({_MUL.format('k * n + j + 1', '1831565813::BIGINT')})) & 4294967295 AS a FROM d),
@@ -104,13 +146,12 @@ e AS (SELECT lang, n, k, xor((t + ({_MUL.format('xor(t, t >> 7)', 't | 61')})) &
 p AS (SELECT lang, n, k, floor(xor(t, t >> 14) / 4294967296.0::DOUBLE * n)::BIGINT AS i FROM e),
 s AS (SELECT p.lang, p.n, k, sum(edits)::DOUBLE / nullif(sum(ref_len), 0) AS v FROM p JOIN c ON p.lang = c.lang AND p.i = c.i GROUP BY p.lang, p.n, k),
 l AS (SELECT lang, n, list_sort(list(coalesce(v, 0))) AS v FROM s GROUP BY lang, n)
-SELECT lang, n, round(v[51], 9) AS lo, round(v[1950], 9) AS hi FROM l"""
+SELECT lang, n, v[51] AS lo, v[1950] AS hi FROM l"""
 
 
 def bootstrap_poisson(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Over whole texts; it has no SQL."""
-    rows = _ascii(E.scored(V.pairs(spark, sf_dir, whole=True))).withColumn("edits", M.long_edits(F.col("h"), F.col("r")))
-    return E.poisson_bootstrap(rows, "lang", "id")
+    """The hash of its draws has no SQL."""
+    return E.poisson_bootstrap(_stats(spark, sf_dir), "lang", "id")
 
 
 def seeded_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,8 +167,9 @@ SELECT doc_id, round(xor(t, t >> 14) / 4294967296.0::DOUBLE, 12) AS draw FROM e"
 
 
 def pair_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _stats(spark, sf_dir)
-    return rows.select("id", "edits", "ref_len", F.round(M.cer(F.col("h"), F.col("r")), 9).alias("cer"))
+    """Rates of every clip, between code points and between graphemes."""
+    h, r = F.col("h"), F.col("r")
+    return _clips(spark, sf_dir).select("id", "clip", "edits", "ref_len", F.round(M.cer(h, r), 9).alias("cer"), F.round(M.grapheme_cer(h, r), 9).alias("grapheme_cer"))
 
 
 def language_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,7 +183,7 @@ def sample_description(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def script_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = E.script_integrity(V.table(spark, sf_dir, "documents"), ["doc_id"], "text", [(0x41, 0x5A), (0x61, 0x7A)])
+    out = E.script_integrity(V.spread(V.table(spark, sf_dir, "documents")), ["doc_id"], "text", [(0x41, 0x5A), (0x61, 0x7A)])
     return out.select("doc_id", "counted", "in_script", F.round("fraction", 9).alias("fraction"), F.array_join("strays", "").alias("strays"))
 
 
@@ -154,58 +196,50 @@ def cleanup_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats = E.cleanup_stats(_fold_pairs(spark, sf_dir))
-    stats = stats.join(E.entity_drift(stats, ["id"]), "id", "left")
-    out = E.cleanup_aggregate(stats, ["lang", "arm"])
+    out = E.cleanup_aggregate(E.cleanup_stats(V.pairs(spark, sf_dir)), ["lang", "arm"])
     return out.withColumns({c: F.round(c, 9) for c in ("cer_punct", "content_delta", "length_delta", "entity_drift")})
 
 
-def _fold_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fold = lambda c: F.regexp_replace(c, "[^\\x00-\\x7F]", "?")
-    return V.pairs(spark, sf_dir).withColumns({"ref": fold("ref"), "hyp": fold("hyp")})
-
-
-_FOLD = "SELECT id, lang, arm, regexp_replace(ref, '[^\\x00-\\x7F]', '?', 'g') AS ref, regexp_replace(hyp, '[^\\x00-\\x7F]', '?', 'g') AS hyp FROM pairs"
-_SP = "trim(regexp_replace({0}, '\\s+', ' ', 'g'))"
-_CN = "trim(regexp_replace(regexp_replace(lower({0}), '[\\p{{P}}\\p{{S}}]', '', 'g'), '\\s+', ' ', 'g'))"
-_ENT = r"regexp_extract_all({0}, '\b[A-Z][A-Z0-9]+\b|\d+(?:[.,]\d+)*')"
+_SP = "trim(regexp_replace(nfc_normalize({0}), '\\s+', ' ', 'g'))"
+_CN = "regexp_replace(regexp_replace(lower(nfc_normalize({0})), '[\\p{{P}}\\p{{S}}]', '', 'g'), '\\s+', '', 'g')"
+_ENT = r"regexp_extract_all({0}, '\p{{Lu}}{{2,}}|\d+(?:[.,:/\x{{66B}}\x{{66C}}]\d+)*')"
 _CLEAN = f"""
-, k AS (SELECT *, levenshtein(hp, rp) AS ep, length(rp) AS lp, levenshtein(hc, rc) AS ec, length(rc) AS lc, length(hp) - length(rp) AS dl FROM (
-  SELECT id, lang, arm, ref, hyp, {_SP.format('hyp')} AS hp, {_SP.format('ref')} AS rp, {_CN.format('hyp')} AS hc, {_CN.format('ref')} AS rc FROM fold)),
-en AS (SELECT id, token, sum(i) AS i, sum(o) AS o FROM (SELECT id, unnest({_ENT.format('ref')}) AS token, 1 AS i, 0 AS o FROM fold UNION ALL SELECT id, unnest({_ENT.format('hyp')}), 0, 1 FROM fold) GROUP BY id, token),
-dr AS (SELECT id, sum(abs(i - o)) AS drift, sum(i) AS total FROM en GROUP BY id),
-agg AS (SELECT lang, arm, count(*) AS n, round(sum(ep)::DOUBLE / nullif(sum(lp), 0), 9) AS cer_punct, round(sum(ec)::DOUBLE / nullif(sum(lc), 0), 9) AS content_delta, round(sum(dl)::DOUBLE / nullif(sum(lp), 0), 9) AS length_delta,
-  count(*) FILTER (WHERE ec > 0) AS rewritten, round(sum(drift)::DOUBLE / nullif(sum(total), 0), 9) AS entity_drift
-FROM k LEFT JOIN dr USING (id) GROUP BY lang, arm)"""
+, k AS (SELECT *, {_lev('hp', 'rp')} AS ep, length(rp) AS lp, {_lev('hc', 'gc')} AS ec, length(gc) AS lc, length(hyp) - length(given) AS dl, length(given) AS li FROM (
+  SELECT id, clip, lang, arm, given, hyp, {_SP.format('hyp')} AS hp, {_SP.format('ref')} AS rp, {_CN.format('hyp')} AS hc, {_CN.format('given')} AS gc FROM pairs)),
+en AS (SELECT id, clip, token, sum(i) AS i, sum(o) AS o FROM (SELECT id, clip, unnest({_ENT.format('given')}) AS token, 1 AS i, 0 AS o FROM pairs UNION ALL SELECT id, clip, unnest({_ENT.format('hyp')}), 0, 1 FROM pairs) GROUP BY id, clip, token),
+dr AS (SELECT id, clip, sum(abs(i - o)) AS drift, sum(i) AS total FROM en GROUP BY id, clip),
+agg AS (SELECT lang, arm, count(*) AS n, round(sum(ep)::DOUBLE / nullif(sum(lp), 0), 9) AS cer_punct, round(sum(ec)::DOUBLE / nullif(sum(lc), 0), 9) AS content_delta, round(sum(dl)::DOUBLE / nullif(sum(li), 0), 9) AS length_delta,
+  count(*) FILTER (WHERE ec > 0) AS rewritten, round(sum(coalesce(drift, 0))::DOUBLE / sum(greatest(1, coalesce(total, 0))), 9) AS entity_drift
+FROM k LEFT JOIN dr USING (id, clip) GROUP BY lang, arm)"""
 
 
 def cleanup_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    arms = _cleanup(spark, sf_dir)
-    expected = arms.select("lang").distinct().crossJoin(F.broadcast(spark.createDataFrame([("src1",), ("never",)], "arm string")))
-    return E.cleanup_gate(arms, "src0", expected).withColumn("delta", F.round("delta", 8))
+    """All arms of the run were wanted; of the languages asked for one was never measured."""
+    languages = V.table(spark, sf_dir, "documents").select("lang").distinct().union(spark.createDataFrame([("xx",)], "lang string"))
+    out = E.cleanup_gate(_cleanup(spark, sf_dir), "src0", ["src0", "src1", "src2"], languages)
+    return out.withColumns({c: F.round(c, 8) for c in ("value", "against", "delta")})
 
 
 _GATE = """
-, cr AS (SELECT a.*, c.cer_punct AS control FROM agg a LEFT JOIN (SELECT lang, cer_punct FROM agg WHERE arm = 'src0') c ON a.lang = c.lang WHERE a.arm <> 'src0')
-SELECT lang, arm, failure, round(delta, 8) AS delta FROM (
-  SELECT lang, arm, 'no-control' AS failure, NULL::DOUBLE AS delta FROM cr WHERE control IS NULL
-  UNION ALL SELECT lang, arm, 'unmeasured', NULL FROM cr WHERE cer_punct IS NULL
-  UNION ALL SELECT lang, arm, 'cer', cer_punct - control FROM cr WHERE cer_punct > control
-  UNION ALL SELECT lang, arm, 'content', content_delta FROM cr WHERE content_delta > 0.005
-  UNION ALL SELECT lang, arm, 'entities', entity_drift FROM cr WHERE entity_drift > 0.02
-  UNION ALL SELECT x.lang, x.arm, 'missing', NULL FROM (SELECT DISTINCT lang, e.arm FROM agg, (VALUES ('src1'), ('never')) e(arm)) x WHERE NOT EXISTS (SELECT 1 FROM agg WHERE agg.lang = x.lang AND agg.arm = x.arm))"""
+, cr AS (SELECT a.*, c.cer_punct AS control FROM agg a JOIN (SELECT lang, cer_punct FROM agg WHERE arm = 'src0') c ON a.lang = c.lang WHERE a.arm <> 'src0'),
+w AS (SELECT l.lang, count(*) FILTER (WHERE arm <> 'src0' AND n > 0) AS scored FROM (SELECT DISTINCT lang FROM documents UNION SELECT 'xx') l LEFT JOIN agg USING (lang) GROUP BY l.lang)
+SELECT lang, arm, failure, round(value, 8) AS value, round(against, 8) AS against, round(value - against, 8) AS delta FROM (
+  SELECT lang, arm, 'cer_punct' AS failure, cer_punct AS value, control AS against FROM cr WHERE cer_punct > control
+  UNION ALL SELECT lang, arm, 'content_delta', content_delta, 0.005::DOUBLE FROM cr WHERE content_delta > 0.005
+  UNION ALL SELECT lang, arm, 'entity_drift', entity_drift, 0.02::DOUBLE FROM cr WHERE entity_drift > 0.02)
+UNION ALL SELECT lang, 'src1,src2', 'not_measured', NULL, NULL, NULL FROM w WHERE scored < 2"""
 
 
 def entity_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = E.entity_drift(E.cleanup_stats(_fold_pairs(spark, sf_dir)), ["id"])
-    return out.select("id", "drift", "total", F.array_join("lost", ",").alias("lost"))
+    out = E.cleanup_stats(V.pairs(spark, sf_dir)).where(F.size(F.concat("ents_in", "ents_out")) > 0)
+    return out.select("id", "clip", "drift", "total", F.array_join("lost", ",").alias("lost"))
 
 
 def rewritten_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The two most rewritten clips of each arm."""
-    rows = E.cleanup_stats(_fold_pairs(spark, sf_dir))
-    place = F.row_number().over(Window.partitionBy("lang", "arm").orderBy(F.desc("edits_p"), "id"))
-    return rows.withColumn("place", place).where("place <= 2").select("lang", "arm", "place", "id", "edits_p")
+    """The two clips of each arm with the largest share of rewritten content."""
+    rows = E.cleanup_stats(V.pairs(spark, sf_dir)).where("edits_c > 0").withColumn("share", F.coalesce(F.col("edits_c") / F.nullif("len_c", F.lit(0).cast("long")), F.lit(0.0)))
+    place = F.row_number().over(Window.partitionBy("lang", "arm").orderBy(F.desc("share"), "id", "clip"))
+    return rows.withColumn("place", place).where("place <= 2").select("lang", "arm", "place", "id", "clip", "edits_c")
 
 
 def _half_tiers(spark: SparkSession, sf_dir: str, half: int) -> DataFrame:
@@ -232,7 +266,7 @@ _PUBLISH = "SELECT lang, n, cer, tier, error FROM h1 WHERE error IS NULL UNION A
 
 
 def normalised_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = V.table(spark, sf_dir, "documents")
+    rows = V.spread(V.table(spark, sf_dir, "documents"))
     return rows.select("doc_id", F.sha2(T.scoring_form(F.col("text")), 256).alias("digest"), F.length(T.scoring_form(F.col("text"), strip_space=True, keep_punctuation=True)).cast("long").alias("packed_chars"))
 
 
@@ -254,35 +288,42 @@ def text_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _KEYS = """SELECT doc_id, sha256(concat_ws('|', source, 'm', lang, doc_id::VARCHAR)) AS key, 'doc-' || source || '-' || lang AS slug,
- CASE WHEN ms >= 3600000 THEN printf('%d:%02d:%02d', ms // 3600000, (ms // 60000) % 60, (ms // 1000) % 60) ELSE printf('%d:%02d', ms // 60000, (ms // 1000) % 60) END || printf('.%03d', ms % 1000) AS clock,
+ CASE WHEN ms >= 3600000 THEN printf('%02d:%02d:%02d', ms // 3600000, (ms // 60000) % 60, (ms // 1000) % 60) ELSE printf('%02d:%02d', ms // 60000, (ms // 1000) % 60) END || printf('.%03d', ms % 1000) AS clock,
  printf('%02d:%02d:%02d,%03d', ms // 3600000, (ms // 60000) % 60, (ms // 1000) % 60, ms % 1000) AS subtitle, ms AS parsed,
  CASE WHEN s < 60 THEN printf('%ds', s) WHEN s < 3600 THEN printf('%dm %02ds', s // 60, s % 60) ELSE printf('%dh %02dm', s // 3600, (s // 60) % 60) END AS human
 FROM (SELECT *, n_chars * 60 AS ms, round(n_chars * 60 / 1000.0::DOUBLE)::BIGINT AS s FROM documents)"""
 
-_s = lambda q: V.oracle(q, "pairs", stats=_STATS)
+_C = {"clips": _CLIPS}
+_S = {**_C, "stats": _STATS}
+_s = lambda q: V.oracle(q, "pairs", **_S)
+_B = {**_S, "boot": _BOOT}
+_T = {**_B, "integrity": _INTEGRITY, "rates": _RATES, "t": _TIERS, "levels": _LEVELS}
 QUERIES = {f.__name__: f for f in (
-    flagship_language_tiers, corpus_cer, corpus_wer, corpus_chrf, corpus_chrf_words, bootstrap_interval, bootstrap_poisson, seeded_draws, pair_rates, language_summary, sample_description, script_integrity, script_census,
+    flagship_language_tiers, report_order, blocked_queue, corpus_cer, corpus_wer, corpus_chrf, corpus_chrf_words, bootstrap_interval, bootstrap_poisson, seeded_draws, pair_rates, language_summary, sample_description, script_integrity, script_census,
     cleanup_aggregate, cleanup_gate, entity_drift, rewritten_examples, tier_changes, publish, normalised_text, normaliser_chain, text_keys)}
 ORACLE_SQL = {
-    "flagship_language_tiers": V.oracle(_FLAGSHIP, "pairs", stats=_STATS, integrity=_INTEGRITY, rates=_RATES, t=_TIERS),
+    "flagship_language_tiers": V.oracle(_FLAGSHIP, "pairs", **_T),
+    "report_order": V.oracle(_ORDER, "pairs", **_T),
+    "blocked_queue": V.oracle("SELECT lang, unnest(blocked) AS blocker, len(blocked) = 1 AS only FROM levels", "pairs", **_T),
     "corpus_cer": _s("SELECT lang, arm, count(*) AS n, sum(edits)::BIGINT AS edits, sum(ref_len)::BIGINT AS total, round(sum(edits)::DOUBLE / nullif(sum(ref_len), 0), 9) AS cer FROM stats GROUP BY lang, arm"),
-    "corpus_wer": _s(_WER),
-    "corpus_chrf": V.oracle("", "pairs") + _CHRF,
-    "bootstrap_interval": _s("") + _BOOT,
+    "corpus_wer": V.oracle(_WER, "pairs", **_C),
+    "corpus_chrf": V.oracle("", "pairs") + _CHRF + _SCORE,
+    "corpus_chrf_words": V.oracle("", "pairs") + _CHRF_WORDS,
+    "bootstrap_interval": V.oracle("SELECT lang, n, round(lo, 9) AS lo, round(hi, 9) AS hi FROM boot", "pairs", **_B),
     "seeded_draws": _DRAWS,
-    "pair_rates": _s("SELECT id, edits, ref_len, round(CASE WHEN ref_len > 0 THEN edits::DOUBLE / ref_len WHEN length(h) = 0 THEN 0.0 END, 9) AS cer FROM stats"),
+    "pair_rates": V.oracle("SELECT id, clip, edits, ref_len, round(CASE WHEN ref_len > 0 THEN edits::DOUBLE / ref_len WHEN length(h) = 0 THEN 0.0 END, 9) AS cer, round(CASE WHEN ref_len > 0 THEN edits::DOUBLE / ref_len WHEN length(h) = 0 THEN 0.0 END, 9) AS grapheme_cer FROM clips", "pairs", **_C),
     "language_summary": _s("SELECT lang, count(*) AS n, sum(edits)::BIGINT AS edits, sum(ref_len)::BIGINT AS ref_len, round(sum(edits)::DOUBLE / nullif(sum(ref_len), 0), 9) AS cer, (list(id ORDER BY coalesce(edits::DOUBLE / nullif(ref_len, 0), -1) DESC, id DESC))[1] AS worst_id, round(max(edits::DOUBLE / nullif(ref_len, 0)), 9) AS worst_cer FROM stats GROUP BY lang"),
     "sample_description": "SELECT lang, sum(c)::BIGINT AS clips, sum(c)::BIGINT AS distinct_ids, round(sum(s)::DOUBLE / 16000, 6) AS seconds, count(*) = 1 AS uniform, count(*) AS groups, max(c) AS largest_group FROM (SELECT lang, source, count(*) AS c, sum(n_chars * 960) AS s FROM documents GROUP BY lang, source) GROUP BY lang",
     "script_integrity": r"""SELECT doc_id, length(a)::BIGINT AS counted, length(b)::BIGINT AS in_script, round(length(b)::DOUBLE / nullif(length(a), 0), 9) AS fraction,
  coalesce(array_to_string((list_transform(list_sort(list_transform(list_distinct(string_split(c, '')), lambda x: {'p': instr(c, x), 'x': x})), lambda y: y.x))[1:8], ''), '') AS strays
  FROM (SELECT doc_id, regexp_replace(text, '[^\p{L}\p{M}]', '', 'g') AS a, regexp_replace(text, '[^A-Za-z]', '', 'g') AS b, regexp_replace(text, '[^\p{L}\p{M}]|[A-Za-z]', '', 'g') AS c FROM documents)""",
     "script_census": r"""SELECT lang, 'Latn' AS script, count(*) AS rows, 1.0::DOUBLE AS share, 'primary' AS role FROM documents WHERE regexp_matches(text, '\p{Latin}') GROUP BY lang""",
-    "cleanup_aggregate": V.oracle("", "pairs", fold=_FOLD) + _CLEAN + " SELECT * FROM agg",
-    "cleanup_gate": V.oracle("", "pairs", fold=_FOLD) + _CLEAN + _GATE,
-    "entity_drift": V.oracle("", "pairs", fold=_FOLD) + _CLEAN + " SELECT id, sum(abs(i - o))::BIGINT AS drift, sum(i)::BIGINT AS total, coalesce(array_to_string(list_sort(list(token) FILTER (WHERE o < i)), ','), '') AS lost FROM en GROUP BY id",
-    "rewritten_examples": V.oracle("", "pairs", fold=_FOLD) + _CLEAN + " SELECT lang, arm, place::INT AS place, id, ep::BIGINT AS edits_p FROM (SELECT *, row_number() OVER (PARTITION BY lang, arm ORDER BY ep DESC, id) AS place FROM k) WHERE place <= 2",
-    "tier_changes": V.oracle(_CHANGES, "pairs", stats=_STATS, h0=_HALF.format(0), h1=_HALF.format(1)),
-    "publish": V.oracle(_PUBLISH, "pairs", stats=_STATS, h0=_HALF.format(0), h1=_HALF.format(1)),
+    "cleanup_aggregate": V.oracle("", "pairs") + _CLEAN + " SELECT * FROM agg",
+    "cleanup_gate": V.oracle("", "pairs") + _CLEAN + _GATE,
+    "entity_drift": V.oracle("", "pairs") + _CLEAN + " SELECT id, clip, sum(abs(i - o))::BIGINT AS drift, sum(i)::BIGINT AS total, coalesce(array_to_string(list_sort(list(token) FILTER (WHERE o < i)), ','), '') AS lost FROM en GROUP BY id, clip",
+    "rewritten_examples": V.oracle("", "pairs") + _CLEAN + " SELECT lang, arm, place::INT AS place, id, clip, ec::BIGINT AS edits_c FROM (SELECT *, row_number() OVER (PARTITION BY lang, arm ORDER BY coalesce(ec::DOUBLE / nullif(lc, 0), 0) DESC, id, clip) AS place FROM k WHERE ec > 0) WHERE place <= 2",
+    "tier_changes": V.oracle(_CHANGES, "pairs", **_S, h0=_HALF.format(0), h1=_HALF.format(1)),
+    "publish": V.oracle(_PUBLISH, "pairs", **_S, h0=_HALF.format(0), h1=_HALF.format(1)),
     "normalised_text": r"SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(lower(nfc_normalize(text)), '[\p{P}\p{S}]', '', 'g'), '\s+', ' ', 'g'))) AS digest, length(regexp_replace(lower(nfc_normalize(text)), '\s+', '', 'g'))::BIGINT AS packed_chars FROM documents",
     "normaliser_chain": r"SELECT doc_id, sha256(CASE lang WHEN 'fr' THEN trim(regexp_replace(lower(nfc_normalize(text)), '\s+', ' ', 'g')) WHEN 'de' THEN trim(regexp_replace(regexp_replace(text, '[\p{P}\p{S}]', '', 'g'), '\s+', ' ', 'g')) ELSE trim(regexp_replace(text, '\s+', ' ', 'g')) END) AS digest FROM documents",
     "text_keys": _KEYS,

@@ -5,19 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Milliseconds of audio for a character of text; characters of a scored text.
-MS_PER_CHAR, PAIR_CHARS = 60, 240
+#: Milliseconds of audio for a character of text; characters of a clip.
+MS_PER_CHAR, CLIP_CHARS = 60, 240
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def pairs(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """id, lang, arm, ref, hyp. The SQL of the view has the first PAIR_CHARS characters; whole: all of each text."""
-    ref = F.col("text") if whole else F.substring("text", 1, PAIR_CHARS)
-    hyp = F.replace(F.replace(ref, F.lit("th"), F.lit("t")), F.lit(". "), F.lit(" "))
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang", F.col("source").alias("arm"), ref.alias("ref"), hyp.alias("hyp"))
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores, where the files are too few to be read by all of them."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, clip, lang, arm, ref, given, hyp: all of each document, in clips of so many characters; one empty clip without a text.
+
+    given is what a recogniser heard of the reference, hyp what an editing pass made of it; the arm src0 leaves it as it is.
+    """
+    rows = spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("id"), "lang", F.col("source").alias("arm"), F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(f"(?s).{{1,{CLIP_CHARS}}}"), F.lit(0)).alias("c"))
+    clips = rows.select("id", "lang", "arm", F.posexplode_outer("c").alias("clip", "ref")).fillna({"clip": 0, "ref": ""})
+    given = F.replace(F.replace("ref", F.lit("th"), F.lit("t")), F.lit(". "), F.lit(" "))
+    clips = clips.withColumn("given", given)
+    spaced = F.replace("given", F.lit("an"), F.lit("a n"))
+    hyp = F.when(F.col("arm") == "src0", F.col("given")).when(F.col("id") % 3 == 1, F.replace(spaced, F.lit("ou"), F.lit("o"))).otherwise(spaced)
+    return clips.select("id", "clip", "lang", "arm", "ref", "given", hyp.alias("hyp"))
 
 
 def seg(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +84,10 @@ def asset(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SQL = {
-    "pairs": "SELECT doc_id AS id, lang, source AS arm, substr(text, 1, 240) AS ref, replace(replace(substr(text, 1, 240), 'th', 't'), '. ', ' ') AS hyp FROM documents",
+    "pairs": """SELECT *, CASE WHEN arm = 'src0' THEN given WHEN id % 3 = 1 THEN replace(replace(given, 'an', 'a n'), 'ou', 'o') ELSE replace(given, 'an', 'a n') END AS hyp
+        FROM (SELECT *, replace(replace(ref, 'th', 't'), '. ', ' ') AS given FROM (
+         SELECT id, lang, arm, unnest(range(len(c)))::INT AS clip, unnest(c) AS ref FROM (
+          SELECT doc_id AS id, lang, source AS arm, CASE WHEN coalesce(text, '') = '' THEN [''] ELSE regexp_extract_all(text, '(?s).{1,240}') END AS c FROM documents)))""",
     "seg": """SELECT run_id, idx, speaker_key, text, start_ms, start_ms + d AS end_ms FROM (
         SELECT conv_id AS run_id, turn AS idx, role AS speaker_key, text, length(text) * 60 AS d,
                coalesce(sum(length(text) * 60) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_ms
