@@ -101,6 +101,26 @@ def _clock_parts(ms: Column) -> list[Column]:
     return [F.floor(a / 3_600_000), F.floor(a / 60_000) % 60, F.floor(a / 1000) % 60, a % 1000]
 
 
+def normalised_segments(segments: DataFrame, ids: Sequence[str], joiner: str = " ", needs: Column | None = None, converter: Callable[[Column], Column] | None = None) -> DataFrame:
+    """segments with text and words (an array of strings) normalised, text_raw as it came, and whether it was converted.
+
+    needs tells which texts are in a legacy encoding; those are converted first, word by word where there are words.
+    """
+    if needs is not None and converter is None:
+        raise ValueError("texts in a legacy encoding need a converter")
+    out = segments.withColumns({"text_raw": F.col("text"), "converted": F.lit(False) if needs is None else F.coalesce(needs, F.lit(False))})
+    if needs is not None:
+        words = F.when(F.col("converted"), F.transform("words", converter)).otherwise(F.col("words"))
+        out = out.withColumn("words", words).withColumn("text", F.when(~F.col("converted"), F.col("text")).when(F.size("words") > 0, F.array_join("words", joiner)).otherwise(converter(F.col("text"))))
+    # a step that needs Python can't run inside an array, so words go through it joined by a character that texts have not
+    mark = "\x1f"
+    joined = F.array_join(F.transform("words", lambda w: F.replace(w, F.lit(mark), F.lit(""))), mark)
+    if "nfc" in ids:
+        out = out.withColumn("words", F.when(F.size("words") > 0, F.split(nfc(joined), mark)).otherwise(F.col("words")))
+    rest = [i for i in ids if i != "nfc"]
+    return out.withColumns({"text": chain(F.col("text"), ids), "words": F.transform("words", lambda w: chain(w, rest))})
+
+
 def clock(ms: Column, with_ms: bool = True, always_hours: bool = False) -> Column:
     """[-][hh:]mm:ss[.mmm]; every part has two digits at least."""
     h, m, s, rest = _clock_parts(ms)
@@ -217,7 +237,7 @@ def graphemes(c: Column) -> Column:
 
 def token_form(c: Column) -> Column:
     """A word as alignments compare it: NFC, without punctuation and symbols, in lower case, trimmed."""
-    return F.trim(F.lower(strip_punctuation(nfc(c))))
+    return F.regexp_replace(F.lower(strip_punctuation(nfc(c))), f"^{SPACE}|{SPACE}$", "")
 
 
 def tokens(words: Column, segmentation: str = "spaces") -> Column:
@@ -226,7 +246,7 @@ def tokens(words: Column, segmentation: str = "spaces") -> Column:
     owner is the place of the word; words of which nothing is left have no token.
     """
     placed = F.transform(words, lambda w, i: F.transform(F.array(w) if segmentation == "spaces" else graphemes(w), lambda t: F.struct(t.alias("token"), i.alias("owner"))))
-    return F.filter(F.flatten(placed), lambda x: F.trim(x["token"]) != "")
+    return F.filter(F.flatten(placed), lambda x: x["token"].rlike("\\S"))
 
 
 def dice(matched: Column, a: Column, b: Column) -> Column:

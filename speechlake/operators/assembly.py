@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from bisect import bisect_left
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -12,7 +13,7 @@ from speechlake.functions import text as T
 
 #: Guard against text heard in silence, and the limits of seams.
 NO_SPEECH, SHORT_TEXT, HALLUCINATION_WARNING = 0.6, 30, 0.10
-SEAM_SLACK_MS, SEAM_WORDS, SEAM_CUT, SEAM_FLAG = 300, 60, 0.5, 0.7
+SEAM_SLACK_MS, SEAM_WORDS, SEAM_CHARS, SEAM_CUT, SEAM_FLAG = 300, 60, 400, 0.5, 0.7
 #: Shapes of the two kinds of responses.
 RECOGNISE = "array<struct<alternatives:array<struct<transcript:string,confidence:double,words:array<struct<word:string,startOffset:string,endOffset:string,confidence:double>>>>,resultEndOffset:string>>"
 WHISPER = "struct<duration:double,segments:array<struct<start:double,end:double,text:string,avg_logprob:double,no_speech_prob:double,words:array<struct<word:string,start:double,end:double,probability:double>>>>,words:array<struct<word:string,start:double,end:double,probability:double>>>"
@@ -113,75 +114,161 @@ def chunk_plan(assets: DataFrame, silences: DataFrame, most_ms: int, lead_ms: in
 
 
 def lcs_pairs(a: Sequence[str], b: Sequence[str]) -> list[tuple[int, int]]:
-    """A longest common subsequence as pairs of places; earlier places of b win ties."""
-    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
-    out, i, j = [], 0, 0
-    while i < len(a) and j < len(b):
-        if a[i] == b[j]:
-            out.append((i, j))
-            i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
-            i += 1
-        else:
-            j += 1
+    """A longest common subsequence as pairs of places, by chains of matches.
+
+    From the end of a, every match gets the length of the longest chain of matches that it can begin; lasts[k] is the
+    latest place in b at which a chain of k + 1 begins. The pairs are then taken from the front. Of equally long
+    choices the earliest place in b stands, then the earliest in a.
+    """
+    where: dict[str, list[int]] = {}
+    for j, x in enumerate(b):
+        where.setdefault(x, []).append(j)
+    by_length: dict[int, list[tuple[int, int]]] = {}
+    lasts: list[int] = []  # falling
+    for i in reversed(range(len(a))):
+        found = [(bisect_left(lasts, -j, key=lambda last: -last), j) for j in where.get(a[i], ())]
+        for k, j in found:
+            by_length.setdefault(k + 1, []).append((j, i))
+            if k == len(lasts):
+                lasts.append(j)
+            else:
+                lasts[k] = max(lasts[k], j)
+    out: list[tuple[int, int]] = []
+    i = j = -1
+    for left in range(len(lasts), 0, -1):
+        j, i = min((y, x) for y, x in by_length[left] if y > j and x > i)
+        out.append((i, j))
     return out
 
 
-def seams(words: DataFrame, lead_ms: int) -> DataFrame:
-    """run_id, chunk, seam_ms, score, outcome, drop: how many first words of a chunk its predecessor has already.
+def adjacent_chunks(chunks: DataFrame) -> DataFrame:
+    """run_id, chunk, seam_ms of chunks that follow a chunk of their run without a gap; the seam is where that one ends. Next to a failed chunk there is none."""
+    before = chunks.select("run_id", (F.col("chunk") + 1).alias("chunk"), F.col("end_ms").alias("seam_ms"), F.col("failed").alias("_f"))
+    return chunks.where("not failed").join(before.where("not _f").drop("_f"), ["run_id", "chunk"]).select("run_id", "chunk", "seam_ms")
+
+
+def _windows(words: DataFrame, pairs: DataFrame, lead_ms: int, slack_ms: int) -> DataFrame:
+    """run_id, chunk, seam_ms, left, right: words at both sides of each seam with their places in their chunks."""
+    place = F.row_number().over(Window.partitionBy("run_id", "chunk").orderBy("start_ms", "word_idx")) - 1
+    placed = words.withColumn("place", place).select("run_id", F.col("chunk").alias("c"), F.struct("place", T.token_form(F.col("text")).alias("token"), "start_ms", "end_ms").alias("w"))
+    side = lambda c, keep, name: pairs.join(placed, (pairs["run_id"] == placed["run_id"]) & (c == placed["c"])).groupBy(pairs["run_id"], "chunk").agg(
+        F.array_sort(F.collect_list(F.when(keep, F.col("w")))).alias(name), F.max("w.place").alias(f"{name}_last"), F.max(F.when(F.col("w.end_ms") <= F.col("seam_ms") - lead_ms / 2, F.col("w.place"))).alias(f"{name}_ended"), F.max(F.when(F.col("w.start_ms") <= F.col("seam_ms") - lead_ms / 2, F.col("w.place"))).alias(f"{name}_begun"))
+    left = side(F.col("chunk") - 1, F.col("w.start_ms") >= F.col("seam_ms") - lead_ms - slack_ms, "left")
+    right = side(F.col("chunk"), F.col("w.end_ms") <= F.col("seam_ms") + slack_ms, "right")
+    rows = pairs.join(left, ["run_id", "chunk"], "left").join(right, ["run_id", "chunk"], "left")
+    return rows.select("run_id", "chunk", "seam_ms", F.slice("left", -SEAM_WORDS, SEAM_WORDS).alias("long_left"), "left", F.slice("right", 1, SEAM_WORDS).alias("right"), "left_last", F.coalesce("left_ended", F.lit(-1)).alias("left_ended"), F.coalesce("right_begun", F.lit(-1)).alias("right_begun"))
 
-    words: run_id, chunk, word_idx, text, start_ms, end_ms. The windows at both sides of a seam hold at most 60 words;
-    the alignment of a window is a small step over one row. Below 0.5 the seam is cut at its middle, below 0.7 it is
-    flagged; with an empty side the score is 1. The pair whose word is nearest the seam decides what is dropped.
+
+def seams(words: DataFrame, chunks: DataFrame, lead_ms: int, segmentation: str = "spaces", slack_ms: int = SEAM_SLACK_MS) -> DataFrame:
+    """run_id, chunk, seam_ms, method, score, flagged, keep_through, drop_through: where the words of two chunks that overlap are joined.
+
+    words: run_id, chunk, word_idx, text, start_ms, end_ms; chunks: run_id, chunk, end_ms, failed. A chunk begins lead_ms
+    before its predecessor ends, the seam. Compared are the predecessor's words that start in the overlap and the
+    chunk's own that end in it, give or take the slack, at most 60 of each. From a score of 0.5 on the pair whose
+    earlier word lies nearest the seam joins them: the predecessor is kept through that word, and the chunk dropped
+    through its own; below 0.7 that is flagged. Else both are cut in the middle of the overlap, flagged. Places count
+    from 0 within the chunk, -1 is none; with an empty side all is kept. Tokens are whole words, or graphemes where
+    words aren't set apart.
     """
-    bounds = words.groupBy("run_id", "chunk").agg(F.min("start_ms").alias("from_ms"), F.max("end_ms").alias("to_ms"))
-    nxt = bounds.select("run_id", F.col("chunk").alias("c"), "from_ms").where("c > 0")
-    word = F.struct("start_ms", "word_idx", F.lower(F.regexp_replace("text", "[\\p{P}\\p{S}]", "")).alias("t"), "end_ms")
-    met = words.join(nxt, "run_id").where((F.col("chunk") == F.col("c") - 1) & (F.col("end_ms") >= F.col("from_ms") - SEAM_SLACK_MS))
-    left = met.groupBy("run_id", "c").agg(F.array_sort(F.collect_list(word)).alias("l"))
-    met = words.join(nxt, "run_id").where((F.col("chunk") == F.col("c")) & (F.col("start_ms") <= F.col("from_ms") + lead_ms + SEAM_SLACK_MS))
-    right = met.groupBy("run_id", "c").agg(F.array_sort(F.collect_list(word)).alias("r"))
-    rows = nxt.join(left, ["run_id", "c"], "left").join(right, ["run_id", "c"], "left").withColumn("seam_ms", F.col("from_ms") + lead_ms)
-
-    def align(frames):
+    rows = _windows(words, adjacent_chunks(chunks), lead_ms, slack_ms)
+    few = F.when(F.size("left") > SEAM_WORDS, F.col("long_left")).otherwise(F.col("left"))
+    units = lambda c: T.tokens(F.transform(c, lambda w: w["token"]), segmentation)
+    rows = rows.withColumn("left", F.coalesce(few, F.array().cast(rows.schema["left"].dataType))).withColumn("right", F.coalesce("right", F.array().cast(rows.schema["right"].dataType)))
+    rows = rows.select("run_id", "chunk", "seam_ms", F.transform("left", lambda w: w["place"]).alias("lp"), F.transform("left", lambda w: (w["start_ms"] + w["end_ms"]) / 2).alias("lm"), F.transform("right", lambda w: w["place"]).alias("rp"),
+                       units(F.col("left")).alias("l"), units(F.col("right")).alias("r"), "left_last", "left_ended", "right_begun")
+
+    def align(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             out = []
-            for run, c, seam, l, r in zip(pdf["run_id"], pdf["c"], pdf["seam_ms"], pdf["l"], pdf["r"]):
-                l, r = list(l if l is not None else [])[-SEAM_WORDS:], list(r if r is not None else [])[:SEAM_WORDS]
-                if not l or not r:
-                    out.append((run, c, seam, 1.0, "empty", 0))
+            for x in pdf.itertuples(index=False):
+                if not len(x.lp) or not len(x.rp):
+                    out.append((x.run_id, x.chunk, x.seam_ms, "empty", 1.0, False, -1 if pd.isna(x.left_last) else int(x.left_last), -1))
                     continue
-                pairs = lcs_pairs([x["t"] for x in l], [x["t"] for x in r])
-                score = 2 * len(pairs) / (len(l) + len(r))
-                if score < SEAM_CUT:
-                    out.append((run, c, seam, score, "cut", sum((x["start_ms"] + x["end_ms"]) / 2 < seam for x in r)))
-                else:
-                    near = min(pairs, key=lambda p: abs((r[p[1]]["start_ms"] + r[p[1]]["end_ms"]) / 2 - seam))
-                    out.append((run, c, seam, score, "flagged" if score < SEAM_FLAG else "merged", near[1] + 1))
-            yield pd.DataFrame(out, columns=["run_id", "chunk", "seam_ms", "score", "outcome", "drop"])
+                pairs = lcs_pairs([t["token"] for t in x.l], [t["token"] for t in x.r])
+                score = 2 * len(pairs) / (len(x.l) + len(x.r)) if len(x.l) + len(x.r) else 1.0
+                if not pairs or score < SEAM_CUT:
+                    out.append((x.run_id, x.chunk, x.seam_ms, "hard-cut", score, True, x.left_ended, x.right_begun))
+                    continue
+                i, j = min(pairs, key=lambda p: abs(x.lm[x.l[p[0]]["owner"]] - x.seam_ms))
+                out.append((x.run_id, x.chunk, x.seam_ms, "lcs", score, score < SEAM_FLAG, x.lp[x.l[i]["owner"]], x.rp[x.r[j]["owner"]]))
+            yield pd.DataFrame(out, columns=["run_id", "chunk", "seam_ms", "method", "score", "flagged", "keep_through", "drop_through"])
+
+    return rows.mapInPandas(align, "run_id long, chunk long, seam_ms long, method string, score double, flagged boolean, keep_through int, drop_through int")
 
-    return rows.select("run_id", "c", "seam_ms", "l", "r").mapInPandas(align, "run_id long, chunk long, seam_ms long, score double, outcome string, drop int")
+
+def seams_without_words(segments: DataFrame, chunks: DataFrame, lead_ms: int) -> DataFrame:
+    """run_id, chunk, seam_ms, method, score, flagged, drop_through for chunks whose segments have no word times.
+
+    segments: run_id, chunk, idx, text, start_ms, end_ms. Segments of the chunk go that lie, by their middle, before the
+    middle of the overlap; the likeness of the last and first 400 characters is told but decides nothing, and all such
+    seams are flagged.
+    """
+    pairs = adjacent_chunks(chunks)
+    place = F.row_number().over(Window.partitionBy("run_id", "chunk").orderBy("start_ms", "idx")) - 1
+    placed = segments.withColumn("place", place)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda x: x["text"]), " ")
+    whole = placed.groupBy("run_id", "chunk").agg(text.alias("t"))
+    gone = placed.join(pairs, ["run_id", "chunk"]).where((F.col("start_ms") + F.col("end_ms")) / 2 < F.col("seam_ms") - lead_ms / 2).groupBy("run_id", "chunk").agg(F.max("place").alias("drop_through"))
+    units = lambda c: F.transform(T.tokens(F.array(T.token_form(c)), "none"), lambda x: x["token"])
+    left = whole.select("run_id", (F.col("chunk") + 1).alias("chunk"), units(F.right("t", F.lit(SEAM_CHARS))).alias("l"))
+    right = whole.select("run_id", "chunk", units(F.left("t", F.lit(SEAM_CHARS))).alias("r"))
+    rows = pairs.join(left, ["run_id", "chunk"], "left").join(right, ["run_id", "chunk"], "left").join(gone, ["run_id", "chunk"], "left")
+
+    @F.pandas_udf("long")
+    def matched(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([0 if x is None or y is None else len(lcs_pairs(list(x), list(y))) for x, y in zip(a, b)], dtype="int64")
+
+    n = lambda c: F.coalesce(F.size(c), F.lit(0))
+    score = F.when((n("l") > 0) & (n("r") > 0), T.dice(matched("l", "r"), n("l"), n("r"))).otherwise(0.0)
+    return rows.select("run_id", "chunk", "seam_ms", F.lit("no-words").alias("method"), score.alias("score"), F.lit(True).alias("flagged"), F.coalesce("drop_through", F.lit(-1)).alias("drop_through"))
 
 
 def apply_seams(words: DataFrame, found: DataFrame) -> DataFrame:
-    """words without the first ``drop`` of each later chunk, numbered anew over the run."""
-    place = F.row_number().over(Window.partitionBy("run_id", "chunk").orderBy("start_ms", "word_idx"))
-    kept = words.withColumn("_p", place).join(found.select("run_id", "chunk", "drop"), ["run_id", "chunk"], "left").where(F.col("_p") > F.coalesce("drop", F.lit(0)))
-    return renumbered(kept.drop("_p", "drop"), ["run_id"], ["chunk", "start_ms", "word_idx"], "idx")
+    """words without the doubled ones at both sides of each seam, numbered anew over the run."""
+    place = F.row_number().over(Window.partitionBy("run_id", "chunk").orderBy("start_ms", "word_idx")) - 1
+    own = found.select("run_id", "chunk", "drop_through")
+    tail = found.select("run_id", (F.col("chunk") - 1).alias("chunk"), "keep_through")
+    kept = words.withColumn("_p", place).join(own, ["run_id", "chunk"], "left").join(tail, ["run_id", "chunk"], "left")
+    kept = kept.where((F.col("_p") > F.coalesce("drop_through", F.lit(-1))) & (F.col("keep_through").isNull() | (F.col("_p") <= F.col("keep_through"))))
+    return renumbered(kept.drop("_p", "drop_through", "keep_through"), ["run_id"], ["chunk", "start_ms", "word_idx"], "idx")
+
 
+def read_turns(results: DataFrame, keys: Sequence[str], body: str) -> DataFrame:
+    """keys, speaker_key, start_ms, end_ms, idx of stored diarization results; one that has not succeeded is an error."""
+    shape = "state string, result struct<turns:array<struct<start_ms:long,end_ms:long,speaker:string>>,num_speakers:int,model:string>"
+    r = F.from_json(body, shape)
+    ok = F.when((r["state"] == "succeeded") & r["result"].isNotNull(), r["result"]["turns"]).otherwise(F.raise_error(F.concat(F.lit("no diarization result: "), F.coalesce(r["state"], F.lit("unreadable")))).cast("array<struct<start_ms:long,end_ms:long,speaker:string>>"))
+    rows = results.select(*keys, F.posexplode(ok).alias("idx", "t"))
+    return rows.select(*keys, F.col("t.speaker").alias("speaker_key"), F.col("t.start_ms").alias("start_ms"), F.col("t.end_ms").alias("end_ms"), "idx")
 
-def transcripts(segments: DataFrame, words: DataFrame) -> DataFrame:
-    """run_id, document: one JSON document a run, with its segments and their words in order."""
+
+def transcripts(segments: DataFrame, words: DataFrame, runs: DataFrame | None = None, chunks: DataFrame | None = None, found: DataFrame | None = None) -> DataFrame:
+    """run_id, document: one JSON document a run, with its segments and their words in order.
+
+    runs adds run (all its columns); chunks (run_id, chunk, end_ms, failed) and found seams (run_id, chunk, method,
+    score, flagged) add lists of those, and a warning for every failed chunk and flagged seam.
+    """
     w = words.groupBy("run_id", "idx").agg(F.array_sort(F.collect_list(F.struct("word_idx", "text", "start_ms", "end_ms"))).alias("words"))
     s = segments.join(w, ["run_id", "idx"], "left").select("run_id", F.struct("idx", "speaker_key", "text", "start_ms", "end_ms", "words").alias("s"))
-    return s.groupBy("run_id").agg(F.array_sort(F.collect_list("s")).alias("segments")).select("run_id", F.to_json(F.struct("run_id", "segments")).alias("document"))
+    out, parts = s.groupBy("run_id").agg(F.array_sort(F.collect_list("s")).alias("segments")), ["run_id", "segments"]
+    listed = lambda df, cols, name: df.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct(*cols))).alias(name))
+    warnings = []
+    if runs is not None:
+        out, parts = out.join(runs.select("run_id", F.struct(*runs.columns).alias("run")), "run_id", "left"), ["run", *parts]
+    if chunks is not None:
+        out, parts = out.join(listed(chunks, ["chunk", "end_ms", "failed"], "chunks"), "run_id", "left"), [*parts, "chunks"]
+        warnings.append(F.transform(F.filter("chunks", lambda c: c["failed"]), lambda c: F.concat(F.lit("chunk "), c["chunk"].cast("string"), F.lit(" failed"))))
+    if found is not None:
+        out, parts = out.join(listed(found, ["chunk", "method", "score", "flagged"], "seams"), "run_id", "left"), [*parts, "seams"]
+        warnings.append(F.transform(F.filter("seams", lambda c: c["flagged"]), lambda c: F.concat(F.lit("seam before chunk "), c["chunk"].cast("string"), F.lit(" is unsure"))))
+    if warnings:
+        none = F.array().cast("array<string>")
+        out, parts = out.withColumn("warnings", F.concat(*[F.coalesce(w, none) for w in warnings])), [*parts, "warnings"]
+    return out.select("run_id", F.to_json(F.struct(*parts)).alias("document"))
 
 
 def transcript_lines(segments: DataFrame) -> DataFrame:
-    return segments.select("run_id", "idx", F.concat(F.lit("["), T.clock(F.col("start_ms")), F.lit("] "), F.col("text")).alias("line"))
+    return segments.select("run_id", "idx", F.concat(F.lit("["), T.clock(F.col("start_ms"), with_ms=False), F.lit("] "), F.col("text")).alias("line"))
 
 
 def rttm_lines(turns: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,7 +11,9 @@ from speechlake.functions import text as T
 
 #: Coalescing window, staleness and due limits, and the least change of progress that is told.
 COALESCE_MS, STALE_SECONDS, OVERDUE_SECONDS, PROGRESS_STEP = 500, 90, 300, 0.0005
-TERMINAL = ("done", "dead", "skipped", "cancelled")
+TERMINAL = ("done", "dead", "skipped", "failed", "cancelled")
+#: Fixed value: kinds of steps of which some shards may die.
+CASUALTY_KINDS = ("asr.chunk",)
 #: Extensions and MIME types of media.
 MEDIA = {"mp3": "audio", "wav": "audio", "m4a": "audio", "ogg": "audio", "flac": "audio", "mp4": "video", "mov": "video", "mkv": "video", "webm": "video"}
 
@@ -60,15 +62,22 @@ def run_progress(steps: DataFrame) -> DataFrame:
     return steps.groupBy("run_id").agg(F.least(F.lit(1.0), F.greatest(F.lit(0.0), value)).alias("progress"))
 
 
-def run_state(steps: DataFrame) -> DataFrame:
+def run_state(steps: DataFrame, cancels: DataFrame | None = None, casualty_kinds: Sequence[str] = CASUALTY_KINDS) -> DataFrame:
     """run_id, state of runs whose steps are all terminal: cancelled, failed, partial or done; others are active.
 
-    A dead step is tolerated if it is optional, or if a step of its kind in the run has finished.
+    A dead step is a casualty if its kind is one of those that may lose shards and another step of the kind is done.
+    Other failed or dead steps fail the run unless they are optional; casualties make it partial. It is cancelled only
+    if that was asked for (cancels: run_id) and some step was cancelled.
     """
-    kinds = steps.groupBy("run_id", "kind").agg(F.bool_and(F.col("state").isin(*TERMINAL)).alias("terminal"), F.bool_or(F.col("state") == "done").alias("finished"),
-                                                F.bool_or((F.col("state") == "dead") & ~F.col("optional")).alias("hard"), F.bool_or(F.col("state") == "dead").alias("dead"), F.bool_or(F.col("state") == "cancelled").alias("cancelled"))
-    runs = kinds.groupBy("run_id").agg(F.bool_and("terminal").alias("terminal"), F.bool_or("cancelled").alias("cancelled"), F.bool_or(F.col("hard") & ~F.col("finished")).alias("failed"), F.bool_or("dead").alias("partial"))
-    return runs.select("run_id", F.when(~F.col("terminal"), "active").when(F.col("cancelled"), "cancelled").when(F.col("failed"), "failed").when(F.col("partial"), "partial").otherwise("done").alias("state"))
+    state = F.col("state")
+    lost = F.when(~F.col("optional") & state.isin("failed", "dead"), 1)
+    kinds = steps.groupBy("run_id", "kind").agg(F.bool_and(state.isin(*TERMINAL)).alias("terminal"), F.bool_or(state == "done").alias("finished"), F.bool_or(state == "dead").alias("dead"),
+                                                F.count(lost).alias("lost"), F.count(F.when(state == "dead", lost)).alias("lost_dead"), F.bool_or(state == "cancelled").alias("cancelled"))
+    spared = F.col("finished") & F.col("kind").isin(*casualty_kinds)
+    runs = kinds.groupBy("run_id").agg(F.bool_and("terminal").alias("terminal"), F.bool_or("cancelled").alias("cancelled"), F.bool_or(F.col("lost") > F.when(spared, F.col("lost_dead")).otherwise(0)).alias("failed"), F.bool_or(F.col("dead") & spared).alias("partial"))
+    runs = runs.withColumn("asked", F.lit(False)) if cancels is None else runs.join(cancels.select("run_id").distinct().withColumn("asked", F.lit(True)), "run_id", "left")
+    asked = F.coalesce("asked", F.lit(False)) & F.col("cancelled")
+    return runs.select("run_id", F.when(~F.col("terminal"), "active").when(asked, "cancelled").when(F.col("failed"), "failed").when(F.col("partial"), "partial").otherwise("done").alias("state"))
 
 
 def step_dependencies(steps: DataFrame, needs: DataFrame) -> DataFrame:
@@ -96,11 +105,43 @@ def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFr
     return df.withColumns({"_r": F.row_number().over(w.orderBy(*order)), "copies": F.count("*").over(w)}).where("_r = 1").drop("_r")
 
 
-def seeded_sample(df: DataFrame, by: Sequence[str], key: str, n: int, seed: int) -> DataFrame:
-    """n rows of each stratum, the same for any order of the input: ranked by a digest of seed and key."""
-    rows = first_by(df, [*by, key], [key])
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), key))
-    return rows.withColumn("rank", rank).where(F.col("rank") <= n)
+def seeded_sample(df: DataFrame, by: Sequence[str], key: str, n: int, seed: int, salts: int = 64) -> DataFrame:
+    """n rows of each stratum, the same for any order of the input: ranked by a digest of seed and key.
+
+    The first n are found in parts of a stratum and then among those, so that no stratum is sorted in one task.
+    """
+    rows = first_by(df, [*by, key], [key]).withColumns({"_d": F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), "_s": F.pmod(F.hash(key), F.lit(salts))})
+    rank = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy("_d", key))
+    rows = rows.withColumn("rank", rank(*by, "_s")).where(F.col("rank") <= n)
+    return rows.withColumn("rank", rank(*by)).where(F.col("rank") <= n).drop("_d", "_s")
+
+
+def first_n(df: DataFrame, by: Sequence[str], position: str, n: int, salts: int = 64) -> DataFrame:
+    """The first n rows of each group in source order, found in parts as in seeded_sample."""
+    rank = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(position))
+    rows = df.withColumn("_s", F.pmod(F.hash(position), F.lit(salts)))
+    rows = rows.withColumn("place", rank(*by, "_s")).where(F.col("place") <= n)
+    return rows.withColumn("place", rank(*by)).where(F.col("place") <= n).drop("_s")
+
+
+def over_fetch(n: int, rows: Column, dropped: Column) -> Column:
+    """struct(expected_loss, fetch): clips to fetch so that n can be scored, given how many records have no usable reference."""
+    total = rows + dropped
+    loss = F.when(total > 0, n * dropped / total).otherwise(0.0)
+    return F.struct(loss.alias("expected_loss"), F.least(total, n + F.ceil(loss) + 1).alias("fetch"))
+
+
+def import_refusal(is_live: Column, duration_s: Column, most_s: float) -> Column:
+    """Why media at a URL is not imported, or null: live, a duration that is not known and positive, or one over the limit."""
+    d = duration_s.cast("double")
+    unknown = d.isNull() | F.isnan(d) | (F.abs(d) == float("inf")) | (d <= 0)
+    return F.when(F.coalesce(is_live, F.lit(False)), "live_stream").when(unknown, "unknown_duration").when(d > most_s, "file_too_large")
+
+
+def with_responses(requests: DataFrame, keys: Sequence[str], complete: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """requests with the response column of ``complete``, any function from requests to (keys, response); null where it has none."""
+    found = complete(requests).select(*keys, "response")
+    return requests.join(found, list(keys), "left")
 
 
 def insert_absent(stored: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -143,7 +184,7 @@ def cancelled_work(events: DataFrame, cancel_kind: str) -> DataFrame:
 
 def file_name_problem(raw: Column) -> Column:
     """Why a file name is refused, or null: empty, a dot, control characters, or over 255 bytes. Only what follows the last slash counts."""
-    name = F.trim(F.regexp_replace(raw, "^.*[/\\\\]", ""))
+    name = F.trim(T.nfc(F.regexp_replace(raw, "^.*[/\\\\]", "")))
     return F.when(name == "", "empty").when(name.isin(".", ".."), "dot").when(name.rlike("[\\x00-\\x1F\\x7F]"), "control").when(F.octet_length(name) > 255, "long")
 
 
@@ -195,9 +236,13 @@ def glossary(terms: DataFrame, term: str, boost: str) -> DataFrame:
 
 
 def pack_glossary(terms: DataFrame, by: Sequence[str], limit: int = 200) -> DataFrame:
-    """by, packed, used: terms by boost, then length, then text, each if it still fits; a separator costs one token."""
-    cost = F.ceil(F.length("term") / F.when(F.col("term").rlike("^[\\x00-\\x7F]*$"), 4.0).otherwise(2.5)).cast("int")
-    rows = terms.select(*by, F.struct((-F.col("boost")).alias("b"), F.length("term").alias("l"), "term", cost.alias("c")).alias("x")).groupBy(*by).agg(F.sort_array(F.collect_list("x")).alias("xs"))
+    """by, packed, used: terms by falling boost, then falling length, then text, each if it still fits; a separator costs one token.
+
+    Lengths are in UTF-16 units; a token is four of them, or two and a half in terms with letters beyond the Latin ones.
+    """
+    size = F.length("term") + F.regexp_count("term", F.lit("[\\x{10000}-\\x{10FFFF}]"))
+    cost = F.ceil(size / F.when(F.col("term").rlike("[^\\x{20}-\\x{36F}]"), 2.5).otherwise(4.0)).cast("int")
+    rows = terms.select(*by, F.struct((-F.col("boost")).alias("b"), (-size).alias("l"), "term", cost.alias("c")).alias("x")).groupBy(*by).agg(F.sort_array(F.collect_list("x")).alias("xs"))
     start = F.struct(F.lit(0).alias("used"), F.array().cast("array<string>").alias("packed"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -223,8 +268,13 @@ def cache_split(requests: DataFrame, cached: DataFrame, key: str) -> DataFrame:
 
 
 def orphans(lost: DataFrame, found: DataFrame, key: Sequence[str], back_seconds: int) -> DataFrame:
-    """lost rows with the latest found operation of the same key in the time before them."""
-    f = found.select(*key, F.col("seq").alias("op"), F.col("created_at").alias("op_at"))
-    met = lost.join(f, list(key)).where((F.col("op_at") < F.col("created_at")) & (F.unix_micros("created_at") - F.unix_micros("op_at") <= back_seconds * 1_000_000))
+    """lost rows with the latest found operation of the same key in the time before them.
+
+    Both sides are joined by key and stretch of time, a lost row in its own stretch and the one before.
+    """
+    stretch = lambda c: F.floor(F.unix_micros(c) / (back_seconds * 1_000_000))
+    f = found.select(*key, F.col("seq").alias("op"), F.col("created_at").alias("op_at"), stretch("created_at").alias("_t"))
+    at = lost.withColumn("_t", F.explode(F.array(stretch("created_at"), stretch("created_at") - 1)))
+    met = at.join(f, [*key, "_t"]).where((F.col("op_at") < F.col("created_at")) & (F.unix_micros("created_at") - F.unix_micros("op_at") <= back_seconds * 1_000_000))
     best = met.groupBy("seq").agg(F.max_by("op", F.struct("op_at", "op")).alias("op"))
     return lost.join(best, "seq", "left")

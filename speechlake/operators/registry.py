@@ -147,3 +147,32 @@ def operation_state(body: Column, expected_uri: Column) -> Column:
 def dead_steps(steps: DataFrame, at: str, order: Sequence[str]) -> DataFrame:
     """Dead steps, the newest first, those without a time last."""
     return steps.where("state = 'dead'").orderBy(F.desc_nulls_last(at), *order)
+
+
+#: Scripts written without spaces between words, and those whose lines break by dictionary or by character.
+UNSPACED, ICU_BREAKS, CHARACTER_BREAKS = ("Mymr", "Khmr", "Thai", "Laoo", "Jpan", "Hani"), ("Thai", "Laoo", "Khmr"), ("Mymr", "Jpan", "Hani")
+
+
+def text_rules(rows: DataFrame, script: str = "script") -> DataFrame:
+    """rows with the text and subtitle rules of their script."""
+    s = F.col(script)
+    unspaced = s.isin(*UNSPACED)
+    return rows.withColumns({
+        "segmentation": F.when(unspaced, "none").otherwise("spaces"), "joiner": F.when(unspaced & (s != "Mymr"), "").otherwise(" "), "rates_strip_space": unspaced, "report_wer": ~unspaced,
+        "chars_per_second": F.when(unspaced, 12).otherwise(17), "chars_per_line": F.when(unspaced, 24).otherwise(42), "max_lines": F.lit(2),
+        "line_break": F.when(s.isin(*ICU_BREAKS), "icu").when(s.isin(*CHARACTER_BREAKS), "grapheme").otherwise("space")})
+
+
+def provider_listing(capabilities: DataFrame, ranking: Sequence[str]) -> DataFrame:
+    """code, place, provider, status, word_timing: what each provider can do for a language, by rank."""
+    rank = F.array_position(F.array(*map(F.lit, ranking)), F.col("provider"))
+    place = F.row_number().over(Window.partitionBy("code").orderBy(F.when(rank > 0, rank).otherwise(len(ranking) + 1), "provider"))
+    status = F.when(~F.col("accepted"), "unsupported - code not accepted").when(F.col("suspect"), "accepted - quality unverified").otherwise("accepted - quality unmeasured")
+    return capabilities.select("code", place.alias("place"), "provider", status.alias("status"), "word_timing")
+
+
+def probe_summary(attempts: DataFrame, by: str = "provider") -> DataFrame:
+    """by, codes, accepted, rejected, errored, unknown: codes tried, and how many had each outcome as their best."""
+    order = F.array(*map(F.lit, ("accepted", "errored", "unknown", "rejected")))
+    best = attempts.groupBy(by, "code").agg(F.min_by("outcome", F.array_position(order, F.col("outcome"))).alias("o"))
+    return best.groupBy(by).agg(F.count("*").alias("codes"), *[F.count_if(F.col("o") == x).alias(x) for x in ("accepted", "rejected", "errored", "unknown")])

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,8 +14,8 @@ from speechlake.operators.intervals import islands, overlap_matrix, range_join,
 
 #: How far a word may be from its nearest turn, and the guards of smoothing and review.
 NEAREST_GAP_MS, SMOOTH_MARGIN, SMOOTH_MS, MIN_PURITY = 500, 0.6, 400, 0.6
-#: What two speakers must share to be one, and the largest group that is matched.
-MIN_OVERLAP_MS, MIN_OVERLAP_SHARE, MAX_SPEAKERS = 2000, 0.2, 64
+#: What two speakers must share to be one: so much, or that part of the smaller.
+MIN_OVERLAP_MS, MIN_OVERLAP_SHARE = 2000, 0.2
 WORD = ["run_id", "idx", "word_idx"]
 
 
@@ -101,44 +103,39 @@ def speaker_summary(segments: DataFrame, words: DataFrame, speakers: DataFrame |
 
 
 def assignment(cost: list[list[float]]) -> list[int]:
-    """The row-to-column assignment of least total cost of a square matrix, by shortest augmenting paths; equal cases go to smaller columns."""
+    """The column of each row in an assignment of least total cost, for a square matrix of whole numbers.
+
+    Rows bid for columns as in an auction. A bid raises the price of a row's best column by its lead over the second
+    best and a small step; whoever held the column bids again. Gains are whole multiples of one more than the number of
+    rows, so once the step is 1 the total can't be bettered. The first row waiting bids first, for the first of its equally
+    good columns, so that equal input has equal output.
+    """
     n = len(cost)
-    row_cost, col_cost, owner = [0.0] * n, [0.0] * (n + 1), [-1] * (n + 1)
-    for start in range(n):
-        owner[n], column = start, n
-        reach, back, done = [float("inf")] * n, [n] * n, [False] * (n + 1)
-        while owner[column] >= 0:
-            done[column] = True
-            row, step, following = owner[column], float("inf"), -1
-            for c in range(n):
-                if done[c]:
-                    continue
-                slack = cost[row][c] - row_cost[row] - col_cost[c]
-                if slack < reach[c]:
-                    reach[c], back[c] = slack, column
-                if reach[c] < step:
-                    step, following = reach[c], c
-            for c in range(n + 1):
-                if done[c]:
-                    row_cost[owner[c]] += step
-                    col_cost[c] -= step
-                elif c < n:
-                    reach[c] -= step
-            column = following
-        while column != n:
-            owner[column] = owner[back[column]]
-            column = back[column]
-    out = [-1] * n
-    for c in range(n):
-        out[owner[c]] = c
-    return out
+    if n < 2:
+        return [0] * n
+    gain = -np.rint(np.array(cost, np.float64)).astype(np.int64) * (n + 1)
+    price, step = np.zeros(n, np.int64), max(1, int(gain.max() - gain.min()) // 4)
+    while True:
+        holder, waiting = [-1] * n, deque(range(n))
+        while waiting:
+            row = waiting.popleft()
+            left = gain[row] - price
+            column = int(left.argmax())
+            best, left[column] = left[column], np.iinfo(np.int64).min
+            price[column] += best - left.max() + step
+            if holder[column] >= 0:
+                waiting.append(holder[column])
+            holder[column] = row
+        if step == 1:
+            return sorted(range(n), key=holder.__getitem__)
+        step = max(1, step // 5)
 
 
 def match_speakers(prior: DataFrame, fresh: DataFrame, least_ms: int = MIN_OVERLAP_MS, least_share: float = MIN_OVERLAP_SHARE) -> DataFrame:
     """run_id, fresh_key, prior_key, overlap_ms: one-to-one, of the most overlap in all.
 
-    The overlaps are counted by interval joins; only the small matrix of a run (at most 64 speakers a side, more is an
-    error) is solved in one task. A match counts if it reaches least_ms or least_share of the smaller coverage.
+    The overlaps are counted by interval joins; only the matrix of a run's speakers, the square of the people in one
+    recording, is solved in one task. A match counts if it reaches least_ms or least_share of the smaller coverage.
     """
     p, f = (d.withColumnRenamed("speaker_key", k) for d, k in ((prior, "prior_key"), (fresh, "fresh_key")))
     met = overlap_matrix(p, f, ["run_id"], "prior_key", "fresh_key")
@@ -148,8 +145,6 @@ def match_speakers(prior: DataFrame, fresh: DataFrame, least_ms: int = MIN_OVERL
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         rows, cols = sorted(set(pdf["fresh_key"])), sorted(set(pdf["prior_key"]))
         n = max(len(rows), len(cols))
-        if n > MAX_SPEAKERS:
-            raise ValueError(f"{n} speakers in a run; at most {MAX_SPEAKERS} are matched")
         seen = {(f, p): (o, least) for f, p, o, least in zip(pdf["fresh_key"], pdf["prior_key"], pdf["overlap_ms"], pdf[["pc", "fc"]].min(axis=1))}
         cost = [[-float(seen[(rows[i], cols[j])][0]) if i < len(rows) and j < len(cols) and (rows[i], cols[j]) in seen else 0.0 for j in range(n)] for i in range(n)]
         out = []
@@ -172,8 +167,9 @@ def allocate_keys(existing: DataFrame, unmatched: DataFrame, colours: int = 12)
 
 
 def merge_speakers(turns: DataFrame, merges: DataFrame) -> DataFrame:
-    """turns with merged keys replaced; merging a speaker with itself is left out. merges: run_id, from_key, into_key."""
-    real = merges.where("from_key <> into_key").select("run_id", F.col("from_key").alias("speaker_key"), "into_key")
+    """turns with merged keys replaced. merges: run_id, from_key, into_key; merging a speaker with itself is refused."""
+    refused = F.raise_error(F.concat(F.lit("a speaker can't be merged with itself: "), F.col("from_key"))).cast("string")
+    real = merges.select("run_id", F.col("from_key").alias("speaker_key"), F.when(F.col("from_key") == F.col("into_key"), refused).otherwise(F.col("into_key")).alias("into_key"))
     return turns.join(real, ["run_id", "speaker_key"], "left").withColumns({"merged_from": F.when(F.col("into_key").isNotNull(), F.col("speaker_key")), "speaker_key": F.coalesce("into_key", "speaker_key")}).drop("into_key")
 
 
@@ -188,7 +184,7 @@ def slices(*sides: DataFrame) -> DataFrame:
 
 
 def diarization_error(reference: DataFrame, hypothesis: DataFrame, mapping: DataFrame | None = None) -> DataFrame:
-    """run_id, total, miss, false_alarm, confusion, der over elementary intervals; der can pass 1, and is null without reference speech."""
+    """run_id, total, miss, false_alarm, confusion, der over elementary intervals; der can pass 1. A run without reference speech is an error."""
     mapping = match_speakers(reference, hypothesis, 0, 0.0).select("run_id", "fresh_key", "prior_key") if mapping is None else mapping
     cuts = slices(reference, hypothesis)
     active = lambda d, name: range_join(cuts, islands(d, ["run_id", "speaker_key"]), ["run_id"], (F.col("s"), F.col("e") - 1), (F.col("start_ms"), F.col("end_ms") - 1)).select("run_id", "s", "e", F.col("speaker_key").alias(name)).distinct()
@@ -199,7 +195,8 @@ def diarization_error(reference: DataFrame, hypothesis: DataFrame, mapping: Data
     zero = F.lit(0).cast("long")
     out = per.groupBy("run_id").agg(F.sum(F.col("d") * F.col("r")).alias("total"), F.sum(F.col("d") * F.greatest(zero, F.col("r") - F.col("h"))).alias("miss"),
                                     F.sum(F.col("d") * F.greatest(zero, F.col("h") - F.col("r"))).alias("false_alarm"), F.sum(F.col("d") * (F.least("r", "h") - F.col("ok"))).alias("confusion"))
-    return out.withColumn("der", (F.col("miss") + F.col("false_alarm") + F.col("confusion")) / F.nullif(F.col("total"), zero))
+    none = F.raise_error(F.concat(F.lit("no reference speech in run "), F.col("run_id").cast("string"))).cast("long")
+    return out.withColumn("der", (F.col("miss") + F.col("false_alarm") + F.col("confusion")) / F.when(F.col("total") > 0, F.col("total")).otherwise(none))
 
 
 def jaccard_error(reference: DataFrame, hypothesis: DataFrame, mapping: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from speechlake.functions import text as T
 from speechlake.operators import assembly as A
 from speechlake.sources import views as V
 
@@ -70,13 +71,53 @@ def _chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("run_id", "chunk", (F.col("idx") * 100_000 + F.col("word_idx")).alias("word_idx"), "text", "start_ms", "end_ms")
 
 
+def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks of the runs; every seventh of them failed."""
+    rows = _chunked(spark, sf_dir).select("run_id", "chunk").distinct()
+    return rows.select("run_id", "chunk", ((F.col("chunk") + 1) * 40_000 + 4_000).alias("end_ms"), ((F.col("run_id") + F.col("chunk")) % 7 == 3).alias("failed"))
+
+
 def seams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.seams(_chunked(spark, sf_dir), 4_000).withColumn("score", F.round("score", 9))
+    return A.seams(_chunked(spark, sf_dir), _chunks(spark, sf_dir), 4_000).withColumn("score", F.round("score", 9))
 
 
 def stitched_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = _chunked(spark, sf_dir)
-    return A.apply_seams(words, A.seams(words, 4_000)).groupBy("run_id").agg(F.count("*").alias("words"), F.max("idx").alias("last"))
+    found = A.seams(words, _chunks(spark, sf_dir), 4_000)
+    return A.apply_seams(words, found).groupBy("run_id").agg(F.count("*").alias("words"), F.max("idx").alias("last"))
+
+
+def seams_without_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _chunked(spark, sf_dir).groupBy("run_id", "chunk", F.floor(F.col("word_idx") / 100_000).alias("idx")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_idx", "text"))), lambda x: x["text"]), " ").alias("text"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"))
+    return A.seams_without_words(rows, _chunks(spark, sf_dir), 4_000).withColumn("score", F.round("score", 9))
+
+
+def diarization_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns packed into stored results, and read back."""
+    t = F.struct("idx", "start_ms", "end_ms", F.col("speaker_key").alias("speaker"))
+    bodies = V.turn(spark, sf_dir).groupBy("run_id").agg(F.array_sort(F.collect_list(t)).alias("turns"), F.countDistinct("speaker_key").alias("num_speakers")).select("run_id", F.to_json(F.struct(F.lit("succeeded").alias("state"), F.struct("turns", "num_speakers").alias("result"))).alias("body"))
+    return A.read_turns(bodies, ["run_id"], "body").groupBy("run_id", "speaker_key").agg(F.count("*").alias("turns"), F.sum("start_ms").alias("starts"), F.sum("end_ms").alias("ends"))
+
+
+def reply_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model replies about the segments of each run: bare, fenced, with talk around them, or torn."""
+    s = V.seg(spark, sf_dir).groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("idx", "text"))).alias("segments"))
+    body, kind = F.to_json(F.struct("segments")), F.col("run_id") % 4
+    reply = F.when(kind == 0, body).when(kind == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(kind == 2, F.concat(F.lit("Here it is: "), body, F.lit(" Done."))).otherwise(F.expr("left(to_json(struct(segments)), 30)"))
+    found = s.select("run_id", T.reply_segments(reply).alias("m"))
+    return found.select("run_id", F.size("m").alias("answers"), F.aggregate(F.map_values("m"), F.lit(0), lambda n, x: n + F.length(x)).cast("long").alias("chars"))
+
+
+def token_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = V.seg(spark, sf_dir).select("run_id", "idx", F.split(T.token_form(F.col("text")), " ").alias("w"))
+    return rows.select("run_id", "idx", F.size(T.tokens(F.col("w"))).alias("words"), F.size(T.tokens(F.col("w"), "none")).alias("graphemes"), F.array_max(F.transform(T.tokens(F.col("w")), lambda x: x["owner"])).alias("last_owner"))
+
+
+def segment_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments and their words normalised; texts of every fifth run count as legacy, and are converted by a stand-in."""
+    rows = V.seg(spark, sf_dir).select("run_id", "idx", "text", F.split("text", " ").alias("words"))
+    out = T.normalised_segments(rows, ["nfc", "zero-width", "whitespace"], needs=F.col("run_id") % 5 == 0, converter=lambda c: F.replace(c, F.lit("th"), F.lit("d")))
+    return out.select("run_id", "idx", F.md5("text").alias("text"), F.md5(F.array_join("words", "|")).alias("words"), F.md5("text_raw").alias("raw"), "converted")
 
 
 def resolved_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,14 +136,24 @@ _INTER = """SELECT run_id, idx, word_idx::INT AS word_idx, text, s + least(span,
  s + CASE WHEN word_idx = max(word_idx) OVER (PARTITION BY run_id, idx) THEN span ELSE least(span, sum(d) OVER (PARTITION BY run_id, idx ORDER BY word_idx ROWS UNBOUNDED PRECEDING)) END::BIGINT AS end_ms FROM (
  SELECT *, round(span * length(text)::DOUBLE / sum(length(text)) OVER (PARTITION BY run_id, idx))::BIGINT AS d FROM (
   SELECT run_id, idx, start_ms AS s, end_ms - start_ms AS span, unnest(w) AS text, unnest(range(len(w))) AS word_idx FROM (SELECT *, list_filter(string_split(text, ' '), lambda x: x <> '') AS w FROM seg)))"""
-QUERIES = {f.__name__: f for f in (recognise_parse, whisper_parse, interpolated_words, carried_starts, placeholders, transcript_lines, transcript_documents, rttm_round_trip, chunk_plan, seams, stitched_words, resolved_layers, superseded_events)}
+QUERIES = {f.__name__: f for f in (seams_without_words, diarization_results, reply_maps, token_streams, segment_forms, recognise_parse, whisper_parse, interpolated_words, carried_starts, placeholders, transcript_lines, transcript_documents, rttm_round_trip, chunk_plan, seams, stitched_words, resolved_layers, superseded_events)}
+_TOKEN = r"string_split(trim(lower(regexp_replace(nfc_normalize(text), '[\p{P}\p{S}]', '', 'g'))), ' ')"
+_PLAN = """WITH RECURSIVE a AS (SELECT doc_id AS asset_id, n_chars * 60 AS d FROM documents),
+e AS (SELECT asset_id, d, 0::BIGINT AS f, 0::BIGINT AS t FROM a UNION ALL
+ SELECT asset_id, d, t, least(d, CASE WHEN s > t + 14000 AND s <= t + 28000 AND s <= greatest(7000, d) AND s >= 7000 THEN s ELSE t + 28000 END) FROM (SELECT *, ((t + 28000 - 7000) // 13000) * 13000 + 7000 AS s0, least(((t + 28000 - 7000) // 13000) * 13000 + 7000, ((greatest(7000, d) - 7000) // 13000) * 13000 + 7000) AS s FROM e WHERE t < d))
+SELECT asset_id, (row_number() OVER (PARTITION BY asset_id ORDER BY f) - 1)::INT AS idx, CASE WHEN row_number() OVER (PARTITION BY asset_id ORDER BY f) = 1 THEN f ELSE f - 2000 END AS offset_ms, f AS content_start_ms, t AS end_ms FROM e WHERE t > 0 AND t - f >= 1000"""
 ORACLE_SQL = {
+    "chunk_plan": _PLAN,
+    "diarization_results": V.oracle("SELECT run_id, speaker_key, count(*) AS turns, sum(start_ms)::BIGINT AS starts, sum(end_ms)::BIGINT AS ends FROM turn GROUP BY run_id, speaker_key", "turn"),
+    "reply_maps": V.oracle("SELECT run_id, CASE WHEN run_id % 4 < 3 THEN count(*) END::INT AS answers, CASE WHEN run_id % 4 < 3 THEN sum(length(text)) END::BIGINT AS chars FROM seg GROUP BY run_id", "seg"),
+    "token_streams": V.oracle(rf"SELECT run_id, idx, len(list_filter(w, lambda x: regexp_matches(x, '\S')))::INT AS words, list_sum(list_transform(w, lambda x: length(regexp_replace(x, '\s', '', 'g'))))::INT AS graphemes, (list_max(list_transform(range(1, len(w) + 1), lambda i: CASE WHEN regexp_matches(w[i], '\S') THEN i END)) - 1)::INT AS last_owner FROM (SELECT run_id, idx, {_TOKEN} AS w FROM seg)", "seg"),
+    "segment_forms": V.oracle(r"SELECT run_id, idx, md5(trim(regexp_replace(array_to_string(w, ' '), '\s+', ' ', 'g'))) AS text, md5(array_to_string(list_transform(w, lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), '|')) AS words, md5(text) AS raw, run_id % 5 = 0 AS converted FROM (SELECT run_id, idx, text, string_split(CASE WHEN run_id % 5 = 0 THEN replace(text, 'th', 'd') ELSE text END, ' ') AS w FROM seg)", "seg"),
     "recognise_parse": V.oracle("SELECT run_id, count(*) AS words, sum(start_ms + 1000)::BIGINT AS starts, sum(end_ms + 1000)::BIGINT AS ends, count(confidence) AS sure FROM word GROUP BY run_id", "word"),
     "whisper_parse": V.oracle("SELECT run_id, count(*) AS segments, count(*) FILTER (WHERE n > 0.6 AND length(trim(text)) < 30) AS dropped, round(count(*) FILTER (WHERE n > 0.6 AND length(trim(text)) < 30)::DOUBLE / count(*), 9) AS rate, count(*) FILTER (WHERE n > 0.6 AND length(trim(text)) < 30)::DOUBLE / count(*) > 0.1 AS warn, sum(start_ms)::BIGINT AS starts, round(sum(exp(-(idx % 7) / 7.0::DOUBLE)), 6) AS confidence FROM (SELECT *, (idx * 13 % 10) / 10.0::DOUBLE AS n FROM seg) GROUP BY run_id", "seg"),
     "interpolated_words": V.oracle(_INTER, "seg"),
     "carried_starts": V.oracle("SELECT run_id, idx, coalesce(CASE WHEN idx % 3 <> 1 THEN start_ms END, max(CASE WHEN idx % 4 <> 2 THEN end_ms END) OVER (PARTITION BY run_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_ms FROM seg", "seg"),
     "placeholders": V.oracle("SELECT run_id, (row_number() OVER (PARTITION BY run_id ORDER BY start_ms, end_ms, reason NULLS FIRST) - 1)::INT AS idx, length(text)::BIGINT AS chars, start_ms, end_ms, reason FROM (SELECT run_id, text, start_ms, end_ms, NULL AS reason FROM seg WHERE idx % 3 <> 1 UNION ALL SELECT run_id, '', start_ms, end_ms, 'failed' FROM turn WHERE idx % 3 = 1)", "turn"),
-    "transcript_lines": V.oracle("SELECT run_id, idx, '[' || CASE WHEN start_ms >= 3600000 THEN printf('%d:%02d:%02d', start_ms // 3600000, (start_ms // 60000) % 60, (start_ms // 1000) % 60) ELSE printf('%d:%02d', start_ms // 60000, (start_ms // 1000) % 60) END || '] ' || text AS line FROM seg", "seg"),
+    "transcript_lines": V.oracle("SELECT run_id, idx, '[' || CASE WHEN start_ms >= 3600000 THEN printf('%02d:%02d:%02d', start_ms // 3600000, (start_ms // 60000) % 60, (start_ms // 1000) % 60) ELSE printf('%02d:%02d', start_ms // 60000, (start_ms // 1000) % 60) END || '] ' || text AS line FROM seg", "seg"),
     "transcript_documents": V.oracle("SELECT run_id, string_split(arg_min(text, idx), ' ')[1] AS first_word, count(*) AS segments FROM seg GROUP BY run_id", "seg"),
     "rttm_round_trip": V.oracle("SELECT run_id::VARCHAR AS run_id, speaker_key, count(*) AS turns, sum(start_ms)::BIGINT AS starts, sum(end_ms)::BIGINT AS ends FROM turn GROUP BY run_id, speaker_key", "turn"),
     "resolved_layers": V.oracle("SELECT run_id, idx, layer, layer || ':' || length(text) AS text, layer <> 'translated' AS fallback FROM (SELECT *, CASE WHEN idx % 6 <> 0 AND idx % 3 = 0 THEN 'translated' WHEN idx % 6 <> 0 AND idx % 2 = 0 THEN 'cleaned' ELSE 'verbatim' END AS layer FROM seg)", "seg"),

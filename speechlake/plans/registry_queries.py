@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from speechlake.operators import evaluation as E
 from speechlake.operators import registry as R
+from speechlake.plans.evaluation import _BOOT
 from speechlake.sources import files, views as V
+from speechlake.sources.scratch import shared_dir
 
 _LANGUAGES = [("en", "Latn"), ("fr", "Latn"), ("de", "Latn"), ("es", "Latn"), ("my", "Mymr")]
 _CAPS = [("en", "alpha", True, "en-US", True, False), ("en", "beta", True, "en", False, False), ("fr", "alpha", True, "fr-FR", True, True), ("fr", "beta", True, "fr", True, False), ("de", "alpha", False, None, False, False), ("de", "beta", True, "de", True, False), ("es", "alpha", True, "es-ES", False, False)]
-_CAPS_SQL = "(VALUES ('en', 'alpha', true, 'en-US'), ('en', 'beta', true, 'en'), ('fr', 'alpha', true, 'fr-FR'), ('fr', 'beta', true, 'fr'), ('de', 'alpha', false, NULL), ('de', 'beta', true, 'de'), ('es', 'alpha', true, 'es-ES')) c(code, provider, accepted, provider_code)"
+_CAPS_SQL = "(VALUES ('en', 'alpha', true, 'en-US', true, false), ('en', 'beta', true, 'en', false, false), ('fr', 'alpha', true, 'fr-FR', true, true), ('fr', 'beta', true, 'fr', true, false), ('de', 'alpha', false, NULL, false, false), ('de', 'beta', true, 'de', true, false), ('es', 'alpha', true, 'es-ES', false, false)) c(code, provider, accepted, provider_code, word_timing, suspect)"
 
 
 def _languages(spark: SparkSession) -> DataFrame:
@@ -25,8 +27,7 @@ def _capabilities(spark: SparkSession) -> DataFrame:
 
 
 def _scratch(spark: SparkSession) -> str:
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='speechlake-')}"
-    return f"{named.rstrip('/')}/files-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
 
 
 def eval_file_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,13 +40,18 @@ def eval_file_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def runlog_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Score lines written as JSON with torn lines between them, read back and summed."""
+    """Score lines appended as JSON with torn lines between them, read back; rates, intervals, ratios and tiers are made anew from them."""
     at, d = _scratch(spark), V.table(spark, sf_dir, "documents")
-    line = F.to_json(F.struct(F.lit("score").alias("t"), "lang", (F.col("n_chars") % 10).alias("edits"), F.col("n_chars").alias("ref_len"), (F.col("doc_id") % 4 / 4).alias("usd")))
-    d.select(F.when(F.col("doc_id") % 13 == 5, F.substring(line, 1, 20)).otherwise(line).alias("value")).write.text(at)
-    lines = files.read_runlog(spark, at, "t string, lang string, edits long, ref_len long, usd double")
+    line = F.struct(F.lit("score").alias("t"), F.col("doc_id").alias("id"), "lang", (F.col("n_chars") % 10).alias("edits"), F.col("n_chars").alias("ref_len"), (F.col("doc_id") % 4 / 4).alias("usd"))
+    files.append_runlog(d.where("doc_id % 13 <> 5").select(line.alias("x")).select("x.*"), at)
+    d.where("doc_id % 13 = 5").select(F.substring(F.to_json(line), 1, 20).alias("value")).write.mode("append").text(at)
+    lines = files.read_runlog(spark, at, "t string, id long, lang string, edits long, ref_len long, usd double")
     rates, totals = R.replayed(lines)
-    return rates.withColumn("cer", F.round("cer", 9)).crossJoin(totals)
+    interval = E.bootstrap(lines.where("t = 'score'"), "lang", "id", b=200).select("lang", "lo", "hi")
+    rows = E.baseline_ratio(rates.join(interval, "lang", "left"), "lang", "en")
+    t = E.tier(F.col("cer"), F.col("hi"), F.col("ratio"), F.lit(1.0), F.col("n"), F.lit(True))
+    rows = rows.withColumn("tier", t["tier"])
+    return rows.withColumns({c: F.round(c, 9) for c in ("cer", "lo", "hi", "ratio")}).crossJoin(totals)
 
 
 def language_support(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,8 +82,8 @@ def capability_roll_up(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = V.ev(spark, sf_dir)
     status = F.when(F.col("kind") == "error", F.when(F.col("seq") % 3 == 0, 500).otherwise(400)).otherwise(200)
     outcome = R.call_outcome(status, F.when(F.col("seq") % 2 == 0, "Language code not supported").otherwise("bad audio"))
-    attempts = e.where("seq % 5 = 0").select(F.col("run_id").cast("string").alias("code"), F.col("kind").alias("model"), outcome.alias("outcome"))
-    previous = e.select((F.col("run_id") + 1).cast("string").alias("code"), F.lit("accepted").alias("status")).distinct()
+    attempts = e.select(F.concat_ws(":", F.col("run_id") % 100, F.col("kind"), F.col("seq") % 5).alias("code"), F.col("kind").alias("model"), outcome.alias("outcome"))
+    previous = e.select(F.concat_ws(":", F.col("run_id") % 100 + 50, F.lit("error"), F.col("seq") % 5).alias("code"), F.lit("accepted").alias("status")).distinct()
     return R.capability_roll_up(attempts, previous).select("code", "status", F.array_join("models", ",").alias("models"))
 
 
@@ -143,20 +149,56 @@ def dead_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.dead_steps(V.step(spark, sf_dir), "progress", ["run_id", "shard", "weight"]).groupBy("run_id").agg(F.count("*").alias("dead"), F.max("progress").alias("progress"))
 
 
-QUERIES = {f.__name__: f for f in (review_join, timing_quality, operation_states, dead_steps, eval_file_round_trip, runlog_replay, language_support, exclusive_languages, provider_choice, tier_cascade, capability_roll_up, baseline_drift, clips_by_name, sentence_pairs, sample_estimate, output_stability, chosen_rows)}
+_BOOT_200 = _BOOT.replace("range(2000)", "range(200)").replace("v[51]", "v[6]").replace("v[1950]", "v[195]")
+
+
+def text_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules of the scripts that the documents of each language are written in."""
+    return R.text_rules(E.script_census(V.table(spark, sf_dir, "documents"), "lang", "text").select("lang", "script"))
+
+
+def provider_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    used = V.table(spark, sf_dir, "documents").groupBy(F.col("lang").alias("code")).agg(F.count("*").alias("n"))
+    return used.join(R.provider_listing(_capabilities(spark), ["alpha", "beta"]), "code")
+
+
+def probe_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = V.ev(spark, sf_dir)
+    status = F.when(F.col("kind") == "error", F.when(F.col("seq") % 3 == 0, 500).otherwise(400)).otherwise(200)
+    outcome = R.call_outcome(status, F.when(F.col("seq") % 2 == 0, "Language code not supported").otherwise("bad audio"))
+    return R.probe_summary(e.select(F.col("kind").alias("provider"), F.col("run_id").cast("string").alias("code"), outcome.alias("outcome")))
+
+
+def chunk_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results of all but every ninth segment written by run, and read back for all."""
+    at, rows = _scratch(spark), V.seg(spark, sf_dir).select("run_id", F.col("idx").cast("long").alias("chunk"), F.col("text").alias("body"))
+    files.write_chunk_results(rows.where("(run_id + chunk) % 9 <> 4").repartition("run_id"), at)
+    held = files.read_chunk_results(rows.select("run_id", "chunk"), at)
+    return held.groupBy("run_id").agg(F.count("*").alias("chunks"), F.count("body").alias("held"), F.sum(F.length("body")).alias("chars"))
+
+
+QUERIES = {f.__name__: f for f in (text_rules, provider_listing, probe_summary, chunk_results, review_join, timing_quality, operation_states, dead_steps, eval_file_round_trip, runlog_replay, language_support, exclusive_languages, provider_choice, tier_cascade, capability_roll_up, baseline_drift, clips_by_name, sentence_pairs, sample_estimate, output_stability, chosen_rows)}
 ORACLE_SQL = {
+    "text_rules": r"SELECT DISTINCT lang, 'Latn' AS script, 'spaces' AS segmentation, ' ' AS joiner, false AS rates_strip_space, true AS report_wer, 17 AS chars_per_second, 42 AS chars_per_line, 2 AS max_lines, 'space' AS line_break FROM documents WHERE regexp_matches(text, '\p{Latin}')",
+    "provider_listing": f"SELECT d.code, n, place::INT AS place, provider, CASE WHEN NOT accepted THEN 'unsupported - code not accepted' WHEN suspect THEN 'accepted - quality unverified' ELSE 'accepted - quality unmeasured' END AS status, word_timing FROM (SELECT lang AS code, count(*) AS n FROM documents GROUP BY lang) d JOIN (SELECT *, row_number() OVER (PARTITION BY code ORDER BY CASE provider WHEN 'alpha' THEN 1 WHEN 'beta' THEN 2 ELSE 3 END, provider) AS place FROM {_CAPS_SQL}) c ON d.code = c.code",
+    "probe_summary": "SELECT provider, count(*) AS codes, count(*) FILTER (WHERE b = 1) AS accepted, count(*) FILTER (WHERE b = 4) AS rejected, count(*) FILTER (WHERE b = 2) AS errored, count(*) FILTER (WHERE b = 3) AS unknown FROM (SELECT event_type AS provider, user_id, min(CASE WHEN event_type <> 'error' THEN 1 WHEN event_id % 3 = 0 THEN 3 WHEN event_id % 2 = 0 THEN 4 ELSE 2 END) AS b FROM events GROUP BY 1, 2) GROUP BY provider",
+    "chunk_results": V.oracle("SELECT run_id, count(*) AS chunks, count(*) FILTER (WHERE (run_id + idx) % 9 <> 4) AS held, sum(length(text)) FILTER (WHERE (run_id + idx) % 9 <> 4)::BIGINT AS chars FROM seg GROUP BY run_id", "seg"),
     "review_join": "SELECT doc_id AS code, CASE WHEN doc_id % 3 = doc_id % 2 THEN 'current' ELSE 'stale' END AS kind FROM labels WHERE quality = 1 AND doc_id IN (SELECT doc_id FROM documents)",
     "timing_quality": V.oracle("SELECT run_id, CASE min(r) WHEN 0 THEN 'none' WHEN 1 THEN 'partial' ELSE 'full' END AS quality FROM (SELECT run_id, idx % 2 AS chunk, CASE WHEN bool_and(idx % 4 <> 1) THEN 2 WHEN bool_or(idx % 4 <> 1) THEN 1 ELSE 0 END AS r FROM seg GROUP BY run_id, idx % 2) GROUP BY run_id", "seg"),
     "operation_states": V.oracle("SELECT run_id, CASE seq % 5 WHEN 0 THEN 'running' WHEN 1 THEN 'failed: operation' WHEN 2 THEN 'succeeded' WHEN 3 THEN 'failed: file' ELSE 'failed: no result' END AS state, count(*) AS n FROM ev GROUP BY ALL", "ev"),
     "dead_steps": V.oracle("SELECT run_id, count(*) AS dead, max(progress) AS progress FROM step WHERE state = 'dead' GROUP BY run_id", "step"),
     "eval_file_round_trip": "SELECT count(*) FILTER (WHERE doc_id % 17 <> 3) AS rows, sum(doc_id) FILTER (WHERE doc_id % 17 <> 3)::BIGINT AS ids, sum(length(text)) FILTER (WHERE doc_id % 17 <> 3)::BIGINT AS chars, sum(n_chars) FILTER (WHERE doc_id % 17 <> 3)::BIGINT AS samples, count(*) FILTER (WHERE doc_id % 17 = 3) AS dropped FROM documents",
-    "runlog_replay": "SELECT lang, count(*) AS n, sum(n_chars % 10)::BIGINT AS edits, sum(n_chars)::BIGINT AS total, round(sum(n_chars % 10)::DOUBLE / nullif(sum(n_chars), 0), 9) AS cer, (SELECT sum(doc_id % 4 / 4.0::DOUBLE) FROM documents WHERE doc_id % 13 <> 5) AS usd, false AS complete FROM documents WHERE doc_id % 13 <> 5 GROUP BY lang",
+    "runlog_replay": f"""WITH stats AS (SELECT doc_id AS id, lang, n_chars % 10 AS edits, n_chars AS ref_len FROM documents WHERE doc_id % 13 <> 5), boot AS ({_BOOT_200}),
+      r AS (SELECT lang, count(*) AS n, sum(edits)::BIGINT AS edits, sum(ref_len)::BIGINT AS total, sum(edits)::DOUBLE / nullif(sum(ref_len), 0) AS cer FROM stats GROUP BY lang),
+      q AS (SELECT r.*, lo, hi, cer / nullif((SELECT cer FROM r WHERE lang = 'en'), 0) AS ratio FROM r JOIN boot b ON r.lang = b.lang)
+      SELECT lang, n, edits, total, round(cer, 9) AS cer, round(lo, 9) AS lo, round(hi, 9) AS hi, round(ratio, 9) AS ratio, CASE WHEN ratio <= 1.15 AND cer <= 0.2 AND n >= 30 AND hi <= 0.2 AND hi / (cer / ratio) <= 1.15 THEN 'verified' WHEN ratio <= 2 AND cer <= 0.35 THEN 'beta' ELSE 'experimental' END AS tier,
+       (SELECT sum(doc_id % 4 / 4.0::DOUBLE) FROM documents WHERE doc_id % 13 <> 5) AS usd, false AS complete FROM q""",
     "language_support": f"SELECT d.code, CASE WHEN c.accepted THEN c.provider_code END AS provider_code, CASE WHEN d.code = 'zz' THEN 'unknown language' WHEN c.code IS NULL THEN 'never probed' WHEN NOT c.accepted THEN 'rejected' END AS failure, count(*) AS n FROM (SELECT CASE doc_id % 9 WHEN 0 THEN 'zz' WHEN 1 THEN 'my' ELSE lang END AS code FROM documents) d LEFT JOIN (SELECT * FROM {_CAPS_SQL} WHERE provider = 'alpha') c ON d.code = c.code GROUP BY ALL",
     "exclusive_languages": f"SELECT lang AS code, count(*) AS n FROM documents WHERE lang IN (SELECT code FROM {_CAPS_SQL} WHERE accepted AND provider = 'alpha') AND lang NOT IN (SELECT code FROM {_CAPS_SQL} WHERE accepted AND provider <> 'alpha') GROUP BY lang",
     "provider_choice": "SELECT lang AS code, count(*) AS n, CASE lang WHEN 'en' THEN 'alpha' WHEN 'fr' THEN 'beta' WHEN 'de' THEN 'beta' WHEN 'es' THEN 'alpha' END AS provider FROM documents GROUP BY lang",
     "tier_cascade": "SELECT d.doc_id, CASE WHEN quality = 0 THEN 'unsupported' WHEN toxic = 0 THEN 'beta' WHEN d.doc_id % 2 = 0 THEN 'experimental' END AS tier, CASE WHEN quality = 0 THEN 'override' WHEN toxic = 0 THEN 'measured' WHEN d.doc_id % 2 = 0 THEN 'seed' END AS source FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id",
-    "capability_roll_up": """WITH a AS (SELECT user_id::VARCHAR AS code, event_type AS model, CASE WHEN event_type <> 'error' THEN 'accepted' WHEN event_id % 3 = 0 THEN 'unknown' WHEN event_id % 2 = 0 THEN 'rejected' ELSE 'errored' END AS o FROM events WHERE event_id % 5 = 0),
-      g AS (SELECT code, bool_or(o = 'accepted') AS a, bool_and(o = 'rejected') AS n, coalesce(array_to_string(list_sort(list_distinct(list(model) FILTER (WHERE o = 'accepted'))), ','), '') AS models FROM a GROUP BY code), p AS (SELECT DISTINCT (user_id + 1)::VARCHAR AS code FROM events)
+    "capability_roll_up": """WITH a AS (SELECT concat_ws(':', user_id % 100, event_type, event_id % 5) AS code, event_type AS model, CASE WHEN event_type <> 'error' THEN 'accepted' WHEN event_id % 3 = 0 THEN 'unknown' WHEN event_id % 2 = 0 THEN 'rejected' ELSE 'errored' END AS o FROM events),
+      g AS (SELECT code, bool_or(o = 'accepted') AS a, bool_and(o = 'rejected') AS n, coalesce(array_to_string(list_sort(list_distinct(list(model) FILTER (WHERE o = 'accepted'))), ','), '') AS models FROM a GROUP BY code), p AS (SELECT DISTINCT concat_ws(':', user_id % 100 + 50, 'error', event_id % 5) AS code FROM events)
       SELECT coalesce(g.code, p.code) AS code, CASE WHEN a THEN 'accepted' WHEN n THEN 'rejected' WHEN p.code IS NOT NULL THEN 'accepted' ELSE 'unknown' END AS status, coalesce(models, '') AS models FROM g FULL JOIN p ON g.code = p.code""",
     "baseline_drift": "SELECT event_id AS run_id, p AS previous, coalesce(abs(value / nullif(p, 0) - 1) > 0.25, false) AS suspect FROM (SELECT *, lag(value) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS p FROM events)",
     "clips_by_name": "SELECT d.lang, CASE WHEN l.doc_id IS NULL THEN NULL WHEN d.doc_id % 3 = 0 THEN 7 ELSE l.quality END AS q, count(*) AS n FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY ALL",

@@ -44,7 +44,7 @@ def interval_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _voted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    words = S.smooth(S.assign_words(V.word(spark, sf_dir).where("idx % 4 <> 3"), V.turn(spark, sf_dir)))
+    words = S.smooth(S.assign_words(V.word(spark, sf_dir), V.turn(spark, sf_dir)))
     return words, S.vote_segments(V.seg(spark, sf_dir), words, V.turn(spark, sf_dir))
 
 
@@ -52,7 +52,6 @@ def segment_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _voted(spark, sf_dir)[1].withColumn("purity", F.round("purity", 9))
 
 
-_SOME = {"wsome": "SELECT * FROM word WHERE idx % 4 <> 3"} | {k: q.replace("FROM word)", "FROM wsome)").replace("FROM word w", "FROM wsome w") for k, q in _W.items()}
 _VOTES = {"fall": _FALL.format("seg"),
           "vt": "SELECT run_id, idx, sum(greatest(1, end_ms - start_ms))::BIGINT AS total FROM smoothed GROUP BY run_id, idx",
           "vp": """SELECT run_id, idx, speaker_key, ms FROM (SELECT run_id, idx, speaker_key, sum(greatest(1, end_ms - start_ms))::BIGINT AS ms, row_number() OVER (PARTITION BY run_id, idx ORDER BY sum(greatest(1, end_ms - start_ms)) DESC, min(place)) AS k
@@ -186,7 +185,7 @@ _NEW = """SELECT run_id, fresh_key, 'speaker-' || CASE WHEN n < 10 THEN '0' ELSE
 
 def merged_speakers(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = V.turn(spark, sf_dir)
-    merges = turns.where("run_id % 2 = 0").select("run_id", F.lit("user").alias("from_key"), F.lit("assistant").alias("into_key")).distinct().unionByName(turns.where("run_id % 2 = 1").select("run_id", F.lit("user").alias("from_key"), F.lit("user").alias("into_key")).distinct())
+    merges = turns.where("run_id % 2 = 0").select("run_id", F.lit("user").alias("from_key"), F.lit("assistant").alias("into_key")).distinct()
     return S.merge_speakers(turns, merges).groupBy("run_id", "speaker_key").agg(F.count("*").alias("turns"), F.count("merged_from").alias("moved"))
 
 
@@ -198,9 +197,9 @@ ORACLE_SQL = {
     "word_speakers": V.oracle("SELECT run_id, idx, word_idx, speaker_key, round(margin, 9) AS margin, source FROM assigned", "word", "turn", **_pick(_W, "met", "per", "near", "assigned")),
     "smoothed_speakers": V.oracle("SELECT run_id, idx, word_idx, speaker_key, round(margin, 9) AS margin, source FROM smoothed", "word", "turn", **_W),
     "interval_fallback": V.oracle(f"SELECT run_id, idx, speaker_key, round(purity, 9) AS purity FROM ({_FALL.format('seg')})", "turn"),
-    "segment_votes": V.oracle("SELECT run_id, idx, speaker_key, round(purity, 9) AS purity, needs_review, source FROM votes", "word", "turn", **_SOME, **_VOTES),
+    "segment_votes": V.oracle("SELECT run_id, idx, speaker_key, round(purity, 9) AS purity, needs_review, source FROM votes", "word", "turn", **_W, **_VOTES),
     "reconcile_stats": V.oracle("""SELECT run_id, overlap, nearest, flips, unassigned, mean_purity, review FROM (SELECT run_id, count(*) FILTER (WHERE source = 'overlap') AS overlap, count(*) FILTER (WHERE source = 'nearest') AS nearest, count(*) FILTER (WHERE source = 'median') AS flips, count(*) FILTER (WHERE source = 'none') AS unassigned FROM smoothed GROUP BY run_id)
-      FULL JOIN (SELECT run_id, round(avg(purity) FILTER (WHERE source = 'words'), 9) AS mean_purity, count(*) FILTER (WHERE needs_review) AS review FROM votes GROUP BY run_id) USING (run_id)""", "word", "turn", **_SOME, **_VOTES),
+      FULL JOIN (SELECT run_id, round(avg(purity) FILTER (WHERE source = 'words'), 9) AS mean_purity, count(*) FILTER (WHERE needs_review) AS review FROM votes GROUP BY run_id) USING (run_id)""", "word", "turn", **_W, **_VOTES),
     "attach_words": V.oracle(_ATTACH, "word", "turn"),
     "speech_islands": V.oracle(_ISL.format("turn"), "turn"),
     "speech_lengths": V.oracle(f"SELECT run_id, speaker_key, sum(end_ms - start_ms)::BIGINT AS covered_ms FROM ({_ISL.format('turn')}) GROUP BY run_id, speaker_key", "turn"),

@@ -2,27 +2,36 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from speechlake.sources import views as V
+from speechlake.sources.scratch import shared_dir
 from speechlake.streaming import events as S
 
 
+#: Files, and so micro-batches, that a table is streamed in.
+FILES = 4
+
+
 def _shared(spark: SparkSession) -> str:
-    """The folder that the cluster shares, from the session; one of our own only where none is set."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='speechlake-')}"
-    return f"{named.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+
+
+def _streamed(rows: DataFrame, order: str) -> DataFrame:
+    """A table as a stream of several files, each later in the order than those before it, so that state is used again."""
+    spark, at = rows.sparkSession, f"{_shared(rows.sparkSession)}/in"
+    cuts = rows.select(F.percentile_approx(order, [i / FILES for i in range(1, FILES)], 10_000).alias("q")).first().q or []
+    for i, (low, high) in enumerate(zip([None, *cuts], [*cuts, None])):
+        part = rows if low is None else rows.where(F.col(order) > F.lit(low))
+        (part if high is None else part.where(F.col(order) <= F.lit(high))).coalesce(1).write.parquet(f"{at}/{i}")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{at}/*")
 
 
-def _events(spark: SparkSession, sf_dir: str, per_trigger: int = 1) -> DataFrame:
-    path = f"{sf_dir}/events.parquet"
-    pattern = f"{sf_dir}/event[s].parquet"  # as a pattern it may be a file or a folder
-    rows = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", per_trigger).parquet(pattern)
-    return rows.select(F.col("event_id").alias("seq"), F.col("user_id").alias("run_id"), F.col("event_type").alias("kind"), F.col("ts").cast("timestamp").alias("created_at"), "value", F.col("props").alias("data"))
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _streamed(V.ev(spark, sf_dir), "created_at")
 
 
 def _last_batch(spark: SparkSession, into: str, keys: list[str]) -> DataFrame:
@@ -52,9 +61,41 @@ def stream_passed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{at}/out")
 
 
-QUERIES = {f.__name__: f for f in (stream_latest_events, stream_spend, stream_passed_events)}
+def stream_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus rate of each kind as scores come in, after the last of them."""
+    at = _shared(spark)
+    scores = _events(spark, sf_dir).select(F.col("kind").alias("lang"), (F.col("seq") % 7).alias("edits"), (F.col("seq") % 50 + 10).alias("ref_len"))
+    S.run_to_end(S.running_rates(scores), f"{at}/out", f"{at}/state", "update")
+    return _last_batch(spark, f"{at}/out", ["lang"])
+
+
+def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = _shared(spark)
+    S.run_to_end(S.progress_of(_streamed(V.step(spark, sf_dir), "run_id")), f"{at}/out", f"{at}/state", "update")
+    return _last_batch(spark, f"{at}/out", ["run_id"]).withColumn("progress", F.round("progress", 9))
+
+
+def stream_cancelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Work that an error event of its run precedes by an hour at most."""
+    at, events = _shared(spark), V.ev(spark, sf_dir)
+    work, errors = (_streamed(events.where(c), "created_at") for c in ("kind <> 'error'", "kind = 'error'"))
+    S.run_to_end(S.cancelled_by(work, errors, late="30 days"), f"{at}/out", f"{at}/state")
+    return spark.read.parquet(f"{at}/out").select("run_id", "seq", "kind", "cancel")
+
+
+def stream_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs whose heartbeats stopped, by timers of event time; which silences are told depends on the micro-batches, so there is no SQL."""
+    at = _shared(spark)
+    S.run_to_end(S.stale(_events(spark, sf_dir)), f"{at}/out", f"{at}/state")
+    return spark.read.schema("run_id long, last_ms long, silent boolean").parquet(f"{at}/out")
+
+
+QUERIES = {f.__name__: f for f in (stream_latest_events, stream_spend, stream_passed_events, stream_rates, stream_progress, stream_cancelled, stream_stale)}
 ORACLE_SQL = {
     "stream_latest_events": V.oracle("SELECT run_id, kind, max(seq) AS seq, arg_max(data, seq) AS data FROM ev GROUP BY run_id, kind", "ev"),
     "stream_spend": V.oracle("SELECT run_id AS order_id, sum(floor(value) / 4) AS usd, sum(floor(value) / 4) >= 500 AS alert FROM ev GROUP BY run_id", "ev"),
     "stream_passed_events": V.oracle("SELECT run_id, kind, seq, data FROM ev WHERE kind NOT IN ('click', 'view')", "ev"),
+    "stream_rates": V.oracle("SELECT kind AS lang, count(*) AS n, sum(seq % 7)::BIGINT AS edits, sum(seq % 50 + 10)::BIGINT AS total FROM ev GROUP BY kind", "ev"),
+    "stream_progress": V.oracle("SELECT run_id, round(sum(weight * CASE WHEN state IN ('done', 'dead') THEN 1.0::DOUBLE WHEN state = 'running' THEN greatest(0.1::DOUBLE, progress) ELSE 0 END) / coalesce(nullif(sum(weight), 0), 1), 9) AS progress FROM step GROUP BY run_id", "step"),
+    "stream_cancelled": V.oracle("SELECT w.run_id, w.seq, w.kind, c.seq AS cancel FROM ev w JOIN ev c ON w.run_id = c.run_id AND w.kind <> 'error' AND c.kind = 'error' AND c.created_at <= w.created_at AND c.created_at >= w.created_at - INTERVAL 1 HOUR", "ev"),
 }

@@ -27,6 +27,22 @@ def read_eval_rows(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     return rows, raw.select(F.count_if(~F.coalesce(good, F.lit(False))).alias("dropped"))
 
 
+def read_eval_rows_lenient(spark: SparkSession, path: str) -> DataFrame:
+    """As read_eval_rows, with short rows skipped and not counted; in this reading the columns raw and plain have each other's names."""
+    return read_eval_rows(spark, path)[0].withColumnsRenamed({"raw": "plain", "plain": "raw"})
+
+
+def write_chunk_results(rows: DataFrame, path: str) -> None:
+    """Results of chunks (run_id, chunk, body), a folder for each run; those that are there stay."""
+    rows.select("run_id", "chunk", "body").write.mode("append").partitionBy("run_id").parquet(path)
+
+
+def read_chunk_results(wanted: DataFrame, path: str) -> DataFrame:
+    """wanted (run_id, chunk) with the body of the chunk's result; null for one that is not there yet."""
+    held = wanted.sparkSession.read.schema("chunk long, body string, run_id long").parquet(path)
+    return wanted.join(held.groupBy("run_id", "chunk").agg(F.min("body").alias("body")), ["run_id", "chunk"], "left")
+
+
 def read_manifest(spark: SparkSession, path: str, **defaults: str) -> DataFrame:
     """Ingest manifest: # begins a remark, a header is skipped, blanks take the defaults."""
     rows = spark.read.csv(path, schema=MANIFEST, comment="#", ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True).where("path <> 'path'")

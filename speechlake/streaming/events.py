@@ -65,6 +65,14 @@ def progress_of(steps: DataFrame, told: DataFrame | None = None) -> DataFrame:
     return now.join(before, "run_id", "left").where(F.col("_b").isNull() | (F.abs(F.col("progress") - F.col("_b")) >= PROGRESS_STEP)).drop("_b")
 
 
+def cancelled_by(work: DataFrame, cancels: DataFrame, late: str = "1 hour", within: str = "1 hour") -> DataFrame:
+    """run_id, seq, kind, cancel of work that a cancel of its run precedes by no more than ``within``: a stream-stream join, told as soon as both are there."""
+    w = work.withWatermark("created_at", late)
+    c = cancels.select(F.col("run_id").alias("_run"), F.col("created_at").alias("_at"), F.col("seq").alias("cancel")).withWatermark("_at", late)
+    met = (F.col("run_id") == F.col("_run")) & (F.col("_at") <= F.col("created_at")) & (F.col("_at") >= F.col("created_at") - F.expr(f"INTERVAL {within}"))
+    return w.join(c, met).select("run_id", "seq", "kind", "cancel")
+
+
 def drop_cancelled(work: DataFrame, cancels: DataFrame, late: str = "1 hour") -> DataFrame:
     """Work that no cancel of its run precedes: a stream-stream left join in which cancels come before their work."""
     w = work.withWatermark("created_at", late)
