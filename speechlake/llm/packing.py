@@ -1,11 +1,12 @@
 """Mixture-controlled packing.
 
-Every source is a queue of tokens. Deficit round-robin gives a source, window after window, the tokens that its
-share of the mixture has earned since its last service; what it is owed is carried on. The share is the source's
-part of all tokens, so that all queues run dry together and nothing is left over. Served in the order in which
-tokens are earned (token x of a queue of n tokens among T in all is due at (2x - 1) T / 2n), the state before window
-k has a closed form: the first k * length tokens by due time. So a task works out the deficits of any window by
-itself, and windows, partitions and documents need no common walk.
+Every source is a queue of tokens with a target share of every window. Deficit round-robin gives a queue, window after
+window, the tokens that its share has earned since its last service; what it is owed is carried on to the next window,
+and a queue that runs dry releases its share to the others. Served in the order in which tokens are earned, the state
+before window k has a closed form: at virtual time v a queue of n tokens and weight w has earned min(n, w * v), token
+x of it is due when w * v reaches x - 1/2, and the first k * length tokens by due time are those served. So a task works out
+the deficits of any window by itself, and windows, partitions and documents need no common walk. By default the
+targets are the sources' parts of all tokens, so that all queues run dry together and nothing is left over.
 """
 
 from __future__ import annotations
@@ -31,13 +32,24 @@ BROADCAST_ROWS = 200_000
 
 
 class Mixture:
-    """Cut points of every queue, given the number of tokens in each."""
+    """Cut points of every queue, given the number of tokens in each and their weights (their parts of all tokens, if not given)."""
 
-    def __init__(self, totals: np.ndarray, length: int = LENGTH):
+    def __init__(self, totals: np.ndarray, length: int = LENGTH, weights: np.ndarray | None = None):
         self.n, self.length = np.asarray(totals, np.int64), length
         self.total = int(self.n.sum())
         self.windows = self.total // length
-        self.share = self.n.astype(np.float64) / max(1, self.total)
+        own = self.n.astype(np.float64) / max(1, self.total)
+        if weights is None:
+            self.share = own
+        else:
+            self.share = np.asarray(weights, np.float64) / np.sum(weights, initial=0.0)
+        # queues by the virtual time at which they run dry, and what all have earned by then
+        dry = np.divide(self.n, self.share, out=np.zeros(len(self.n)), where=self.share > 0)
+        order = np.argsort(dry, kind="stable")
+        self.dry_at = dry[order]
+        live = np.concatenate([np.cumsum(self.share[order][::-1])[::-1], [0.0]])
+        self.live = live
+        self.earned_at = np.concatenate([[0.0], np.cumsum(np.diff(self.dry_at, prepend=0.0) * live[:-1])])
         full = self.served(np.array([self.windows]))[0]
         self.rest_from = full
         self.rest_at = np.concatenate([[0], np.cumsum(self.n - full)])
@@ -47,17 +59,32 @@ class Mixture:
             rest -= sizes[-1]
         self.rest_cuts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
 
-    def _due(self, t: np.ndarray) -> np.ndarray:
-        """Tokens of each queue that are due by time t."""
-        return np.minimum(np.floor(t[:, None] * self.share + np.float64(0.5)).astype(np.int64), self.n)
+    def earned(self, v: np.ndarray) -> np.ndarray:
+        """Tokens that all queues have earned by virtual time v."""
+        i = np.searchsorted(self.dry_at, v, "right")
+        return self.earned_at[i] + (v - np.concatenate([[0.0], self.dry_at])[i]) * self.live[i]
+
+    def reached(self, t: np.ndarray) -> np.ndarray:
+        """The virtual time at which all queues have earned t tokens."""
+        i = np.clip(np.searchsorted(self.earned_at, t, "right") - 1, 0, len(self.dry_at) - 1)
+        return np.concatenate([[0.0], self.dry_at])[i] + (t - self.earned_at[i]) / np.maximum(self.live[i], 1e-300)
+
+    def _due(self, v: np.ndarray) -> np.ndarray:
+        """Tokens of each queue that are due by virtual time v."""
+        return np.minimum(np.floor(np.maximum(v, 0)[:, None] * self.share + 0.5).astype(np.int64), self.n)
 
     def served(self, k: np.ndarray) -> np.ndarray:
         """Tokens of each queue in the windows before window k: a row for each k."""
         k = np.asarray(k, np.int64)
+        if not len(self.n):
+            return np.zeros((len(k), 0), np.int64)
         want = k * self.length
-        lo = np.maximum(want - len(self.n) - 2, -1).astype(np.float64)
-        hi = np.minimum(want + len(self.n) + 2, self.total).astype(np.float64)
-        for _ in range(40):
+        lo = self.reached(np.maximum(want - len(self.n) - 2, 0).astype(np.float64)) - 1e-9
+        lo = np.where(self._due(lo).sum(1) >= want, -1.0, lo)
+        hi = np.full(len(k), self.dry_at[-1] + 1.0)
+        near = self.reached(np.minimum(want + len(self.n) + 2, self.total).astype(np.float64)) + 1e-9
+        hi = np.where(self._due(near).sum(1) >= want, near, hi)
+        for _ in range(64):
             mid = (lo + hi) / 2
             enough = self._due(mid).sum(1) >= want
             lo, hi = np.where(enough, lo, mid), np.where(enough, mid, hi)
@@ -67,14 +94,21 @@ class Mixture:
         left = (want - before.sum(1))[:, None] - (np.cumsum(ties, 1) - ties)
         return np.where((k >= self.windows)[:, None] & (want >= self.total)[:, None], self.n, before + np.clip(left, 0, ties))
 
+    def deficits(self, k: np.ndarray) -> np.ndarray:
+        """What each queue has earned before window k and not been served: the deficits that are carried on."""
+        k = np.asarray(k, np.int64)
+        return np.minimum(self.reached((k * self.length).astype(np.float64))[:, None] * self.share, self.n) - self.served(k)
+
     def pieces(self, queue: int, start: int, end: int, cache: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Pieces of tokens [start, end) of a queue: their starts, sequence ids and offsets in the sequence."""
         starts, seqs, offs = [], [], []
         split = int(self.rest_from[queue])
         if start < split:
-            share = float(self.share[queue]) * self.length
-            first = max(0, int(start / share) - 2 - len(self.n) // self.length)
-            last = min(self.windows, int(min(end, split) / share) + 3 + len(self.n) // self.length)
+            # the windows of the first and last of these tokens, as far as rounding may move them
+            v = np.array([max(0, start - 1), min(end, split) + 1], np.float64) / self.share[queue]
+            t, slack = self.earned(np.minimum(v, self.dry_at[-1])), 2 + len(self.n) // self.length
+            first = max(0, int(t[0]) // self.length - slack)
+            last = min(self.windows, int(t[1]) // self.length + 1 + slack)
             own, ahead = self._rows(queue, first, last + 1, cache)
             a = max(0, int(own.searchsorted(start, "right")) - 1)
             b = int(own.searchsorted(min(end, split), "left"))
@@ -133,31 +167,43 @@ def tokenised(docs: DataFrame, rank_path: str | None = None, json_path: str | No
     return rows.mapInPandas(run, "doc_id long, queue string, part int, place long, n long, ids binary")
 
 
-def pack(docs: DataFrame, length: int = LENGTH, rank_path: str | None = None, json_path: str | None = None, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, length: int = LENGTH, rank_path: str | None = None, json_path: str | None = None, with_ids: bool = True, targets: dict[str, float] | None = None) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, with_ids, ids of every piece of every row.
 
     A null text is empty: its document is the end token alone. A null source is a queue of its own, shared with the
     empty name. A null id is kept; repeated rows are packed each. All sequences but the last few hold exactly
     ``length`` tokens; what is left over is cut into sequences whose sizes are powers of two, so nothing is padded.
+
+    targets: the parts of every window that sources are to have, in any unit; a source that is not named has its own
+    part of all tokens, in the same unit as the named ones' parts would be. Up to MAX_QUEUES sources have queues of
+    their own; beyond, a queue is shared by the sources of one hash, and can't have a target.
     """
+    if targets and min(targets.values()) <= 0:
+        raise ValueError("targets must be positive")
     spark = docs.sparkSession
     tokens = stored(tokenised(docs, rank_path, json_path), "packing-tokens")
     sums = tokens.groupBy("queue", "part").agg(F.sum("n").alias("n"))
     totals = sums.groupBy("queue").agg(F.sum("n").alias("n"), F.count("*").alias("parts"))
     listed = totals.orderBy("queue").limit(MAX_QUEUES + 1).collect()
     if len(listed) > MAX_QUEUES:  # too many names to send: queues by hash, in the same way
+        if targets:
+            raise ValueError(f"targets need no more than {MAX_QUEUES} sources")
         hashed = docs.withColumn("source", F.pmod(F.xxhash64(F.coalesce("source", F.lit(""))), F.lit(MAX_QUEUES)).cast("string"))
         return pack(hashed, length, rank_path, json_path, with_ids)
     number = {r.queue: i for i, r in enumerate(listed)}
-    sent = spark.sparkContext.broadcast((number, np.array([r.n for r in listed], np.int64)))
+    weights = None
+    if targets:
+        named, every = sum(r.n for r in listed if r.queue in targets), sum(targets.get(r.queue, 0.0) for r in listed)
+        weights = np.array([targets.get(r.queue, r.n * every / max(1, named)) for r in listed], np.float64)
+    sent = spark.sparkContext.broadcast((number, np.array([r.n for r in listed], np.int64), weights))
     base = sums.withColumn("base", F.sum("n").over(Window.partitionBy("queue").orderBy("part")) - F.col("n")).drop("n")
     if sum(r.parts for r in listed) <= BROADCAST_ROWS:
         base = F.broadcast(base)
     placed = tokens.join(base, ["queue", "part"]).select("doc_id", "queue", (F.col("base") + F.col("place")).alias("at"), "n", "ids")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        numbers, n = sent.value
-        mixture, cache = Mixture(n, length), {}
+        numbers, n, weights = sent.value
+        mixture, cache = Mixture(n, length, weights), {}
         for pdf in batches:
             if not len(pdf):
                 continue

@@ -34,6 +34,35 @@ def test_cuts_follow_the_due_times(totals, length):
     assert len(seen) == sum(totals) and set(seen.values()) == {1}
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 400), st.sampled_from([0.5, 1, 3, 10])), min_size=1, max_size=10), st.sampled_from([4, 8, 64]))
+def test_targets_are_kept_and_deficits_carried(queues, length):
+    totals, weights = (np.array(x, float) for x in zip(*queues))
+    m = P.Mixture(totals.astype(int), length, weights)
+    k = np.arange(m.windows + 1)
+    served = m.served(k)
+    assert (np.diff(served, axis=0) >= 0).all() and (served.sum(1) == k * length).all() and (served <= totals).all()
+    assert np.abs(m.deficits(k)).max() <= max(1, len(totals) / 2) + 1e-6
+    # brute force: deficit round-robin token by token, a queue that is dry releasing its share
+    left, owed = totals.copy(), np.zeros(len(totals))
+    for i in range(int(m.windows) * length):
+        live = left > 0
+        owed[live] += weights[live] / weights[live].sum()
+        q = int(np.argmax(np.where(live, owed, -np.inf)))
+        owed[q] -= 1
+        left[q] -= 1
+        if (i + 1) % length == 0:
+            assert np.abs(served[(i + 1) // length] - (totals - left)).max() <= len(totals) + 1
+    seen = Counter()
+    for q, n in enumerate(totals.astype(int)):
+        for a in range(0, n, 37):
+            b = min(a + 37, n)
+            s, kk, o = m.pieces(q, a, b, {})
+            for x, y, w, oo in zip(s, [*s[1:], b], kk, o):
+                seen.update((int(w), int(oo) + z) for z in range(y - x))
+    assert len(seen) == totals.sum() and set(seen.values()) == {1}
+
+
 def check(rows, docs, length):
     want = Counter((i, tuple(JSON.encode(t or "", add_special_tokens=False).ids + [1])) for i, t, _ in docs)
     pieces, seqs = defaultdict(list), defaultdict(list)
@@ -66,6 +95,11 @@ def test_packs_every_id_once(spark):
         seqs = check(P.pack(df, length).collect(), docs, length)
         assert sum(sum(n for _, n in p) < length for p in seqs.values()) <= length.bit_length()
     assert P.pack(df.limit(0)).collect() == []
+    rows = P.pack(df, 64, targets={"rare": 1.0, "s0": 1.0}).collect()
+    check(rows, docs, 64)
+    source = {i: s for i, _, s in docs if i != 5}
+    share = lambda w: Counter(source.get(r.doc_id) for r in rows if r.sequence_id == w for _ in range(r.length))
+    assert abs(share(0)["rare"] - share(0)["s0"]) <= 3 and share(0)["rare"] > 10
 
 
 def test_many_sources_share_queues(spark, monkeypatch):
