@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from speechlake.llm.common import stored
-from speechlake.llm.tokens import EOD, encode
+from speechlake.llm.tokens import EOD, encode_plain
 
 BLOCK_BYTES = 1 << 18
 
@@ -37,10 +37,11 @@ def read_flat(spark: SparkSession, path: str, block_bytes: int = BLOCK_BYTES) ->
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(cut, "file string, block long, data binary")
 
 
-def write_blocks(docs: DataFrame, eod: int = EOD, block_bytes: int = BLOCK_BYTES, rank_path: str | None = None, json_path: str | None = None) -> tuple[DataFrame, DataFrame]:
+def write_blocks(docs: DataFrame, eod: int = EOD, block_bytes: int = BLOCK_BYTES, rank_path: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Tokenise documents into one flat file a task, held as blocks, and the order of documents in each file.
 
-    Returns (file, block, data) and (file, ordinal, doc_id). Blocks are cut at fixed sizes, wherever documents end.
+    Returns (file, block, data) and (file, ordinal, doc_id). Blocks are cut at fixed sizes, wherever documents end. An
+    end-of-text string in a text is encoded as ordinary text: all of its ids count, and none of them is a separator.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -50,7 +51,7 @@ def write_blocks(docs: DataFrame, eod: int = EOD, block_bytes: int = BLOCK_BYTES
                 some = pdf.iloc[lo : lo + 64]
                 raw = [rest]
                 for text in some["text"]:
-                    ids = [i for i in encode(text, rank_path, json_path) if i != eod]  # in a text it would be a false end
+                    ids = encode_plain(text, rank_path)
                     ids.append(eod)
                     raw.append(np.array(ids, "<u2").tobytes())
                 data, rest = b"".join(raw), b""
@@ -92,7 +93,8 @@ def count_tokens(blocks: DataFrame, eod: int = EOD, width: str = "<u2") -> DataF
                     rows.append((name, block, 0, len(ids), len(ids), []))
             yield pd.DataFrame(rows, columns=["file", "block", "n_ends", "head", "tail", "inner"])
 
-    found = blocks.mapInPandas(scan, "file string, block long, n_ends long, head long, tail long, inner array<long>")
+    found = stored(blocks.mapInPandas(scan, "file string, block long, n_ends long, head long, tail long, inner array<long>"), "token-blocks")
+    inner, found = found.where("n_ends > 0").select("file", "block", "inner"), found.drop("inner")  # the scan is over summaries alone
     order = Window.partitionBy("file").orderBy("block")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     # ids since the last separator: a running sum that starts anew after every block that has one
@@ -103,7 +105,7 @@ def count_tokens(blocks: DataFrame, eod: int = EOD, width: str = "<u2") -> DataF
     run = run.withColumn("carry", F.when(starts, last)).withColumn("lone", F.when(F.col("n_ends") == 0, F.col("tail")).otherwise(0))
     run = run.withColumn("open", F.coalesce(F.sum("lone").over(tail), F.lit(0)) + F.coalesce(F.first("carry", True).over(tail.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
     run = run.withColumn("first", F.coalesce(F.sum("n_ends").over(before), F.lit(0))).withColumn("final", F.lead("block").over(order).isNull())
-    closed = run.where("n_ends > 0").select("file", "first", F.posexplode(F.concat(F.array(F.col("head") + F.col("open")), "inner")).alias("i", "n_tokens"))
+    closed = run.where("n_ends > 0").join(inner, ["file", "block"]).select("file", "first", F.posexplode(F.concat(F.array(F.col("head") + F.col("open")), "inner")).alias("i", "n_tokens"))
     closed = closed.select("file", (F.col("first") + F.col("i")).alias("ordinal"), "n_tokens", F.lit(True).alias("closed"))
     rest = F.when(F.col("n_ends") == 0, F.col("open") + F.col("tail")).otherwise(F.col("tail"))
     left = run.where("final").select("file", (F.col("first") + F.col("n_ends")).alias("ordinal"), rest.alias("n_tokens"), F.lit(False).alias("closed")).where("n_tokens > 0")
@@ -111,6 +113,6 @@ def count_tokens(blocks: DataFrame, eod: int = EOD, width: str = "<u2") -> DataF
 
 
 def document_tokens(docs: DataFrame) -> DataFrame:
-    """doc_id, file, ordinal, n_tokens of every row, read back from flat files. Null texts are empty; repeated rows count each."""
+    """doc_id, file, ordinal, n_tokens of every row, read back from flat files. Null texts are empty; repeated rows count each. An end-of-text string in a text counts as the ordinary tokens of its characters."""
     blocks, order = write_blocks(docs)
     return order.join(count_tokens(blocks), ["file", "ordinal"], "left").select("doc_id", "file", "ordinal", "n_tokens")

@@ -43,3 +43,8 @@ def encode(text: str, rank_path: str | None = None, json_path: str | None = None
     if SPECIAL in text:
         return json_tokenizer(json_path or default_path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids
     return fast_encoder(rank_path or default_path("byte_bpe_50k.tiktoken")).encode_ordinary(text)
+
+
+def encode_plain(text: str, rank_path: str | None = None) -> list[int]:
+    """Ids of a whole text in which the end-of-text string is text like any other, so that no id of a text is EOD."""
+    return fast_encoder(rank_path or default_path("byte_bpe_50k.tiktoken")).encode_ordinary(text)

@@ -3,7 +3,7 @@ import random
 import numpy as np
 
 from speechlake.llm import token_counts as C
-from speechlake.llm.tokens import encode
+from speechlake.llm.tokens import encode_plain, json_tokenizer, default_path
 
 
 def brute(ids, eod):
@@ -33,8 +33,16 @@ def test_documents_and_flat_files(spark, tmp_path):
     docs = [(i, "some words here " * (i % 30)) for i in range(150)] + [(500, None), (501, ""), (None, "x y"), (7, "again and again"), (600, "a<|endoftext|>b " * 3), (601, "long " * 60000)]
     df = spark.createDataFrame([(i, t, 0) for i, t in docs], "doc_id long, text string, block int")
     got = sorted((r.doc_id or -1, r.n_tokens) for r in C.document_tokens(df).collect())
-    assert got == sorted((i or -1, sum(x != C.EOD for x in encode(t or ""))) for i, t in docs)
+    assert got == sorted((i or -1, len(encode_plain(t or ""))) for i, t in docs)
     assert C.document_tokens(df.limit(0)).collect() == []
     (tmp_path / "a.bin").write_bytes(np.array([5, 6, C.EOD, 7, C.EOD], "<u2").tobytes())
     got = C.count_tokens(C.read_flat(spark, f"file://{tmp_path}", 4)).collect()
     assert sorted((r.ordinal, r.n_tokens, r.closed) for r in got) == [(0, 2, True), (1, 1, True)]
+
+
+def test_the_end_of_text_string_counts_as_text():
+    tok = json_tokenizer.__wrapped__(default_path("byte_bpe_50k.json"))
+    tok.encode_special_tokens = True
+    for t in ("a<|endoftext|>b", "<|endoftext|>", "plain", ""):
+        ids = encode_plain(t)
+        assert ids == tok.encode(t, add_special_tokens=False).ids and C.EOD not in ids
