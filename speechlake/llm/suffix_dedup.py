@@ -26,7 +26,7 @@ from speechlake.llm.suffix_sort import deep_shallow_sort, words_at
 MIN, GRAM = 100, 16
 #: Starts of one anchor that are sorted together, suffixes that are sorted at once, and the most starts of a run; longer
 #: runs, which only texts with a short period have, are cut.
-PART, BLOCK, LONGEST = 90_000, 150_000, 1_024
+PART, BLOCK, LONGEST = 300_000, 150_000, 1_024
 #: Bytes of text that are hashed at once.
 CHUNK = 1 << 20
 _A, _B, _R = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), 0xD6E8FEB86659FD93
@@ -139,7 +139,8 @@ def runs_of(rows: DataFrame, only_anchors: bool = False) -> DataFrame:
 def sorted_repeats(windows: DataFrame) -> DataFrame:
     """From (anchor, part, parts, doc_id, start, n, bytes): repeats found by suffix sorting, and the firsts of anchors in parts.
 
-    kind 0: n starts from ``start`` repeat. kind 1: the first of a string in its part, with the string's digest.
+    kind 0: n starts from ``start`` repeat. kind 1: firsts of strings in a part of a large anchor, as packed rows of
+    digest, document and start; bucket is the digest's, of as many as the anchor has parts.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -156,7 +157,7 @@ def sorted_repeats(windows: DataFrame) -> DataFrame:
             yield _repeats(held)
 
     dealt = windows.repartition(F.col("anchor"), F.col("part")).sortWithinPartitions("anchor", "part")
-    return dealt.mapInPandas(run, "kind int, anchor long, d1 long, d2 long, doc_id long, start long, n long")
+    return dealt.mapInPandas(run, "kind int, anchor long, bucket long, doc_id long, start long, n long, firsts binary")
 
 
 def _repeats(rows: list[tuple]) -> pd.DataFrame:
@@ -178,14 +179,21 @@ def _repeats(rows: list[tuple]) -> pd.DataFrame:
     d, s = doc[hit], start[hit]
     new = np.concatenate([[True], (d[1:] != d[:-1]) | (s[1:] != s[:-1] + 1)])[: len(hit)]
     begin = np.flatnonzero(new)
-    out = pd.DataFrame({"kind": 0, "anchor": 0, "d1": 0, "d2": 0, "doc_id": d[begin], "start": s[begin], "n": np.diff(np.append(begin, len(hit)))})
+    out = pd.DataFrame({"kind": 0, "anchor": 0, "bucket": 0, "doc_id": d[begin], "start": s[begin], "n": np.diff(np.append(begin, len(hit))), "firsts": None})
     cut = np.array([r[2] > 1 for r in rows])
     if cut.any():
         lone = order[~again]
         lone = lone[cut[owner[lone]]]
         raw = buffer.tobytes()
-        digest = np.array([divmod(xxhash.xxh3_128_intdigest(raw[a : a + MIN]), 1 << 64) for a in at[lone].tolist()], np.uint64).reshape(-1, 2).view(np.int64)
-        more = pd.DataFrame({"kind": 1, "anchor": np.array([r[0] for r in rows], np.int64)[owner[lone]], "d1": digest[:, 0], "d2": digest[:, 1], "doc_id": doc[lone], "start": start[lone], "n": 1})
+        digest = np.array([divmod(xxhash.xxh3_128_intdigest(raw[a : a + MIN]), 1 << 64) for a in at[lone].tolist()], np.uint64).reshape(-1, 2)
+        anchor, parts = (np.array([r[i] for r in rows], np.int64)[owner[lone]] for i in (0, 2))
+        bucket = (digest[:, 0] % parts.astype(np.uint64)).astype(np.int64)
+        firsts = np.stack([digest[:, 0].view(np.int64), digest[:, 1].view(np.int64), doc[lone], start[lone]], axis=1)
+        by = np.lexsort((bucket, anchor))
+        anchor, bucket, firsts = anchor[by], bucket[by], firsts[by]
+        cuts = np.flatnonzero((anchor[1:] != anchor[:-1]) | (bucket[1:] != bucket[:-1])) + 1
+        head = np.concatenate([[0], cuts]) if len(by) else np.zeros(0, np.int64)
+        more = pd.DataFrame({"kind": 1, "anchor": anchor[head], "bucket": bucket[head], "doc_id": 0, "start": 0, "n": 0, "firsts": [x.tobytes() for x in np.split(firsts, cuts)][: len(head)]})
         out = pd.concat([out, more])
     return out
 
@@ -221,9 +229,17 @@ def repeated_starts(rows: DataFrame) -> DataFrame:
     lists = rows.join(wanted, "doc_id").select("doc_id", "text", *[F.col(f"wanted.{c}").alias(c) for c in names])
     pieces = lists.mapInPandas(cut, "anchor long, parts int, part int, start long, n long, doc_id long, bytes binary")
     found = stored(sorted_repeats(pieces), "suffix-sorted")
-    split = found.where("kind = 1")
-    least = split.groupBy("anchor", "d1", "d2").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("c")).where("c > 1")
-    late = split.join(least, ["anchor", "d1", "d2"]).where("doc_id != first.doc_id or start != first.start")
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = np.frombuffer(b"".join(bytes(x) for x in pdf["firsts"]), np.int64).reshape(-1, 4)
+        rows = rows[np.lexsort(rows.T[::-1])]
+        late = rows[1:][(rows[1:, :2] == rows[:-1, :2]).all(1)]
+        late = late[np.lexsort((late[:, 3], late[:, 2]))]
+        doc, start = late[:, 2], late[:, 3]
+        begin = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1)])[: len(late)])
+        return pd.DataFrame({"doc_id": doc[begin], "start": start[begin], "n": np.diff(np.append(begin, len(late)))})
+
+    late = found.where("kind = 1").groupBy("anchor", "bucket").applyInPandas(meet, "doc_id long, start long, n long")
     return whole.unionByName(found.where("kind = 0").select("doc_id", "start", "n")).unionByName(late.select("doc_id", "start", "n"))
 
 
