@@ -24,7 +24,7 @@ from speechlake.llm.common import remainder, stored
 
 #: The fit reads at most so many labelled documents of each class, those with the smallest hash of their id, as long as
 #: the texts of the class have at most so many characters in all. Scoring has no bounds.
-MAX_TOXIC, MAX_CLEAN, MAX_FIT_CHARS = 2_000, 5_000, 20_000_000
+MAX_TOXIC, MAX_CLEAN, MAX_FIT_CHARS = 2_000, 5_000, 8_000_000
 #: Bias of a sentence, and the probability of a document without any sign.
 BIAS, LEAK = -6.0, 0.01
 #: Words in fewer fitted documents than this have no weight.
