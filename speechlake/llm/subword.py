@@ -153,6 +153,39 @@ def _by_agenda(v: Vocabulary, chunk: str, skip: Callable[[int, int], bool]) -> l
 
 def by_rounds(v: Vocabulary, chunks: list[str], keys: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
     """All chunks at once: in each round every chunk takes its agenda's first candidate. Symbols, and their number by chunk."""
+    def skips(turn: int, own: np.ndarray, place: np.ndarray, piece: np.ndarray) -> np.ndarray | None:
+        return mixed(keys[own], place, piece) < np.uint64(limit) if limit else None
+
+    return _in_rounds(v, chunks, skips)
+
+
+def traced_all(v: Vocabulary, chunks: list[str], skips: list[tuple[int, ...]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """traced() of many chunks at once: symbols, their number by chunk, rows (place, piece) of the candidates after the last skip, and their number by chunk.
+
+    A round takes one candidate of every chunk, so the number of a candidate is that of its round.
+    """
+    owner = np.repeat(np.arange(len(chunks)), [len(k) for k in skips])
+    number = np.array([x for k in skips for x in k], np.int64)
+    last = np.array([k[-1] if k else -1 for k in skips], np.int64)
+    at = {int(t): owner[number == t] for t in np.unique(number)}
+    seen: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def skip(turn: int, own: np.ndarray, place: np.ndarray, piece: np.ndarray) -> np.ndarray | None:
+        late = turn > last[own]
+        seen.append((own[late], place[late], piece[late]))
+        if turn not in at:
+            return None
+        hit = np.zeros(len(chunks), bool)
+        hit[at[turn]] = True
+        return hit[own]
+
+    ids, sizes = _in_rounds(v, chunks, skip)
+    own, place, piece = (np.concatenate(x) for x in zip(*seen)) if seen else (np.zeros(0, np.int64),) * 3
+    order = np.argsort(own, kind="stable")
+    return ids, sizes, np.stack([place[order], piece[order]], axis=1), np.bincount(own, minlength=len(chunks))
+
+
+def _in_rounds(v: Vocabulary, chunks: list[str], skips: Callable[[int, np.ndarray, np.ndarray, np.ndarray], np.ndarray | None]) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.array([len(c) for c in chunks], np.int64)
     if not len(chunks):
         return np.zeros(0, np.int64), sizes
@@ -165,8 +198,9 @@ def by_rounds(v: Vocabulary, chunks: list[str], keys: np.ndarray, limit: int) ->
     same = own[:-1] == own[1:]
     joined[:-1] = np.where(same, v.look_up(ids[:-1], ids[1:]), -1)
     done: list[tuple[np.ndarray, np.ndarray]] = []
-    far = np.int64(1) << 62
+    far, turn = np.int64(1) << 62, -1
     while len(ids):
+        turn += 1
         order = np.where(joined < 0, far, (v.rank[joined] << 24) + place)
         first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
         best = np.minimum.reduceat(order, first)
@@ -179,8 +213,8 @@ def by_rounds(v: Vocabulary, chunks: list[str], keys: np.ndarray, limit: int) ->
             best = best[best < far]
             first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
         at = np.flatnonzero(order == np.repeat(best, np.diff(np.append(first, len(ids)))))
-        if limit:
-            skip = mixed(keys[own[at]], place[at], joined[at]) < np.uint64(limit)
+        skip = skips(turn, own[at], place[at], joined[at])
+        if skip is not None:
             joined[at[skip]] = -1
             at = at[~skip]
         ids[at] = joined[at]
@@ -262,20 +296,18 @@ class Encoder:
 
     def add(self, chunks: list[str], skips: list[tuple[int, ...]], roots: bool = False) -> None:
         """New nodes. With dropout, long chunks have neither symbols nor candidates here."""
-        none: tuple[list, list] = ([], [])
+        n, met, both = np.zeros(len(chunks), np.int64), np.zeros(len(chunks), np.int64), np.zeros((0, 2), np.int64)
         if self.limit:
-            made = [traced(self.v, c, k) if len(c) <= self.short else none for c, k in zip(chunks, skips)]
-            ids, n = with_bytes(self.v, np.array([i for x, _ in made for i in x], np.int64), np.array([len(x) for x, _ in made], np.int64))
+            short = [i for i, c in enumerate(chunks) if len(c) <= self.short]
+            ids, sizes, both, met[short] = traced_all(self.v, [chunks[i] for i in short], [skips[i] for i in short])
+            ids, n[short] = with_bytes(self.v, ids, sizes)
         else:
-            made = [none] * len(chunks)
             ids, n = self.segment(chunks, np.zeros(len(chunks), np.uint64))
-        met = np.array([len(x) for _, x in made], np.int64)
         self.starts.extend(self.ids.n + np.cumsum(n) - n)
         self.first.extend(self.place.n + np.cumsum(met) - met)
         self.ids.extend(ids)
         self.n.extend(n)
         self.met.extend(met)
-        both = np.array([x for _, m in made for x in m], np.int64).reshape(-1, 2)
         self.place.extend(both[:, 0])
         self.piece.extend(both[:, 1])
         self.child.extend(np.full(len(both), -1))

@@ -42,6 +42,25 @@ def test_rounds_equal_the_heap():
         assert g.tolist() == S.by_heap(V, c, int(k), limit), c
 
 
+def test_traces_equal_the_heap():
+    rng = random.Random(9)
+    chunks, skips = [], []
+    for _ in range(250):
+        c = "".join(rng.choice("▁thenadiosr日") for _ in range(rng.randint(1, 24)))
+        k: tuple = ()
+        for _ in range(rng.randint(0, 3)):
+            met = S.traced(V, c, k)[1]
+            if met:
+                k = (*k, (k[-1] + 1 if k else 0) + rng.randrange(len(met)))
+        chunks.append(c)
+        skips.append(k)
+    ids, n, both, met = S.traced_all(V, chunks, skips)
+    got, rows = np.split(ids, np.cumsum(n)[:-1]), np.split(both, np.cumsum(met)[:-1])
+    for c, k, g, m in zip(chunks, skips, got, rows):
+        assert (g.tolist(), [tuple(x) for x in m.tolist()]) == S.traced(V, c, k), (c, k)
+    assert S.traced_all(V, [], [])[2].shape == (0, 2)
+
+
 def test_varied_and_repeatable(spark):
     text = "the international transformation of organisations " * 20
     df = spark.createDataFrame([(i, text, "x") for i in range(40)] + [(None, None, "y"), (5, text, "z"), (99, "a▁b", "q")], "doc_id long, text string, variant string")
