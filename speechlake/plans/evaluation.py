@@ -227,7 +227,8 @@ SELECT lang, arm, failure, round(value, 8) AS value, round(against, 8) AS agains
   SELECT lang, arm, 'cer_punct' AS failure, cer_punct AS value, control AS against FROM cr WHERE cer_punct > control
   UNION ALL SELECT lang, arm, 'content_delta', content_delta, 0.005::DOUBLE FROM cr WHERE content_delta > 0.005
   UNION ALL SELECT lang, arm, 'entity_drift', entity_drift, 0.02::DOUBLE FROM cr WHERE entity_drift > 0.02)
-UNION ALL SELECT lang, 'src1,src2', 'not_measured', NULL, NULL, NULL FROM w WHERE scored < 2"""
+UNION ALL SELECT lang, 'src1,src2', 'not_measured', NULL, NULL, NULL FROM w WHERE scored < 2
+UNION ALL SELECT lang, min(arm) FILTER (WHERE arm <> 'src0'), 'control_missing', NULL, NULL, NULL FROM agg GROUP BY lang HAVING count(*) FILTER (WHERE arm <> 'src0' AND n > 0) >= 2 AND count(cer_punct) FILTER (WHERE arm = 'src0') = 0"""
 
 
 def entity_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
