@@ -4,9 +4,9 @@ A string of MIN bytes belongs to the smallest hash among its GRAM-byte grams, wh
 a document falls into runs of starts that share this hash (their anchor), about one for every 43 bytes, and equal
 strings lie in runs with equal anchors. Runs whose anchor's gram occurs once hold no repeat. Of the others, runs with the
 same bytes are one window each: all but its first occurrence are repeats throughout. The windows that share an anchor
-and differ are cut out of the texts, and the suffixes at their starts are deep-shallow sorted to MIN bytes; of equal
-ones all but the first are repeats. An anchor with very many starts is sorted in parts, and the parts' firsts are
-matched by a 128-bit digest. Windows are matched by 128 bits of hash as well (anchor and window).
+and differ are cut out of the texts, and the suffixes at their starts are deep-shallow sorted to MIN bytes, each anchor
+on its own; of equal ones all but the first are repeats. An anchor with very many starts is sorted in parts, and the
+parts' firsts are matched by a 128-bit digest. Windows are matched by 128 bits of hash as well (anchor and window).
 """
 
 from __future__ import annotations
@@ -168,7 +168,8 @@ def _repeats(rows: list[tuple]) -> pd.DataFrame:
     inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     at = (np.cumsum(size) - size)[owner] + inside
     doc, start = np.array([r[3] for r in rows], np.int64)[owner], np.array([r[4] for r in rows], np.int64)[owner] + inside
-    order, group = deep_shallow_sort(buffer, at, MIN)
+    piece = np.cumsum([False] + [r[:2] != q[:2] for q, r in zip(rows, rows[1:])])
+    order, group = deep_shallow_sort(buffer, at, MIN, group=piece[owner])
     place = np.empty(len(at), np.int64)  # among all starts by document and position
     place[np.lexsort((start, doc))] = np.arange(len(at))
     head = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))

@@ -1,8 +1,10 @@
 """Deep-shallow sorting of suffixes, to a bounded depth.
 
-Multikey quicksort orders suffixes by their first bytes, eight at a time, and goes on only inside groups that are
-still equal. Groups that share a long prefix are then ordered by blind tries: a node skips the prefix that its whole
-group shares, which is measured against one member, and branches on what follows; nothing skipped is looked at again.
+Multikey quicksort orders suffixes by their first bytes, eight at a time: the segments that are still open are cut three
+ways about a pivot, all in one vectorised round; smaller and larger ones stay at their depth, equal ones go on to the
+next eight bytes. Groups that are equal to the shallow depth are ordered by blind tries. A group's members are held
+against one leaf, each once, which gives the node of the leaf's path where the member branches off and the byte that it
+branches on; what hangs there is a trie of its own, whose members never look at the skipped prefix again.
 """
 
 from __future__ import annotations
@@ -20,85 +22,92 @@ def words_at(buffer: np.ndarray) -> np.ndarray:
     return x[: len(buffer)]
 
 
-def _ties(group: np.ndarray) -> np.ndarray:
-    """Whether a sorted member shares its group with a neighbour."""
-    same = group[1:] == group[:-1]
-    return np.concatenate([same, [False]]) | np.concatenate([[False], same]) if len(group) else np.zeros(0, bool)
-
-
-def _number(*keys: np.ndarray) -> np.ndarray:
-    """Consecutive group numbers of sorted keys."""
-    new = np.zeros(len(keys[0]), bool)
-    for k in keys:
-        new[1:] |= k[1:] != k[:-1]
-    return np.cumsum(new)
-
-
-def multikey_quicksort(words: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the suffixes by their first ``depth`` bytes (a multiple of eight), and the group of each that is equal in them."""
-    order = np.argsort(words[starts], kind="stable")
-    group = _number(words[starts[order]])
-    for d in range(8, depth, 8):
-        at = np.flatnonzero(_ties(group))
-        if not len(at):
-            break
-        key = words[starts[order[at]] + d]
-        by = np.lexsort((key, group[at]))
-        order[at] = order[at[by]]
-        own, key = group[at[by]], key[by]
-        fine = _number(own, key)
-        first = np.searchsorted(fine, fine, "left")
-        group = group.astype(np.int64)
-        head = np.concatenate([[True], group[1:] != group[:-1]])
-        head[at] = first == np.arange(len(at))
-        group = np.cumsum(head) - 1
-    return order, group
-
-
-def blind_trie_groups(words: np.ndarray, starts: np.ndarray, order: np.ndarray, group: np.ndarray, shallow: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
+def _heads(group: np.ndarray) -> np.ndarray:
+    """Whether a sorted member is the first of its group."""
+    return np.concatenate([[True], group[1:] != group[:-1]])[: len(group)]
+
+
+def _spread(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places of all members of segments."""
+    return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - first, size)
+
+
+def multikey_quicksort(words: np.ndarray, starts: np.ndarray, depth: int, group: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the suffixes by group and their first ``depth`` bytes (a multiple of eight), and the group of each that is equal in them.
+
+    Pivots are medians of three drawn with a fixed seed, so that no order of the input makes the rounds many.
+    """
+    order = np.arange(len(starts)) if group is None else np.argsort(group, kind="stable")
+    head = _heads(np.zeros(len(starts)) if group is None else group[order])
+    rng = np.random.default_rng(0)
+    first = np.flatnonzero(head)
+    size = np.diff(np.append(first, len(starts)))
+    at_depth = np.zeros(len(first), np.int64)
+    while True:
+        live = (size > 1) & (at_depth < depth)
+        first, size, at_depth = first[live], size[live], at_depth[live]
+        if not len(first):
+            return order, np.cumsum(head) - 1
+        place = _spread(first, size)
+        member = order[place]
+        key = words[starts[member] + np.repeat(at_depth, size)]
+        begin = np.cumsum(size) - size
+        a, b, c = key[begin + (rng.random((3, len(size))) * size).astype(np.int64)]
+        pivot = np.repeat(np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c)), size)
+        less, equal = key < pivot, key == pivot
+        # stable three-way partition: members ahead of one on its own side
+        few, same = np.cumsum(less) - less, np.cumsum(equal) - equal
+        few, same = few - np.repeat(few[begin], size), same - np.repeat(same[begin], size)
+        n_less, n_equal = np.add.reduceat(less, begin, dtype=np.int64), np.add.reduceat(equal, begin, dtype=np.int64)
+        inside = np.arange(len(key)) - np.repeat(begin, size)
+        to = np.where(less, few, np.where(equal, same + np.repeat(n_less, size), inside - few - same + np.repeat(n_less + n_equal, size)))
+        order[np.repeat(first, size) + to] = member
+        first = np.stack([first, first + n_less, first + n_less + n_equal], axis=1).ravel()
+        size = np.stack([n_less, n_equal, size - n_less - n_equal], axis=1).ravel()
+        at_depth = np.stack([at_depth, at_depth + 8, at_depth], axis=1).ravel()
+        head[first[size > 0]] = True
+
+
+def shared_prefix(words: np.ndarray, a: np.ndarray, b: np.ndarray, known: np.ndarray, depth: int) -> np.ndarray:
+    """Bytes that the suffixes at a and b share, up to ``depth``; the first ``known`` ones are not looked at."""
+    out, going = known.copy(), np.arange(len(a))
+    while len(going):
+        differ = words[a[going] + out[going]] ^ words[b[going] + out[going]]
+        stop = going[differ != 0]
+        out[stop] += _leading_bytes(differ[differ != 0])
+        going = going[differ == 0]
+        out[going] += 8
+        going = going[out[going] < depth]
+    return np.minimum(out, depth)
+
+
+def blind_tries(words: np.ndarray, starts: np.ndarray, order: np.ndarray, group: np.ndarray, shallow: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Order suffixes inside the groups that are equal to the shallow depth, down to ``depth`` bytes."""
-    order, group = order.copy(), group.astype(np.int64)
-    live = np.flatnonzero(_ties(group))
-    at_depth = np.full(len(live), shallow, np.int64)
-    while len(live):
-        own, pos = group[live], starts[order[live]]
-        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-        size = np.diff(np.append(first, len(live)))
-        # shared prefix with the group's first member
-        other = np.repeat(pos[first], size)
-        lcp = at_depth.copy()
-        going = np.arange(len(live))
-        while len(going):
-            a, b = words[pos[going] + lcp[going]], words[other[going] + lcp[going]]
-            same = a == b
-            diff = a[~same] ^ b[~same]
-            stop = going[~same]
-            lcp[stop] += _leading_bytes(diff)
-            going = going[same]
-            lcp[going] += 8
-            going = going[lcp[going] < depth]
-        skip = np.minimum(np.minimum.reduceat(lcp, first), depth)
-        done = np.repeat(skip >= depth, size)  # the whole group is equal
-        skip = np.repeat(skip, size)[~done]
-        live, own = live[~done], own[~done]
-        if not len(live):
-            break
-        # branch on what follows the skipped prefix; bytes beyond the depth don't count
-        key = words[starts[order[live]] + skip]
-        over = np.maximum(0, skip + 8 - depth).astype(np.uint64)
-        key = (key >> (over * np.uint64(8))) << (over * np.uint64(8))
-        by = np.lexsort((key, own))
-        order[live] = order[live[by]]
-        fine = _number(own[by], key[by])
-        head = np.concatenate([[True], group[1:] != group[:-1]])
-        head[live] = np.concatenate([[True], fine[1:] != fine[:-1]])
-        group = np.cumsum(head) - 1
-        tied = _ties(fine)
-        at_depth = np.minimum(skip + 8, depth)[tied]
-        live = live[tied]
-        open_ = at_depth < depth
-        at_depth, live = at_depth[open_], live[open_]
-    return order, group
+    order, head = order.copy(), _heads(group)
+    first = np.flatnonzero(head)
+    size = np.diff(np.append(first, len(order)))
+    known = np.full(len(first), shallow, np.int64)
+    far = (depth + 1) * 256
+    while True:
+        live = (size > 1) & (known < depth)
+        first, size, known = first[live], size[live], known[live]
+        if not len(first):
+            return order, np.cumsum(head) - 1
+        place = _spread(first, size)
+        pos, leaf = starts[order[place]], np.repeat(starts[order[first]], size)
+        node = shared_prefix(words, pos, leaf, np.repeat(known, size), depth)
+        top = np.uint64(56)
+        byte, own = ((words[x + node] >> top).astype(np.int64) for x in (pos, leaf))
+        # in-order walk of the leaf's path: smaller branches from the root down, the leaf, larger ones back up
+        walk = np.where(node == depth, far, np.where(byte < own, node * 256 + byte, far + (depth - node) * 256 + byte + 1))
+        tree = np.repeat(np.arange(len(size)), size)
+        by = np.argsort(tree * (2 * far + 512) + walk, kind="stable")
+        order[place] = order[place[by]]
+        walk, node = walk[by], node[by]
+        cut = np.flatnonzero(_heads(tree) | _heads(walk))
+        first, size = place[cut], np.diff(np.append(cut, len(place)))
+        head[first] = True
+        known = np.where(walk[cut] == far, depth, node[cut] + 1)
 
 
 def _leading_bytes(x: np.ndarray) -> np.ndarray:
@@ -109,17 +118,15 @@ def _leading_bytes(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def deep_shallow_sort(buffer: np.ndarray, starts: np.ndarray, depth: int, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
+def deep_shallow_sort(buffer: np.ndarray, starts: np.ndarray, depth: int, shallow: int = SHALLOW, group: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Order of the suffixes by their first ``depth`` bytes, and group numbers that rise along it: equal ones are equal to that depth.
 
-    Every suffix must have ``depth`` bytes in the buffer.
+    Every suffix must have ``depth`` bytes in the buffer. With group, suffixes of different groups are kept apart, and
+    groups come in the order of their numbers.
     """
     if not len(starts):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     shallow = min(shallow, depth) // 8 * 8
     words = np.concatenate([words_at(buffer), np.zeros(8, np.uint64)])
-    if shallow == 0:
-        order, group = np.arange(len(starts)), np.zeros(len(starts), np.int64)
-    else:
-        order, group = multikey_quicksort(words, starts, shallow)
-    return blind_trie_groups(words, starts, order, group, shallow, depth)
+    order, group = multikey_quicksort(words, starts, shallow, group)
+    return blind_tries(words, starts, order, group, shallow, depth)

@@ -19,6 +19,18 @@ def test_deep_shallow_sort_orders_suffixes():
         got = [text[starts[i] : starts[i] + depth] for i in order]
         assert got == sorted(got)
         assert all((group[i] == group[i + 1]) == (got[i] == got[i + 1]) for i in range(len(got) - 1))
+        own = np.array([rng.randrange(5) for _ in starts])
+        order, group = S.deep_shallow_sort(np.frombuffer(text, np.uint8), starts, depth, shallow, own)
+        got = [(own[i], text[starts[i] : starts[i] + depth]) for i in order]
+        assert got == sorted(got)
+        assert all((group[i] == group[i + 1]) == (got[i] == got[i + 1]) for i in range(len(got) - 1))
+
+
+def test_sort_of_many_equal_and_of_sorted_suffixes():
+    rows = np.frombuffer(b"".join(b"%016d" % (i // 3) for i in range(9000)), np.uint8)
+    starts = np.arange(0, len(rows), 16)
+    order, group = S.deep_shallow_sort(rows, starts, 16, 8)
+    assert (order // 3 == np.arange(9000) // 3).all() and (group == np.arange(9000) // 3).all()
 
 
 def brute(rows):
