@@ -28,11 +28,23 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+#: Makes Spark drop an execution's shuffle files as soon as it has ended.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts the lineage and survives lost executors."""
+    """Write a table to the shared folder and read it back: cuts the lineage and survives lost executors. The shuffle files of the write go with its end."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEAN_UP)
+        else:
+            spark.conf.set(CLEAN_UP, before)
     back = spark.read.schema(df.schema).parquet(path)
     back._speechlake_path = path
     return back
