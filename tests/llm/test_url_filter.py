@@ -34,9 +34,11 @@ def test_matches_brute_force(spark):
     df = spark.createDataFrame([(i % 150, u, "clash") for i, u in enumerate(urls)], "page_id long, url string, host string")
     want = sorted((i % 150, *brute(u, items)) for i, u in enumerate(urls))
     key = lambda r: tuple("" if x is None else x for x in r)
-    for limit in (U.BROADCAST_BYTES, 0):
-        got = [tuple(r) for r in U.judge_urls(df, broadcast_bytes=limit).collect()]
-        assert sorted(got, key=key) == sorted(want, key=key)
+    listed = spark.createDataFrame(items + [(None, "block", 0), ("net/", "allow", 0)], "entry string, verdict string, is_rule int")
+    for limit, size in ((U.BROADCAST_BYTES, U.SHARD_BYTES), (0, U.SHARD_BYTES), (0, 100)):
+        for given in (None, listed):
+            got = [tuple(r) for r in U.judge_urls(df, given, broadcast_bytes=limit, shard_bytes=size).collect()]
+            assert sorted(got, key=key) == sorted(want, key=key)
 
 
 def test_nested_and_equal_length_rules(spark):
@@ -46,12 +48,24 @@ def test_nested_and_equal_length_rules(spark):
     assert got == {1: ("a.b.c/", "allow"), 2: ("c/", "block"), 3: (None, "allow")}
 
 
-def test_collision_is_confirmed():
-    a = U.DigestArray(U.pack([("net/", "block", 1)]))
-    assert list(a.find(["net/", "org/"])) == [0, -1]
+def test_collision_is_confirmed(monkeypatch):
+    monkeypatch.setattr(U, "_digest", lambda text: 7)  # every key collides
+    a = U.DigestArray(U.pack([("net/", "block", 1), ("com/x", "allow", 0)]))
+    assert [a.string(i) if i >= 0 else None for i in a.find(["net/", "org/", "com/x"])] == ["net/", None, "com/x"]
+    assert a.path_lengths == [1, 2]
     assert list(U.DigestArray(U.pack([])).find(["x/"])) == [-1]
 
 
+def test_long_url_null_id_and_entry_without_path(spark):
+    long = "http://a.b.c/" + "x" * 300_000
+    df = spark.createDataFrame([(None, long), (2**60 + 1, long), (1, "http://d")], "page_id long, url string")
+    listed = spark.createDataFrame([("b.c", "block", None), ("d/", None, 0)], "entry string, verdict string, is_rule int")
+    for limit in (U.BROADCAST_BYTES, 0):
+        got = [(r.page_id, len(r.path), r.rule, r.verdict) for r in U.judge_urls(df, listed, broadcast_bytes=limit).collect()]
+        assert sorted(got, key=str) == sorted([(None, 300_001, None, "block"), (2**60 + 1, 300_001, None, "block"), (1, 0, None, "allow")], key=str)
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "page_id long, url string")
-    assert U.judge_urls(df).collect() == []
+    for limit in (U.BROADCAST_BYTES, 0):
+        assert U.judge_urls(df, broadcast_bytes=limit).collect() == []
