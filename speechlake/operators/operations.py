@@ -161,13 +161,23 @@ def latest_events(events: DataFrame) -> DataFrame:
     return events.groupBy("run_id", "kind").agg(F.max("seq").alias("seq"), F.max_by("data", "seq").alias("data"))
 
 
-def stale_work(events: DataFrame, seconds: int = STALE_SECONDS, attempts: int = 3) -> DataFrame:
-    """run_id, seq, silent_s, outcome: heartbeats after which none came in time; pending, or dead when attempts are used up."""
-    order = Window.partitionBy("run_id").orderBy("created_at", "seq")
-    gap = F.unix_micros(F.lead("created_at").over(order)) - F.unix_micros("created_at")
-    stale = events.withColumn("silent_s", gap / 1e6).where(F.col("silent_s") > seconds)
-    n = F.row_number().over(order)
-    return stale.select("run_id", "seq", "silent_s", F.when(n >= attempts, "dead").otherwise("pending").alias("outcome"))
+def stale_steps(events: DataFrame, keys: Sequence[str], ends: Sequence[str], until_ms: Column | None = None, seconds: int = STALE_SECONDS) -> DataFrame:
+    """keys, seq, attempt, outcome: the batch twin of the stream of that name, up to the millisecond ``until_ms``; by default that of the last event.
+
+    Whether a lease was lost after a heartbeat is seen from the next event of the step alone, and whether an end counted
+    from the one before it; attempts are a running count of the losses, and the first final event hides all after it.
+    """
+    at, limit = F.unix_micros("created_at"), seconds * 1_000_000
+    last = events.agg(F.floor(F.max(at) / 1000).cast("long").alias("_until"))
+    rows = events.where("created_at is not null").crossJoin(F.broadcast(last)) if until_ms is None else events.where("created_at is not null").withColumn("_until", until_ms)
+    rows = rows.where(at <= F.col("_until") * 1000).dropDuplicates([*keys, "created_at", "seq"])
+    order = Window.partitionBy(*keys).orderBy("created_at", "seq")
+    beat = ~F.col("kind").isin(*ends)
+    rows = rows.withColumns({"_lost": beat & (F.coalesce(F.lead(at).over(order), F.col("_until") * 1000) - at > limit), "_end": ~beat & F.coalesce(F.lag(beat).over(order) & (at - F.lag(at).over(order) <= limit), F.lit(False))})
+    rows = rows.withColumn("_n", F.col("attempt") + F.sum(F.col("_lost").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    used_up = F.col("_n") >= F.col("max_attempts")
+    rows = rows.withColumn("_over", F.coalesce(F.max(F.col("_end") | (F.col("_lost") & used_up)).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False)))
+    return rows.where("_lost and not _over").select(*keys, "seq", F.col("_n").cast("int").alias("attempt"), F.when(~used_up, "pending").when(F.col("optional"), "skipped").otherwise("dead").alias("outcome"))
 
 
 def overdue(events: DataFrame, now: Column, seconds: int = OVERDUE_SECONDS) -> DataFrame:
@@ -176,6 +186,17 @@ def overdue(events: DataFrame, now: Column, seconds: int = OVERDUE_SECONDS) -> D
     return events.select("seq", "run_id", (late - seconds).alias("overdue_s")).where("overdue_s > 0")
 
 
+def cancelled_items(events: DataFrame, keys: Sequence[str], queues: Sequence[str], starts: Sequence[str], cancels: Sequence[str]) -> DataFrame:
+    """keys, item, seq, cancel: the batch twin of the stream of that name: the first queueing of an item after its last start before the run's first cancel."""
+    at = F.struct(F.col("created_at"), F.col("seq"))
+    rows = events.where("created_at is not null").withColumn("_at", at)
+    flags = rows.where(F.col("kind").isin(*cancels)).groupBy(*keys).agg(F.min("_at").alias("_flag"))
+    own = rows.where(F.col("item").isNotNull()).join(flags, list(keys))
+    begun = own.groupBy(*keys, "item").agg(F.max(F.when(F.col("kind").isin(*starts) & (F.col("_at") < F.col("_flag")), F.col("_at"))).alias("_begun"), F.first("_flag").alias("_flag"))
+    after = own.where(F.col("kind").isin(*queues)).drop("_flag").join(begun, [*keys, "item"]).where(F.col("_begun").isNull() | (F.col("_at") > F.col("_begun")))
+    return after.groupBy(*keys, "item").agg(F.min("_at").alias("_at"), F.first("_flag.seq").alias("cancel")).select(*keys, "item", "_at.seq", "cancel")
+
+
 def cancelled_work(events: DataFrame, cancel_kind: str) -> DataFrame:
     """seq, run_id, kind, cancelled: rows after their run's first cancel event; what came before it stays."""
     first = F.min(F.when(F.col("kind") == cancel_kind, F.struct("created_at", "seq"))).over(Window.partitionBy("run_id"))

@@ -112,8 +112,47 @@ def latest_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.latest_events(V.ev(spark, sf_dir))
 
 
+#: Seconds of silence that lose a lease here, and the kind of event that ends a step: a user's day is a step.
+STALE_HERE, ENDS = 6 * 3600, ["purchase"]
+
+
+def step_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as heartbeats and ends of steps, with each step's attempts and whether it may be skipped."""
+    day = F.dayofmonth("created_at")
+    terms = {"attempt": (F.col("run_id") % 2).cast("int"), "max_attempts": (1 + (F.col("run_id") + day) % 4).cast("int"), "optional": (F.col("run_id") + day) % 3 == 0}
+    return V.ev(spark, sf_dir).select("run_id", day.cast("long").alias("step"), "created_at", "seq", "kind", *[c.alias(n) for n, c in terms.items()])
+
+
 def stale_work(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.stale_work(V.ev(spark, sf_dir)).withColumn("silent_s", F.round("silent_s", 6))
+    return O.stale_steps(step_events(spark, sf_dir), ["run_id", "step"], ENDS, seconds=STALE_HERE)
+
+
+STALE = """WITH RECURSIVE e AS (SELECT user_id AS run_id, dayofmonth(ts) AS step, epoch_us(ts) AS us, event_id AS seq, event_type = 'purchase' AS ends, (SELECT epoch_ms(max(ts)) FROM events) AS until FROM events),
+n AS (SELECT *, row_number() OVER (PARTITION BY run_id, step ORDER BY us, seq) AS k FROM e WHERE us <= until * 1000),
+t AS (SELECT *, lead(us) OVER (PARTITION BY run_id, step ORDER BY k) AS next FROM n),
+w AS (
+ SELECT run_id, step, 0::BIGINT AS k, (run_id % 2)::INT AS attempt, 'pending' AS state, 0::BIGINT AS seq, false AS lost FROM (SELECT DISTINCT run_id, step FROM n)
+ UNION ALL
+ SELECT run_id, step, k, attempt + quiet::INT, CASE WHEN state IN ('done', 'dead', 'skipped') THEN state WHEN quiet THEN CASE WHEN attempt + 1 < 1 + (run_id + step) % 4 THEN 'pending' WHEN (run_id + step) % 3 = 0 THEN 'skipped' ELSE 'dead' END
+   WHEN NOT ends THEN 'running' WHEN state = 'running' THEN 'done' ELSE state END, seq, quiet
+ FROM (SELECT w.run_id, w.step, t.k, w.attempt, w.state, t.seq, t.ends, NOT t.ends AND w.state IN ('pending', 'running') AND coalesce(t.next, until * 1000) - t.us > 21600000000 AS quiet FROM w JOIN t ON t.run_id = w.run_id AND t.step = w.step AND t.k = w.k + 1))
+SELECT run_id, step, seq, attempt, state AS outcome FROM w WHERE lost"""
+
+
+def item_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as work: views and clicks queue the work of a user's day, purchases start it, every seventh error cancels the user's run."""
+    kind = F.when(F.col("kind").isin("view", "click"), "queue").when(F.col("kind") == "purchase", "start").when((F.col("kind") == "error") & (F.col("seq") % 7 == 0), "cancel").otherwise("other")
+    return V.ev(spark, sf_dir).select("run_id", "created_at", "seq", kind.alias("kind"), F.dayofmonth("created_at").cast("string").alias("item"))
+
+
+def cancelled_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return O.cancelled_items(item_events(spark, sf_dir), ["run_id"], ["queue"], ["start"], ["cancel"])
+
+
+CANCELLED = """WITH e AS (SELECT user_id AS run_id, (ts, event_id) AS us, event_id AS seq, dayofmonth(ts)::VARCHAR AS item, CASE WHEN event_type IN ('view', 'click') THEN 'queue' WHEN event_type = 'purchase' THEN 'start' WHEN event_type = 'error' AND event_id % 7 = 0 THEN 'cancel' END AS kind FROM events{bound}),
+c AS (SELECT run_id, min(us) AS c, arg_min(seq, us) AS cancel FROM e WHERE kind = 'cancel' GROUP BY run_id)
+SELECT q.run_id, q.item, arg_min(q.seq, q.us) AS seq, any_value(cancel) AS cancel FROM e q JOIN c ON q.run_id = c.run_id
+WHERE q.kind = 'queue' AND NOT EXISTS (SELECT 1 FROM e s WHERE s.run_id = q.run_id AND s.item = q.item AND s.kind = 'start' AND s.us > q.us AND s.us < c.c) GROUP BY q.run_id, q.item"""
 
 
 def overdue_work(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -223,7 +262,7 @@ def import_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (first_rows, fetch_sizes, import_checks, rate_lookup, usage_records, batch_estimate, seeded_rates, budget_cut, run_progress, run_state, step_dependencies, row_violations, repeated_keys, content_dedupe, seeded_sample, insert_absent, coalesced_events, latest_events,
-                                   stale_work, overdue_work, cancelled_work, replay_after, orphan_operations, url_policy, upload_checks, routing, star_join, glossary_pack, glossary, alias_codes, response_cache, merged_props, word_census)}
+                                   stale_work, overdue_work, cancelled_work, cancelled_items, replay_after, orphan_operations, url_policy, upload_checks, routing, star_join, glossary_pack, glossary, alias_codes, response_cache, merged_props, word_census)}
 ORACLE_SQL = {
     "rate_lookup": V.oracle("SELECT provider_id, model, rate_source, usd_per_unit, count(*) AS n, sum(quantity) AS quantity FROM priced GROUP BY ALL", "usage", **_R),
     "usage_records": V.oracle("SELECT provider_id, model, count(*) AS records, round(sum(round(s / 60, 4)), 3) AS minutes, round(sum(round(s / 60 * usd_per_unit, 6)), 5) AS usd FROM (SELECT *, CASE WHEN line % 2 = 0 THEN quantity * 7 ELSE quantity * 6 END AS s FROM priced WHERE usd_per_unit IS NOT NULL) GROUP BY provider_id, model", "usage", **_R),
@@ -244,7 +283,8 @@ ORACLE_SQL = {
     "insert_absent": V.oracle("SELECT sha256, min(asset_id) AS asset_id, false AS created FROM asset WHERE asset_id % 2 = 0 GROUP BY sha256 UNION ALL SELECT sha256, min(asset_id), true FROM asset WHERE asset_id % 2 = 1 AND sha256 NOT IN (SELECT sha256 FROM asset WHERE asset_id % 2 = 0) GROUP BY sha256", "asset"),
     "coalesced_events": V.oracle("SELECT run_id, kind, seq, data FROM (SELECT *, row_number() OVER (PARTITION BY run_id, kind, epoch_us(created_at) // 500000 ORDER BY seq DESC) AS k FROM ev WHERE kind IN ('click', 'view')) WHERE k = 1 UNION ALL SELECT run_id, kind, seq, data FROM ev WHERE kind NOT IN ('click', 'view')", "ev"),
     "latest_events": V.oracle("SELECT run_id, kind, max(seq) AS seq, arg_max(data, seq) AS data FROM ev GROUP BY run_id, kind", "ev"),
-    "stale_work": V.oracle("SELECT run_id, seq, round(silent_s, 6) AS silent_s, CASE WHEN row_number() OVER (PARTITION BY run_id ORDER BY created_at, seq) >= 3 THEN 'dead' ELSE 'pending' END AS outcome FROM (SELECT *, (epoch_us(lead(created_at) OVER (PARTITION BY run_id ORDER BY created_at, seq)) - epoch_us(created_at)) / 1e6 AS silent_s FROM ev) WHERE silent_s > 90", "ev"),
+    "stale_work": STALE,
+    "cancelled_items": CANCELLED.format(bound=""),
     "overdue_work": V.oracle("SELECT seq, run_id, round((epoch_us(TIMESTAMP '2024-01-10 00:00:00') - epoch_us(created_at)) / 1e6 - 300, 6) AS overdue_s FROM ev WHERE (epoch_us(TIMESTAMP '2024-01-10 00:00:00') - epoch_us(created_at)) / 1e6 > 300", "ev"),
     "cancelled_work": V.oracle("SELECT e.seq, e.run_id, e.kind, c.seq IS NOT NULL AND (e.created_at > c.created_at OR (e.created_at = c.created_at AND e.seq > c.seq)) AS cancelled FROM ev e LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY created_at, seq) AS k FROM ev WHERE kind = 'error') WHERE k = 1) c ON e.run_id = c.run_id", "ev"),
     "replay_after": V.oracle("SELECT run_id, count(*) AS events, min(seq) AS first FROM ev WHERE seq > 500 GROUP BY run_id", "ev"),

@@ -7,8 +7,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from speechlake.plans import operations as P
+from speechlake.sources import runlog
 from speechlake.sources import views as V
 from speechlake.sources.scratch import shared_dir
+from speechlake.streaming import append, ordered
 from speechlake.streaming import events as S
 
 
@@ -84,18 +87,67 @@ def stream_cancelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs whose heartbeats stopped, by timers of event time; which silences are told depends on the micro-batches, so there is no SQL."""
+    """Leases that steps lose by silence, by timers of event time, up to the last watermark."""
     at = _shared(spark)
-    S.run_to_end(S.stale(_events(spark, sf_dir)), f"{at}/out", f"{at}/state")
-    return spark.read.schema("run_id long, last_ms long, silent boolean").parquet(f"{at}/out")
+    S.run_to_end(ordered.stale_steps(_streamed(P.step_events(spark, sf_dir), "created_at"), ["run_id", "step"], P.ENDS, seconds=P.STALE_HERE), f"{at}/out", f"{at}/state")
+    return spark.read.parquet(f"{at}/out")
+
+
+def stream_cancelled_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Work that cancels of any age keep from starting, up to the last watermark."""
+    at = _shared(spark)
+    S.run_to_end(ordered.cancelled_items(_streamed(P.item_events(spark, sf_dir), "created_at"), ["run_id"], ["queue"], ["start"], ["cancel"]), f"{at}/out", f"{at}/state")
+    return spark.read.parquet(f"{at}/out")
+
+
+def stream_appended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log of all events with numbers given out batch by batch."""
+    at = _shared(spark)
+    append.append_stream(_events(spark, sf_dir).withColumnRenamed("seq", "event"), f"{at}/log", f"{at}/state", ["created_at", "event"])
+    return append.read_log(spark, f"{at}/log").select("seq", "event", "run_id", "kind")
+
+
+def runlog_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events that were written as a run log, read again as a table in small ranges."""
+    at = _shared(spark)
+    spark.dataSource.register(runlog.Runlog)
+    _logged(V.ev(spark, sf_dir)).write.format("runlog").option("path", f"{at}/log").mode("append").save()
+    return _unlogged(spark.read.format("runlog").option("path", f"{at}/log").option("rangeBytes", 1 << 20).load())
+
+
+def stream_runlog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run log as a stream, into another log: what was there, and in a second run what was added."""
+    at, ev = _shared(spark), _logged(V.ev(spark, sf_dir))
+    spark.dataSource.register(runlog.Runlog)
+    for part in (F.col("seq") % 2 == 0, F.col("seq") % 2 == 1):
+        ev.where(part).write.format("runlog").option("path", f"{at}/log").mode("append").save()
+        lines = spark.readStream.format("runlog").option("path", f"{at}/log").load().select(F.from_json("line", _LOGGED).alias("r")).select("r.*")
+        lines.writeStream.format("runlog").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    return _unlogged(spark.read.format("runlog").option("path", f"{at}/out").load())
+
+
+_LOGGED = "t string, seq long, run_id long, value double, data string"
+
+
+def _logged(ev: DataFrame) -> DataFrame:
+    return ev.select(F.col("kind").alias("t"), "seq", "run_id", "value", "data")
+
+
+def _unlogged(lines: DataFrame) -> DataFrame:
+    return lines.select(F.col("t").alias("kind"), F.from_json("line", _LOGGED).alias("r")).select("kind", "r.seq", "r.run_id", "r.value", "r.data")
 
 
-QUERIES = {f.__name__: f for f in (stream_latest_events, stream_spend, stream_passed_events, stream_rates, stream_progress, stream_cancelled, stream_stale)}
+QUERIES = {f.__name__: f for f in (stream_latest_events, stream_spend, stream_passed_events, stream_rates, stream_progress, stream_cancelled, stream_stale, stream_cancelled_items, stream_appended, runlog_source, stream_runlog)}
 ORACLE_SQL = {
     "stream_latest_events": V.oracle("SELECT run_id, kind, max(seq) AS seq, arg_max(data, seq) AS data FROM ev GROUP BY run_id, kind", "ev"),
     "stream_spend": V.oracle("SELECT run_id AS order_id, sum(floor(value) / 4) AS usd, sum(floor(value) / 4) >= 500 AS alert FROM ev GROUP BY run_id", "ev"),
     "stream_passed_events": V.oracle("SELECT run_id, kind, seq, data FROM ev WHERE kind NOT IN ('click', 'view')", "ev"),
     "stream_rates": V.oracle("SELECT kind AS lang, count(*) AS n, sum(seq % 7)::BIGINT AS edits, sum(seq % 50 + 10)::BIGINT AS total FROM ev GROUP BY kind", "ev"),
     "stream_progress": V.oracle("SELECT run_id, round(sum(weight * CASE WHEN state IN ('done', 'dead') THEN 1.0::DOUBLE WHEN state = 'running' THEN greatest(0.1::DOUBLE, progress) ELSE 0 END) / coalesce(nullif(sum(weight), 0), 1), 9) AS progress FROM step GROUP BY run_id", "step"),
+    "runlog_source": V.oracle("SELECT kind, seq, run_id, value, data FROM ev", "ev"),
+    "stream_runlog": V.oracle("SELECT kind, seq, run_id, value, data FROM ev", "ev"),
+    "stream_stale": P.STALE,
+    "stream_cancelled_items": P.CANCELLED.format(bound=" WHERE epoch_us(ts) <= (SELECT epoch_ms(max(ts)) FROM events) * 1000"),
+    "stream_appended": V.oracle("SELECT row_number() OVER (ORDER BY created_at, seq) - 1 AS seq, seq AS event, run_id, kind FROM ev", "ev"),
     "stream_cancelled": V.oracle("SELECT w.run_id, w.seq, w.kind, c.seq AS cancel FROM ev w JOIN ev c ON w.run_id = c.run_id AND w.kind <> 'error' AND c.kind = 'error' AND c.created_at <= w.created_at AND c.created_at >= w.created_at - INTERVAL 1 HOUR", "ev"),
 }

@@ -81,10 +81,21 @@ def drop_cancelled(work: DataFrame, cancels: DataFrame, late: str = "1 hour") ->
     return joined.where("_run is null").drop("_run", "_at")
 
 
+#: State store that operators with several state variables need.
+STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
 def run_to_end(stream: DataFrame, into: str, checkpoint: str, mode: str = "append") -> None:
     """Write all that is available now, and stop. Aggregates go through foreachBatch, a folder for each batch."""
+    conf = stream.sparkSession.conf
+    before = conf.get(STORE[0], None)
+    conf.set(*STORE)
     writer = stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
-    if mode == "append":
-        writer.format("parquet").option("path", into).start().awaitTermination()
-    else:
-        writer.outputMode(mode).foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{into}/batch={n}")).start().awaitTermination()
+    try:
+        if mode == "append":
+            query = writer.format("parquet").option("path", into).start()
+        else:
+            query = writer.outputMode(mode).foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{into}/batch={n}")).start()
+        query.awaitTermination()
+    finally:
+        conf.set(STORE[0], before) if before else conf.unset(STORE[0])
