@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import re
 import unicodedata
 from collections.abc import Callable, Sequence
+from decimal import Decimal
 from functools import reduce
 
 import pandas as pd
@@ -164,6 +167,55 @@ def canonical_json(fields: dict[str, Column]) -> Column:
     return F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]))
 
 
+def _number_text(x: int | float) -> str:
+    """A number as the shortest digits of its double, without an exponent from 1e-6 up to below 1e21."""
+    x = float(x)
+    if x != x or x in (float("inf"), float("-inf")):
+        return "null"
+    if x == int(x) and abs(x) < 1e21:
+        return "0" if x == 0 else format(Decimal(repr(x)), "f").removesuffix(".0")
+    mantissa, _, exponent = repr(x).partition("e")
+    if not exponent:
+        return mantissa
+    if -7 < int(exponent) < 0:
+        return format(Decimal(repr(x)), "f")
+    return f"{mantissa.removesuffix('.0')}e{int(exponent):+d}"
+
+
+def _canonical(value: object) -> str:
+    if isinstance(value, dict):
+        order = sorted(value, key=lambda k: k.encode("utf-16-be", "surrogatepass"))
+        return "{" + ",".join([f"{_canonical(k)}:{_canonical(value[k])}" for k in order]) + "}"
+    if isinstance(value, list):
+        return "[" + ",".join(map(_canonical, value)) + "]"
+    if isinstance(value, str):
+        return re.sub("[\ud800-\udfff]", lambda m: f"\\u{ord(m.group()):04x}", json.dumps(value, ensure_ascii=False))
+    if value is None or isinstance(value, bool):
+        return "null" if value is None else "true" if value else "false"
+    return _number_text(value)
+
+
+@F.pandas_udf(StringType())
+def _canonical_text(s: pd.Series) -> pd.Series:
+    def one(x: str | None) -> str | None:
+        try:
+            return None if x is None else _canonical(json.loads(x))
+        except (ValueError, RecursionError):
+            return None
+
+    return s.map(one)
+
+
+def canonical_text(c: Column) -> Column:
+    """JSON text with the keys of every object, at every depth, in the order of their code units, arrays as they are, no blanks; null for what is no JSON. Of a repeated key the last value counts. Spark's functions can't recurse, so this is Python by Arrow batches."""
+    return _canonical_text(c)
+
+
+def params_hash(params: Column) -> Column:
+    """Digest of parameters given as JSON text: equal however their keys were put in. ``to_json`` of a struct leaves out null fields, as undefined ones are; a null in the text stays."""
+    return F.sha2(canonical_text(params), 256)
+
+
 def common_prefix_length(a: Column, b: Column) -> Column:
     n = F.least(F.length(a), F.length(b))
     places = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from speechlake.operators.intervals import islands, overlap_matrix, range_join, union_length
+from speechlake.sources.scratch import discard, stored
 
 #: How far a word may be from its nearest turn, and the guards of smoothing and review.
 NEAREST_GAP_MS, SMOOTH_MARGIN, SMOOTH_MS, MIN_PURITY = 500, 0.6, 400, 0.6
@@ -166,6 +167,69 @@ def allocate_keys(existing: DataFrame, unmatched: DataFrame, colours: int = 12)
     return rows.select("run_id", "fresh_key", F.concat(F.lit("speaker-"), F.lpad(F.col("n").cast("string"), F.greatest(F.lit(2), F.length(F.col("n").cast("string"))), F.lit("0"))).alias("speaker_key"), ((F.col("n") - 1) % colours).alias("colour"))
 
 
+def merge_chains(merges: DataFrame, until: int | None = None) -> DataFrame:
+    """run_id, at, from_key, into_key, next_at: the log of merges, each with the later one that moves on what it moved; stored.
+
+    merges: run_id, at (order in the run), from_key, into_key; of two with the same ``at`` the one with the smaller
+    from_key is first. Merging a speaker with itself is refused. With ``until``, later merges are undone: left out. The
+    log is kept as it is, so any prefix of it can be applied again.
+    """
+    refused = F.raise_error(F.concat(F.lit("a speaker can't be merged with itself: "), F.col("from_key"))).cast("string")
+    log = merges.select("run_id", F.col("at").cast("long").alias("at"), "from_key", F.when(F.col("from_key") == F.col("into_key"), refused).otherwise(F.col("into_key")).alias("into_key"))
+    log = log.where(F.col("at") <= until) if until is not None else log
+    steps = log.withColumn("at", F.row_number().over(Window.partitionBy("run_id").orderBy("at", "from_key", "into_key")))
+    # a speaker's arrivals and departures in the order of the log; the next departure moves an arrival on
+    times = steps.select("run_id", F.explode(F.array(F.struct(F.col("into_key").alias("key"), "at", F.lit(False).alias("leaves")), F.struct(F.col("from_key").alias("key"), "at", F.lit(True).alias("leaves")))).alias("x")).select("run_id", "x.*")
+    later = Window.partitionBy("run_id", "key").orderBy("at").rowsBetween(1, Window.unboundedFollowing)
+    onward = times.withColumn("next_at", F.min(F.when(F.col("leaves"), F.col("at"))).over(later)).where("not leaves").select("run_id", "at", "next_at")
+    return stored(steps.join(onward, ["run_id", "at"]), "merge-chains")
+
+
+def _first_merges(chains: DataFrame) -> DataFrame:
+    """run_id, key, at: the merge that first moves a speaker's own rows."""
+    return chains.groupBy("run_id", F.col("from_key").alias("key")).agg(F.min("at").alias("at"))
+
+
+def final_speakers(chains: DataFrame) -> DataFrame:
+    """run_id, key, into_key: where a speaker's own rows end. Merges point at the next one that moves their rows on; pointers double in each round."""
+    now = stored(chains.select("run_id", "at", "into_key", F.col("next_at").alias("to"), F.lit(False).alias("_moved")), "merge-ends")
+    while True:
+        far = now.select("run_id", F.col("at").alias("to"), F.col("into_key").alias("_into"), F.col("to").alias("_to"), F.lit(True).alias("_met"))
+        jumped = now.join(far, ["run_id", "to"], "left").select("run_id", "at", F.coalesce("_into", "into_key").alias("into_key"), F.when(F.col("_met"), F.col("_to")).alias("to"), F.coalesce("_met", F.lit(False)).alias("_moved"))
+        jumped = stored(jumped, "merge-ends")
+        discard(now)
+        now = jumped
+        if now.where("to is not null").isEmpty():
+            return _first_merges(chains).join(now, ["run_id", "at"]).select("run_id", "key", "into_key")
+
+
+def merge_by_log(rows: DataFrame, merges: DataFrame, until: int | None = None) -> DataFrame:
+    """rows (run_id, speaker_key, ...) as the log of merges leaves them, chains followed in the order of time; merged_from is the key that a moved row had."""
+    ends = final_speakers(merge_chains(merges, until)).withColumnRenamed("key", "speaker_key")
+    return rows.join(ends, ["run_id", "speaker_key"], "left").withColumns({"merged_from": F.when(F.col("into_key").isNotNull(), F.col("speaker_key")), "speaker_key": F.coalesce("into_key", "speaker_key")}).drop("into_key")
+
+
+def moved_counts(merges: DataFrame, until: int | None = None, **tables: DataFrame) -> DataFrame:
+    """run_id, at (place in the run's log, from 1), from_key, into_key, and for each table <name>_moved: the rows that the merge moved, those included that earlier merges had brought to its speaker."""
+    chains = merge_chains(merges, until)
+    out = chains.select("run_id", "at", "from_key", "into_key")
+    for name, rows in tables.items():
+        own = rows.groupBy("run_id", F.col("speaker_key").alias("key")).agg(F.count("*").alias("n"))
+        wave = stored(_first_merges(chains).join(own, ["run_id", "key"]).select("run_id", "at", "n"), "merge-wave")
+        waves = [wave]
+        while True:  # as often as the longest chain; rows of a merge are added before they move on
+            wave = stored(chains.join(waves[-1], ["run_id", "at"]).where("next_at is not null").groupBy("run_id", F.col("next_at").alias("at")).agg(F.sum("n").alias("n")), "merge-wave")
+            if wave.isEmpty():
+                break
+            waves.append(wave)
+        total = waves[0]
+        for more in waves[1:]:
+            total = total.unionByName(more)
+        total = stored(total.groupBy("run_id", "at").agg(F.sum("n").alias(f"{name}_moved")), "merge-moved")
+        out = out.join(total, ["run_id", "at"], "left").fillna({f"{name}_moved": 0})
+    return out
+
+
 def merge_speakers(turns: DataFrame, merges: DataFrame) -> DataFrame:
     """turns with merged keys replaced. merges: run_id, from_key, into_key; merging a speaker with itself is refused."""
     refused = F.raise_error(F.concat(F.lit("a speaker can't be merged with itself: "), F.col("from_key"))).cast("string")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from speechlake.functions import text as T
 from speechlake.operators import operations as O
+from speechlake.operators import shuffling
 from speechlake.sources import views as V
 
 _RATES = [("A", "F", "minute", 0.016, "default"), ("A", "*", "minute", 0.003, "default"), ("N", "*", "minute", 0.006, "override"), ("N", "F", "minute", 0.02, "default")]
@@ -98,6 +99,31 @@ def seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.seeded_sample(rows, ["lang", "source"], "doc_id", 5, 42).select("doc_id", "lang", "source", "rank")
 
 
+def shuffled_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first five of the seeded shuffle of each language."""
+    return shuffling.seeded_shuffle(V.table(spark, sf_dir, "documents").select("doc_id", "lang"), ["lang"], "doc_id", 5, 42).select("doc_id", "lang", "rank")
+
+
+_MUL = "((({0}) & 65535) * ({1}) + ((((({0}) >> 16) * ({1})) & 65535) << 16)) & 4294967295"
+_SHUFFLE = f"""WITH RECURSIVE o AS (SELECT lang, list(doc_id ORDER BY doc_id) AS a, count(*) AS n FROM documents GROUP BY lang),
+k AS (SELECT lang, n, unnest(range(n - 1, 0, -1)) AS i FROM o),
+x AS (SELECT lang, i, (42 + ({_MUL.format('n - i', '1831565813::BIGINT')})) & 4294967295 AS a FROM k),
+y AS (SELECT lang, i, {_MUL.format('xor(a, a >> 15)', 'a | 1')} AS t FROM x),
+z AS (SELECT lang, i, xor((t + ({_MUL.format('xor(t, t >> 7)', 't | 61')})) & 4294967295, t) AS t FROM y),
+d AS MATERIALIZED (SELECT lang, i, floor(xor(t, t >> 14) / 4294967296.0::DOUBLE * (i + 1))::BIGINT AS j FROM z),
+w AS (SELECT lang, a, n - 1 AS i FROM o UNION ALL
+ SELECT w.lang, CASE WHEN d.j = d.i THEN a ELSE list_concat(a[1:d.j], [a[d.i + 1]], a[d.j + 2:d.i], [a[d.j + 1]], a[d.i + 2:]) END, w.i - 1 FROM w JOIN d ON d.lang = w.lang AND d.i = w.i)
+SELECT lang, a[rank] AS doc_id, rank::INT AS rank FROM (SELECT lang, a, unnest(range(1, least(len(a), 5) + 1)) AS rank FROM w WHERE i = 0)"""
+
+
+def params_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of nested parameters whose keys come in one of two orders."""
+    e = V.ev(spark, sf_dir)
+    one = F.format_string('{"temperature": 0.50, "prompt": {"version": %d, "opts": {"b": [3, 1, {"y": 1e0, "x": null}], "a": %s}, "id": "k"}, "data": %s}', F.col("seq") % 5, F.to_json(F.struct("kind")), "data")
+    two = F.format_string('{"data":%3$s,"prompt":{"id":"k","opts":{"a":%2$s,"b":[3.0,1,{"x":null,"y":1}]},"version":%1$d},"temperature":5e-1}', F.col("seq") % 5, F.to_json(F.struct("kind")), "data")
+    return e.select("seq", T.params_hash(F.when(F.col("seq") % 2 == 0, one).otherwise(two)).alias("params"))
+
+
 def insert_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = V.asset(spark, sf_dir).select("sha256", "asset_id")
     stored = O.first_by(a.where("asset_id % 2 = 0"), ["sha256"], ["asset_id"]).drop("copies")
@@ -262,7 +288,7 @@ def import_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (first_rows, fetch_sizes, import_checks, rate_lookup, usage_records, batch_estimate, seeded_rates, budget_cut, run_progress, run_state, step_dependencies, row_violations, repeated_keys, content_dedupe, seeded_sample, insert_absent, coalesced_events, latest_events,
-                                   stale_work, overdue_work, cancelled_work, cancelled_items, replay_after, orphan_operations, url_policy, upload_checks, routing, star_join, glossary_pack, glossary, alias_codes, response_cache, merged_props, word_census)}
+                                   stale_work, overdue_work, cancelled_work, cancelled_items, shuffled_sample, params_hashes, replay_after, orphan_operations, url_policy, upload_checks, routing, star_join, glossary_pack, glossary, alias_codes, response_cache, merged_props, word_census)}
 ORACLE_SQL = {
     "rate_lookup": V.oracle("SELECT provider_id, model, rate_source, usd_per_unit, count(*) AS n, sum(quantity) AS quantity FROM priced GROUP BY ALL", "usage", **_R),
     "usage_records": V.oracle("SELECT provider_id, model, count(*) AS records, round(sum(round(s / 60, 4)), 3) AS minutes, round(sum(round(s / 60 * usd_per_unit, 6)), 5) AS usd FROM (SELECT *, CASE WHEN line % 2 = 0 THEN quantity * 7 ELSE quantity * 6 END AS s FROM priced WHERE usd_per_unit IS NOT NULL) GROUP BY provider_id, model", "usage", **_R),
@@ -283,6 +309,8 @@ ORACLE_SQL = {
     "insert_absent": V.oracle("SELECT sha256, min(asset_id) AS asset_id, false AS created FROM asset WHERE asset_id % 2 = 0 GROUP BY sha256 UNION ALL SELECT sha256, min(asset_id), true FROM asset WHERE asset_id % 2 = 1 AND sha256 NOT IN (SELECT sha256 FROM asset WHERE asset_id % 2 = 0) GROUP BY sha256", "asset"),
     "coalesced_events": V.oracle("SELECT run_id, kind, seq, data FROM (SELECT *, row_number() OVER (PARTITION BY run_id, kind, epoch_us(created_at) // 500000 ORDER BY seq DESC) AS k FROM ev WHERE kind IN ('click', 'view')) WHERE k = 1 UNION ALL SELECT run_id, kind, seq, data FROM ev WHERE kind NOT IN ('click', 'view')", "ev"),
     "latest_events": V.oracle("SELECT run_id, kind, max(seq) AS seq, arg_max(data, seq) AS data FROM ev GROUP BY run_id, kind", "ev"),
+    "shuffled_sample": _SHUFFLE,
+    "params_hashes": V.oracle("""SELECT seq, sha256('{"data":' || json(data) || ',"prompt":{"id":"k","opts":{"a":{"kind":"' || kind || '"},"b":[3,1,{"x":null,"y":1}]},"version":' || (seq % 5) || '},"temperature":0.5}') AS params FROM ev""", "ev"),
     "stale_work": STALE,
     "cancelled_items": CANCELLED.format(bound=""),
     "overdue_work": V.oracle("SELECT seq, run_id, round((epoch_us(TIMESTAMP '2024-01-10 00:00:00') - epoch_us(created_at)) / 1e6 - 300, 6) AS overdue_s FROM ev WHERE (epoch_us(TIMESTAMP '2024-01-10 00:00:00') - epoch_us(created_at)) / 1e6 > 300", "ev"),

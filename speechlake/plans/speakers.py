@@ -189,8 +189,38 @@ def merged_speakers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.merge_speakers(turns, merges).groupBy("run_id", "speaker_key").agg(F.count("*").alias("turns"), F.count("merged_from").alias("moved"))
 
 
+def _merge_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log of up to four merges in a run, some of them chains and one a way back."""
+    steps = [(2, 1, "user", "assistant"), (3, 2, "assistant", "system"), (5, 3, "system", "user"), (7, 4, "user", "guest")]
+    log = F.array_compact(F.array(*[F.when(F.col("run_id") % m == 0, F.struct(F.lit(at).alias("at"), F.lit(a).alias("from_key"), F.lit(b).alias("into_key"))) for m, at, a, b in steps]))
+    return V.turn(spark, sf_dir).select("run_id").distinct().select("run_id", F.explode(log).alias("x")).select("run_id", "x.*")
+
+
+def merge_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of each speaker after a log of merges, and how many were moved."""
+    return S.merge_by_log(V.turn(spark, sf_dir), _merge_log(spark, sf_dir)).groupBy("run_id", "speaker_key").agg(F.count("*").alias("turns"), F.count("merged_from").alias("moved"))
+
+
+def merge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each merge of a log moved, its last merge undone."""
+    return S.moved_counts(_merge_log(spark, sf_dir), 3, turns=V.turn(spark, sf_dir), words=V.word(spark, sf_dir).join(V.seg(spark, sf_dir).select("run_id", "idx", "speaker_key"), ["run_id", "idx"]))
+
+
+_LOG = "SELECT * FROM (VALUES (2, 1, 'user', 'assistant'), (3, 2, 'assistant', 'system'), (5, 3, 'system', 'user'), (7, 4, 'user', 'guest')) v(m, k, a, b)"
+_MERGES = """WITH RECURSIVE {views}, log AS ({log}),
+w AS (SELECT run_id, speaker_key AS own, speaker_key AS key, 0 AS k, false AS moved, n, m FROM ({rows}) UNION ALL
+ SELECT run_id, own, CASE WHEN run_id % l.m = 0 AND key = a THEN b ELSE key END, w.k + 1, run_id % l.m = 0 AND key = a, n, w.m FROM w JOIN log l ON l.k = w.k + 1)"""
+_TURN_ROWS = "SELECT run_id, speaker_key, count(*) AS n, 0 AS m FROM turn GROUP BY ALL"
+_BOTH_ROWS = "SELECT run_id, speaker_key, coalesce(n, 0) AS n, coalesce(m, 0) AS m FROM (SELECT run_id, speaker_key, count(*) AS n FROM turn GROUP BY ALL) FULL JOIN (SELECT run_id, speaker_key, count(*) AS m FROM word JOIN seg USING (run_id, idx) GROUP BY ALL) USING (run_id, speaker_key)"
+
+
+def _merged(query: str, rows: str, *views: str) -> str:
+    named = V.oracle("", *views).removeprefix("WITH ").strip()
+    return _MERGES.format(views=named, log=_LOG, rows=rows) + " " + query
+
+
 QUERIES = {f.__name__: f for f in (word_speakers, smoothed_speakers, interval_fallback, segment_votes, reconcile_stats, attach_words, speech_islands, speech_lengths, speaker_overlap, speaker_matches, diarization_error, jaccard_error, frame_error,
-                                   change_points, boundary_error, speaker_summary, new_speaker_keys, merged_speakers)}
+                                   change_points, boundary_error, speaker_summary, new_speaker_keys, merged_speakers, merge_log, merge_counts)}
 _pick = lambda d, *names: {n: d[n] for n in names}
 _AB = {"hyp": _HYP, "ia": _ISL.format("turn"), "ib": _ISL.format("hyp")}
 ORACLE_SQL = {
@@ -211,5 +241,7 @@ ORACLE_SQL = {
     "boundary_error": V.oracle(_BOUND, "turn", hyp=_HYP, cr=_CHANGE.format("turn"), ch=_CHANGE.format("hyp")),
     "speaker_summary": V.oracle(_SUMMARY, "seg"),
     "new_speaker_keys": V.oracle(_NEW, "turn"),
+    "merge_log": _merged("SELECT f.run_id, key AS speaker_key, sum(n)::BIGINT AS turns, coalesce(sum(n) FILTER (WHERE own <> key OR ever), 0)::BIGINT AS moved FROM (SELECT * FROM w WHERE k = 4) f JOIN (SELECT run_id, own, bool_or(moved) AS ever FROM w GROUP BY ALL) e USING (run_id, own) GROUP BY f.run_id, key", _TURN_ROWS, "turn"),
+    "merge_counts": _merged("SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY l.k)::INT AS at, a AS from_key, b AS into_key, coalesce(sum(n) FILTER (WHERE moved), 0)::BIGINT AS turns_moved, coalesce(sum(w.m) FILTER (WHERE moved), 0)::BIGINT AS words_moved FROM w JOIN log l ON l.k = w.k AND run_id % l.m = 0 WHERE w.k BETWEEN 1 AND 3 GROUP BY run_id, l.k, a, b", _BOTH_ROWS, "turn", "word"),
     "merged_speakers": V.oracle("SELECT run_id, CASE WHEN run_id % 2 = 0 AND speaker_key = 'user' THEN 'assistant' ELSE speaker_key END AS speaker_key, count(*) AS turns, count(*) FILTER (WHERE run_id % 2 = 0 AND speaker_key = 'user') AS moved FROM turn GROUP BY 1, 2", "turn"),
 }
