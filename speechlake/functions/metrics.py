@@ -87,6 +87,8 @@ def edge_words(c: Column) -> Column:
 def ngram_stats(order: int, words: bool = False):
     """A UDF (hyp, ref) -> (hyp, ref, match) for n = 1 .. order: n-grams of each side of a pair, and those that both have.
 
+    Where a pair's reference has none of an order, its hypothesis counts none either: there is nothing to be precise about.
+
     hyp and ref are packed texts, or with ``words`` arrays of words. Spark could only count grams as rows; here a batch of
     pairs is counted at once, units and grams as dense numbers.
     """
@@ -112,6 +114,7 @@ def ngram_stats(order: int, words: bool = False):
             both, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
             out[:, k, 0], out[:, k, 1] = (np.bincount(pair[whole][side == x], minlength=n) for x in (False, True))
             out[:, k, 2] = np.bincount(both // most, np.minimum(ca[i], cb[j]), n)
+        out[:, :, 0] *= out[:, :, 1] > 0
         return list(out.reshape(n, -1))
 
     @F.pandas_udf("array<long>")

@@ -149,8 +149,10 @@ def parse_clock(c: Column) -> Column:
 
 
 def human_duration(seconds: Column) -> Column:
-    s = F.round(seconds).cast("long")
-    return F.when(s < 60, F.format_string("%ds", s)).when(s < 3600, F.format_string("%dm %02ds", F.floor(s / 60), s % 60)).otherwise(F.format_string("%dh %02dm", F.floor(s / 3600), F.floor(s / 60) % 60))
+    """Minutes and seconds, without hours, 60 seconds carried; a dash for nothing and less."""
+    minutes = F.floor(seconds / 60).cast("long")
+    rest = F.round(seconds - minutes * 60).cast("long")
+    return F.when(seconds <= 0, "—").otherwise(F.format_string("%dm %02ds", minutes + (rest == 60).cast("long"), rest % 60))
 
 
 def slug(c: Column, fallback: str = "item") -> Column:

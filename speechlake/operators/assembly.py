@@ -20,10 +20,42 @@ WHISPER = "struct<duration:double,segments:array<struct<start:double,end:double,
 
 
 def recognised_words(responses: DataFrame, keys: Sequence[str], body: str, offset_ms: Column) -> DataFrame:
-    """keys, result, word_idx, text, start_ms, end_ms, confidence of the first alternative of each result; unknown times are null."""
+    """keys, result, word_idx, text, start_ms, end_ms, confidence of the words of recognised_segments."""
+    rows = _results(responses, keys, body, offset_ms).where("timed").select(*keys, "result", F.posexplode("words").alias("word_idx", "w"))
+    return rows.select(*keys, "result", "word_idx", "w.text", "w.start_ms", "w.end_ms", "w.confidence")
+
+
+def _results(responses: DataFrame, keys: Sequence[str], body: str, offset_ms: Column) -> DataFrame:
+    """keys, result, text, confidence, words, timed, _o, _end of the first alternative of each result that has a text. A word without a start begins where the chunk does, one without an end ends at its start; words without a text go."""
     rows = responses.select(*keys, offset_ms.alias("_o"), F.posexplode(F.from_json(body, RECOGNISE)).alias("result", "_r"))
-    rows = rows.select(*keys, "_o", "result", F.posexplode(F.get("_r.alternatives", F.lit(0))["words"]).alias("word_idx", "_w"))
-    return rows.select(*keys, "result", "word_idx", F.col("_w.word").alias("text"), (T.offset_ms(F.col("_w.startOffset")) + F.col("_o")).alias("start_ms"), (T.offset_ms(F.col("_w.endOffset")) + F.col("_o")).alias("end_ms"), F.col("_w.confidence").alias("confidence"))
+    first = F.get("_r.alternatives", F.lit(0))
+    rows = rows.select(*keys, "_o", "result", F.trim(first["transcript"]).alias("text"), first["confidence"].alias("confidence"), T.offset_ms(F.col("_r.resultEndOffset")).alias("_end"), first["words"].alias("_w")).where("text <> ''")
+    at = F.transform(F.coalesce("_w", F.array().cast("array<struct<word:string,startOffset:string,endOffset:string,confidence:double>>")),
+                     lambda w: F.struct(w["word"].alias("text"), T.offset_ms(w["startOffset"]).alias("s"), T.offset_ms(w["endOffset"]).alias("e"), w["confidence"].alias("confidence")))
+    rows = rows.withColumn("_w", F.filter(at, lambda w: w["text"] != ""))
+    none, o = F.lit(0).cast("long"), F.col("_o")
+    words = F.transform("_w", lambda w: F.struct(w["text"].alias("text"), (o + F.coalesce(w["s"], none)).alias("start_ms"), (o + F.coalesce(w["e"], w["s"], none)).alias("end_ms"), w["confidence"].alias("confidence"), (w["s"].isNotNull() | w["e"].isNotNull()).alias("placed")))
+    return rows.select(*keys, "_o", "_end", "result", "text", "confidence", words.alias("words"), F.exists(words, lambda w: w["placed"]).alias("timed"))
+
+
+def recognised_segments(responses: DataFrame, keys: Sequence[str], body: str, offset_ms: Column, duration_ms: Column) -> DataFrame:
+    """keys, idx, text, start_ms, end_ms, confidence, words, timed, bounded of a recognise response.
+
+    A result with placed words lasts from the first of them to the latest end. Another has no words: it begins where the
+    one before it ends and lasts to the result's own end, or without one (bounded is then false) to the chunk's.
+    """
+    rows = _results(responses.withColumn("_d", duration_ms), [*keys, "_d"], body, offset_ms)
+    placed = F.filter("words", lambda w: w["placed"])
+    last = F.when(F.col("timed"), F.array_max(F.transform(placed, lambda w: w["end_ms"]))).otherwise(F.col("_o") + F.coalesce("_end", "_d"))
+    order = Window.partitionBy(*keys).orderBy("result")
+    running = order.rowsBetween(Window.unboundedPreceding, 0)
+    # a result with words sets the end of all so far anew, others can only move it on
+    rows = rows.withColumns({"_last": last, "_set": F.sum(F.col("timed").cast("int")).over(running), "idx": F.row_number().over(order) - 1})
+    since = F.max("_last").over(Window.partitionBy(*keys, "_set").orderBy("result").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("end_ms", F.when(F.col("_set") == 0, F.greatest("_o", since)).otherwise(since))
+    start = F.when(F.col("timed"), F.get(placed, F.lit(0))["start_ms"]).otherwise(F.coalesce(F.lag("end_ms").over(order), "_o"))
+    kept = F.when(F.col("timed"), F.transform("words", lambda w: F.struct(w["text"].alias("text"), w["start_ms"].alias("start_ms"), w["end_ms"].alias("end_ms"), w["confidence"].alias("confidence")))).otherwise(F.array().cast("array<struct<text:string,start_ms:bigint,end_ms:bigint,confidence:double>>"))
+    return rows.withColumn("start_ms", start).select(*keys, "idx", "text", "start_ms", "end_ms", "confidence", kept.alias("words"), "timed", (F.col("timed") | F.col("_end").isNotNull()).alias("bounded"))
 
 
 def whisper_segments(responses: DataFrame, keys: Sequence[str], body: str, offset_ms: Column) -> DataFrame:
@@ -89,7 +121,7 @@ def with_placeholders(segments: DataFrame, failed: DataFrame) -> DataFrame:
 
 
 def chunk_plan(assets: DataFrame, silences: DataFrame, most_ms: int, lead_ms: int, least_ms: int = 1000) -> DataFrame:
-    """asset_id, idx, offset_ms, content_start_ms, end_ms: cuts at the last silence in the second half of what a request takes, else where it is full.
+    """asset_id, idx, offset_ms, content_start_ms, end_ms: cuts at the last silence in the second half of what a request takes, else where it is full; what fits a request is not cut any more.
 
     The walk over one asset is an expression over its own silences; assets are spread over the cluster.
     """
@@ -103,8 +135,8 @@ def chunk_plan(assets: DataFrame, silences: DataFrame, most_ms: int, lead_ms: in
     def cut(acc: Column, _: Column) -> Column:
         cursor = F.element_at(acc, -1)
         inside = F.filter("at", lambda s: (s > cursor + step // 2) & (s <= cursor + step))
-        to = F.when(F.size(inside) > 0, F.element_at(inside, -1)).otherwise(cursor + step)
-        return F.when(cursor >= F.col("duration_ms"), acc).otherwise(F.concat(acc, F.array(F.least(F.col("duration_ms"), to))))
+        to = F.when(F.col("duration_ms") - cursor <= step, F.col("duration_ms")).when(F.size(inside) > 0, F.element_at(inside, -1)).otherwise(cursor + step)
+        return F.when(cursor >= F.col("duration_ms"), acc).otherwise(F.concat(acc, F.array(to)))
 
     edges = rows.select("asset_id", F.aggregate(F.sequence(F.lit(1), count), start, cut).alias("edges"))
     parts = edges.select("asset_id", F.posexplode(F.slice("edges", 1, F.size("edges") - 1)).alias("p", "from_ms"), "edges")

@@ -208,6 +208,12 @@ def cleanup_aggregate(stats: DataFrame, by: Sequence[str]) -> DataFrame:
         F.count_if(F.col("edits_c") > 0).alias("rewritten"), M.rate(F.sum("drift"), F.sum(F.greatest(F.lit(1).cast("long"), "total"))).alias("entity_drift"))
 
 
+def rewritten_examples(stats: DataFrame, by: Sequence[str], order: Sequence[str], n: int = 2) -> DataFrame:
+    """The n segments of each arm with most edits of content, equal ones in the order of segments, with place; segments without edits are none."""
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("edits_c"), *order))
+    return stats.where("edits_c > 0").withColumn("place", place).where(F.col("place") <= n)
+
+
 def cleanup_gate(arms: DataFrame, control: str, wanted: Sequence[str], languages: DataFrame | None = None) -> DataFrame:
     """lang, arm, failure, value, against, delta: failures against the do-nothing control of the language, worst first.
 
@@ -230,14 +236,14 @@ def cleanup_gate(arms: DataFrame, control: str, wanted: Sequence[str], languages
 
 
 def report_rows(rows: DataFrame, code: str = "lang") -> DataFrame:
-    """rows with place: by tier from the best to the worst, then by ratio, unknown ones last, then by code."""
+    """rows with place from 0: by tier from the best to the worst, then by ratio, unknown ones last, then by code. A report has a row for each language."""
     level = F.array_position(F.array(*map(F.lit, TIER_ORDER)), F.col("tier"))
-    return rows.orderBy(F.when(level > 0, level).otherwise(len(TIER_ORDER) + 1), F.col("ratio").asc_nulls_last(), code)
+    return rows.withColumn("place", F.row_number().over(Window.orderBy(F.when(level > 0, level).otherwise(len(TIER_ORDER) + 1), F.col("ratio").asc_nulls_last(), code)) - 1)
 
 
 def blocked_queue(rows: DataFrame, code: str = "lang") -> DataFrame:
-    """code, blocker, only: one row for each thing that keeps a language from being verified; only: nothing else does."""
-    return rows.select(code, F.explode("blocked").alias("blocker"), (F.size("blocked") == 1).alias("only"))
+    """code, blocker, only: one row for each thing that keeps a measured language from being verified; only: nothing else does. What was not measured, or fails by script or by its code, is no work for a reviewer."""
+    return rows.where("tier <> 'verified' and reason = 'measured'").select(code, F.explode("blocked").alias("blocker"), (F.size("blocked") == 1).alias("only"))
 
 
 def tier_changes(previous: DataFrame, following: DataFrame, key: str = "lang") -> DataFrame:

@@ -11,6 +11,7 @@ from speechlake.functions import text as T
 
 #: Coalescing window, staleness and due limits, and the least change of progress that is told.
 COALESCE_MS, STALE_SECONDS, OVERDUE_SECONDS, PROGRESS_STEP = 500, 90, 300, 0.0005
+STARTED = ("running", "awaiting_external")
 TERMINAL = ("done", "dead", "skipped", "failed", "cancelled")
 #: Fixed value: kinds of steps of which some shards may die.
 CASUALTY_KINDS = ("asr.chunk",)
@@ -56,8 +57,10 @@ def budget_cut(rows: DataFrame, by: Sequence[str], order: Sequence[str], cost: s
 
 
 def run_progress(steps: DataFrame) -> DataFrame:
-    """run_id, progress: weighted; a terminal step counts 1, a running one at least 0.1, others 0."""
-    part = F.when(F.col("state").isin(*TERMINAL), 1.0).when(F.col("state").isin("running", "awaiting"), F.greatest(F.lit(0.1), F.coalesce("progress", F.lit(0.0)))).otherwise(0.0)
+    """run_id, progress: weighted; a terminal step counts 1, one that runs or waits for another system what it reports, within 0.1 and 1, others 0. A report that is no finite number counts as none."""
+    told = F.col("progress").cast("double")
+    told = F.when(told.isNull() | F.isnan(told) | (F.abs(told) == float("inf")), 0.0).otherwise(told)
+    part = F.when(F.col("state").isin(*TERMINAL), 1.0).when(F.col("state").isin(*STARTED), F.least(F.lit(1.0), F.greatest(F.lit(0.1), told))).otherwise(0.0)
     value = F.sum(F.col("weight") * part) / F.coalesce(F.nullif(F.sum("weight"), F.lit(0).cast("long")), F.lit(1).cast("long"))
     return steps.groupBy("run_id").agg(F.least(F.lit(1.0), F.greatest(F.lit(0.0), value)).alias("progress"))
 

@@ -58,16 +58,33 @@ def range_faults(ranges: DataFrame) -> DataFrame:
     return ranges.withColumn("_b", before).where((F.col("lo") > F.col("hi")) | (F.col("_b") >= F.col("lo"))).select("script", "lo")
 
 
-def capability_roll_up(attempts: DataFrame, previous: DataFrame) -> DataFrame:
-    """code, status, models: any accepted attempt accepts, all rejected reject, else what was known before stays."""
-    a = attempts.groupBy("code").agg(F.bool_or(F.col("outcome") == "accepted").alias("any"), F.bool_and(F.col("outcome") == "rejected").alias("none"), F.sort_array(F.collect_set(F.when(F.col("outcome") == "accepted", F.col("model")))).alias("models"))
-    out = a.join(previous.select("code", F.col("status").alias("_p")), "code", "full")
-    return out.select("code", F.when(F.col("any"), "accepted").when(F.col("none"), "rejected").otherwise(F.coalesce("_p", F.lit("unknown"))).alias("status"), F.coalesce("models", F.array().cast("array<string>")).alias("models"))
+#: What providers say when they do not have a language.
+UNSUPPORTED = ["not supported", "unsupported language", "invalid.*language", "language.*invalid", "language code .*(not recognized|not recognised)", "bad language code"]
 
 
 def call_outcome(status: Column, body: Column) -> Column:
-    """2xx is accepted; 400 with a complaint about the language is rejected, else an error; others are unknown."""
-    return F.when(status.between(200, 299), "accepted").when((status == 400) & F.lower(body).rlike("(language|locale|code).*(not supported|unsupported|invalid)"), "rejected").when(status == 400, "errored").otherwise("unknown")
+    """2xx is accepted; 400 with words that mean an unknown language is rejected, else an error; others are unknown."""
+    unknown_language = F.coalesce(body, F.lit("")).rlike(f"(?i){'|'.join(UNSUPPORTED)}")
+    return F.when(status.between(200, 299), "accepted").when((status == 400) & unknown_language, "rejected").when(status == 400, "error").otherwise("unknown")
+
+
+def capability_roll_up(attempts: DataFrame, previous: DataFrame) -> DataFrame:
+    """code, status, supported, models, word_timing of each language of a provider.
+
+    attempts: code, model, outcome, word_timing (null: not seen); previous: code, status, supported, models, word_timing.
+    Any accepted attempt accepts: its models count, and word timing is true if one had it, false if one lacked it, else
+    unknown. All rejected reject. Otherwise nothing was learned: the status says error or unknown, the rest stays as it
+    was. A code that was not tried stays as a whole.
+    """
+    yes, none = F.col("outcome") == "accepted", F.array().cast("array<string>")
+    a = attempts.groupBy("code").agg(F.bool_or(yes).alias("any"), F.bool_and(F.col("outcome") == "rejected").alias("none"), F.bool_or(F.col("outcome") == "error").alias("error"), F.sort_array(F.collect_set(F.when(yes, F.col("model")))).alias("_models"), F.bool_or(F.when(yes, F.col("word_timing"))).alias("_timing"))
+    p = previous.select("code", F.col("status").alias("_s"), "supported", "models", "word_timing")
+    out, tried = a.join(p, "code", "full"), F.col("any").isNotNull()
+    learned = lambda new, old, rejected: F.when(~tried, old).when(F.col("any"), new).when(F.col("none"), rejected).otherwise(old)
+    return out.select(
+        "code", F.when(~tried, F.col("_s")).when(F.col("any"), "accepted").when(F.col("none"), "rejected").when(F.col("error"), "error").otherwise("unknown").alias("status"),
+        learned(F.lit(True), F.coalesce("supported", F.lit(False)), F.lit(False)).alias("supported"), F.coalesce(learned(F.col("_models"), F.col("models"), none), none).alias("models"),
+        learned(F.col("_timing"), F.col("word_timing"), F.lit(None).cast("boolean")).alias("word_timing"))
 
 
 def previous_baseline(runs: DataFrame, same: Sequence[str]) -> DataFrame:
@@ -89,10 +106,19 @@ def language_rows(measurements: DataFrame, choice: DataFrame, languages: DataFra
 
 
 def replayed(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rates and totals from a run log's score lines; the run is complete if it has a footer, whose total then counts."""
-    s = lines.where("t = 'score'").groupBy("lang").agg(F.count("*").alias("n"), F.sum("edits").alias("edits"), F.sum("ref_len").alias("total"))
-    rates = s.withColumn("cer", F.col("edits") / F.nullif(F.col("total"), F.lit(0).cast("long")))
-    totals = lines.agg(F.coalesce(F.max(F.when(F.col("t") == "end", F.col("usd"))), F.sum(F.when(F.col("t") == "score", F.col("usd")))).alias("usd"), F.coalesce(F.bool_or(F.col("t") == "end"), F.lit(False)).alias("complete"))
+    """lang, n, edits, total, cer, error of a run log's summary lines, and its usd and whether it is complete.
+
+    Rates are made anew from score lines, but a language that ended in an error keeps what its summary says: its clips are
+    only those that were bought before. Without score lines the summary's own numbers stay. A run with a footer is
+    complete and its total counts; else what was spent is the sum over asr lines.
+    """
+    made = lines.where("t = 'score'").groupBy("lang").agg(F.count("*").alias("_n"), F.sum("edits").alias("edits"), F.sum("ref_len").alias("total"))
+    told = lines.where("t = 'summary'").select("lang", "n", "cer", "error").join(made, "lang", "left")
+    again = F.col("error").isNull() & F.col("_n").isNotNull()
+    value = F.when(again, F.col("edits") / F.nullif(F.col("total"), F.lit(0).cast("long"))).otherwise(F.col("cer"))
+    rates = told.select("lang", F.when(again, F.col("_n")).otherwise(F.col("n")).alias("n"), *[F.when(again, F.col(c)).alias(c) for c in ("edits", "total")], value.alias("cer"), "error")
+    ended = F.col("t") == "end"
+    totals = lines.agg(F.coalesce(F.max(F.when(ended, F.col("usd"))), F.sum(F.when(F.col("t") == "asr", F.col("usd"))), F.lit(0.0)).alias("usd"), F.coalesce(F.bool_or(ended), F.lit(False)).alias("complete"))
     return rates, totals
 
 
@@ -103,11 +129,24 @@ def joined_by_name(left: DataFrame, right: DataFrame, name: str, order: str) ->
     return left.join(unique, name), left.join(unique, name, "left_anti")
 
 
-def sample_estimate(rows: DataFrame, by: str, seconds: str, scoreable: Column, n: int, usd_per_minute: float) -> DataFrame:
-    """by, clips, seconds, exact, usd, unscoreable: exact when all clips are taken, projected from the mean otherwise."""
-    out = rows.groupBy(by).agg(F.count("*").alias("have"), F.avg(seconds).alias("mean"), F.count_if(~scoreable).alias("bad"))
-    clips = F.least(F.col("have"), F.lit(n))
-    return out.select(by, clips.alias("clips"), (clips * F.col("mean")).alias("seconds"), (F.col("have") <= n).alias("exact"), (clips * F.col("mean") / 60 * usd_per_minute).alias("usd"), (clips * F.col("bad") / F.col("have")).alias("unscoreable"))
+def sample_estimate(rows: DataFrame, by: str, seconds: str, scoreable: Column, n: int, usd_per_minute: Column) -> DataFrame:
+    """by, clips, seconds, exact, usd, unscoreable of a sample of n clips of each group.
+
+    Clips and durations are those of rows that can be scored: all of them when no more than n are there (exact), else n
+    times their mean. Unscoreable is how many of the clips are expected to lack a reference, as records without one are
+    drawn too. A null price gives a null usd.
+    """
+    good = F.coalesce(scoreable, F.lit(False))
+    out = rows.groupBy(by).agg(F.count_if(good).alias("have"), F.coalesce(F.sum(F.when(good, F.col(seconds))), F.lit(0.0)).alias("all"), F.count_if(~good).alias("dropped"), F.min(usd_per_minute).alias("price"))
+    clips, exact = F.least(F.col("have"), F.lit(n)), F.col("have") <= n
+    length = F.when(exact, F.col("all")).otherwise(F.col("all") / F.col("have") * clips)
+    return out.select(by, clips.alias("clips"), length.alias("seconds"), exact.alias("exact"), (length / 60 * F.col("price")).alias("usd"), (clips * F.col("dropped") / (F.col("have") + F.col("dropped"))).alias("unscoreable"))
+
+
+def dry_run_totals(estimates: DataFrame) -> DataFrame:
+    """One row: clips, seconds and usd of all estimates, projected if one is, unpriced if one has no price (usd is then of the others)."""
+    return estimates.agg(F.coalesce(F.sum("clips"), F.lit(0)).alias("clips"), F.coalesce(F.sum("seconds"), F.lit(0.0)).alias("seconds"), F.coalesce(F.sum("usd"), F.lit(0.0)).alias("usd"),
+                         F.coalesce(F.bool_or(~F.col("exact")), F.lit(False)).alias("projected"), F.coalesce(F.bool_or(F.col("usd").isNull()), F.lit(False)).alias("unpriced"))
 
 
 def stability(rows: DataFrame, by: str, text: Column, in_script: Column) -> DataFrame:
@@ -137,11 +176,11 @@ def least_quality(rows: DataFrame, by: Sequence[str], quality: str = "quality")
 
 
 def operation_state(body: Column, expected_uri: Column) -> Column:
-    """State of a long-running operation from its JSON: running, succeeded, or failed with what is wrong."""
-    b = F.from_json(body, "done boolean, error struct<code:int,message:string>, response struct<results:map<string,struct<error:struct<message:string>>>>")
+    """State of a long-running operation from its JSON: running, succeeded, or failed with what is wrong. It has succeeded only if the file's own result has an address and no error."""
+    b = F.from_json(body, "done boolean, error struct<code:int,message:string>, response struct<results:map<string,struct<uri:string,error:struct<code:int,message:string>>>>")
     file = F.try_element_at(b["response"]["results"], expected_uri)
-    return (F.when(b.isNull(), "unreadable").when(~F.coalesce(b["done"], F.lit(False)), "running").when(b["error"].isNotNull(), "failed: operation").when(file.isNull(), "failed: no result")
-            .when(file["error"]["message"].isNotNull(), "failed: file").otherwise("succeeded"))
+    return (F.when(F.try_parse_json(body).isNull(), "unreadable").when(~F.coalesce(b["done"], F.lit(False)), "running").when(b["error"].isNotNull(), "failed: operation").when(file["error"].isNotNull(), "failed: file")
+            .when(F.coalesce(file["uri"], F.lit("")) != "", "succeeded").otherwise("failed: no result"))
 
 
 def dead_steps(steps: DataFrame, at: str, order: Sequence[str]) -> DataFrame:
@@ -173,6 +212,6 @@ def provider_listing(capabilities: DataFrame, ranking: Sequence[str]) -> DataFra
 
 def probe_summary(attempts: DataFrame, by: str = "provider") -> DataFrame:
     """by, codes, accepted, rejected, errored, unknown: codes tried, and how many had each outcome as their best."""
-    order = F.array(*map(F.lit, ("accepted", "errored", "unknown", "rejected")))
+    order = F.array(*map(F.lit, ("accepted", "error", "unknown", "rejected")))
     best = attempts.groupBy(by, "code").agg(F.min_by("outcome", F.array_position(order, F.col("outcome"))).alias("o"))
-    return best.groupBy(by).agg(F.count("*").alias("codes"), *[F.count_if(F.col("o") == x).alias(x) for x in ("accepted", "rejected", "errored", "unknown")])
+    return best.groupBy(by).agg(F.count("*").alias("codes"), *[F.count_if(F.col("o") == x).alias(n) for x, n in (("accepted", "accepted"), ("rejected", "rejected"), ("error", "errored"), ("unknown", "unknown"))])

@@ -160,11 +160,11 @@ def match_speakers(prior: DataFrame, fresh: DataFrame, least_ms: int = MIN_OVERL
 
 
 def allocate_keys(existing: DataFrame, unmatched: DataFrame, colours: int = 12) -> DataFrame:
-    """run_id, fresh_key, speaker_key, colour: the next speaker-NN after the highest, in order of first appearance."""
+    """run_id, fresh_key, speaker_key, colour: the next speaker-NN after the highest, from 00 where there is none, in order of first appearance."""
     top = existing.groupBy("run_id").agg(F.max(F.regexp_extract("speaker_key", "^speaker-(\\d+)$", 1).try_cast("int")).alias("top"))
     place = F.row_number().over(Window.partitionBy("run_id").orderBy("first_ms", "fresh_key"))
-    rows = unmatched.withColumn("place", place).join(top, "run_id", "left").withColumn("n", F.coalesce("top", F.lit(0)) + F.col("place"))
-    return rows.select("run_id", "fresh_key", F.concat(F.lit("speaker-"), F.lpad(F.col("n").cast("string"), F.greatest(F.lit(2), F.length(F.col("n").cast("string"))), F.lit("0"))).alias("speaker_key"), ((F.col("n") - 1) % colours).alias("colour"))
+    rows = unmatched.withColumn("place", place).join(top, "run_id", "left").withColumn("n", F.coalesce("top", F.lit(-1)) + F.col("place"))
+    return rows.select("run_id", "fresh_key", F.concat(F.lit("speaker-"), F.lpad(F.col("n").cast("string"), F.greatest(F.lit(2), F.length(F.col("n").cast("string"))), F.lit("0"))).alias("speaker_key"), (F.col("n") % colours).alias("colour"))
 
 
 def merge_chains(merges: DataFrame, until: int | None = None) -> DataFrame:

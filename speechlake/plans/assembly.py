@@ -18,11 +18,23 @@ def recognise_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words packed into response documents, and read back."""
     w = F.struct(F.col("word_idx"), F.col("text").alias("word"), _offset("start_ms").alias("startOffset"), _offset("end_ms").alias("endOffset"), "confidence")
     words = V.word(spark, sf_dir).groupBy("run_id", "idx").agg(F.array_sort(F.collect_list(w)).alias("words"))
-    one = F.struct(F.array(F.struct(F.lit("").alias("transcript"), F.col("words").alias("words"))).alias("alternatives"))
+    one = F.struct(F.array(F.struct(F.lit("x").alias("transcript"), F.col("words").alias("words"))).alias("alternatives"))
     bodies = words.groupBy("run_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", one.alias("r")))), lambda x: x["r"]).alias("rs")).select("run_id", F.to_json("rs").alias("body"))
     return A.recognised_words(bodies, ["run_id"], "body", F.lit(1000).cast("long")).groupBy("run_id").agg(F.count("*").alias("words"), F.sum("start_ms").alias("starts"), F.sum("end_ms").alias("ends"), F.count("confidence").alias("sure"))
 
 
+def recognise_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments of response documents in which every third result has no offsets of words, every fourth word none, and every other result no end."""
+    placed = (F.col("idx") % 3 != 1) & (F.col("word_idx") % 4 != 3)
+    w = F.struct(F.col("word_idx"), F.col("text").alias("word"), F.when(placed, _offset("start_ms")).alias("startOffset"), F.when(placed, _offset("end_ms")).alias("endOffset"), "confidence")
+    words = V.word(spark, sf_dir).groupBy("run_id", "idx").agg(F.array_sort(F.collect_list(w)).alias("words"))
+    one = F.struct(F.array(F.struct(F.col("text").alias("transcript"), F.col("words").alias("words"))).alias("alternatives"), F.when(F.col("idx") % 2 == 0, _offset("end_ms")).alias("resultEndOffset"))
+    rows = V.seg(spark, sf_dir).join(words, ["run_id", "idx"])
+    bodies = rows.groupBy("run_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", one.alias("r")))), lambda x: x["r"]).alias("rs")).select("run_id", F.to_json("rs").alias("body"))
+    out = A.recognised_segments(bodies, ["run_id"], "body", F.lit(500).cast("long"), F.lit(90_000).cast("long"))
+    return out.select("run_id", "idx", F.size("words").cast("long").alias("w"), "start_ms", "end_ms", "timed", "bounded")
+
+
 def whisper_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.struct("idx", (F.col("start_ms") / 1000.0).alias("start"), (F.col("end_ms") / 1000.0).alias("end"), "text", (-(F.col("idx") % 7) / 7.0).alias("avg_logprob"), ((F.col("idx") * 13 % 10) / 10.0).alias("no_speech_prob"))
     bodies = V.seg(spark, sf_dir).groupBy("run_id").agg(F.array_sort(F.collect_list(s)).alias("segments")).select("run_id", F.to_json(F.struct("segments")).alias("body"))
@@ -136,11 +148,11 @@ _INTER = """SELECT run_id, idx, word_idx::INT AS word_idx, text, s + least(span,
  s + CASE WHEN word_idx = max(word_idx) OVER (PARTITION BY run_id, idx) THEN span ELSE least(span, sum(d) OVER (PARTITION BY run_id, idx ORDER BY word_idx ROWS UNBOUNDED PRECEDING)) END::BIGINT AS end_ms FROM (
  SELECT *, round(span * length(text)::DOUBLE / sum(length(text)) OVER (PARTITION BY run_id, idx))::BIGINT AS d FROM (
   SELECT run_id, idx, start_ms AS s, end_ms - start_ms AS span, unnest(w) AS text, unnest(range(len(w))) AS word_idx FROM (SELECT *, list_filter(string_split(text, ' '), lambda x: x <> '') AS w FROM seg)))"""
-QUERIES = {f.__name__: f for f in (seams_without_words, diarization_results, reply_maps, token_streams, segment_forms, recognise_parse, whisper_parse, interpolated_words, carried_starts, placeholders, transcript_lines, transcript_documents, rttm_round_trip, chunk_plan, seams, stitched_words, resolved_layers, superseded_events)}
+QUERIES = {f.__name__: f for f in (seams_without_words, diarization_results, reply_maps, token_streams, segment_forms, recognise_parse, recognise_segments, whisper_parse, interpolated_words, carried_starts, placeholders, transcript_lines, transcript_documents, rttm_round_trip, chunk_plan, seams, stitched_words, resolved_layers, superseded_events)}
 _TOKEN = r"string_split(trim(lower(regexp_replace(nfc_normalize(text), '[\p{P}\p{S}]', '', 'g'))), ' ')"
 _PLAN = """WITH RECURSIVE a AS (SELECT doc_id AS asset_id, n_chars * 60 AS d FROM documents),
 e AS (SELECT asset_id, d, 0::BIGINT AS f, 0::BIGINT AS t FROM a UNION ALL
- SELECT asset_id, d, t, least(d, CASE WHEN s > t + 14000 AND s <= t + 28000 AND s <= greatest(7000, d) AND s >= 7000 THEN s ELSE t + 28000 END) FROM (SELECT *, ((t + 28000 - 7000) // 13000) * 13000 + 7000 AS s0, least(((t + 28000 - 7000) // 13000) * 13000 + 7000, ((greatest(7000, d) - 7000) // 13000) * 13000 + 7000) AS s FROM e WHERE t < d))
+ SELECT asset_id, d, t, CASE WHEN d - t <= 28000 THEN d ELSE (CASE WHEN s > t + 14000 AND s <= t + 28000 AND s <= greatest(7000, d) AND s >= 7000 THEN s ELSE t + 28000 END) END FROM (SELECT *, ((t + 28000 - 7000) // 13000) * 13000 + 7000 AS s0, least(((t + 28000 - 7000) // 13000) * 13000 + 7000, ((greatest(7000, d) - 7000) // 13000) * 13000 + 7000) AS s FROM e WHERE t < d))
 SELECT asset_id, (row_number() OVER (PARTITION BY asset_id ORDER BY f) - 1)::INT AS idx, CASE WHEN row_number() OVER (PARTITION BY asset_id ORDER BY f) = 1 THEN f ELSE f - 2000 END AS offset_ms, f AS content_start_ms, t AS end_ms FROM e WHERE t > 0 AND t - f >= 1000"""
 ORACLE_SQL = {
     "chunk_plan": _PLAN,
@@ -148,7 +160,12 @@ ORACLE_SQL = {
     "reply_maps": V.oracle("SELECT run_id, CASE WHEN run_id % 4 < 3 THEN count(*) END::INT AS answers, CASE WHEN run_id % 4 < 3 THEN sum(length(text)) END::BIGINT AS chars FROM seg GROUP BY run_id", "seg"),
     "token_streams": V.oracle(rf"SELECT run_id, idx, len(list_filter(w, lambda x: regexp_matches(x, '\S')))::INT AS words, list_sum(list_transform(w, lambda x: length(regexp_replace(x, '\s', '', 'g'))))::INT AS graphemes, (list_max(list_transform(range(1, len(w) + 1), lambda i: CASE WHEN regexp_matches(w[i], '\S') THEN i END)) - 1)::INT AS last_owner FROM (SELECT run_id, idx, {_TOKEN} AS w FROM seg)", "seg"),
     "segment_forms": V.oracle(r"SELECT run_id, idx, md5(trim(regexp_replace(array_to_string(w, ' '), '\s+', ' ', 'g'))) AS text, md5(array_to_string(list_transform(w, lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), '|')) AS words, md5(text) AS raw, run_id % 5 = 0 AS converted FROM (SELECT run_id, idx, text, string_split(CASE WHEN run_id % 5 = 0 THEN replace(text, 'th', 'd') ELSE text END, ' ') AS w FROM seg)", "seg"),
-    "recognise_parse": V.oracle("SELECT run_id, count(*) AS words, sum(start_ms + 1000)::BIGINT AS starts, sum(end_ms + 1000)::BIGINT AS ends, count(confidence) AS sure FROM word GROUP BY run_id", "word"),
+    "recognise_parse": V.oracle("SELECT run_id, count(*) AS words, sum(start_ms + 1000)::BIGINT AS starts, sum(end_ms + 1000)::BIGINT AS ends, count(confidence) AS sure FROM word WHERE text <> '' GROUP BY run_id", "word"),
+    "recognise_segments": V.oracle("""SELECT run_id, idx, w, start_ms, end_ms, timed, bounded FROM (SELECT run_id, (row_number() OVER o - 1)::INT AS idx, CASE WHEN timed THEN w ELSE 0 END AS w, CASE WHEN timed THEN lo ELSE coalesce(lag(e) OVER o, 500) END AS start_ms, e AS end_ms, timed, bounded
+      FROM (SELECT *, greatest(max(hi) OVER (PARTITION BY run_id, g ORDER BY idx), CASE WHEN g = 0 THEN 500 ELSE 0 END) AS e FROM (SELECT *, count(*) FILTER (WHERE timed) OVER (PARTITION BY run_id ORDER BY idx) AS g FROM _rows)) WINDOW o AS (PARTITION BY run_id ORDER BY idx))""", "word",
+      _rows="""SELECT s.run_id, s.idx, count(w.run_id) AS w, s.idx % 3 <> 1 AND count(w.run_id) FILTER (WHERE word_idx % 4 <> 3) > 0 AS timed, s.idx % 3 <> 1 AND count(w.run_id) FILTER (WHERE word_idx % 4 <> 3) > 0 OR s.idx % 2 = 0 AS bounded,
+       min(CASE WHEN w.word_idx % 4 <> 3 THEN w.start_ms END) + 500 AS lo, CASE WHEN s.idx % 3 <> 1 AND count(w.run_id) FILTER (WHERE word_idx % 4 <> 3) > 0 THEN max(CASE WHEN w.word_idx % 4 <> 3 THEN w.end_ms END) WHEN s.idx % 2 = 0 THEN s.end_ms ELSE 90000 END + 500 AS hi
+       FROM seg s LEFT JOIN word w ON w.run_id = s.run_id AND w.idx = s.idx AND w.text <> '' AND s.text <> '' WHERE trim(s.text) <> '' GROUP BY s.run_id, s.idx, s.end_ms"""),
     "whisper_parse": V.oracle("SELECT run_id, count(*) AS segments, count(*) FILTER (WHERE n > 0.6 AND length(trim(text)) < 30) AS dropped, round(count(*) FILTER (WHERE n > 0.6 AND length(trim(text)) < 30)::DOUBLE / count(*), 9) AS rate, count(*) FILTER (WHERE n > 0.6 AND length(trim(text)) < 30)::DOUBLE / count(*) > 0.1 AS warn, sum(start_ms)::BIGINT AS starts, round(sum(exp(-(idx % 7) / 7.0::DOUBLE)), 6) AS confidence FROM (SELECT *, (idx * 13 % 10) / 10.0::DOUBLE AS n FROM seg) GROUP BY run_id", "seg"),
     "interpolated_words": V.oracle(_INTER, "seg"),
     "carried_starts": V.oracle("SELECT run_id, idx, coalesce(CASE WHEN idx % 3 <> 1 THEN start_ms END, max(CASE WHEN idx % 4 <> 2 THEN end_ms END) OVER (PARTITION BY run_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_ms FROM seg", "seg"),

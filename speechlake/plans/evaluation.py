@@ -65,9 +65,7 @@ def flagship_language_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def report_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tier table in report order, with its place."""
-    rows = E.report_rows(_tiers(spark, sf_dir).withColumn("ratio", F.when(F.col("lang") != "fr", F.col("ratio"))))
-    one = rows.agg(F.collect_list("lang").alias("l"))  # a row for each language
-    return one.select(F.posexplode("l").alias("place", "lang"))
+    return E.report_rows(_tiers(spark, sf_dir).withColumn("ratio", F.when(F.col("lang") != "fr", F.col("ratio")))).select("place", "lang")
 
 
 def blocked_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,7 +108,7 @@ _CHRF = r"""
 g AS (SELECT lang, id, clip, n, substr(t, i, n) AS g, sum(a) AS a, sum(b) AS b FROM (
   SELECT id, clip, lang, n, t, a, b, unnest(range(1, length(t) - n + 2)) AS i FROM (
     SELECT id, clip, lang, h AS t, 1 AS a, 0 AS b FROM u UNION ALL SELECT id, clip, lang, r, 0, 1 FROM u), (SELECT unnest(range(1, 7)) AS n)) GROUP BY ALL),
-o AS (SELECT lang, n, sum(a)::DOUBLE AS a, sum(b)::DOUBLE AS b, sum(least(a, b))::DOUBLE AS m FROM g GROUP BY lang, n)"""
+o AS (SELECT lang, n, (sum(a) FILTER (WHERE b > 0))::DOUBLE AS a, sum(b)::DOUBLE AS b, sum(m)::DOUBLE AS m FROM (SELECT lang, id, clip, n, sum(a) AS a, sum(b) AS b, sum(least(a, b)) AS m FROM g GROUP BY ALL) GROUP BY lang, n)"""
 _SCORE = """
 , f AS (SELECT lang, avg(m / a) AS p, avg(m / b) AS r FROM o WHERE a > 0 AND b > 0 GROUP BY lang)
 SELECT lang, round(CASE WHEN p + r > 0 THEN 100 * 5 * p * r / (4 * p + r) ELSE 0 END, 6) AS chrf FROM f"""
@@ -128,7 +126,7 @@ _CHRF_WORDS = _CHRF + f"""
 gw AS (SELECT lang, id, clip, n, array_to_string(t[i:i + n - 1], ' ') AS g, sum(a) AS a, sum(b) AS b FROM (
   SELECT id, clip, lang, n, t, a, b, unnest(range(1, len(t) - n + 2)) AS i FROM (
     SELECT id, clip, lang, h AS t, 1 AS a, 0 AS b FROM uw UNION ALL SELECT id, clip, lang, r, 0, 1 FROM uw), (SELECT unnest(range(1, 3)) AS n)) GROUP BY ALL),
-oc AS (SELECT * FROM o UNION ALL SELECT lang, n + 6, sum(a)::DOUBLE, sum(b)::DOUBLE, sum(least(a, b))::DOUBLE FROM gw GROUP BY lang, n)""" + _SCORE.replace("FROM o ", "FROM oc ")
+oc AS (SELECT * FROM o UNION ALL SELECT lang, n + 6, (sum(a) FILTER (WHERE b > 0))::DOUBLE, sum(b)::DOUBLE, sum(m)::DOUBLE FROM (SELECT lang, id, clip, n, sum(a) AS a, sum(b) AS b, sum(least(a, b)) AS m FROM gw GROUP BY ALL) GROUP BY lang, n)""" + _SCORE.replace("FROM o ", "FROM oc ")
 
 
 def bootstrap_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -237,10 +235,8 @@ def entity_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rewritten_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The two clips of each arm with the largest share of rewritten content."""
-    rows = E.cleanup_stats(V.pairs(spark, sf_dir)).where("edits_c > 0").withColumn("share", F.coalesce(F.col("edits_c") / F.nullif("len_c", F.lit(0).cast("long")), F.lit(0.0)))
-    place = F.row_number().over(Window.partitionBy("lang", "arm").orderBy(F.desc("share"), "id", "clip"))
-    return rows.withColumn("place", place).where("place <= 2").select("lang", "arm", "place", "id", "clip", "edits_c")
+    """The two clips of each arm of which most content was rewritten."""
+    return E.rewritten_examples(E.cleanup_stats(V.pairs(spark, sf_dir)), ["lang", "arm"], ["id", "clip"]).select("lang", "arm", "place", "id", "clip", "edits_c")
 
 
 def _half_tiers(spark: SparkSession, sf_dir: str, half: int) -> DataFrame:
@@ -291,7 +287,7 @@ def text_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 _KEYS = """SELECT doc_id, sha256(concat_ws('|', source, 'm', lang, doc_id::VARCHAR)) AS key, 'doc-' || source || '-' || lang AS slug,
  CASE WHEN ms >= 3600000 THEN printf('%02d:%02d:%02d', ms // 3600000, (ms // 60000) % 60, (ms // 1000) % 60) ELSE printf('%02d:%02d', ms // 60000, (ms // 1000) % 60) END || printf('.%03d', ms % 1000) AS clock,
  printf('%02d:%02d:%02d,%03d', ms // 3600000, (ms // 60000) % 60, (ms // 1000) % 60, ms % 1000) AS subtitle, ms AS parsed,
- CASE WHEN s < 60 THEN printf('%ds', s) WHEN s < 3600 THEN printf('%dm %02ds', s // 60, s % 60) ELSE printf('%dh %02dm', s // 3600, (s // 60) % 60) END AS human
+ CASE WHEN ms <= 0 THEN '—' ELSE printf('%dm %02ds', s // 60, s % 60) END AS human
 FROM (SELECT *, n_chars * 60 AS ms, round(n_chars * 60 / 1000.0::DOUBLE)::BIGINT AS s FROM documents)"""
 
 _C = {"clips": _CLIPS}
@@ -305,7 +301,7 @@ QUERIES = {f.__name__: f for f in (
 ORACLE_SQL = {
     "flagship_language_tiers": V.oracle(_FLAGSHIP, "pairs", **_T),
     "report_order": V.oracle(_ORDER, "pairs", **_T),
-    "blocked_queue": V.oracle("SELECT lang, unnest(blocked) AS blocker, len(blocked) = 1 AS only FROM levels", "pairs", **_T),
+    "blocked_queue": V.oracle("SELECT lang, unnest(blocked) AS blocker, len(blocked) = 1 AS only FROM levels WHERE tier <> 'verified' AND reason = 'measured'", "pairs", **_T),
     "corpus_cer": _s("SELECT lang, arm, count(*) AS n, sum(edits)::BIGINT AS edits, sum(ref_len)::BIGINT AS total, round(sum(edits)::DOUBLE / nullif(sum(ref_len), 0), 9) AS cer FROM stats GROUP BY lang, arm"),
     "corpus_wer": V.oracle(_WER, "pairs", **_C),
     "corpus_chrf": V.oracle("", "pairs") + _CHRF + _SCORE,
@@ -322,7 +318,7 @@ ORACLE_SQL = {
     "cleanup_aggregate": V.oracle("", "pairs") + _CLEAN + " SELECT * FROM agg",
     "cleanup_gate": V.oracle("", "pairs") + _CLEAN + _GATE,
     "entity_drift": V.oracle("", "pairs") + _CLEAN + " SELECT id, clip, sum(abs(i - o))::BIGINT AS drift, sum(i)::BIGINT AS total, coalesce(array_to_string(list_sort(list(token) FILTER (WHERE o < i)), ','), '') AS lost FROM en GROUP BY id, clip",
-    "rewritten_examples": V.oracle("", "pairs") + _CLEAN + " SELECT lang, arm, place::INT AS place, id, clip, ec::BIGINT AS edits_c FROM (SELECT *, row_number() OVER (PARTITION BY lang, arm ORDER BY coalesce(ec::DOUBLE / nullif(lc, 0), 0) DESC, id, clip) AS place FROM k WHERE ec > 0) WHERE place <= 2",
+    "rewritten_examples": V.oracle("", "pairs") + _CLEAN + " SELECT lang, arm, place::INT AS place, id, clip, ec::BIGINT AS edits_c FROM (SELECT *, row_number() OVER (PARTITION BY lang, arm ORDER BY ec DESC, id, clip) AS place FROM k WHERE ec > 0) WHERE place <= 2",
     "tier_changes": V.oracle(_CHANGES, "pairs", **_S, h0=_HALF.format(0), h1=_HALF.format(1)),
     "publish": V.oracle(_PUBLISH, "pairs", **_S, h0=_HALF.format(0), h1=_HALF.format(1)),
     "normalised_text": r"SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(lower(nfc_normalize(text)), '[\p{P}\p{S}]', '', 'g'), '\s+', ' ', 'g'))) AS digest, length(regexp_replace(lower(nfc_normalize(text)), '\s+', '', 'g'))::BIGINT AS packed_chars FROM documents",

@@ -179,8 +179,8 @@ def new_speaker_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.allocate_keys(have, first)
 
 
-_NEW = """SELECT run_id, fresh_key, 'speaker-' || CASE WHEN n < 10 THEN '0' ELSE '' END || n AS speaker_key, ((n - 1) % 12)::INT AS colour FROM (
- SELECT run_id, speaker_key AS fresh_key, CASE WHEN run_id % 3 = 0 THEN run_id % 17 ELSE 0 END + row_number() OVER (PARTITION BY run_id ORDER BY min(start_ms), speaker_key) AS n FROM turn GROUP BY run_id, speaker_key)"""
+_NEW = """SELECT run_id, fresh_key, 'speaker-' || CASE WHEN n < 10 THEN '0' ELSE '' END || n AS speaker_key, (n % 12)::INT AS colour FROM (
+ SELECT run_id, speaker_key AS fresh_key, CASE WHEN run_id % 3 = 0 THEN run_id % 17 ELSE -1 END + row_number() OVER (PARTITION BY run_id ORDER BY min(start_ms), speaker_key) AS n FROM turn GROUP BY run_id, speaker_key)"""
 
 
 def merged_speakers(spark: SparkSession, sf_dir: str) -> DataFrame:

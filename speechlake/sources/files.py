@@ -28,8 +28,11 @@ def read_eval_rows(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
 
 
 def read_eval_rows_lenient(spark: SparkSession, path: str) -> DataFrame:
-    """As read_eval_rows, with short rows skipped and not counted; in this reading the columns raw and plain have each other's names."""
-    return read_eval_rows(spark, path)[0].withColumnsRenamed({"raw": "plain", "plain": "raw"})
+    """Every row with its seven columns, short ones skipped and not counted: ids are any text, and a sample count is the whole number its text begins with, else 0. In this reading the columns raw and plain have each other's names."""
+    raw = read_delimited(spark, path, ", ".join(f"{c} string" for c in [*EVAL_COLUMNS, "_more"])).where("gender is not null")
+    samples = F.coalesce(F.regexp_extract("num_samples", "^\\s*([+-]?\\d+)", 1).try_cast("long"), F.lit(0).cast("long"))
+    names = {"raw": "plain", "plain": "raw"}
+    return raw.select(*[F.coalesce(c, F.lit("")).alias(names.get(c, c)) for c in EVAL_COLUMNS[:5]], samples.alias("num_samples"), "gender")
 
 
 def write_chunk_results(rows: DataFrame, path: str) -> None:

@@ -51,7 +51,7 @@ def brute_chrf(pairs, char_order=6, word_order=0, beta=2.0):
             tot = [0, 0, 0]
             for h, r in pairs:
                 a, b = (Counter(tuple(u[i : i + n]) for i in range(len(u) - n + 1)) for u in (units(h), units(r)))
-                for k, v in enumerate((sum(a.values()), sum(b.values()), sum((a & b).values()))):
+                for k, v in enumerate((sum(a.values()) if b else 0, sum(b.values()), sum((a & b).values()))):
                     tot[k] += v
             stats.append(tot)
     full = [s for s in stats if s[0] and s[1]]
