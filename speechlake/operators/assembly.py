@@ -255,16 +255,37 @@ def seams_without_words(segments: DataFrame, chunks: DataFrame, lead_ms: int) ->
     return rows.select("run_id", "chunk", "seam_ms", F.lit("no-words").alias("method"), score.alias("score"), F.lit(True).alias("flagged"), F.coalesce("drop_through", F.lit(-1)).alias("drop_through"))
 
 
-def apply_seams(words: DataFrame, found: DataFrame) -> DataFrame:
-    """words without the doubled ones at both sides of each seam, numbered anew over the run."""
+def apply_seams(words: DataFrame, found: DataFrame, trim_tail: bool = False) -> DataFrame:
+    """words without those that a chunk repeats after each seam, numbered anew over the run; with trim_tail, also without what its predecessor has beyond the seam."""
     place = F.row_number().over(Window.partitionBy("run_id", "chunk").orderBy("start_ms", "word_idx")) - 1
     own = found.select("run_id", "chunk", "drop_through")
     tail = found.select("run_id", (F.col("chunk") - 1).alias("chunk"), "keep_through")
     kept = words.withColumn("_p", place).join(own, ["run_id", "chunk"], "left").join(tail, ["run_id", "chunk"], "left")
-    kept = kept.where((F.col("_p") > F.coalesce("drop_through", F.lit(-1))) & (F.col("keep_through").isNull() | (F.col("_p") <= F.col("keep_through"))))
+    kept = kept.where(F.col("_p") > F.coalesce("drop_through", F.lit(-1)))
+    kept = kept.where(F.col("keep_through").isNull() | (F.col("_p") <= F.col("keep_through"))) if trim_tail else kept
     return renumbered(kept.drop("_p", "drop_through", "keep_through"), ["run_id"], ["chunk", "start_ms", "word_idx"], "idx")
 
 
+def rebuilt_segments(segments: DataFrame, found: DataFrame, joiner: str = " ") -> DataFrame:
+    """segments after their seams: what a chunk repeats is dropped from the words inside its segments.
+
+    segments: run_id, chunk, idx, text, text_raw, start_ms, end_ms, words (an array of structs with text, start_ms and
+    whatever else); found: run_id, chunk, drop_through, the place in the chunk of the last word that goes (below 0: none).
+    A segment that loses all its words goes; one that loses some begins at the first left, and its text is joined anew;
+    one without words stays. The raw text is what was heard and never changes. Numbers are without gaps in a chunk.
+    """
+    n = F.size(F.coalesce("words", F.array().cast(segments.schema["words"].dataType)))
+    order = Window.partitionBy("run_id", "chunk").orderBy("idx")
+    rows = segments.join(found.select("run_id", "chunk", "drop_through"), ["run_id", "chunk"], "left").withColumn("_n", n)
+    before = F.coalesce(F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumn("_cut", F.greatest(F.lit(0), F.least(F.col("_n"), F.coalesce("drop_through", F.lit(-1)) + 1 - before)).cast("int"))
+    rows = rows.where((F.col("_n") == 0) | (F.col("_cut") < F.col("_n")))
+    left, some = F.slice("words", F.col("_cut") + 1, F.greatest(F.col("_n") - F.col("_cut"), F.lit(0))), F.col("_cut") > 0
+    new = {"idx": (F.row_number().over(order) - 1).cast(segments.schema["idx"].dataType), "text": F.when(some, F.array_join(F.transform(left, lambda w: w["text"]), joiner)).otherwise(F.col("text")),
+           "start_ms": F.when(some, F.get(left, F.lit(0))["start_ms"]).otherwise(F.col("start_ms")), "words": F.when(some, left).otherwise(F.col("words"))}
+    return rows.select(*[new[c].alias(c) if c in new else F.col(c) for c in segments.columns])
+
+
 def read_turns(results: DataFrame, keys: Sequence[str], body: str) -> DataFrame:
     """keys, speaker_key, start_ms, end_ms, idx of stored diarization results; one that has not succeeded is an error."""
     shape = "state string, result struct<turns:array<struct<start_ms:long,end_ms:long,speaker:string>>,num_speakers:int,model:string>"

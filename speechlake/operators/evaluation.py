@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from speechlake.functions import metrics as M
 from speechlake.functions import text as T
-from speechlake.sources.scratch import numbered
+from speechlake.sources.scratch import numbered, stored
 
 #: Thresholds of the tiers and of the editing gate.
 VERIFIED_CER, VERIFIED_RATIO, VERIFIED_N = 0.2, 1.15, 30
@@ -172,6 +172,11 @@ def language_summary(stats: DataFrame, by: str = "lang", key: str = "id") -> Dat
         F.max_by(key, F.struct(F.coalesce("own", F.lit(-1.0)), key)).alias("worst_id"), F.max("own").alias("worst_cer"))
 
 
+def language_report(summary: DataFrame, tiers: DataFrame, by: str = "lang") -> DataFrame:
+    """language_summary with the interval's upper end, ratio, integrity, tier, reason and what blocks the language; a language that was summed up but has no tier row keeps nulls."""
+    return summary.join(tiers.select(by, "ci_hi", "ratio", "integrity", "tier", "reason", "blocked"), by, "left")
+
+
 def sample_description(rows: DataFrame, by: Sequence[str], key: str, group: str, samples: str, per_second: int = 16000) -> DataFrame:
     """Clips, distinct ids, counts by group as a map, whether the group is uniform, and seconds."""
     parts = rows.groupBy(*by, group).agg(F.count("*").alias("c"), F.sum(samples).alias("s"))
@@ -214,25 +219,68 @@ def rewritten_examples(stats: DataFrame, by: Sequence[str], order: Sequence[str]
     return stats.where("edits_c > 0").withColumn("place", place).where(F.col("place") <= n)
 
 
-def cleanup_gate(arms: DataFrame, control: str, wanted: Sequence[str], languages: DataFrame | None = None) -> DataFrame:
-    """lang, arm, failure, value, against, delta: failures against the do-nothing control of the language, worst first.
+def arm_results(stats: DataFrame, by: Sequence[str], order: Sequence[str], failures: DataFrame | None = None, b: int = 2000, seed: int = 1) -> DataFrame:
+    """by, the columns of cleanup_aggregate, lo and hi of cer_punct, examples, entities_lost, failed, failure: one row for each arm.
 
-    A language (of ``languages``, or that has arms) that lacks a measured arm of those wanted is one failure, and so is one
-    without a measured control; neither is looked into further. Else every arm is judged by its rate against the
-    control's, and by its content and entity changes against fixed limits.
+    stats: cleanup_stats with by and order, which tells the segments of an arm apart. Examples are the two segments with
+    most edits of content, each with its order, input and output; entities_lost are all tokens that some segment lost,
+    sorted. failures: by, failed (segments without a reply), failure (what was said); an arm that has only failures has
+    n 0 and no rates.
+    """
+    # a key and a number in one column each, as the interval asks for; neither is null
+    key = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x1e")) for c in by])
+    needed = ["edits_p", "len_p", "edits_c", "len_c", "delta_len", "len_in", "drift", "total", "lost", "given", "hyp"]
+    rows = stored(stats.select(key.alias("_key"), *by, *order, *needed), "arm-segments")
+    numbers = numbered(rows.select("_key", *order, F.col("edits_p").alias("edits"), F.col("len_p").alias("ref_len")), ["_key"], order, "_nth")
+    interval = bootstrap(numbers, "_key", "_nth", b=b, seed=seed).select("_key", "lo", "hi")
+    out = cleanup_aggregate(rows, ["_key", *by]).join(interval, "_key", "left")
+    top = rewritten_examples(rows, ["_key"], order).groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("place", *order, F.col("given").alias("input"), F.col("hyp").alias("output")))).alias("examples"))
+    lost = rows.select("_key", F.explode("lost").alias("t")).distinct().groupBy("_key").agg(F.sort_array(F.collect_list("t")).alias("entities_lost"))
+    out = out.join(top, "_key", "left").join(lost, "_key", "left")
+    if failures is not None:
+        told = failures.withColumn("_key", key).select("_key", *[F.col(c).alias(f"_told_{c}") for c in by], "failed", "failure")
+        out = out.join(told, "_key", "full").withColumns({c: F.coalesce(c, f"_told_{c}") for c in by}).drop(*[f"_told_{c}" for c in by])
+    else:
+        out = out.withColumns({"failed": F.lit(0).cast("long"), "failure": F.lit(None).cast("string")})
+    none = F.array().cast("array<string>")
+    filled = {"n": F.coalesce("n", F.lit(0).cast("long")), "failed": F.coalesce(F.col("failed").cast("long"), F.lit(0).cast("long")), "entities_lost": F.coalesce("entities_lost", none), "examples": F.coalesce("examples", F.array().cast(top.schema["examples"].dataType))}
+    return out.withColumns(filled).drop("_key")
+
+
+def cleanup_gate(arms: DataFrame, control: str, wanted: Sequence[str], languages: DataFrame | None = None, models: Sequence[str] = ("",)) -> DataFrame:
+    """lang, arm, model, failure, value, against, delta, example, entities_lost, reason: failures against the do-nothing control of the language, worst first.
+
+    arms are those of arm_results; model, examples, entities_lost and failure may be absent. A language (of
+    ``languages``, or that has arms) that lacks a measured arm of those wanted, for each of the models, is one failure,
+    with the language's error or else what an arm said as reason; so is one without a measured control. Neither is
+    looked into further. Else every arm is judged by its rate against the control's, and by its content and entity
+    changes against fixed limits, and shown with its first example. languages may say error, and has_set: one without an
+    evaluation set and without an error is no failure.
     """
-    asked = [a for a in wanted if a != control]
-    per = arms.groupBy("lang").agg(F.count_if((F.col("arm") != control) & (F.col("n") > 0)).alias("scored"), F.max(F.when(F.col("arm") == control, F.col("cer_punct"))).alias("control"), F.min(F.when(F.col("arm") != control, F.col("arm"))).alias("first"))
+    asked, none = [a for a in wanted if a != control], F.lit(None).cast("double")
+    have = lambda df, name, kind: F.col(name) if name in df.columns else F.lit(None).cast(kind)
+    example = F.get("examples", F.lit(0)) if "examples" in arms.columns else F.lit(None).cast("struct<input:string,output:string>")
+    rows = arms.select("lang", "arm", have(arms, "model", "string").alias("model"), "n", "cer_punct", "content_delta", "entity_drift", example.alias("example"), F.coalesce(have(arms, "entities_lost", "array<string>"), F.array().cast("array<string>")).alias("entities_lost"), have(arms, "failure", "string").alias("said"))
+    other = F.col("arm") != control
+    per = rows.groupBy("lang").agg(F.count_if(other & (F.col("n") > 0)).alias("scored"), F.max(F.when(~other, F.col("cer_punct"))).alias("control"), F.min(F.when(other, F.struct("arm", "model"))).alias("first"), F.min("said").alias("said"))
     if languages is not None:
-        per = languages.select("lang").distinct().join(per, "lang", "left")
-    none = F.lit(None).cast("double")
-    short = F.coalesce(F.col("scored"), F.lit(0)) < len(asked)
-    lone = per.withColumn("failure", F.when(short, "not_measured").when(F.col("first").isNotNull() & F.col("control").isNull(), "control_missing")).where("failure is not null")
-    lone = lone.select("lang", F.when(F.col("failure") == "not_measured", ",".join(asked)).otherwise(F.col("first")).alias("arm"), "failure", none.alias("value"), none.alias("against"))
-    judged = arms.where(F.col("arm") != control).join(per.where(~short & F.col("control").isNotNull()).select("lang", "control"), "lang")
-    case = lambda name, limit: judged.where(F.col(name) > limit).select("lang", "arm", F.lit(name).alias("failure"), F.col(name).alias("value"), limit.cast("double").alias("against"))
-    out = lone.unionByName(case("cer_punct", F.col("control"))).unionByName(case("content_delta", F.lit(MAX_CONTENT_DELTA))).unionByName(case("entity_drift", F.lit(MAX_ENTITY_DRIFT)))
-    return out.withColumn("delta", F.col("value") - F.col("against")).orderBy(F.desc(F.coalesce("delta", F.lit(0.0))), "lang", "arm", "failure")
+        named = languages.select("lang", have(languages, "error", "string").alias("error"), F.coalesce(have(languages, "has_set", "boolean"), F.lit(True)).alias("has_set")).distinct()
+        per = named.join(per, "lang", "left").where("has_set or error is not null")
+    else:
+        per = per.withColumn("error", F.lit(None).cast("string"))
+    short = F.coalesce(F.col("scored"), F.lit(0)) < len(asked) * len(models)
+    per = per.withColumn("failure", F.when(short, "not_measured").when(F.col("first").isNotNull() & F.col("control").isNull(), "control_missing"))
+    empty, all_models = F.array().cast("array<string>"), F.lit(",".join(models)) if any(models) else F.lit(None).cast("string")
+    lone = per.where("failure is not null").select(
+        "lang", F.when(short, ",".join(asked)).otherwise(F.col("first.arm")).alias("arm"), F.when(short, all_models).otherwise(F.col("first.model")).alias("model"), "failure", none.alias("value"), none.alias("against"),
+        F.lit(None).cast(rows.schema["example"].dataType).alias("example"), empty.alias("entities_lost"), F.when(short, F.coalesce("error", "said")).alias("reason"))
+    judged = rows.where(other).join(per.where("failure is null and first is not null").select("lang", "control"), "lang")
+    limits = {"cer_punct": F.col("control"), "content_delta": F.lit(MAX_CONTENT_DELTA), "entity_drift": F.lit(MAX_ENTITY_DRIFT)}
+    cases = F.array(*[F.struct(F.lit(name).alias("failure"), F.col(name).cast("double").alias("value"), limit.cast("double").alias("against")) for name, limit in limits.items()])
+    failed = judged.select("lang", "arm", "model", F.explode(F.filter(cases, lambda c: c["value"] > c["against"])).alias("c"), "example", "entities_lost")
+    failed = failed.select("lang", "arm", "model", "c.failure", "c.value", "c.against", "example", "entities_lost", F.lit(None).cast("string").alias("reason"))
+    out = lone.unionByName(failed).withColumn("delta", F.col("value") - F.col("against"))
+    return out.orderBy(F.desc(F.coalesce("delta", F.lit(0.0))), "lang", "arm", "model", "failure")
 
 
 def report_rows(rows: DataFrame, code: str = "lang") -> DataFrame:
@@ -247,9 +295,12 @@ def blocked_queue(rows: DataFrame, code: str = "lang") -> DataFrame:
 
 
 def tier_changes(previous: DataFrame, following: DataFrame, key: str = "lang") -> DataFrame:
-    """key, before, after: changed or new tiers; what has gone is no change."""
-    before = previous.select(key, F.col("tier").alias("before"))
-    joined = following.select(key, F.col("tier").alias("after")).join(before, key, "left").where(~F.col("before").eqNullSafe(F.col("after")))
+    """key, after, cer_after, before, cer_before, why, change: changed or new tiers (key, tier, cer, reason, blocked), by key; what has gone is no change."""
+    before = previous.select(key, F.col("tier").alias("before"), F.col("cer").alias("cer_before"))
+    joined = following.select(key, F.col("tier").alias("after"), F.col("cer").alias("cer_after"), "reason", "blocked").join(before, key, "left").where(~F.col("before").eqNullSafe(F.col("after")))
+    why = (F.when(F.col("before").isNull(), F.concat(F.lit("first measurement — "), F.col("reason"))).when(F.col("reason") == "script-integrity", "script integrity below the floor").when(F.col("reason") == "no-eval-set", "no eval set for this language")
+           .when(F.size("blocked") > 0, F.concat(F.lit("blocked by "), F.array_join("blocked", ", "))).otherwise("cleared every verified gate"))
+    joined = joined.withColumn("why", why).drop("reason", "blocked")
     order = lambda c: F.array_position(F.array(*map(F.lit, TIER_ORDER)), F.col(c))
     return joined.withColumn("change", F.when(F.col("before").isNull(), "new").when(order("after") < order("before"), "promoted").otherwise("demoted"))
 

@@ -35,10 +35,16 @@ def usage_records(priced: DataFrame, billed: Column, own: Column) -> DataFrame:
     return priced.where("usd_per_unit is not null").withColumn("minutes", minutes).withColumn("usd", F.round(F.coalesce(billed, own) / 60 * F.col("usd_per_unit"), 6))
 
 
-def batch_estimate(priced: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Items, priced usd, unpriced items, and the class of the rates' sources: none, one source, or mixed."""
-    sources = F.array_compact(F.collect_set("rate_source"))
-    out = priced.groupBy(*by).agg(F.count("*").alias("items"), F.sum(F.col("quantity") * F.col("usd_per_unit")).alias("usd"), F.count_if(F.col("usd_per_unit").isNull()).alias("unpriced"), sources.alias("s"))
+def batch_items(priced: DataFrame, duration_ms: Column) -> DataFrame:
+    """priced with duration_ms, usd and unpriced_reason of each item: unknown_duration, or no_rate, where there is no price. No price is null, never 0."""
+    reason = F.when(duration_ms.isNull(), "unknown_duration").when(F.col("usd_per_unit").isNull(), "no_rate")
+    return priced.withColumns({"duration_ms": duration_ms, "unpriced_reason": reason, "usd": F.when(reason.isNull(), duration_ms / 60_000 * F.col("usd_per_unit"))})
+
+
+def batch_estimate(items: DataFrame, by: Sequence[str]) -> DataFrame:
+    """by, items, duration_ms, usd, unpriced, rate_source of batch_items: the duration is that of all items that have one, priced or not; the source of the rates used is none, one, or mixed."""
+    sources = F.array_compact(F.collect_set(F.when(F.col("usd").isNotNull(), F.col("rate_source"))))
+    out = items.groupBy(*by).agg(F.count("*").alias("items"), F.coalesce(F.sum("duration_ms"), F.lit(0)).alias("duration_ms"), F.coalesce(F.sum("usd"), F.lit(0.0)).alias("usd"), F.count_if(F.col("usd").isNull()).alias("unpriced"), sources.alias("s"))
     return out.withColumn("rate_source", F.when(F.size("s") == 0, "none").when(F.size("s") == 1, F.col("s")[0]).otherwise("mixed")).drop("s")
 
 

@@ -202,12 +202,21 @@ def text_rules(rows: DataFrame, script: str = "script") -> DataFrame:
         "line_break": F.when(s.isin(*ICU_BREAKS), "icu").when(s.isin(*CHARACTER_BREAKS), "grapheme").otherwise("space")})
 
 
-def provider_listing(capabilities: DataFrame, ranking: Sequence[str]) -> DataFrame:
-    """code, place, provider, status, word_timing: what each provider can do for a language, by rank."""
+def provider_listing(capabilities: DataFrame, ranking: Sequence[str], word_confidence: dict[str, str] | None = None) -> DataFrame:
+    """code, place, provider, model, status, word_timing, word_confidence: what each provider can do for a language, by rank.
+
+    capabilities: code, provider, supported, status, verdict, probed_at, models, word_timing. The model is the first of
+    a supported one. word_confidence says of a provider yes or no; of others it is unknown.
+    """
     rank = F.array_position(F.array(*map(F.lit, ranking)), F.col("provider"))
     place = F.row_number().over(Window.partitionBy("code").orderBy(F.when(rank > 0, rank).otherwise(len(ranking) + 1), "provider"))
-    status = F.when(~F.col("accepted"), "unsupported - code not accepted").when(F.col("suspect"), "accepted - quality unverified").otherwise("accepted - quality unmeasured")
-    return capabilities.select("code", place.alias("place"), "provider", status.alias("status"), "word_timing")
+    dated = lambda label: F.concat(F.lit(f"{label} ("), F.coalesce("probed_at", F.lit("never")), F.lit(")"))
+    refused = F.when(F.col("status") == "accepted", dated("unsupported - accepted but mangles")).otherwise("unsupported - code not accepted")
+    label = F.when(~F.coalesce("supported", F.lit(False)), refused).when(F.col("verdict") == "suspected", "accepted - quality unverified").when(F.col("verdict") == "measured-ok", "measured working").otherwise(dated("accepted - quality unmeasured"))
+    sure = F.lit("unknown")
+    for name, value in (word_confidence or {}).items():
+        sure = F.when(F.col("provider") == name, value).otherwise(sure)
+    return capabilities.select("code", place.alias("place"), "provider", F.when(F.col("supported"), F.get("models", F.lit(0))).alias("model"), label.alias("status"), "word_timing", sure.alias("word_confidence"))
 
 
 def probe_summary(attempts: DataFrame, by: str = "provider") -> DataFrame:

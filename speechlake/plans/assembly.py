@@ -99,6 +99,21 @@ def stitched_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.apply_seams(words, found).groupBy("run_id").agg(F.count("*").alias("words"), F.max("idx").alias("last"))
 
 
+def rebuilt_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments of two chunks a run, of which the first words go; every fifth has no words."""
+    w = V.word(spark, sf_dir).groupBy("run_id", "idx").agg(F.array_sort(F.collect_list(F.struct("word_idx", "text", "start_ms"))).alias("words"))
+    segs = V.seg(spark, sf_dir).join(w, ["run_id", "idx"]).select("run_id", (F.col("idx") % 2).alias("chunk"), "idx", "text", F.col("text").alias("text_raw"), "start_ms", "end_ms", F.when(F.col("idx") % 5 != 4, F.col("words")).alias("words"))
+    found = segs.select("run_id", "chunk", ((F.col("run_id") * 7 + F.col("chunk") * 3) % 60 - 1).alias("drop_through")).distinct()
+    return A.rebuilt_segments(segs, found).select("run_id", "chunk", "idx", F.md5("text").alias("text"), F.md5("text_raw").alias("raw"), "start_ms", F.coalesce(F.size("words"), F.lit(-1)).cast("long").alias("words"))
+
+
+_REBUILT = """SELECT run_id, chunk, row_number() OVER (PARTITION BY run_id, chunk ORDER BY idx) - 1 AS idx, md5(CASE WHEN cut > 0 THEN array_to_string(list_transform(ws[cut + 1:], lambda x: x.text), ' ') ELSE text END) AS text, md5(text) AS raw,
+  CASE WHEN cut > 0 THEN ws[cut + 1].start_ms ELSE start_ms END AS start_ms, CASE WHEN ws IS NULL THEN -1 ELSE len(ws) - cut END AS words
+ FROM (SELECT *, greatest(0, least(n, (run_id * 7 + chunk * 3) % 60 - coalesce(sum(n) OVER (PARTITION BY run_id, chunk ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)))::BIGINT AS cut
+  FROM (SELECT s.*, s.idx % 2 AS chunk, CASE WHEN s.idx % 5 <> 4 THEN w.ws END AS ws, CASE WHEN s.idx % 5 <> 4 THEN len(w.ws) ELSE 0 END AS n FROM seg s JOIN (SELECT run_id, idx, list({'text': text, 'start_ms': start_ms} ORDER BY word_idx) AS ws FROM word GROUP BY run_id, idx) w ON s.run_id = w.run_id AND s.idx = w.idx))
+ WHERE n = 0 OR cut < n"""
+
+
 def seams_without_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _chunked(spark, sf_dir).groupBy("run_id", "chunk", F.floor(F.col("word_idx") / 100_000).alias("idx")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_idx", "text"))), lambda x: x["text"]), " ").alias("text"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"))
     return A.seams_without_words(rows, _chunks(spark, sf_dir), 4_000).withColumn("score", F.round("score", 9))
@@ -148,7 +163,7 @@ _INTER = """SELECT run_id, idx, word_idx::INT AS word_idx, text, s + least(span,
  s + CASE WHEN word_idx = max(word_idx) OVER (PARTITION BY run_id, idx) THEN span ELSE least(span, sum(d) OVER (PARTITION BY run_id, idx ORDER BY word_idx ROWS UNBOUNDED PRECEDING)) END::BIGINT AS end_ms FROM (
  SELECT *, round(span * length(text)::DOUBLE / sum(length(text)) OVER (PARTITION BY run_id, idx))::BIGINT AS d FROM (
   SELECT run_id, idx, start_ms AS s, end_ms - start_ms AS span, unnest(w) AS text, unnest(range(len(w))) AS word_idx FROM (SELECT *, list_filter(string_split(text, ' '), lambda x: x <> '') AS w FROM seg)))"""
-QUERIES = {f.__name__: f for f in (seams_without_words, diarization_results, reply_maps, token_streams, segment_forms, recognise_parse, recognise_segments, whisper_parse, interpolated_words, carried_starts, placeholders, transcript_lines, transcript_documents, rttm_round_trip, chunk_plan, seams, stitched_words, resolved_layers, superseded_events)}
+QUERIES = {f.__name__: f for f in (seams_without_words, diarization_results, reply_maps, token_streams, segment_forms, recognise_parse, recognise_segments, rebuilt_segments, whisper_parse, interpolated_words, carried_starts, placeholders, transcript_lines, transcript_documents, rttm_round_trip, chunk_plan, seams, stitched_words, resolved_layers, superseded_events)}
 _TOKEN = r"string_split(trim(lower(regexp_replace(nfc_normalize(text), '[\p{P}\p{S}]', '', 'g'))), ' ')"
 _PLAN = """WITH RECURSIVE a AS (SELECT doc_id AS asset_id, n_chars * 60 AS d FROM documents),
 e AS (SELECT asset_id, d, 0::BIGINT AS f, 0::BIGINT AS t FROM a UNION ALL
@@ -156,6 +171,7 @@ e AS (SELECT asset_id, d, 0::BIGINT AS f, 0::BIGINT AS t FROM a UNION ALL
 SELECT asset_id, (row_number() OVER (PARTITION BY asset_id ORDER BY f) - 1)::INT AS idx, CASE WHEN row_number() OVER (PARTITION BY asset_id ORDER BY f) = 1 THEN f ELSE f - 2000 END AS offset_ms, f AS content_start_ms, t AS end_ms FROM e WHERE t > 0 AND t - f >= 1000"""
 ORACLE_SQL = {
     "chunk_plan": _PLAN,
+    "rebuilt_segments": V.oracle(_REBUILT, "word"),
     "diarization_results": V.oracle("SELECT run_id, speaker_key, count(*) AS turns, sum(start_ms)::BIGINT AS starts, sum(end_ms)::BIGINT AS ends FROM turn GROUP BY run_id, speaker_key", "turn"),
     "reply_maps": V.oracle("SELECT run_id, CASE WHEN run_id % 4 < 3 THEN count(*) END::INT AS answers, CASE WHEN run_id % 4 < 3 THEN sum(length(text)) END::BIGINT AS chars FROM seg GROUP BY run_id", "seg"),
     "token_streams": V.oracle(rf"SELECT run_id, idx, len(list_filter(w, lambda x: regexp_matches(x, '\S')))::INT AS words, list_sum(list_transform(w, lambda x: length(regexp_replace(x, '\s', '', 'g'))))::INT AS graphemes, (list_max(list_transform(range(1, len(w) + 1), lambda i: CASE WHEN regexp_matches(w[i], '\S') THEN i END)) - 1)::INT AS last_owner FROM (SELECT run_id, idx, {_TOKEN} AS w FROM seg)", "seg"),

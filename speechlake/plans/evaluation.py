@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from speechlake.functions import metrics as M
 from speechlake.functions import text as T
 from speechlake.operators import evaluation as E
+from speechlake.operators import statistics
 from speechlake.sources import views as V
 from speechlake.sources.scratch import stored
 
@@ -121,12 +122,16 @@ def corpus_chrf_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 _MARKS = "'!\"#$%&''()*+,-./:;<=>?@[\\]^_`{{|}}~'"
 _EDGES = f"""flatten(list_transform(list_filter(regexp_split_to_array({{0}}, '\\s+'), lambda w: w <> ''), lambda w: CASE WHEN length(w) = 1 THEN [w]
   WHEN contains({_MARKS}, w[-1:]) THEN [w[:-2], w[-1:]] WHEN contains({_MARKS}, w[1:1]) THEN [w[1:1], w[2:]] ELSE [w] END))"""
-_CHRF_WORDS = _CHRF + f"""
+_ORDERS = _CHRF + f"""
 , uw AS (SELECT id, clip, lang, {_EDGES.format('given')} AS h, {_EDGES.format('ref')} AS r FROM pairs),
 gw AS (SELECT lang, id, clip, n, array_to_string(t[i:i + n - 1], ' ') AS g, sum(a) AS a, sum(b) AS b FROM (
   SELECT id, clip, lang, n, t, a, b, unnest(range(1, len(t) - n + 2)) AS i FROM (
     SELECT id, clip, lang, h AS t, 1 AS a, 0 AS b FROM uw UNION ALL SELECT id, clip, lang, r, 0, 1 FROM uw), (SELECT unnest(range(1, 3)) AS n)) GROUP BY ALL),
-oc AS (SELECT * FROM o UNION ALL SELECT lang, n + 6, (sum(a) FILTER (WHERE b > 0))::DOUBLE, sum(b)::DOUBLE, sum(m)::DOUBLE FROM (SELECT lang, id, clip, n, sum(a) AS a, sum(b) AS b, sum(least(a, b)) AS m FROM gw GROUP BY ALL) GROUP BY lang, n)""" + _SCORE.replace("FROM o ", "FROM oc ")
+oc AS (SELECT * FROM o UNION ALL SELECT lang, n + 6, (sum(a) FILTER (WHERE b > 0))::DOUBLE, sum(b)::DOUBLE, sum(m)::DOUBLE FROM (SELECT lang, id, clip, n, sum(a) AS a, sum(b) AS b, sum(least(a, b)) AS m FROM gw GROUP BY ALL) GROUP BY lang, n)"""
+_CHRF_WORDS = _ORDERS + _SCORE.replace("FROM o ", "FROM oc ")
+_RAW = f"SELECT lang, round(sum({_lev('given', 'ref')})::DOUBLE / nullif(sum(length(ref)), 0), 9) AS cer, round(count(*) FILTER (WHERE given = ref)::DOUBLE / count(*), 9) AS exact, max(length(given)) AS longest FROM pairs GROUP BY lang"
+_STATISTICS = """, fc AS (SELECT lang, avg(m / a) AS p, avg(m / b) AS r FROM o WHERE a > 0 AND b > 0 GROUP BY lang), fw AS (SELECT lang, avg(m / a) AS p, avg(m / b) AS r FROM oc WHERE a > 0 AND b > 0 GROUP BY lang)
+SELECT lang, cer, exact, longest, round(500 * fc.p * fc.r / (4 * fc.p + fc.r), 6) AS chrf, round(500 * fw.p * fw.r / (4 * fw.p + fw.r), 6) AS chrf_words FROM _raw JOIN fc USING (lang) JOIN fw USING (lang)"""
 
 
 def bootstrap_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,6 +179,20 @@ def language_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.language_summary(_stats(spark, sf_dir)).withColumns({"cer": F.round("cer", 9), "worst_cer": F.round("worst_cer", 9)})
 
 
+def language_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Everything of a language in one row: sums, worst clip, interval, integrity, tier."""
+    out = E.language_report(E.language_summary(_stats(spark, sf_dir)), _tiers(spark, sf_dir))
+    return out.withColumns({c: F.round(c, 9) for c in ("cer", "worst_cer", "ci_hi", "ratio", "integrity")}).withColumn("blocked", F.array_join("blocked", ","))
+
+
+def corpus_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three known statistics and two of the caller's own, in one pass over all pairs."""
+    same = statistics.Statistic("exact", lambda h, r: {"n": F.lit(1), "same": (h == r).cast("long")}, lambda s: s["same"] / s["n"])
+    longest = statistics.Statistic("longest", lambda h, r: {"most": F.length(h).cast("long")}, lambda s: s["most"], {"most": F.max})
+    out = statistics.corpus(V.pairs(spark, sf_dir), ["lang"], ["cer", "chrf", "chrf_words", same, longest], hyp="given")
+    return out.withColumns({"cer": F.round("cer", 9), "chrf": F.round("chrf", 6), "chrf_words": F.round("chrf_words", 6), "exact": F.round("exact", 9)})
+
+
 def sample_description(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = V.table(spark, sf_dir, "documents").select("doc_id", "lang", "source", (F.col("n_chars") * 960).alias("samples"))
     out = E.sample_description(rows, ["lang"], "doc_id", "source", "samples")
@@ -212,21 +231,39 @@ FROM k LEFT JOIN dr USING (id, clip) GROUP BY lang, arm)"""
 
 
 def cleanup_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All arms of the run were wanted; of the languages asked for one was never measured."""
-    languages = V.table(spark, sf_dir, "documents").select("lang").distinct().union(spark.createDataFrame([("xx",)], "lang string"))
-    out = E.cleanup_gate(_cleanup(spark, sf_dir), "src0", ["src0", "src1", "src2"], languages)
-    return out.withColumns({c: F.round(c, 8) for c in ("value", "against", "delta")})
+    """All arms of the run were wanted; of the languages asked for one was never measured, and one has no set."""
+    more = spark.createDataFrame([("xx", "rate limit", True), ("yy", None, False)], "lang string, error string, has_set boolean")
+    languages = V.table(spark, sf_dir, "documents").select("lang", F.lit(None).cast("string").alias("error"), F.lit(True).alias("has_set")).distinct().union(more)
+    # the gate reads the arms several times, and they are a dozen rows
+    out = E.cleanup_gate(stored(_cleanup(spark, sf_dir), "cleanup-arms"), "src0", ["src0", "src1", "src2"], languages)
+    return out.select("lang", "arm", "failure", *[F.round(c, 8).alias(c) for c in ("value", "against", "delta")], "reason")
+
+
+def cleanup_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every arm in one row: rates, interval, examples, lost tokens and failed segments."""
+    failures = V.table(spark, sf_dir, "documents").where("doc_id % 11 = 0").groupBy("lang", F.col("source").alias("arm")).agg(F.count("*").alias("failed"), F.lit("no reply").alias("failure"))
+    failures = failures.union(spark.createDataFrame([("xx", "src0", 3, "rate limit")], "lang string, arm string, failed long, failure string"))
+    out = E.arm_results(E.cleanup_stats(V.pairs(spark, sf_dir)), ["lang", "arm"], ["id", "clip"], failures, b=200)
+    return out.select("lang", "arm", "n", *[F.round(c, 9).alias(c) for c in ("cer_punct", "content_delta", "entity_drift", "lo", "hi")], "failed", "failure", F.array_join(F.transform("examples", lambda e: F.concat_ws(":", e["id"], e["clip"], F.md5(e["output"]))), ",").alias("examples"), F.array_join("entities_lost", "|").alias("lost"))
+
+
+_ARMS = """, st2 AS (SELECT lang || '|' || arm AS lang, id * 1000000 + clip AS id, ep AS edits, lp AS ref_len FROM k), boot2 AS ({boot}),
+ex AS (SELECT lang, arm, string_agg(id || ':' || clip || ':' || md5(hyp), ',' ORDER BY place) AS examples FROM (SELECT *, row_number() OVER (PARTITION BY lang, arm ORDER BY ec DESC, id, clip) AS place FROM k WHERE ec > 0) WHERE place <= 2 GROUP BY ALL),
+lo AS (SELECT lang, arm, string_agg(token, '|' ORDER BY token) AS lost FROM (SELECT DISTINCT lang, arm, token FROM en JOIN k USING (id, clip) WHERE o < i) GROUP BY ALL),
+fa AS (SELECT lang, source AS arm, count(*) AS failed, 'no reply' AS failure FROM documents WHERE doc_id % 11 = 0 GROUP BY ALL UNION ALL SELECT 'xx', 'src0', 3, 'rate limit')
+SELECT lang, arm, coalesce(agg.n, 0) AS n, cer_punct, content_delta, entity_drift, round(b.lo, 9) AS lo, round(b.hi, 9) AS hi, coalesce(failed, 0) AS failed, failure, coalesce(examples, '') AS examples, coalesce(lost, '') AS lost
+FROM agg LEFT JOIN (SELECT lang AS k, lo, hi FROM boot2) b ON b.k = agg.lang || '|' || agg.arm LEFT JOIN ex USING (lang, arm) LEFT JOIN lo USING (lang, arm) FULL JOIN fa USING (lang, arm)"""
 
 
 _GATE = """
 , cr AS (SELECT a.*, c.cer_punct AS control FROM agg a JOIN (SELECT lang, cer_punct FROM agg WHERE arm = 'src0') c ON a.lang = c.lang WHERE a.arm <> 'src0'),
 w AS (SELECT l.lang, count(*) FILTER (WHERE arm <> 'src0' AND n > 0) AS scored FROM (SELECT DISTINCT lang FROM documents UNION SELECT 'xx') l LEFT JOIN agg USING (lang) GROUP BY l.lang)
-SELECT lang, arm, failure, round(value, 8) AS value, round(against, 8) AS against, round(value - against, 8) AS delta FROM (
+SELECT lang, arm, failure, round(value, 8) AS value, round(against, 8) AS against, round(value - against, 8) AS delta, NULL AS reason FROM (
   SELECT lang, arm, 'cer_punct' AS failure, cer_punct AS value, control AS against FROM cr WHERE cer_punct > control
   UNION ALL SELECT lang, arm, 'content_delta', content_delta, 0.005::DOUBLE FROM cr WHERE content_delta > 0.005
   UNION ALL SELECT lang, arm, 'entity_drift', entity_drift, 0.02::DOUBLE FROM cr WHERE entity_drift > 0.02)
-UNION ALL SELECT lang, 'src1,src2', 'not_measured', NULL, NULL, NULL FROM w WHERE scored < 2
-UNION ALL SELECT lang, min(arm) FILTER (WHERE arm <> 'src0'), 'control_missing', NULL, NULL, NULL FROM agg GROUP BY lang HAVING count(*) FILTER (WHERE arm <> 'src0' AND n > 0) >= 2 AND count(cer_punct) FILTER (WHERE arm = 'src0') = 0"""
+UNION ALL SELECT lang, 'src1,src2', 'not_measured', NULL, NULL, NULL, CASE lang WHEN 'xx' THEN 'rate limit' END FROM w WHERE scored < 2
+UNION ALL SELECT lang, min(arm) FILTER (WHERE arm <> 'src0'), 'control_missing', NULL, NULL, NULL, NULL FROM agg GROUP BY lang HAVING count(*) FILTER (WHERE arm <> 'src0' AND n > 0) >= 2 AND count(cer_punct) FILTER (WHERE arm = 'src0') = 0"""
 
 
 def entity_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -242,7 +279,7 @@ def rewritten_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _half_tiers(spark: SparkSession, sf_dir: str, half: int) -> DataFrame:
     rates = E.baseline_ratio(E.corpus_rate(_stats(spark, sf_dir).where(F.col("id") % 2 == half), ["lang", "arm"]), "arm", "src0", run=["lang"])
     t = E.tier(F.col("cer"), F.lit(None).cast("double"), F.col("ratio"), F.lit(1.0), F.col("n"), F.lit(True))
-    return rates.select(F.concat_ws("|", "lang", "arm").alias("lang"), "n", F.round("cer", 9).alias("cer"), t["tier"].alias("tier"), F.when(F.col("n") % 7 == 0, "failed").alias("error"))
+    return rates.select(F.concat_ws("|", "lang", "arm").alias("lang"), "n", F.round("cer", 9).alias("cer"), t["tier"].alias("tier"), F.when(F.col("n") % 7 == 0, "failed").alias("error"), t["reason"].alias("reason"), t["blocked"].alias("blocked"))
 
 
 def tier_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -250,14 +287,17 @@ def tier_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def publish(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.publish(_half_tiers(spark, sf_dir, 0), _half_tiers(spark, sf_dir, 1), ["lang"])
+    old, new = (_half_tiers(spark, sf_dir, half).drop("reason", "blocked") for half in (0, 1))
+    return E.publish(old, new, ["lang"])
 
 
 _HALF = """SELECT {0} AS half, concat_ws('|', h.lang, h.arm) AS lang, h.n, round(h.cer, 9) AS cer,
-  CASE WHEN h.cer IS NULL THEN 'experimental' WHEN h.cer > 0.6 THEN 'unsupported' WHEN h.cer / nullif(b.cer, 0) <= 2.0 AND h.cer <= 0.35 THEN 'beta' ELSE 'experimental' END AS tier, CASE WHEN h.n % 7 = 0 THEN 'failed' END AS error
+  CASE WHEN h.cer IS NULL THEN 'experimental' WHEN h.cer > 0.6 THEN 'unsupported' WHEN h.cer / nullif(b.cer, 0) <= 2.0 AND h.cer <= 0.35 THEN 'beta' ELSE 'experimental' END AS tier, CASE WHEN h.n % 7 = 0 THEN 'failed' END AS error,
+  CASE WHEN h.cer IS NULL THEN ['not-run'] WHEN h.cer > 0.6 THEN ['cer>0.6'] ELSE list_filter([CASE WHEN h.cer / nullif(b.cer, 0) <= 1.15 THEN NULL ELSE 'ratio>1.15' END, CASE WHEN h.cer > 0.2 THEN 'cer>0.2' END, CASE WHEN h.n < 30 THEN 'n<30' END, 'ciHi>0.20'], lambda x: x IS NOT NULL) END AS blocked,
+  CASE WHEN h.cer IS NULL THEN 'not-run' ELSE 'measured' END AS reason
  FROM (SELECT lang, arm, count(*) AS n, sum(edits)::DOUBLE / nullif(sum(ref_len), 0) AS cer FROM stats WHERE id % 2 = {0} GROUP BY lang, arm) h
  LEFT JOIN (SELECT lang, sum(edits)::DOUBLE / nullif(sum(ref_len), 0) AS cer FROM stats WHERE id % 2 = {0} AND arm = 'src0' GROUP BY lang) b ON h.lang = b.lang"""
-_CHANGES = """SELECT n.lang, n.tier AS after, p.tier AS before, CASE WHEN p.tier IS NULL THEN 'new' WHEN list_position(['verified', 'beta', 'experimental', 'unsupported'], n.tier) < list_position(['verified', 'beta', 'experimental', 'unsupported'], p.tier) THEN 'promoted' ELSE 'demoted' END AS change
+_CHANGES = """SELECT n.lang, n.tier AS after, n.cer AS cer_after, p.tier AS before, p.cer AS cer_before, CASE WHEN p.tier IS NULL THEN 'first measurement — ' || n.reason ELSE 'blocked by ' || array_to_string(n.blocked, ', ') END AS why, CASE WHEN p.tier IS NULL THEN 'new' WHEN list_position(['verified', 'beta', 'experimental', 'unsupported'], n.tier) < list_position(['verified', 'beta', 'experimental', 'unsupported'], p.tier) THEN 'promoted' ELSE 'demoted' END AS change
  FROM h1 n LEFT JOIN h0 p ON n.lang = p.lang WHERE n.tier IS DISTINCT FROM p.tier"""
 _PUBLISH = "SELECT lang, n, cer, tier, error FROM h1 WHERE error IS NULL UNION ALL SELECT lang, n, cer, tier, error FROM h0 WHERE lang NOT IN (SELECT lang FROM h1 WHERE error IS NULL)"
 
@@ -290,14 +330,15 @@ _KEYS = """SELECT doc_id, sha256(concat_ws('|', source, 'm', lang, doc_id::VARCH
  CASE WHEN ms <= 0 THEN '—' ELSE printf('%dm %02ds', s // 60, s % 60) END AS human
 FROM (SELECT *, n_chars * 60 AS ms, round(n_chars * 60 / 1000.0::DOUBLE)::BIGINT AS s FROM documents)"""
 
+_SUMS = "SELECT lang, count(*) AS n, sum(edits)::BIGINT AS edits, sum(ref_len)::BIGINT AS ref_len, round(sum(edits)::DOUBLE / nullif(sum(ref_len), 0), 9) AS cer, (list(id ORDER BY coalesce(edits::DOUBLE / nullif(ref_len, 0), -1) DESC, id DESC))[1] AS worst_id, round(max(edits::DOUBLE / nullif(ref_len, 0)), 9) AS worst_cer FROM stats GROUP BY lang"
 _C = {"clips": _CLIPS}
 _S = {**_C, "stats": _STATS}
 _s = lambda q: V.oracle(q, "pairs", **_S)
 _B = {**_S, "boot": _BOOT}
 _T = {**_B, "integrity": _INTEGRITY, "rates": _RATES, "t": _TIERS, "levels": _LEVELS}
 QUERIES = {f.__name__: f for f in (
-    flagship_language_tiers, report_order, blocked_queue, corpus_cer, corpus_wer, corpus_chrf, corpus_chrf_words, bootstrap_interval, bootstrap_poisson, seeded_draws, pair_rates, language_summary, sample_description, script_integrity, script_census,
-    cleanup_aggregate, cleanup_gate, entity_drift, rewritten_examples, tier_changes, publish, normalised_text, normaliser_chain, text_keys)}
+    flagship_language_tiers, report_order, blocked_queue, corpus_cer, corpus_wer, corpus_chrf, corpus_chrf_words, bootstrap_interval, bootstrap_poisson, seeded_draws, pair_rates, language_summary, language_report, corpus_statistics, sample_description, script_integrity, script_census,
+    cleanup_aggregate, cleanup_gate, cleanup_arms, entity_drift, rewritten_examples, tier_changes, publish, normalised_text, normaliser_chain, text_keys)}
 ORACLE_SQL = {
     "flagship_language_tiers": V.oracle(_FLAGSHIP, "pairs", **_T),
     "report_order": V.oracle(_ORDER, "pairs", **_T),
@@ -309,7 +350,9 @@ ORACLE_SQL = {
     "bootstrap_interval": V.oracle("SELECT lang, n, round(lo, 9) AS lo, round(hi, 9) AS hi FROM boot", "pairs", **_B),
     "seeded_draws": _DRAWS,
     "pair_rates": V.oracle("SELECT id, clip, edits, ref_len, round(CASE WHEN ref_len > 0 THEN edits::DOUBLE / ref_len WHEN length(h) = 0 THEN 0.0 END, 9) AS cer, round(CASE WHEN ref_len > 0 THEN edits::DOUBLE / ref_len WHEN length(h) = 0 THEN 0.0 END, 9) AS grapheme_cer FROM clips", "pairs", **_C),
-    "language_summary": _s("SELECT lang, count(*) AS n, sum(edits)::BIGINT AS edits, sum(ref_len)::BIGINT AS ref_len, round(sum(edits)::DOUBLE / nullif(sum(ref_len), 0), 9) AS cer, (list(id ORDER BY coalesce(edits::DOUBLE / nullif(ref_len, 0), -1) DESC, id DESC))[1] AS worst_id, round(max(edits::DOUBLE / nullif(ref_len, 0)), 9) AS worst_cer FROM stats GROUP BY lang"),
+    "language_summary": _s(_SUMS),
+    "language_report": V.oracle("SELECT s.*, round(ci_hi, 9) AS ci_hi, round(ratio, 9) AS ratio, round(integrity, 9) AS integrity, tier, reason, array_to_string(blocked, ',') AS blocked FROM _sums s LEFT JOIN levels USING (lang)", "pairs", **_T, _sums=_SUMS),
+    "corpus_statistics": V.oracle("", "pairs", _raw=_RAW) + _ORDERS + _STATISTICS,
     "sample_description": "SELECT lang, sum(c)::BIGINT AS clips, sum(c)::BIGINT AS distinct_ids, round(sum(s)::DOUBLE / 16000, 6) AS seconds, count(*) = 1 AS uniform, count(*) AS groups, max(c) AS largest_group FROM (SELECT lang, source, count(*) AS c, sum(n_chars * 960) AS s FROM documents GROUP BY lang, source) GROUP BY lang",
     "script_integrity": r"""SELECT doc_id, length(a)::BIGINT AS counted, length(b)::BIGINT AS in_script, round(length(b)::DOUBLE / nullif(length(a), 0), 9) AS fraction,
  coalesce(array_to_string((list_transform(list_sort(list_transform(list_distinct(string_split(c, '')), lambda x: {'p': instr(c, x), 'x': x})), lambda y: y.x))[1:8], ''), '') AS strays
@@ -318,6 +361,7 @@ ORACLE_SQL = {
     "cleanup_aggregate": V.oracle("", "pairs") + _CLEAN + " SELECT * FROM agg",
     "cleanup_gate": V.oracle("", "pairs") + _CLEAN + _GATE,
     "entity_drift": V.oracle("", "pairs") + _CLEAN + " SELECT id, clip, sum(abs(i - o))::BIGINT AS drift, sum(i)::BIGINT AS total, coalesce(array_to_string(list_sort(list(token) FILTER (WHERE o < i)), ','), '') AS lost FROM en GROUP BY id, clip",
+    "cleanup_arms": V.oracle("", "pairs") + _CLEAN + _ARMS.format(boot=_BOOT.replace("FROM stats", "FROM st2").replace("range(2000)", "range(200)").replace("v[51]", "v[6]").replace("v[1950]", "v[195]")),
     "rewritten_examples": V.oracle("", "pairs") + _CLEAN + " SELECT lang, arm, place::INT AS place, id, clip, ec::BIGINT AS edits_c FROM (SELECT *, row_number() OVER (PARTITION BY lang, arm ORDER BY ec DESC, id, clip) AS place FROM k WHERE ec > 0) WHERE place <= 2",
     "tier_changes": V.oracle(_CHANGES, "pairs", **_S, h0=_HALF.format(0), h1=_HALF.format(1)),
     "publish": V.oracle(_PUBLISH, "pairs", **_S, h0=_HALF.format(0), h1=_HALF.format(1)),

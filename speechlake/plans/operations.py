@@ -36,8 +36,20 @@ def usage_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("provider_id", "model").agg(F.count("*").alias("records"), F.round(F.sum("minutes"), 3).alias("minutes"), F.round(F.sum("usd"), 5).alias("usd"))
 
 
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as recordings of so many minutes; every fourth was never measured."""
+    return O.batch_items(_priced(spark, sf_dir), F.when(F.col("line") % 4 != 3, (F.col("quantity") * 60_000).cast("long")))
+
+
+def batch_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _items(spark, sf_dir).select("order_id", "line", "duration_ms", F.round("usd", 8).alias("usd"), "unpriced_reason")
+
+
 def batch_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.batch_estimate(_priced(spark, sf_dir), ["order_id"]).withColumn("usd", F.round("usd", 8))
+    return O.batch_estimate(_items(spark, sf_dir), ["order_id"]).withColumn("usd", F.round("usd", 8))
+
+
+_ITEMS = "SELECT *, CASE WHEN duration_ms IS NULL THEN 'unknown_duration' WHEN usd_per_unit IS NULL THEN 'no_rate' END AS unpriced_reason, duration_ms / 60000.0::DOUBLE * usd_per_unit AS usd FROM (SELECT *, CASE WHEN line % 4 <> 3 THEN (quantity * 60000)::BIGINT END AS duration_ms FROM priced)"
 
 
 def seeded_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -289,12 +301,13 @@ def import_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", O.import_refusal(F.col("live"), F.col("seconds"), 300.0).alias("refusal"))
 
 
-QUERIES = {f.__name__: f for f in (first_rows, fetch_sizes, import_checks, rate_lookup, usage_records, batch_estimate, seeded_rates, budget_cut, run_progress, run_state, step_dependencies, row_violations, repeated_keys, content_dedupe, seeded_sample, insert_absent, coalesced_events, latest_events,
+QUERIES = {f.__name__: f for f in (first_rows, fetch_sizes, import_checks, rate_lookup, usage_records, batch_items, batch_estimate, seeded_rates, budget_cut, run_progress, run_state, step_dependencies, row_violations, repeated_keys, content_dedupe, seeded_sample, insert_absent, coalesced_events, latest_events,
                                    stale_work, overdue_work, cancelled_work, cancelled_items, shuffled_sample, params_hashes, replay_after, orphan_operations, url_policy, upload_checks, routing, star_join, glossary_pack, glossary, alias_codes, response_cache, merged_props, word_census)}
 ORACLE_SQL = {
     "rate_lookup": V.oracle("SELECT provider_id, model, rate_source, usd_per_unit, count(*) AS n, sum(quantity) AS quantity FROM priced GROUP BY ALL", "usage", **_R),
     "usage_records": V.oracle("SELECT provider_id, model, count(*) AS records, round(sum(round(s / 60, 4)), 3) AS minutes, round(sum(round(s / 60 * usd_per_unit, 6)), 5) AS usd FROM (SELECT *, CASE WHEN line % 2 = 0 THEN quantity * 7 ELSE quantity * 6 END AS s FROM priced WHERE usd_per_unit IS NOT NULL) GROUP BY provider_id, model", "usage", **_R),
-    "batch_estimate": V.oracle("SELECT order_id, count(*) AS items, round(sum(quantity * usd_per_unit), 8) AS usd, count(*) FILTER (WHERE usd_per_unit IS NULL) AS unpriced, CASE count(DISTINCT rate_source) WHEN 0 THEN 'none' WHEN 1 THEN min(rate_source) ELSE 'mixed' END AS rate_source FROM priced GROUP BY order_id", "usage", **_R),
+    "batch_items": V.oracle(f"SELECT order_id, line, duration_ms, round(usd, 8) AS usd, unpriced_reason FROM ({_ITEMS})", "usage", **_R),
+    "batch_estimate": V.oracle(f"SELECT order_id, count(*) AS items, coalesce(sum(duration_ms), 0)::BIGINT AS duration_ms, coalesce(round(sum(usd), 8), 0) AS usd, count(*) FILTER (WHERE usd IS NULL) AS unpriced, CASE count(DISTINCT rate_source) FILTER (WHERE usd IS NOT NULL) WHEN 0 THEN 'none' WHEN 1 THEN min(rate_source) FILTER (WHERE usd IS NOT NULL) ELSE 'mixed' END AS rate_source FROM ({_ITEMS}) GROUP BY order_id", "usage", **_R),
     "seeded_rates": _SEEDS,
     "budget_cut": V.oracle("SELECT order_id, count(*) FILTER (WHERE spent <= 60) AS run, count(*) FILTER (WHERE spent > 60) AS not_run, max(spent) FILTER (WHERE spent <= 60) AS spent FROM (SELECT order_id, sum(quantity) OVER (PARTITION BY order_id ORDER BY line, quantity, provider_id, model ROWS UNBOUNDED PRECEDING) AS spent FROM usage) GROUP BY order_id", "usage"),
     "run_progress": V.oracle("SELECT run_id, round(sum(weight * CASE WHEN state IN ('done', 'dead') THEN 1.0::DOUBLE WHEN state = 'running' OR (state = 'pending' AND shard % 2 = 0) THEN least(1.0::DOUBLE, greatest(0.1::DOUBLE, CASE shard WHEN 2 THEN progress * 40 - 1 ELSE progress END)) ELSE 0 END) / coalesce(nullif(sum(weight), 0), 1), 9) AS progress FROM step GROUP BY run_id", "step"),

@@ -180,8 +180,12 @@ def text_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def provider_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spanish is accepted but mangled, French measured to work."""
     used = V.table(spark, sf_dir, "documents").groupBy(F.col("lang").alias("code")).agg(F.count("*").alias("n"))
-    return used.join(R.provider_listing(_capabilities(spark), ["alpha", "beta"]), "code")
+    code = F.col("code")
+    caps = _capabilities(spark).select("code", "provider", "word_timing", (F.col("accepted") & (code != "es")).alias("supported"), F.when(F.col("accepted"), "accepted").otherwise("rejected").alias("status"),
+                                       F.when(F.col("suspect"), "suspected").when(code == "fr", "measured-ok").otherwise("probe-only").alias("verdict"), F.when(code != "en", "2026-08-09").alias("probed_at"), F.array(F.concat("provider", F.lit("-1")), F.lit("other")).alias("models"))
+    return used.join(R.provider_listing(caps, ["alpha", "beta"], {"beta": "no"}), "code")
 
 
 def probe_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -199,7 +203,9 @@ def chunk_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (text_rules, provider_listing, probe_summary, chunk_results, review_join, timing_quality, operation_states, dead_steps, eval_file_round_trip, runlog_replay, language_support, exclusive_languages, provider_choice, tier_cascade, capability_roll_up, baseline_drift, clips_by_name, sentence_pairs, sample_estimate, dry_run_totals, output_stability, chosen_rows)}
 ORACLE_SQL = {
     "text_rules": r"SELECT DISTINCT lang, 'Latn' AS script, 'spaces' AS segmentation, ' ' AS joiner, false AS rates_strip_space, true AS report_wer, 17 AS chars_per_second, 42 AS chars_per_line, 2 AS max_lines, 'space' AS line_break FROM documents WHERE regexp_matches(text, '\p{Latin}')",
-    "provider_listing": f"SELECT d.code, n, place::INT AS place, provider, CASE WHEN NOT accepted THEN 'unsupported - code not accepted' WHEN suspect THEN 'accepted - quality unverified' ELSE 'accepted - quality unmeasured' END AS status, word_timing FROM (SELECT lang AS code, count(*) AS n FROM documents GROUP BY lang) d JOIN (SELECT *, row_number() OVER (PARTITION BY code ORDER BY CASE provider WHEN 'alpha' THEN 1 WHEN 'beta' THEN 2 ELSE 3 END, provider) AS place FROM {_CAPS_SQL}) c ON d.code = c.code",
+    "provider_listing": f"""SELECT d.code, n, place::INT AS place, provider, CASE WHEN accepted AND d.code <> 'es' THEN provider || '-1' END AS model, word_timing, CASE provider WHEN 'beta' THEN 'no' ELSE 'unknown' END AS word_confidence,
+      CASE WHEN NOT accepted THEN 'unsupported - code not accepted' WHEN d.code = 'es' THEN 'unsupported - accepted but mangles (2026-08-09)' WHEN suspect THEN 'accepted - quality unverified' WHEN d.code = 'fr' THEN 'measured working' WHEN d.code = 'en' THEN 'accepted - quality unmeasured (never)' ELSE 'accepted - quality unmeasured (2026-08-09)' END AS status
+      FROM (SELECT lang AS code, count(*) AS n FROM documents GROUP BY lang) d JOIN (SELECT *, row_number() OVER (PARTITION BY code ORDER BY CASE provider WHEN 'alpha' THEN 1 WHEN 'beta' THEN 2 ELSE 3 END, provider) AS place FROM {_CAPS_SQL}) c ON d.code = c.code""",
     "probe_summary": "SELECT provider, count(*) AS codes, count(*) FILTER (WHERE b = 1) AS accepted, count(*) FILTER (WHERE b = 4) AS rejected, count(*) FILTER (WHERE b = 2) AS errored, count(*) FILTER (WHERE b = 3) AS unknown FROM (SELECT event_type AS provider, user_id, min(CASE WHEN event_type <> 'error' THEN 1 WHEN event_id % 3 = 0 THEN 3 WHEN event_id % 2 = 0 THEN 4 ELSE 2 END) AS b FROM events GROUP BY 1, 2) GROUP BY provider",
     "chunk_results": V.oracle("SELECT run_id, count(*) AS chunks, count(*) FILTER (WHERE (run_id + idx) % 9 <> 4) AS held, sum(length(text)) FILTER (WHERE (run_id + idx) % 9 <> 4)::BIGINT AS chars FROM seg GROUP BY run_id", "seg"),
     "review_join": "SELECT doc_id AS code, CASE WHEN doc_id % 3 = doc_id % 2 THEN 'current' ELSE 'stale' END AS kind FROM labels WHERE quality = 1 AND doc_id IN (SELECT doc_id FROM documents)",

@@ -92,7 +92,7 @@ def test_seams(spark):
     # nothing matches: the earlier chunk ends, and the later begins, at 4400 - 800
     assert (found[2].method, found[2].flagged, found[2].keep_through, found[2].drop_through) == ("hard-cut", True, 4, 2)
     assert (found[5].method, found[5].score, found[5].keep_through, found[5].drop_through) == ("empty", 1.0, 2, -1)
-    out = [r.text for r in A.apply_seams(words, A.seams(words, chunks, 1600)).orderBy("idx").collect()]
+    out = [r.text for r in A.apply_seams(words, A.seams(words, chunks, 1600), trim_tail=True).orderBy("idx").collect()]
     assert out == "a b c d E, f g h i s late words here x y".split()
 
 
@@ -103,7 +103,8 @@ def test_seams_cut_the_earlier_tail_and_work_by_graphemes(spark):
     words = spark.createDataFrame(rows, WORDS)
     (r,) = A.seams(words, chunks, 1000).collect()
     assert (r.method, r.keep_through, r.drop_through) == ("lcs", 3, 1)
-    assert [x.text for x in A.apply_seams(words, A.seams(words, chunks, 1000)).orderBy("idx").collect()] == list("abcde")
+    assert [x.text for x in A.apply_seams(words, A.seams(words, chunks, 1000), trim_tail=True).orderBy("idx").collect()] == list("abcde")
+    assert [x.text for x in A.apply_seams(words, A.seams(words, chunks, 1000)).orderBy("idx").collect()] == ["a", "b", "c", "d", "zz", "e"]
     (g,) = A.seams(words, chunks, 1000, segmentation="none").collect()
     assert g.method == "lcs" and g.score == 2 * 2 / 6  # c d z z against c d
 

@@ -128,3 +128,75 @@ def test_equal_ranks_and_empty_tables(spark):
     assert (total.clips, total.seconds, total.usd, total.projected, total.unpriced) == (0, 0.0, 0.0, False, False)
     with pytest.raises(Exception):
         S.merge_speakers(spark.createDataFrame([(1, "a")], "run_id long, speaker_key string"), spark.createDataFrame([(1, "a", "a")], "run_id long, from_key string, into_key string")).collect()
+
+
+def test_segments_are_rebuilt_after_a_seam(spark):
+    words = lambda *ws: [(w, 100 * i, i) for i, w in ws]
+    segs = [(1, 1, 0, "a b", "A B", 0, 200, words((1, "a"), (2, "b"))), (1, 1, 1, "no words", "NO", 200, 300, None), (1, 1, 2, "c d e", "C D E", 300, 500, words((3, "c"), (4, "d"), (5, "e"))), (1, 1, 3, "f", "F", 600, 700, words((6, "f"))), (1, 0, 0, "x", "X", 0, 9, words((0, "x"))), (2, 1, 0, "y", "Y", 0, 9, words((0, "y"))), (3, 1, 0, "z", "Z", 0, 9, [])]
+    df = spark.createDataFrame(segs, "run_id long, chunk long, idx int, text string, text_raw string, start_ms long, end_ms long, words array<struct<text:string,start_ms:long,k:int>>")
+    found = spark.createDataFrame([(1, 1, 3), (2, 1, 7), (3, 1, 4)], "run_id long, chunk long, drop_through long")
+    got = {(r.run_id, r.chunk, r.idx): (r.text, r.text_raw, r.start_ms, None if r.words is None else [w.k for w in r.words]) for r in A.rebuilt_segments(df, found).collect()}
+    assert got == {(1, 1, 0): ("no words", "NO", 200, None), (1, 1, 1): ("e", "C D E", 500, [5]), (1, 1, 2): ("f", "F", 600, [6]), (1, 0, 0): ("x", "X", 0, [0]), (3, 1, 0): ("z", "Z", 0, [])}
+    joined = A.rebuilt_segments(df, spark.createDataFrame([(1, 1, 2)], "run_id long, chunk long, drop_through long"), joiner="").where("run_id = 1 and chunk = 1").orderBy("idx").collect()
+    assert [r.text for r in joined] == ["no words", "de", "f"]
+
+
+def test_items_say_why_they_have_no_price(spark):
+    rows = [("o", 60_000, 0.5, "default"), ("o", None, 0.5, "default"), ("o", 30_000, None, None), ("o", None, None, None), ("o", 30_000, 1.0, "override"), ("p", None, 1.0, "override")]
+    items = O.batch_items(spark.createDataFrame(rows, "o string, d long, usd_per_unit double, rate_source string"), F.col("d"))
+    assert [(r.usd, r.unpriced_reason) for r in items.collect()] == [(0.5, None), (None, "unknown_duration"), (None, "no_rate"), (None, "unknown_duration"), (0.5, None), (None, "unknown_duration")]
+    assert {tuple(r) for r in O.batch_estimate(items, ["o"]).collect()} == {("o", 5, 120_000, 1.0, 3, "mixed"), ("p", 1, 0, 0.0, 1, "none")}
+
+
+def test_listing_labels(spark):
+    caps = [("a", True, "accepted", "probe-only", "d", ["m", "n"]), ("b", True, "accepted", "suspected", "d", ["m"]), ("c", True, "accepted", "measured-ok", "d", None), ("d", False, "accepted", "measured-failure", "2026", ["m"]), ("e", False, "rejected", "measured-failure", "d", None), ("f", False, "unknown", "probe-only", None, None), ("g", True, "error", "probe-only", None, ["k"])]
+    df = spark.createDataFrame([("x", *c, None) for c in caps], "code string, provider string, supported boolean, status string, verdict string, probed_at string, models array<string>, word_timing boolean")
+    got = R.provider_listing(df, ["c", "a"], {"a": "no", "b": "yes"}).orderBy("place").collect()
+    assert [(r.provider, r.model, r.status, r.word_confidence) for r in got] == [
+        ("c", None, "measured working", "unknown"), ("a", "m", "accepted - quality unmeasured (d)", "no"), ("b", "m", "accepted - quality unverified", "yes"), ("d", None, "unsupported - accepted but mangles (2026)", "unknown"), ("e", None, "unsupported - code not accepted", "unknown"),
+        ("f", None, "unsupported - code not accepted", "unknown"), ("g", "k", "accepted - quality unmeasured (never)", "unknown")]
+
+
+def test_changes_say_why(spark):
+    schema = "lang string, tier string, cer double, reason string, blocked array<string>"
+    old = spark.createDataFrame([("a", "beta", 0.2, "measured", ["n<30"]), ("b", "beta", 0.2, "measured", []), ("c", "beta", 0.2, "measured", []), ("d", "beta", 0.3, "measured", []), ("e", "beta", 0.3, "measured", []), ("gone", "beta", 0.3, "measured", [])], schema)
+    new = spark.createDataFrame([("a", "verified", 0.1, "measured", []), ("b", "unsupported", None, "script-integrity", ["x"]), ("c", "experimental", None, "no-eval-set", ["no-eval-set"]), ("d", "beta", 0.1, "measured", []), ("e", "experimental", 0.4, "measured", ["cer>0.2", "n<30"]), ("n", "beta", 0.2, "measured", ["n<30"])], schema)
+    assert {r.lang: (r.before, r.after, r.cer_before, r.cer_after, r.why, r.change) for r in E.tier_changes(old, new).collect()} == {
+        "a": ("beta", "verified", 0.2, 0.1, "cleared every verified gate", "promoted"), "b": ("beta", "unsupported", 0.2, None, "script integrity below the floor", "demoted"), "c": ("beta", "experimental", 0.2, None, "no eval set for this language", "demoted"),
+        "e": ("beta", "experimental", 0.3, 0.4, "blocked by cer>0.2, n<30", "demoted"), "n": (None, "beta", None, 0.2, "first measurement — measured", "new")}
+
+
+def test_arms_and_their_gate(spark):
+    pairs = [("en", "control", "m", i, "Some words here.", "some words here", "some words here") for i in range(5)] + [("en", "edit", "m", i, "Some words here.", "UN some words here", h) for i, h in enumerate(["UN some words here", "some other thing", "Some words here."])]
+    stats = E.cleanup_stats(spark.createDataFrame(pairs, "lang string, arm string, model string, id int, ref string, given string, hyp string"))
+    failures = spark.createDataFrame([("en", "edit", "m", 2, "timeout"), ("fr", "edit", "m", 4, "rate limit")], "lang string, arm string, model string, failed long, failure string")
+    arms = E.arm_results(stats, ["lang", "arm", "model"], ["id"], failures, b=100)
+    got = {(r.lang, r.arm): r for r in arms.collect()}
+    edit = got["en", "edit"]
+    assert (edit.n, edit.failed, edit.failure, edit.entities_lost, [e.id for e in edit.examples]) == (3, 2, "timeout", ["UN"], [1, 2]) and edit.lo <= edit.cer_punct <= edit.hi
+    assert (got["fr", "edit"].n, got["fr", "edit"].failed, got["fr", "edit"].cer_punct, got["fr", "edit"].examples) == (0, 4, None, []) and got["en", "control"].entities_lost == []
+    languages = spark.createDataFrame([("en", None, True), ("fr", None, True), ("de", "no key", True), ("xx", None, False), ("yy", "broken", False)], "lang string, error string, has_set boolean")
+    gate = E.cleanup_gate(arms, "control", ["control", "edit"], languages, ["m"]).collect()
+    assert {(r.lang, r.failure, r.reason) for r in gate if r.value is None} == {("fr", "not_measured", "rate limit"), ("de", "not_measured", "no key"), ("yy", "not_measured", "broken")}
+    worst = [r for r in gate if r.value is not None]
+    assert {r.failure for r in worst} == {"cer_punct", "content_delta", "entity_drift"} and all(r.model == "m" and r.example.output == "some other thing" and r.entities_lost == ["UN"] for r in worst)
+    assert [r.delta for r in worst] == sorted([r.delta for r in worst], reverse=True)
+    two = E.cleanup_gate(arms.where("lang = 'en'"), "control", ["edit"], models=["m", "k"]).collect()
+    assert [(r.failure, r.model, r.reason) for r in two] == [("not_measured", "m,k", "timeout")]
+
+
+def test_a_caller_adds_a_statistic(spark):
+    from speechlake.operators import statistics as C
+
+    df = spark.createDataFrame([("a", "kitten", "sitting"), ("a", "x", "x"), ("a", None, "yy"), ("b", "one two", "one three")], "g string, hyp string, ref string")
+    own = C.Statistic("empty", lambda h, r: {"n": F.lit(1), "empty": (h == "").cast("long")}, lambda s: s["empty"] / s["n"])
+    longest = C.Statistic("longest", lambda h, r: {"most": F.length(h)}, lambda s: s["most"], {"most": F.max})
+    got = {r.g: r for r in C.corpus(df, ["g"], ["cer", "wer", "chrf", own, longest]).collect()}
+    assert (got["a"].cer, got["a"].wer, got["a"].empty, got["a"].longest) == (0.5, 2 / 3, 1 / 3, 6) and got["b"].wer == 0.5 and got["b"].empty == 0.0
+    filled = df.fillna({"hyp": ""})
+    assert {r.g: round(r.chrf, 9) for r in E.corpus_chrf(filled, ["g"]).collect()} == {g: round(r.chrf, 9) for g, r in got.items()}
+    C.register(own)
+    assert C.corpus(df, ["g"], ["empty"]).count() == 2
+    for bad in (lambda: C.register(C.Statistic("cer", own.contribution, own.finish)), lambda: C.corpus(df, ["g"], ["cer", "cer"])):
+        with pytest.raises(ValueError):
+            bad()
