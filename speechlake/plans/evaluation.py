@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from speechlake.functions import metrics as M
+from speechlake.functions import scripts
 from speechlake.functions import text as T
 from speechlake.operators import evaluation as E
 from speechlake.operators import statistics
@@ -204,6 +205,24 @@ def script_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "counted", "in_script", F.round("fraction", 9).alias("fraction"), F.array_join("strays", "").alias("strays"))
 
 
+#: Scripts of the registry here, by the names of their characters' properties.
+SCRIPTS = {"Latn": ["Latin"], "Cyrl": ["Cyrillic"], "Grek": ["Greek"], "Arab": ["Arabic"], "Deva": ["Devanagari"], "Mymr": ["Myanmar"], "Jpan": ["Hiragana", "Katakana", "Han"], "Hans": ["Han"], "Kore": ["Hangul", "Han"]}
+
+
+def script_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Integrity of each document by the scripts that a registry says its language accepts: English and French one, German two, Spanish none of those it is written in."""
+    registry = spark.createDataFrame([("en", "Latn", None), ("fr", "Latn", []), ("de", "Cyrl", ["Latn"]), ("es", "Grek", ["Jpan"])], "code string, script string, alt_scripts array<string>")
+    rows = scripts.accepted_scripts(V.spread(V.table(spark, sf_dir, "documents")).select("doc_id", "lang", "text"), registry)
+    words = scripts.dictionary(scripts.scripts_table(spark, SCRIPTS))
+    out = rows.select("doc_id", scripts.script_integrity(F.col("text"), F.col("accepted"), words).alias("x"), scripts.script_counts(F.col("text"), words)["Latn"].alias("latin"))
+    return out.select("doc_id", "x.counted", "x.in_script", F.round("x.fraction", 9).alias("fraction"), F.array_join("x.strays", "").alias("strays"), "latin")
+
+
+_SCRIPTS = r"""SELECT doc_id, length(a)::BIGINT AS counted, length(a)::BIGINT - length(c)::BIGINT AS in_script, round((length(a) - length(c))::DOUBLE / nullif(length(a), 0), 9) AS fraction, nullif(length(regexp_replace(text, '[^\p{Latin}]', '', 'g')), 0)::BIGINT AS latin,
+ coalesce(array_to_string((list_transform(list_sort(list_transform(list_distinct(string_split(c, '')), lambda x: {'p': instr(c, x), 'x': x})), lambda y: y.x))[1:8], ''), '') AS strays
+ FROM (SELECT doc_id, coalesce(text, '') AS text, regexp_replace(coalesce(text, ''), '[^\p{L}\p{M}]', '', 'g') AS a, regexp_replace(coalesce(text, ''), CASE lang WHEN 'de' THEN '[^\p{L}\p{M}]|\p{Latin}|\p{Cyrillic}' WHEN 'es' THEN '[^\p{L}\p{M}]|\p{Greek}|\p{Han}|\p{Hiragana}|\p{Katakana}' ELSE '[^\p{L}\p{M}]|\p{Latin}' END, '', 'g') AS c FROM documents)"""
+
+
 def script_census(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.script_census(V.table(spark, sf_dir, "documents"), "lang", "text").withColumn("share", F.round("share", 9))
 
@@ -337,7 +356,7 @@ _s = lambda q: V.oracle(q, "pairs", **_S)
 _B = {**_S, "boot": _BOOT}
 _T = {**_B, "integrity": _INTEGRITY, "rates": _RATES, "t": _TIERS, "levels": _LEVELS}
 QUERIES = {f.__name__: f for f in (
-    flagship_language_tiers, report_order, blocked_queue, corpus_cer, corpus_wer, corpus_chrf, corpus_chrf_words, bootstrap_interval, bootstrap_poisson, seeded_draws, pair_rates, language_summary, language_report, corpus_statistics, sample_description, script_integrity, script_census,
+    flagship_language_tiers, report_order, blocked_queue, corpus_cer, corpus_wer, corpus_chrf, corpus_chrf_words, bootstrap_interval, bootstrap_poisson, seeded_draws, pair_rates, language_summary, language_report, corpus_statistics, sample_description, script_integrity, script_registry, script_census,
     cleanup_aggregate, cleanup_gate, cleanup_arms, entity_drift, rewritten_examples, tier_changes, publish, normalised_text, normaliser_chain, text_keys)}
 ORACLE_SQL = {
     "flagship_language_tiers": V.oracle(_FLAGSHIP, "pairs", **_T),
@@ -357,6 +376,7 @@ ORACLE_SQL = {
     "script_integrity": r"""SELECT doc_id, length(a)::BIGINT AS counted, length(b)::BIGINT AS in_script, round(length(b)::DOUBLE / nullif(length(a), 0), 9) AS fraction,
  coalesce(array_to_string((list_transform(list_sort(list_transform(list_distinct(string_split(c, '')), lambda x: {'p': instr(c, x), 'x': x})), lambda y: y.x))[1:8], ''), '') AS strays
  FROM (SELECT doc_id, regexp_replace(text, '[^\p{L}\p{M}]', '', 'g') AS a, regexp_replace(text, '[^A-Za-z]', '', 'g') AS b, regexp_replace(text, '[^\p{L}\p{M}]|[A-Za-z]', '', 'g') AS c FROM documents)""",
+    "script_registry": _SCRIPTS,
     "script_census": r"""SELECT lang, 'Latn' AS script, count(*) AS rows, 1.0::DOUBLE AS share, 'primary' AS role FROM documents WHERE regexp_matches(text, '\p{Latin}') GROUP BY lang""",
     "cleanup_aggregate": V.oracle("", "pairs") + _CLEAN + " SELECT * FROM agg",
     "cleanup_gate": V.oracle("", "pairs") + _CLEAN + _GATE,
