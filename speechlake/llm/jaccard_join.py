@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from speechlake.llm.common import discard, mark_of, places, release, shuffle_partitions, stored, text_of
+from speechlake.llm.common import discard, mark_of, places, release, shuffle_partitions, stored, text_of, trimmed
 from speechlake.llm.components import components
 from speechlake.llm.lm import pack_ints, unpack_ints
 
@@ -188,7 +188,7 @@ def signed(rows: DataFrame, buckets: int, words: int, percent: int) -> DataFrame
         if docs:
             yield flush()
 
-    return rows.mapInPandas(run, SIGNED)
+    return rows.mapInPandas(trimmed(run), SIGNED)
 
 
 def pack_sorted(sig: np.ndarray) -> bytes:
@@ -236,7 +236,7 @@ def sets_of(rows: DataFrame, words: int) -> DataFrame:
                 sets = [shingles(bytes(t), hashes, words) for t in some["text"]]
                 yield pd.DataFrame({"key": some["key"].array, "n": [len(x) for x in sets], "members": [x.tobytes() for x in sets], "bits": [bitmap(x).tobytes() for x in sets]})
 
-    return rows.mapInPandas(run, "key long, n long, members binary, bits binary")
+    return rows.mapInPandas(trimmed(run), "key long, n long, members binary, bits binary")
 
 
 def near_pairs(ids: np.ndarray, n: np.ndarray, label: np.ndarray, side: np.ndarray, maps: list[bytes], percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -282,7 +282,7 @@ def bounded(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
             yield pdf.loc[(100 + percent) * most >= percent * (n + m), ["a", "b"]]
 
     left, right = maps.withColumnRenamed("key", "a"), maps.select(F.col("key").alias("b"), F.col("n").alias("m"), F.col("bits").alias("others"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "n", "m", "bits", "others").mapInPandas(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "n", "m", "bits", "others").mapInPandas(trimmed(run), "a long, b long")
 
 
 def compared(rows: DataFrame, percent: int) -> DataFrame:
@@ -315,7 +315,7 @@ def compared(rows: DataFrame, percent: int) -> DataFrame:
         return pd.DataFrame({"a": both[0], "b": both[1]})
 
     dealt = rows.select("sig", "p", "q", "side", "key", "n", "label", "bits").repartition("sig", "p", "q").sortWithinPartitions("sig", "p", "q")
-    return dealt.mapInPandas(run, "a long, b long").distinct()
+    return dealt.mapInPandas(trimmed(run), "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -333,7 +333,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pdf.loc[np.array(keep, bool), ["a", "b"]]
 
     left, right = sets.select(F.col("key").alias("a"), "members"), sets.select(F.col("key").alias("b"), F.col("members").alias("others"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "members", "others").mapInPandas(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "members", "others").mapInPandas(trimmed(run), "a long, b long")
 
 
 def open_blocks(labelled: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from speechlake.llm.common import keyed, stored
+from speechlake.llm.common import keyed, stored, trimmed
 from speechlake.llm.suffix_sort import deep_shallow_sort, words_at
 
 MIN, GRAM = 100, 16
@@ -133,7 +133,7 @@ def runs_of(rows: DataFrame, only_anchors: bool = False) -> DataFrame:
             if ids:
                 yield frame(ids, texts)
 
-    return rows.mapInPandas(run, "anchor long" if only_anchors else "anchor long, window long, doc_id long, run long")
+    return rows.mapInPandas(trimmed(run), "anchor long" if only_anchors else "anchor long, window long, doc_id long, run long")
 
 
 def sorted_repeats(windows: DataFrame) -> DataFrame:
@@ -157,7 +157,7 @@ def sorted_repeats(windows: DataFrame) -> DataFrame:
             yield _repeats(held)
 
     dealt = windows.repartition(F.col("anchor"), F.col("part")).sortWithinPartitions("anchor", "part")
-    return dealt.mapInPandas(run, "kind int, anchor long, bucket long, doc_id long, start long, n long, firsts binary")
+    return dealt.mapInPandas(trimmed(run), "kind int, anchor long, bucket long, doc_id long, start long, n long, firsts binary")
 
 
 def _repeats(rows: list[tuple]) -> pd.DataFrame:
@@ -228,7 +228,7 @@ def repeated_starts(rows: DataFrame) -> DataFrame:
                 yield pd.DataFrame(out | {"doc_id": np.repeat(some["doc_id"].to_numpy(), [len(x) for x in some["start"]]), "bytes": pieces})
 
     lists = rows.join(wanted, "doc_id").select("doc_id", "text", *[F.col(f"wanted.{c}").alias(c) for c in names])
-    pieces = lists.mapInPandas(cut, "anchor long, parts int, part int, start long, n long, doc_id long, bytes binary")
+    pieces = lists.mapInPandas(trimmed(cut), "anchor long, parts int, part int, start long, n long, doc_id long, bytes binary")
     found = stored(sorted_repeats(pieces), "suffix-sorted")
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -279,7 +279,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             yield pd.concat([pdf[["key", "mark", "id"]], pd.DataFrame(out, columns=["n_bytes", "n_removed", "spans", "kept"], index=pdf.index)], axis=1)
 
     joined = rows.join(spans, "key", "left").select("key", "mark", F.col("doc_id").cast("string").alias("id"), F.col("text").cast("binary").alias("text"), "hits.start", "hits.n")
-    found = joined.mapInPandas(run, "key long, mark binary, id string, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")
+    found = joined.mapInPandas(trimmed(run), "key long, mark binary, id string, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")
     return found.withColumn("id", F.col("id").cast("long")).withColumnRenamed("id", "doc_id")
 
 
@@ -290,7 +290,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
         for pdf in batches:
             yield pd.DataFrame({"mark": pdf["mark"], "text": [bytes(x).decode("utf-8", "ignore") for x in pdf["kept"]]})
 
-    return remove_repeats(docs).select("mark", "kept").mapInPandas(run, "mark binary, text string")
+    return remove_repeats(docs).select("mark", "kept").mapInPandas(trimmed(run), "mark binary, text string")
 
 
 def digest_of(docs: DataFrame) -> DataFrame:
