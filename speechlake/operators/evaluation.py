@@ -55,43 +55,89 @@ def _uniform(seed: int, draws: np.ndarray) -> np.ndarray:
     return (t ^ (t >> m(14))) / 4294967296.0
 
 
-#: Clips whose numbers are held at once, and resamples that a task draws.
+#: Clips of a group that a task holds whole, resamples that it draws, draws made at once.
 BOOT_BLOCK, BOOT_RESAMPLES, BOOT_DRAWS = 1 << 20, 50, 1 << 20
+#: Of larger groups: clips of a block, and resamples whose draws meet it in one task.
+BOOT_PART, BOOT_MEET = 1 << 17, 100
 
 
 def bootstrap(stats: DataFrame, by: str, order: str, b: int = 2000, seed: int = 1, alpha: float = 0.05) -> DataFrame:
     """by, n, lo, hi: percentile interval of the ratio of sums, resampling clips with the seeded generator.
 
     Clips are numbered in the order of ``order``, which tells them apart; draw k * n + i + 1 picks clip i of resample k.
-    Draws are a function of their number, so a task makes those of some resamples for itself and adds up the clips of
-    its block; only sums of resamples are shuffled. Work is b draws a clip, so for very many clips poisson_bootstrap is
-    the one to use.
+    Every draw is made once, so work is b * n. The clips of a group of up to BOOT_BLOCK go whole to the tasks that draw
+    its resamples, and only sums are shuffled. Draws of a larger group are made by blocks of their numbers and sent, four
+    bytes each, to the block of clips that they picked. A group without a key has a null one.
     """
-    clips = numbered(stats.select(by, order, "edits", "ref_len"), [by], [order])
-    sizes = clips.groupBy(by).agg(F.count("*").alias("n"))
-    blocks = clips.groupBy(by, F.floor(F.col("i") / BOOT_BLOCK).alias("block")).agg(F.array_sort(F.collect_list(F.struct("i", "edits", "ref_len"))).alias("x"))
-    work = blocks.join(sizes, by).select(by, "n", "block", F.col("x.edits").alias("e"), F.col("x.ref_len").alias("t"), F.explode(F.sequence(F.lit(0), F.lit(b - 1), F.lit(BOOT_RESAMPLES))).alias("k0"))
-    work = work.repartition(by, "block", "k0")
+    numbers = numbered(stats.select(by, order, "edits", "ref_len"), [by], [order])
+    sizes = numbers.groupBy(by).agg(F.count("*").alias("n"))
+    clips = numbers.join(sizes.withColumnRenamed(by, "_by"), F.col(by).eqNullSafe(F.col("_by"))).drop("_by")
+    kind = dict(stats.dtypes)[by]
+    sums = _held_draws(clips.where(F.col("n") <= BOOT_BLOCK), by, kind, b, seed)
+    sums = sums.unionByName(_sent_draws(clips.where(F.col("n") > BOOT_BLOCK), sizes.where(F.col("n") > BOOT_BLOCK), by, kind, b, seed))
+    ratio = F.when(F.col("t") > 0, F.col("e") / F.col("t")).otherwise(0.0)
+    sorted_ = sums.groupBy(by, "n").agg(F.sort_array(F.collect_list(ratio)).alias("s"))
+    lo, hi = int(alpha / 2 * b), min(b - 1, -int(-(1 - alpha / 2) * b // 1) - 1)
+    return sorted_.select(by, "n", F.get("s", F.lit(lo)).alias("lo"), F.get("s", F.lit(hi)).alias("hi"))
+
+
+def _held_draws(clips: DataFrame, by: str, kind: str, b: int, seed: int) -> DataFrame:
+    """by, n, k, e, t: sums of resamples of groups that fit a task whole."""
+    whole = clips.groupBy(by, "n").agg(F.array_sort(F.collect_list(F.struct("i", "edits", "ref_len"))).alias("x"))
+    work = whole.select(by, "n", F.col("x.edits").alias("e"), F.col("x.ref_len").alias("t"), F.explode(F.sequence(F.lit(0), F.lit(b - 1), F.lit(BOOT_RESAMPLES))).alias("k0"))
+    resamples, draws = BOOT_RESAMPLES, BOOT_DRAWS
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            for key, n, block, e, t, k0 in zip(pdf[by], pdf["n"], pdf["block"], pdf["e"], pdf["t"], pdf["k0"]):
-                low, out = block * BOOT_BLOCK, []
-                for k in range(k0, min(k0 + BOOT_RESAMPLES, b)):
+            for key, n, e, t, k0 in zip(pdf[by], pdf["n"], pdf["e"], pdf["t"], pdf["k0"]):
+                out = []
+                for k in range(k0, min(k0 + resamples, b)):
                     se = st = 0
-                    for j in range(0, n, BOOT_DRAWS):
-                        at = np.floor(_uniform(seed, k * n + np.arange(j, min(j + BOOT_DRAWS, n), dtype=np.int64) + 1) * n).astype(np.int64) - low
-                        at = at[(at >= 0) & (at < len(e))] if n > BOOT_BLOCK else at
+                    for j in range(0, n, draws):
+                        at = _picked(seed, n, k, j, min(j + draws, n))
                         se, st = se + int(e[at].sum()), st + int(t[at].sum())
                     out.append((key, n, k, se, st))
                 yield pd.DataFrame(out, columns=[by, "n", "k", "e", "t"])
 
-    parts = work.mapInPandas(run, f"{by} {dict(stats.dtypes)[by]}, n long, k int, e long, t long")
-    sums = parts.groupBy(by, "n", "k").agg(F.sum("e").alias("e"), F.sum("t").alias("t"))
-    ratio = F.when(F.col("t") > 0, F.col("e") / F.col("t")).otherwise(0.0)
-    sorted_ = sums.groupBy(by, "n").agg(F.sort_array(F.collect_list(ratio)).alias("s"))
-    lo, hi = int(alpha / 2 * b), min(b - 1, -int(-(1 - alpha / 2) * b // 1) - 1)
-    return sorted_.select(by, "n", F.get("s", F.lit(lo)).alias("lo"), F.get("s", F.lit(hi)).alias("hi"))
+    return work.repartition(by, "k0").mapInPandas(run, f"{by} {kind}, n long, k int, e long, t long")
+
+
+def _sent_draws(clips: DataFrame, sizes: DataFrame, by: str, kind: str, b: int, seed: int) -> DataFrame:
+    """by, n, k, e, t: sums of resamples of groups of any size, whose draws are made elsewhere than their clips stand."""
+    part, meet, step = BOOT_PART, BOOT_MEET, BOOT_DRAWS
+    # one task makes a block of draws of some resamples at a time; (n, k, j) are a row of three numbers
+    blocks = sizes.select(by, "n", F.explode(F.sequence(F.lit(0), F.lit(b - 1))).alias("k")).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(step).cast("long"))).alias("j"))
+
+    def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for key, n, k, j in zip(pdf[by], pdf["n"], pdf["k"], pdf["j"]):
+                at = np.sort(_picked(seed, n, k, j, min(j + step, n)))
+                low = np.arange(at[0] // part, at[-1] // part + 2)
+                cut = np.searchsorted(at, low * part)
+                out = [(key, int(p), k // meet, k, (at[x:z] - p * part).astype(np.uint32).tobytes()) for p, x, z in zip(low, cut, cut[1:]) if x < z]
+                yield pd.DataFrame(out, columns=[by, "block", "some", "k", "at"])
+
+    drawn = blocks.repartition(by, "k", "j").mapInPandas(draw, f"{by} {kind}, block long, some int, k int, at binary")
+    held = clips.select(by, "n", "i", "edits", "ref_len", F.floor(F.col("i") / part).alias("block"), F.explode(F.sequence(F.lit(0), F.lit((b - 1) // meet))).alias("some"))
+
+    def add(clip: pd.DataFrame, picks: pd.DataFrame) -> pd.DataFrame:
+        e, t = np.zeros(part, np.int64), np.zeros(part, np.int64)
+        place = clip["i"].to_numpy() % part
+        e[place], t[place] = clip["edits"].to_numpy(), clip["ref_len"].to_numpy()
+        out = []
+        for k, at in zip(picks["k"], picks["at"]):
+            at = np.frombuffer(at, np.uint32)
+            out.append((clip[by].iloc[0], clip["n"].iloc[0], k, int(e[at].sum()), int(t[at].sum())))
+        return pd.DataFrame(out, columns=[by, "n", "k", "e", "t"])
+
+    keys = [by, "block", "some"]
+    parts = held.groupBy(*keys).cogroup(drawn.groupBy(*keys)).applyInPandas(add, f"{by} {kind}, n long, k int, e long, t long")
+    return parts.groupBy(by, "n", "k").agg(F.sum("e").alias("e"), F.sum("t").alias("t"))
+
+
+def _picked(seed: int, n: int, k: int, low: int, high: int) -> np.ndarray:
+    """Clips of draws low to high of resample k of n clips."""
+    return np.floor(_uniform(seed, k * n + np.arange(low, high, dtype=np.int64) + 1) * n).astype(np.int64)
 
 
 def poisson_bootstrap(stats: DataFrame, by: str, key: str, b: int = 200, seed: int = 1, alpha: float = 0.05) -> DataFrame:

@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -155,10 +156,19 @@ def test_bootstrap_in_blocks_and_by_poisson(spark, monkeypatch):
     rows = [("en" if i % 3 else "fr", i, rng.randint(0, 9), rng.randint(10, 90)) for i in range(200)]
     df = spark.createDataFrame(rows, "lang string, id long, edits long, ref_len long")
     whole = E.bootstrap(df, "lang", "id", b=60).collect()
-    monkeypatch.setattr(E, "BOOT_BLOCK", 32)
     monkeypatch.setattr(E, "BOOT_RESAMPLES", 7)
     monkeypatch.setattr(E, "BOOT_DRAWS", 50)
-    assert sorted(map(tuple, E.bootstrap(df, "lang", "id", b=60).collect())) == sorted(map(tuple, whole))
+    monkeypatch.setattr(E, "BOOT_PART", 32)
+    monkeypatch.setattr(E, "BOOT_MEET", 9)
+    for limit in (32, 100, 1000):  # all groups by sent draws, the smaller one held, both held
+        monkeypatch.setattr(E, "BOOT_BLOCK", limit)
+        assert sorted(map(tuple, E.bootstrap(df, "lang", "id", b=60).collect())) == sorted(map(tuple, whole))
+    assert E.bootstrap(df.where("id < 0"), "lang", "id", b=60).count() == 0
+    for limit in (32, 1000):
+        monkeypatch.setattr(E, "BOOT_BLOCK", limit)
+        unnamed = E.bootstrap(df.withColumn("lang", F.lit(None).cast("string")), "lang", "id", b=60).first()
+        assert (unnamed.lang, unnamed.n) == (None, 200)
+        assert tuple(unnamed)[2:] == tuple(E.bootstrap(df.withColumn("lang", F.lit("x")), "lang", "id", b=60).first())[2:]
 
     def poisson(i, k):
         h = xxhash.xxh64_intdigest((k).to_bytes(4, "little"), seed=xxhash.xxh64_intdigest(i.to_bytes(8, "little"), seed=42))
@@ -175,6 +185,19 @@ def test_bootstrap_in_blocks_and_by_poisson(spark, monkeypatch):
         assert min(abs(lo - r) for r in ratios[:3]) < 1e-12 and min(abs(hi - r) for r in ratios[-3:]) < 1e-12
 
 
+def test_every_draw_is_made_once(spark, monkeypatch):
+    monkeypatch.setattr(E, "BOOT_BLOCK", 64)
+    monkeypatch.setattr(E, "BOOT_PART", 16)
+    monkeypatch.setattr(E, "BOOT_DRAWS", 33)
+    n, b, rng = 150, 25, random.Random(5)
+    edits, lengths = [rng.randint(0, 9) for _ in range(n)], [rng.randint(1, 40) for _ in range(n)]
+    df = spark.createDataFrame([("x", i, e, t) for i, (e, t) in enumerate(zip(edits, lengths))], "lang string, id long, edits long, ref_len long")
+    clips = df.select("lang", F.lit(n).cast("long").alias("n"), F.col("id").alias("i"), "edits", "ref_len")
+    got = {r.k: (r.e, r.t) for r in E._sent_draws(clips, clips.select("lang", "n").distinct(), "lang", "string", b, 7).collect()}
+    picks = {k: [int(u * n) for u in E._uniform(7, np.arange(k * n + 1, k * n + n + 1))] for k in range(b)}
+    assert got == {k: (sum(edits[i] for i in at), sum(lengths[i] for i in at)) for k, at in picks.items()}
+
+
 def test_replies(spark):
     cases = {'{"segments":[{"idx":0,"text":"a"},{"idx":0,"text":"b"},{"idx":2,"text":"c"}]}': {0: "a", 2: "c"}, '```json\n[{"idx":1,"text":"x"}]\n```': {1: "x"}, 'Sure: {"segments":[{"idx":3,"text":"y"}]} Bye': {3: "y"},
              "no json": None, '{"segments":[{"idx":"1","text":"x"}]}': None, '{"segments":[{"idx":1.5,"text":"x"},{"idx":4,"text":7}]}': None, '{"segments":[': None, "[]": None}
