@@ -117,7 +117,9 @@ def _sent_draws(clips: DataFrame, sizes: DataFrame, by: str, kind: str, b: int,
                 out = [(key, int(p), k // meet, k, (at[x:z] - p * part).astype(np.uint32).tobytes()) for p, x, z in zip(low, cut, cut[1:]) if x < z]
                 yield pd.DataFrame(out, columns=[by, "block", "some", "k", "at"])
 
-    drawn = blocks.repartition(by, "k", "j").mapInPandas(draw, f"{by} {kind}, block long, some int, k int, at binary")
+    # by number, as rows so small would be put together into one task
+    parallel = int(clips.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    drawn = blocks.repartition(parallel, by, "k", "j").mapInPandas(draw, f"{by} {kind}, block long, some int, k int, at binary")
     held = clips.select(by, "n", "i", "edits", "ref_len", F.floor(F.col("i") / part).alias("block"), F.explode(F.sequence(F.lit(0), F.lit((b - 1) // meet))).alias("some"))
 
     def add(clip: pd.DataFrame, picks: pd.DataFrame) -> pd.DataFrame:
