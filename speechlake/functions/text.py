@@ -79,6 +79,19 @@ def scoring_form(c: Column, *, digit_sets: Sequence[str] = (), keep: Sequence[st
     return collapse_space(c, strip_space)
 
 
+def profiled_form(c: Column, strip_space: Column, zwnj: Column, zwj: Column, native_digits: Column) -> Column:
+    """scoring_form by columns of a profile, so that one plan scores all languages; null without a profile. Digit sets that haven't ten characters are ignored."""
+    c = strip_zero_width(nfc(c), bidi=True)
+    c = F.when(zwnj, F.replace(c, F.lit(ZWNJ), F.lit(""))).otherwise(c)
+    c = F.when(zwj, F.replace(c, F.lit(ZWJ), F.lit(""))).otherwise(c)
+    folded = c
+    for place, digit in enumerate(LATIN_DIGITS, 1):
+        folded = F.replace(folded, F.substring(native_digits, place, 1), F.lit(digit))
+    c = F.when(F.length(native_digits) == 10, folded).otherwise(c)
+    c = strip_punctuation(F.lower(c))
+    return F.when(strip_space, collapse_space(c, True)).when(~strip_space, collapse_space(c))
+
+
 Normaliser = Callable[[Column], Column]
 #: Named steps that a language's chain may list; callers may add their own.
 NORMALISERS: dict[str, Normaliser] = {
@@ -338,3 +351,12 @@ def merge_json(a: Column, b: Column) -> Column:
     parsed = lambda c: F.coalesce(F.from_json(c, "map<string,string>"), F.create_map().cast("map<string,string>"))
     new = F.map_filter(parsed(b), lambda k, v: v.isNotNull())
     return F.map_concat(F.map_filter(parsed(a), lambda k, v: ~F.map_contains_key(new, k)), new)
+
+
+def merge_json_at(a: Column, key: str, patch: Column) -> Column:
+    """a's members, and as the member key a's own object with those of patch over it; an absent one is made. A map of JSON texts.
+
+    Members of what lies deeper are replaced as a whole.
+    """
+    inner = F.get_json_object(a, f"$['{key}']")
+    return F.map_concat(F.map_filter(F.coalesce(F.from_json(a, "map<string,string>"), F.create_map().cast("map<string,string>")), lambda k, v: k != key), F.create_map(F.lit(key), F.to_json(merge_json(inner, patch))))

@@ -96,9 +96,15 @@ def carry_forward(rows: DataFrame, keys: Sequence[str], order: str, offset: Colu
     return rows.withColumn("start_ms", F.coalesce("start_ms", F.max("end_ms").over(before), offset))
 
 
-def interpolated_words(segments: DataFrame, keys: Sequence[str], unit: str = " ") -> DataFrame:
-    """keys, word_idx, text, start_ms, end_ms: the segment's time shared by length; the last unit takes what is left."""
-    units = F.filter(F.split("text", unit), lambda w: w != "")
+def segment_units(text: Column, segmentation: str = "spaces") -> Column:
+    """Words between white space, or graphemes where words aren't set apart (segmentation none); blank units are none."""
+    parts = F.split(text, T.SPACE) if segmentation == "spaces" else T.graphemes(text)
+    return F.filter(parts, lambda w: ~w.rlike(f"^(?:{T.SPACE})?$"))
+
+
+def interpolated_words(segments: DataFrame, keys: Sequence[str], segmentation: str = "spaces") -> DataFrame:
+    """keys, word_idx, text, start_ms, end_ms: the segment's time shared by the length of its units in code points; the last takes what is left. Segments without a unit have no rows."""
+    units = segment_units(F.col("text"), segmentation)
     rows = segments.select(*keys, F.col("start_ms").alias("_s"), F.greatest(F.lit(0).cast("long"), F.col("end_ms") - F.col("start_ms")).alias("_span"), F.posexplode(units).alias("word_idx", "text"))
     whole = Window.partitionBy(*keys)
     order = whole.orderBy("word_idx")
@@ -150,7 +156,9 @@ def lcs_pairs(a: Sequence[str], b: Sequence[str]) -> list[tuple[int, int]]:
 
     From the end of a, every match gets the length of the longest chain of matches that it can begin; lasts[k] is the
     latest place in b at which a chain of k + 1 begins. The pairs are then taken from the front. Of equally long
-    choices the earliest place in b stands, then the earliest in a.
+    choices a place of b is left unmatched only if no place of a that keeps the length has its token: the first token of
+    b that is left is paired with the earliest such place; without one, the latest place of a that begins a chain of the
+    length left is paired with the earliest place in b of its token.
     """
     where: dict[str, list[int]] = {}
     for j, x in enumerate(b):
@@ -168,7 +176,9 @@ def lcs_pairs(a: Sequence[str], b: Sequence[str]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     i = j = -1
     for left in range(len(lasts), 0, -1):
-        j, i = min((y, x) for y, x in by_length[left] if y > j and x > i)
+        choices = [(y, x) for y, x in by_length[left] if y > j and x > i]
+        at_next = [x for y, x in choices if y == j + 1]
+        i, j = (min(at_next), j + 1) if at_next else max(((x, y) for y, x in choices), key=lambda p: (p[0], -p[1]))
         out.append((i, j))
     return out
 

@@ -114,6 +114,12 @@ def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFr
     return df.withColumns({"_r": F.row_number().over(w.orderBy(*order)), "copies": F.count("*").over(w)}).where("_r = 1").drop("_r")
 
 
+def assets_by_digest(wanted: DataFrame, assets: DataFrame, digest: str = "sha256", deleted: str = "deleted_at") -> DataFrame:
+    """wanted with the asset that has its content and was not deleted: a struct, null where there is none. At most one live asset has a content."""
+    live = assets.where(F.col(deleted).isNull())
+    return wanted.join(live.select(digest, F.struct(*[c for c in live.columns if c not in (digest, deleted)]).alias("asset")), digest, "left")
+
+
 def seeded_sample(df: DataFrame, by: Sequence[str], key: str, n: int, seed: int, salts: int = 64) -> DataFrame:
     """n rows of each stratum, the same for any order of the input: ranked by a digest of seed and key.
 

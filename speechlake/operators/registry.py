@@ -52,6 +52,48 @@ def overlaid(base: DataFrame, patch: DataFrame, keys: Sequence[str], defaults: d
     return joined.select(*keys, *[F.coalesce(F.col(f"_{c}"), F.col(c), d).alias(c) for c, d in defaults.items()])
 
 
+def resolved_languages(entries: DataFrame, seed: DataFrame, measured: DataFrame, override: DataFrame) -> DataFrame:
+    """entries with tier, tier_source, enabled, cer, cer_ratio, n, human_reviewed, notes of each language.
+
+    entries: code and whatever else a language has; seed: code, tier, enabled, human_reviewed, notes; measured: code,
+    tier, cer, cer_ratio, n, human_reviewed, notes; override: code and any of the columns added, null where it says
+    nothing. An override stands before what was measured, that before the seed; whether a language is enabled is not
+    measured. Notes of a measurement and of the seed are joined, as both stay true, unless an override has its own. Rows
+    of a code that is no entry are ignored.
+    """
+    tiers = lambda d: d.select("code", "tier")
+    out = cascade(entries, "code", tiers(override), tiers(measured), tiers(seed)).withColumnRenamed("source", "tier_source")
+    kinds = {"enabled": "boolean", "cer": "double", "cer_ratio": "double", "n": "long", "human_reviewed": "boolean", "notes": "string"}
+    for name, d in (("_o", override), ("_m", measured), ("_s", seed)):
+        out = out.join(d.select("code", F.struct(*[(F.col(c).cast(k) if c in d.columns else F.lit(None).cast(k)).alias(c) for c, k in kinds.items()]).alias(name)), "code", "left")
+    said = lambda c: F.nullif(F.col(c), F.lit(""))
+    both = F.nullif(F.concat_ws(" ", said("_m.notes"), said("_s.notes")), F.lit(""))
+    values = {c: F.coalesce(f"_o.{c}", f"_m.{c}", f"_s.{c}") for c in kinds} | {"enabled": F.coalesce("_o.enabled", "_s.enabled"), "notes": F.coalesce("_o.notes", both)}
+    return out.withColumns(values).drop("_o", "_m", "_s")
+
+
+def filtered_languages(languages: DataFrame, capabilities: DataFrame, tiers: Sequence[str] = (), enabled: bool = False, script: str | None = None, provider: str | None = None, not_by: str | None = None, exclusive_to: str | None = None) -> DataFrame:
+    """Languages that meet all conditions given: one of the tiers, enabled, a script, accepted by a provider, not accepted by one, accepted by one alone."""
+    ok = capabilities.where("accepted")
+    out = languages.where(F.col("tier").isin(*tiers)) if tiers else languages
+    out = out.where("enabled") if enabled else out
+    out = out.where(F.col("script") == script) if script else out
+    out = supported_by(out, capabilities, provider) if provider else out
+    out = out.join(ok.where(F.col("provider") == not_by), "code", "left_anti") if not_by else out
+    return supported_by(out, capabilities, exclusive_to, exclusive=True) if exclusive_to else out
+
+
+def scoring_profiles(languages: DataFrame, scripts: DataFrame) -> DataFrame:
+    """code, script, segmentation, legacy_encoding, zwnj, zwj, native_digits, strip_space, letterlike: how texts of each language are scored.
+
+    languages: code, script, segmentation, legacy_encoding, strip_space; scripts: script, zwnj, zwj (whether those are
+    stripped), native_digits. A language of an unknown script has no profile. No language lists signs that it writes as
+    letters, which are therefore empty and not guessed.
+    """
+    known = languages.join(scripts.select("script", "zwnj", "zwj", "native_digits"), "script")
+    return known.select("code", "script", "segmentation", "legacy_encoding", "zwnj", "zwj", "native_digits", "strip_space", F.array().cast("array<string>").alias("letterlike"))
+
+
 def range_faults(ranges: DataFrame) -> DataFrame:
     """script, lo of code-point ranges that are empty, out of order, or overlap the one before."""
     before = F.lag("hi").over(Window.partitionBy("script").orderBy("lo", "hi"))
@@ -149,8 +191,16 @@ def dry_run_totals(estimates: DataFrame) -> DataFrame:
                          F.coalesce(F.bool_or(~F.col("exact")), F.lit(False)).alias("projected"), F.coalesce(F.bool_or(F.col("usd").isNull()), F.lit(False)).alias("unpriced"))
 
 
-def stability(rows: DataFrame, by: str, text: Column, in_script: Column) -> DataFrame:
-    return rows.groupBy(by).agg(F.count("*").alias("runs"), F.count_if(in_script).alias("in_script"), F.countDistinct(text).alias("distinct_texts"))
+#: Fixed value: share of letters from which a run counts as in its script.
+IN_SCRIPT = 0.9
+
+
+def stability(rows: DataFrame, by: str, text: Column, in_script: Column, speakers: Column | None = None) -> DataFrame:
+    """by, runs, in_script, distinct_texts, and with speakers (heard in a run) multi_speaker. in_script is a condition, or the share of letters, which counts from 0.9; a null share is 0."""
+    share = rows.select(in_script.alias("x")).schema["x"].dataType.typeName() != "boolean"
+    inside = F.coalesce(in_script.cast("double"), F.lit(0.0)) >= IN_SCRIPT if share else in_script
+    more = [] if speakers is None else [F.count_if(speakers > 1).alias("multi_speaker")]
+    return rows.groupBy(by).agg(F.count("*").alias("runs"), F.count_if(inside).alias("in_script"), F.countDistinct(text).alias("distinct_texts"), *more)
 
 
 def reviews(rows: DataFrame, signed: DataFrame, code: str = "code", run: str = "run_id") -> tuple[DataFrame, DataFrame]:

@@ -159,6 +159,13 @@ def match_speakers(prior: DataFrame, fresh: DataFrame, least_ms: int = MIN_OVERL
     return cells.groupBy("run_id").applyInPandas(solve, "run_id long, fresh_key string, prior_key string, overlap_ms long")
 
 
+def unmatched_speakers(matches: DataFrame, prior: DataFrame, fresh: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What match_speakers left over: run_id, prior_key of speakers who were not heard again, and run_id, fresh_key, first_ms of new ones."""
+    gone = prior.select("run_id", F.col("speaker_key").alias("prior_key")).distinct().join(matches, ["run_id", "prior_key"], "left_anti")
+    new = fresh.groupBy("run_id", F.col("speaker_key").alias("fresh_key")).agg(F.min("start_ms").alias("first_ms")).join(matches, ["run_id", "fresh_key"], "left_anti")
+    return gone, new
+
+
 def allocate_keys(existing: DataFrame, unmatched: DataFrame, colours: int = 12) -> DataFrame:
     """run_id, fresh_key, speaker_key, colour: the next speaker-NN after the highest, from 00 where there is none, in order of first appearance."""
     top = existing.groupBy("run_id").agg(F.max(F.regexp_extract("speaker_key", "^speaker-(\\d+)$", 1).try_cast("int")).alias("top"))

@@ -162,7 +162,7 @@ def superseded_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 _INTER = """SELECT run_id, idx, word_idx::INT AS word_idx, text, s + least(span, coalesce(sum(d) OVER (PARTITION BY run_id, idx ORDER BY word_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS start_ms,
  s + CASE WHEN word_idx = max(word_idx) OVER (PARTITION BY run_id, idx) THEN span ELSE least(span, sum(d) OVER (PARTITION BY run_id, idx ORDER BY word_idx ROWS UNBOUNDED PRECEDING)) END::BIGINT AS end_ms FROM (
  SELECT *, round(span * length(text)::DOUBLE / sum(length(text)) OVER (PARTITION BY run_id, idx))::BIGINT AS d FROM (
-  SELECT run_id, idx, start_ms AS s, end_ms - start_ms AS span, unnest(w) AS text, unnest(range(len(w))) AS word_idx FROM (SELECT *, list_filter(string_split(text, ' '), lambda x: x <> '') AS w FROM seg)))"""
+  SELECT run_id, idx, start_ms AS s, end_ms - start_ms AS span, unnest(w) AS text, unnest(range(len(w))) AS word_idx FROM (SELECT *, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM seg)))"""
 QUERIES = {f.__name__: f for f in (seams_without_words, diarization_results, reply_maps, token_streams, segment_forms, recognise_parse, recognise_segments, rebuilt_segments, whisper_parse, interpolated_words, carried_starts, placeholders, transcript_lines, transcript_documents, rttm_round_trip, chunk_plan, seams, stitched_words, resolved_layers, superseded_events)}
 _TOKEN = r"string_split(trim(lower(regexp_replace(nfc_normalize(text), '[\p{P}\p{S}]', '', 'g'))), ' ')"
 _PLAN = """WITH RECURSIVE a AS (SELECT doc_id AS asset_id, n_chars * 60 AS d FROM documents),
