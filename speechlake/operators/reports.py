@@ -1,4 +1,4 @@
-"""Tables of the reports: translations with their controls, script failures, what samples are, stale reviews."""
+"""Tables of the reports: translations with their controls, script failures, what samples are. Stale reviews are those of registry.reviews."""
 
 from __future__ import annotations
 
