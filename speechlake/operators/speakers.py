@@ -282,7 +282,9 @@ def jaccard_error(reference: DataFrame, hypothesis: DataFrame, mapping: DataFram
 def frame_error(reference: DataFrame, hypothesis: DataFrame, mapping: DataFrame, frame_ms: int = 10) -> DataFrame:
     """run_id, frames, miss, confusion, false_alarm by frames with exactly the first speaker of each."""
     def frames(d: DataFrame, name: str) -> DataFrame:
-        spans = islands(d, ["run_id", "speaker_key"]).withColumn("f", F.explode(F.sequence(F.ceil(F.col("start_ms") / frame_ms), F.ceil(F.col("end_ms") / frame_ms) - 1)))
+        first, end = F.ceil(F.col("start_ms") / frame_ms), F.ceil(F.col("end_ms") / frame_ms)
+        # speech between two frames has none; a sequence would count down there
+        spans = islands(d, ["run_id", "speaker_key"]).where(first < end).withColumn("f", F.explode(F.sequence(first, end - 1)))
         return spans.groupBy("run_id", "f").agg(F.min("speaker_key").alias(name))
 
     both = frames(reference.where("end_ms > start_ms"), "prior_key").join(frames(hypothesis.where("end_ms > start_ms"), "fresh_key"), ["run_id", "f"], "full")

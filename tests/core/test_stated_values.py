@@ -200,3 +200,11 @@ def test_a_caller_adds_a_statistic(spark):
     for bad in (lambda: C.register(C.Statistic("cer", own.contribution, own.finish)), lambda: C.corpus(df, ["g"], ["cer", "cer"])):
         with pytest.raises(ValueError):
             bad()
+
+
+def test_speech_between_two_frames_has_no_frames(spark):
+    turns = "run_id long, speaker_key string, start_ms long, end_ms long"
+    ref = spark.createDataFrame([(1, "a", 0, 300), (1, "b", 310, 370)], turns)
+    hyp = spark.createDataFrame([(1, "x-a", 0, 300), (1, "x-b", 420, 480)], turns)
+    names = spark.createDataFrame([(1, "x-a", "a"), (1, "x-b", "b")], "run_id long, fresh_key string, prior_key string")
+    assert [tuple(r) for r in S.frame_error(ref, hyp, names, 100).select("frames", "miss", "confusion", "false_alarm").collect()] == [(3, 0, 0, 0)]
