@@ -1,6 +1,7 @@
 import datetime as dt
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,3 +102,51 @@ def test_numbers_have_no_gap_or_repeat_wherever_a_run_stops(spark, tmp_path):
     append.append_batch(spark.createDataFrame([], schema), 3, f"{path}/log", ["created_at", "event"])  # nothing new
     append.append_batch(spark.createDataFrame([(_at(1), 7)], schema), 4, f"{path}/log", ["created_at", "event"])
     assert sorted(r.seq for r in append.read_log(spark, f"{path}/log").collect()) == list(range(22))
+
+
+class _Value:
+    calls = 0
+
+    def __init__(self):
+        self.row = None
+
+    def exists(self):
+        _Value.calls += 1
+        return self.row is not None
+
+    def get(self):
+        _Value.calls += 1
+        return self.row
+
+    def update(self, row):
+        _Value.calls += 1
+        self.row = row
+
+    def clear(self):
+        self.update(None)
+
+
+class _Handle:
+    getValueState = staticmethod(lambda name, schema: _Value())
+    registerTimer = deleteTimer = staticmethod(lambda ms: None)
+
+
+def test_state_is_called_once_a_batch_and_not_for_each_key():
+    calls = []
+    for n in (1, 500):
+        steps, _Value.calls = ordered.StaleSteps(["run_id"], ["run_id", "seq", "attempt", "outcome"], ["end"], 90), 0
+        steps.init(_Handle())
+        frame = pd.DataFrame({"none": 0, "run_id": range(n), "at": 1_000_000, "seq": range(n), "kind": "beat", "item": None, "attempt": 0, "max_attempts": 2, "optional": False})
+        assert not list(steps._advance([frame], 0))
+        (lost,) = steps._advance([], 200_000)
+        assert lost.values.tolist() == [[i, i, 1, "pending"] for i in range(n)]
+        calls.append(_Value.calls)
+    assert calls[0] == calls[1] < 20
+
+
+def test_null_keys_are_a_key_and_long_ones_stay_exact(spark, tmp_path):
+    big = (1 << 60) + 1
+    rows = [(run, _at(t), t, kind, "a") for run in (None, big, 0) for t, kind in ((0, "queue"), (5, "cancel"))]
+    stream = _stream(spark, f"file://{tmp_path}", ITEMS, [rows])
+    S.run_to_end(ordered.cancelled_items(stream, ["run_id"], ["queue"], ["start"], ["cancel"]), f"file://{tmp_path}/out", f"file://{tmp_path}/s")
+    assert {tuple(r) for r in spark.read.parquet(f"file://{tmp_path}/out").collect()} == {(run, "a", 0, 5) for run in (None, big, 0)}
