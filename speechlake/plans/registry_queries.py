@@ -176,7 +176,7 @@ _BOOT_200 = _BOOT.replace("range(2000)", "range(200)").replace("v[51]", "v[6]").
 
 def text_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules of the scripts that the documents of each language are written in."""
-    return R.text_rules(E.script_census(V.table(spark, sf_dir, "documents"), "lang", "text").select("lang", "script"))
+    return R.text_rules(E.script_census(V.spread(V.table(spark, sf_dir, "documents")), "lang", "text").select("lang", "script"))
 
 
 def provider_listing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -112,3 +112,41 @@ def test_tiers(spark):
     got = {r.k: (r.t.tier, r.t.reason, list(r.t.blocked)) for r in df.select("k", t.alias("t")).collect()}
     assert got["ok"] == ("verified", "measured", []) and got["script"][:2] == ("unsupported", "script-integrity") and got["bad"][0] == "unsupported"
     assert got["none"][:2] == ("experimental", "not-run") and got["slow"][0] == "beta" and got["far"][0] == "experimental" and "ciHi>0.20" in got["noci"][2] and got["wide"][0] == "beta"
+
+
+def test_rows_of_one_row_group_are_spread(spark):
+    from speechlake.sources.views import spread
+
+    # a file of one row group is cut into as many parts as there are cores, and one of them has all rows
+    rows = spark.range(1000).withColumn("p", F.lit(0)).repartition(spark.sparkContext.defaultParallelism, "p")
+    assert len(rows.select(F.spark_partition_id()).distinct().collect()) == 1
+    assert len(spread(rows).select(F.spark_partition_id()).distinct().collect()) >= spark.sparkContext.defaultParallelism
+
+
+def test_characters_of_a_class_are_counted_by_code_points(spark):
+    from speechlake.functions import text as T
+
+    rows = spark.createDataFrame([("aÀ×中\U00020000 1é",), ("",), (None,)], "c string")
+    for kind, pattern in (("\\p{L}\\p{M}", "[\\p{L}\\p{M}]"), ("\\p{L}\\p{M}&&[\\x{41}-\\x{7A}]", "[\\p{L}\\p{M}&&[\\x{41}-\\x{7A}]]"), ("\\p{IsHan}", "\\p{IsHan}")):
+        assert all(r.a == r.b for r in rows.select(T.count_of(F.col("c"), kind).alias("a"), F.regexp_count("c", F.lit(pattern)).alias("b")).collect())
+
+
+def test_grams_of_pairs_are_told_apart(spark):
+    import random
+    from collections import Counter
+
+    from speechlake.functions import metrics as M
+
+    rng = random.Random(5)
+    pairs = [tuple("".join(rng.choice("ab é😀") for _ in range(rng.choice([0, 1, 2, 9, 40]))) for _ in range(2)) for _ in range(200)]
+
+    def brute(h, r, order):
+        out = []
+        for n in range(1, order + 1):
+            a, b = (Counter(tuple(x[i : i + n]) for i in range(len(x) - n + 1)) for x in (h, r))
+            out += [sum(a.values()) if b else 0, sum(b.values()), sum((a & b).values())]
+        return out
+
+    rows = spark.createDataFrame(pairs, "h string, r string").coalesce(1)
+    got = rows.select("h", "r", M.ngram_stats(3)("h", "r").alias("c"), M.ngram_stats(2, True)(M.words(F.col("h")), M.words(F.col("r"))).alias("w")).collect()
+    assert all(x.c == brute(x.h, x.r, 3) and x.w == brute([w for w in x.h.split(" ") if w], [w for w in x.r.split(" ") if w], 2) for x in got)
