@@ -17,7 +17,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from speechlake.llm.common import discard, keyed, stored
+from speechlake.llm.common import discard, keyed, mark_of, places, release, stored, text_of
 
 WORDS = 5
 SPACES = "[\\x20\\x09-\\x0D]+"
@@ -63,20 +63,27 @@ def document_fingerprints(docs: DataFrame) -> DataFrame:
     are empty. Rows equal in id and text are one document; rows that share an id but not the text are documents of their
     own, as are rows without an id, which come last. Other columns are ignored.
     """
-    rows = keyed(docs)
-    total = rows.count()
-    before, after = F.pmod(F.col("key") - 1, F.lit(max(1, total))), F.pmod(F.col("key") + 1, F.lit(max(1, total)))
+    plain = text_of(docs).withColumn("mark", mark_of())
+    at = places(plain.select("mark", "doc_id"))
+    total = F.lit(max(1, at.count()))
+    before, after = F.pmod(F.col("key") - 1, total), F.pmod(F.col("key") + 1, total)
     n = F.length("text")
     take = F.floor(n / 4).cast("int")
-    # a document's beginning goes to the one before it, as long as that one's quarter
-    wanted = rows.select(after.alias("key"), F.col("key").alias("to"), take.alias("take"))
-    given = rows.join(wanted, "key").select(F.col("to").alias("key"), F.expr("substring(text, 1, take)").alias("given"))
+    # a document's beginning goes to the one before it, as long as that one's quarter: rows of numbers say how long, so texts are sent but once to their place and once to their neighbour
+    one = plain.groupBy("mark").agg(F.first("text").alias("text"))
+    lengths = stored(at.join(plain.select("mark", take.alias("take")).distinct(), "mark").select("key", "take"), "simhash-lengths")
+    placed = at.join(lengths.select(after.alias("key"), F.col("take").alias("asked")), "key")
+    rows = stored(one.join(placed, "mark").select("key", "doc_id", "text", "asked"), "simhash-texts")
+    discard(at, lengths)
+    release(docs.sparkSession)
+    given = rows.select(before.alias("key"), F.expr("substring(text, 1, asked)").alias("given"))
     both = rows.join(given, "key").select("key", "doc_id", "text", n.cast("long").alias("n_chars"), F.concat(F.substring("text", F.lit(1), n - take), "given").alias("edited"))
-    two = both.select("key", F.explode(F.array(F.struct(F.lit(0).alias("which"), "text"), F.struct(F.lit(1).alias("which"), F.col("edited").alias("text")))).alias("x"))
-    prints = fingerprints(two.select("key", "x.which", "x.text"), ["key", "which"])
-    prints = prints.groupBy("key").agg(*[F.max(F.when(F.col("which") == i, F.col("fingerprint"))).alias(name) for i, name in enumerate(("own", "edited"))])
-    digests = both.select("key", "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
-    found = stored(digests.join(prints, "key"), "simhash-prints")
+    # what the result needs of a text goes with its votes, which stay where the join has put the text
+    digests = both.select("key", "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), F.explode(F.array(F.struct(F.lit(0).alias("which"), "text"), F.struct(F.lit(1).alias("which"), F.col("edited").alias("text")))).alias("x"))
+    kept = ["key", "doc_id", "n_chars", "edited_sha256"]
+    prints = fingerprints(digests.select(*kept, "x.which", "x.text"), [*kept, "which"])
+    prints = prints.groupBy(*kept).agg(*[F.max(F.when(F.col("which") == i, F.col("fingerprint"))).alias(name) for i, name in enumerate(("own", "edited"))])
+    found = stored(prints, "simhash-prints")
     discard(rows)
     following = found.select(before.alias("key"), F.col("own").alias("next"))
     return found.join(following, "key").select(

@@ -83,3 +83,11 @@ def test_rows_of_one_id_and_without_one(spark):
     got = S.document_fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(str(r.doc_id) for r in got) == ["1", "1", "None"]
     assert {r.fingerprint for r in got} == {f"{brute_print(t):016x}" for _, t in rows}
+
+
+def test_a_text_is_sent_to_its_neighbour_once(spark, monkeypatch):
+    plans, store = {}, S.stored
+    monkeypatch.setattr(S, "stored", lambda df, name: plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString()) and store(df, name))
+    df = spark.createDataFrame([(i, f"a b c d {i}") for i in range(5)], "doc_id long, text string")
+    assert len(S.document_fingerprints(df).collect()) == 5
+    assert len(re.findall(r"\bExchange ", plans["simhash-prints"])) == 2  # the texts, and the beginnings that go before them
