@@ -41,3 +41,12 @@ def test_grapheme_rates_of_low_characters(spark):
     df = spark.createDataFrame([("a\r\nb", "a\r\nc"), ("a\rb", "a\nb"), ("é", "e"), ("", "a"), ("", ""), ("éx", "ex")], "h string, r string")
     got = [r[0] for r in df.select(M.grapheme_cer(F.col("h"), F.col("r"))).collect()]
     assert got == [1 / 3, 1 / 3, 1.0, 1.0, 0.0, 0.5]
+
+
+def test_a_language_report_scores_its_clips_once(spark, sf_dir, monkeypatch):
+    from speechlake.plans import evaluation as P
+
+    calls, clips = [], P._clips
+    monkeypatch.setattr(P, "_clips", lambda *args: calls.append(1) or clips(*args))
+    P.language_report(spark, sf_dir)
+    assert len(calls) == 1
