@@ -183,6 +183,18 @@ def lcs_pairs(a: Sequence[str], b: Sequence[str]) -> list[tuple[int, int]]:
     return out
 
 
+def lcs_length(a: Sequence[str], b: Sequence[str]) -> int:
+    """Length of a longest common subsequence; bit i of a row is 0 where the length grows at place i of a."""
+    where: dict[str, int] = {}
+    for i, x in enumerate(a):
+        where[x] = where.get(x, 0) | 1 << i
+    row = full = (1 << len(a)) - 1
+    for x in b:
+        same = row & where.get(x, 0)
+        row = (row + same | row - same) & full
+    return len(a) - row.bit_count()
+
+
 def adjacent_chunks(chunks: DataFrame) -> DataFrame:
     """run_id, chunk, seam_ms of chunks that follow a chunk of their run without a gap; the seam is where that one ends. Next to a failed chunk there is none."""
     before = chunks.select("run_id", (F.col("chunk") + 1).alias("chunk"), F.col("end_ms").alias("seam_ms"), F.col("failed").alias("_f"))
@@ -258,7 +270,7 @@ def seams_without_words(segments: DataFrame, chunks: DataFrame, lead_ms: int) ->
 
     @F.pandas_udf("long")
     def matched(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([0 if x is None or y is None else len(lcs_pairs(list(x), list(y))) for x, y in zip(a, b)], dtype="int64")
+        return pd.Series([0 if x is None or y is None else lcs_length(x, y) for x, y in zip(a, b)], dtype="int64")
 
     n = lambda c: F.coalesce(F.size(c), F.lit(0))
     score = F.when((n("l") > 0) & (n("r") > 0), T.dice(matched("l", "r"), n("l"), n("r"))).otherwise(0.0)

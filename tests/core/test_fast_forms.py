@@ -50,3 +50,20 @@ def test_a_language_report_scores_its_clips_once(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(P, "_clips", lambda *args: calls.append(1) or clips(*args))
     P.language_report(spark, sf_dir)
     assert len(calls) == 1
+
+
+def test_length_of_a_common_subsequence():
+    import time
+
+    from speechlake.operators import assembly as A
+
+    rng = random.Random(2)
+    text = lambda n, of: [rng.choice(of) for _ in range(n)]
+    for _ in range(300):
+        a, b = text(rng.randint(0, 40), "abcd"), text(rng.randint(0, 40), "abcde")
+        assert A.lcs_length(a, b) == len(A.lcs_pairs(a, b))
+    a, b = text(400, "abcdef ghi"), text(400, "abcdef ghi")
+    start = time.perf_counter()
+    n = len(A.lcs_pairs(a, b))
+    middle = time.perf_counter()
+    assert A.lcs_length(a, b) == n and (time.perf_counter() - middle) * 5 < middle - start
