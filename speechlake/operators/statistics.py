@@ -56,7 +56,8 @@ def _characters(hyp: Column, ref: Column) -> dict[str, Column]:
 
 
 def _words(hyp: Column, ref: Column) -> dict[str, Column]:
-    return {"edits": M.word_edits(M.words(hyp), M.words(ref)), "total": F.size(M.words(ref)).cast("long")}
+    counts = M.word_counts(hyp, ref)
+    return {"edits": counts["edits"], "total": counts["words"]}
 
 
 def _grams(char_order: int = 6, word_order: int = 0) -> tuple[Callable[[Column, Column], dict[str, Column]], Callable[[dict[str, Column]], Column]]:

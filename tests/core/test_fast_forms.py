@@ -1,9 +1,12 @@
 import random
+import re
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from speechlake.functions import metrics as M
 from speechlake.functions import text as T
+from speechlake.operators import evaluation as E
 
 
 def edits(a, b):
@@ -67,3 +70,31 @@ def test_length_of_a_common_subsequence():
     n = len(A.lcs_pairs(a, b))
     middle = time.perf_counter()
     assert A.lcs_length(a, b) == n and (time.perf_counter() - middle) * 5 < middle - start
+
+
+def test_word_edits_are_not_left_to_the_builtin_table(spark):
+    df = E.word_stats(spark.createDataFrame([("a b", "b")], "h string, r string"))
+    assert "levenshtein" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_word_edits_of_batches_equal_the_whole_table(spark, monkeypatch):
+    rng = random.Random(7)
+    spaces = [*T.WHITE, "  ", " \n", " ", " ", " "]
+    odd = lambda n: "".join(rng.choice("aé\U0001f600\x1c\x85\0") + rng.choice(["", *spaces]) for _ in range(rng.randint(0, n)))
+    plain = lambda n: " ".join(rng.choice(["a", "b", "été", "c"]) for _ in range(rng.randint(0, n)))
+    pairs = [(t(40), t(40)) for t in (odd, plain) for _ in range(150)] + [("", ""), ("", " a"), ("a b", "﻿"), (None, "a"), ("a", None), ("x " * 900, "x y " * 400)]
+    split = lambda t: [w for w in re.split(f"[{T.WHITE}]+", t) if w]
+    df = spark.createDataFrame([(i, h, r) for i, (h, r) in enumerate(pairs)], "i int, h string, r string")
+    for row in E.word_stats(df).collect():
+        want = (None, None) if None in pairs[row.i] else (edits(*map(split, pairs[row.i])), len(split(row.r)))
+        assert (row.word_edits, row.ref_words) == want, pairs[row.i]
+    whole = [tuple(x) for x in zip(*[M._word_counts_of.func(*[pd.Series(side, dtype=object) for side in zip(*pairs)])[c].fillna(-1) for c in ("edits", "words")])]
+    monkeypatch.setattr(M, "WORD_CHARS", 100)
+    assert whole == [tuple(x) for x in zip(*[M._word_counts_of.func(*[pd.Series(side, dtype=object) for side in zip(*pairs)])[c].fillna(-1) for c in ("edits", "words")])]
+
+
+def test_tables_of_characters_equal_the_patterns(spark):
+    marks = "[\\u200B\\uFEFF\\u200E\\u200F\\u061C\\u202A-\\u202E\\u2066-\\u2069]"
+    df = spark.range(1, 0x10000).where("id < 55296 or id > 57343").select(F.concat(F.lit("a"), F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32"), F.lit(" b\n")).alias("t"))
+    space = F.trim(F.regexp_replace("t", T.SPACE, " "))
+    assert df.where((T.collapse_space(F.col("t")) != space) | (T.collapse_space(F.col("t"), True) != F.regexp_replace("t", T.SPACE, "")) | (T.strip_zero_width(F.col("t"), bidi=True) != F.regexp_replace("t", marks, ""))).count() == 0
